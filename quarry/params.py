@@ -32,6 +32,7 @@ IVF_LEAVES_TO_SEARCH = 100
 IVF_TRAINING_SAMPLE = 100000
 IVF_REORDER = 100
 PQ_DIMS_PER_BLOCK = 2
+SAVE_PERIOD_MIN = 20                # checkpoint cadence, minutes
 # ---------------------------------------------------------------------------
 
 # Engine parameters (not from the reference)

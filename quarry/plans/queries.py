@@ -404,3 +404,313 @@ def q_fmt_sections(spark, sf):
     qs = tables.questions(spark, sf)
     t = F.concat(F.lit("Question:\n"), F.col("question"), F.lit("\nAnswer:\n"), F.coalesce("answer", F.lit("")))
     return qs.select("sample_id", fmt_sections(t).alias("text"))
+
+
+# ---------------------------------------------------------------------------
+# Length study and checks
+# ---------------------------------------------------------------------------
+
+from quarry.functions.keyed import hash32  # noqa: E402
+from quarry.functions.text import tokens  # noqa: E402
+from quarry.operators import stats as S  # noqa: E402
+from quarry.operators import metrics as M  # noqa: E402
+from quarry.operators import batching as B  # noqa: E402
+from quarry.operators.sampling import hash_sample  # noqa: E402
+from quarry.params import (EMA_CONSTANT, PASSAGE_LENGTH_FRACTIONS, PASSAGE_LENGTH_SAMPLE,  # noqa: E402
+                           QA_LENGTH_FRACTIONS, SAVE_PERIOD_MIN, SPLIT_CARDINALITIES,
+                           BATCHES_BETWEEN_EVALS, NUMBER_EVAL_BATCHES)
+
+WS = r"[ \t\n\r\f\x0B]"
+STRIP_SQL = f"regexp_replace({{}}, '^{WS}+|{WS}+$', '', 'g')"
+
+QA_LEN_SQL = f"""
+    SELECT len({O.tok(f"{STRIP_SQL.format('q')} || ' ' || {STRIP_SQL.format('a')}")}) AS len FROM (
+      SELECT u.conv_id, arg_min(u.text, u.turn) AS q FROM conversations u
+      WHERE u.role = 'user' AND u.conv_id % 10 NOT IN (0, 1) GROUP BY u.conv_id) JOIN (
+      SELECT conv_id, arg_min(text, struct_pack(l := length(text), t := turn)) AS a
+      FROM conversations WHERE role = 'assistant' GROUP BY conv_id) USING (conv_id)"""
+
+PASSAGE_SAMPLE_SQL = f"""
+    SELECT doc_id, len({O.tok('text')}) AS len FROM documents
+    ORDER BY {O.u32('7', 'doc_id')}, doc_id LIMIT {PASSAGE_LENGTH_SAMPLE}"""
+
+
+def qa_lengths(spark, sf):
+    ma = tables.multi_answers(spark, sf).where(~F.pmod("conv_id", F.lit(10)).isin(0, 1))
+    pos = F.transform(F.col("answers"), lambda a, i: F.struct(F.length(a).alias("l"), i.alias("p"), a.alias("a")))
+    best = F.element_at(F.array_sort(pos), 1)["a"]
+    txt = F.concat(strip_ws(F.col("question")), F.lit(" "), strip_ws(best))
+    return ma.select(F.size(tokens(txt)).alias("len"))
+
+
+def passage_sample(spark, sf):
+    docs = tables.read_table(spark, sf, "documents").select("doc_id", "text")
+    return hash_sample(docs, "doc_id", PASSAGE_LENGTH_SAMPLE, SEED).select(
+        "doc_id", F.size(tokens(F.col("text"))).alias("len"))
+
+
+def _cutoff_sql(src: str, fractions) -> str:
+    return " UNION ALL ".join(
+        f"SELECT CAST({f} AS DOUBLE) AS fraction, quantile_disc(len, {f})::BIGINT AS cutoff FROM ({src})"
+        for f in fractions)
+
+
+@register("length_hist", f"SELECT len::BIGINT AS len, count(*)::BIGINT AS cnt FROM ({QA_LEN_SQL}) GROUP BY len")
+def q_length_hist(spark, sf):
+    h = S.length_hist(qa_lengths(spark, sf))
+    return h.select(F.col("len").cast("long"), F.col("cnt").cast("long"))
+
+
+@register("cum_fraction", f"""
+    SELECT len::BIGINT AS len, cnt::BIGINT AS cnt,
+           round(sum(cnt) OVER (ORDER BY len) / sum(cnt) OVER (), 6) AS cum_frac
+    FROM (SELECT len, count(*) AS cnt FROM ({QA_LEN_SQL}) GROUP BY len)""")
+def q_cum_fraction(spark, sf):
+    h = S.cum_fraction(S.length_hist(qa_lengths(spark, sf)))
+    return h.select(F.col("len").cast("long"), F.col("cnt").cast("long"), r6(F.col("cum_frac")).alias("cum_frac"))
+
+
+@register("length_cutoffs", _cutoff_sql(QA_LEN_SQL, QA_LENGTH_FRACTIONS))
+def q_length_cutoffs(spark, sf):
+    return S.length_cutoffs(qa_lengths(spark, sf), QA_LENGTH_FRACTIONS)
+
+
+@register("retrieval_budget", f"""
+    SELECT fraction, cutoff, i::BIGINT AS i, round_even(({CONTEXT_SIZE} - cutoff) / i, 0)::BIGINT AS budget
+    FROM ({_cutoff_sql(QA_LEN_SQL, QA_LENGTH_FRACTIONS)}), range(1, 5) t(i)""")
+def q_retrieval_budget(spark, sf):
+    return S.retrieval_budget(S.length_cutoffs(qa_lengths(spark, sf), QA_LENGTH_FRACTIONS))
+
+
+@register("len_sample", f"SELECT doc_id, len::BIGINT AS len FROM ({PASSAGE_SAMPLE_SQL})")
+def q_len_sample(spark, sf):
+    return passage_sample(spark, sf).select("doc_id", F.col("len").cast("long"))
+
+
+@register("passage_cutoffs", _cutoff_sql(PASSAGE_SAMPLE_SQL, PASSAGE_LENGTH_FRACTIONS))
+def q_passage_cutoffs(spark, sf):
+    return S.length_cutoffs(passage_sample(spark, sf), PASSAGE_LENGTH_FRACTIONS)
+
+
+@register("unique_check", O.sql("""
+    SELECT 'questions' AS "table", count(*)::BIGINT AS n, count(DISTINCT sample_id)::BIGINT AS n_distinct,
+           count(*) = count(DISTINCT sample_id) AS ok FROM questions
+    UNION ALL SELECT 'blocks', count(*), count(DISTINCT block_id), count(*) = count(DISTINCT block_id) FROM blocks
+    UNION ALL SELECT 'events', count(*), count(DISTINCT event_id), count(*) = count(DISTINCT event_id) FROM events
+    UNION ALL SELECT 'vocab', count(*), count(DISTINCT token), count(*) = count(DISTINCT token) FROM vocab""",
+    "questions", "blocks", "vocab"))
+def q_unique_check(spark, sf):
+    parts = [S.unique_check(tables.questions(spark, sf), "sample_id", "questions"),
+             S.unique_check(tables.blocks(spark, sf, with_vectors=False), "block_id", "blocks"),
+             S.unique_check(tables.read_table(spark, sf, "events"), "event_id", "events"),
+             S.unique_check(vocab_for(spark, sf).df, "token", "vocab")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("table", F.col("n").cast("long"), F.col("n_distinct").cast("long"), "ok")
+
+
+_EXP_SQL = " UNION ALL ".join(f"SELECT '{k}' AS split, {v}::BIGINT AS expected" for k, v in SPLIT_CARDINALITIES.items())
+
+
+@register("cardinality_check", O.sql(f"""
+    SELECT coalesce(g.split, e.split) AS split, coalesce(g.n, 0)::BIGINT AS n, e.expected,
+           coalesce(g.n, 0) = e.expected AS ok
+    FROM (SELECT split, count(*) AS n FROM questions GROUP BY split) g
+    FULL JOIN ({_EXP_SQL}) e USING (split)""", "questions"))
+def q_cardinality_check(spark, sf):
+    return S.cardinality_check(tables.questions(spark, sf), SPLIT_CARDINALITIES)
+
+
+@register("sample_checks", _fin_sql(f"""
+    split, count(*)::BIGINT AS n,
+    count(*) FILTER (WHERE list_contains(input_ids, -1))::BIGINT AS n_pad_input,
+    count(*) FILTER (WHERE coalesce(list_contains(label_ids, -1), false))::BIGINT AS n_pad_label,
+    count(*) FILTER (WHERE label_ids IS NOT NULL AND len(list_filter(label_ids, lambda x: x <> {MASK_ID})) = 0)::BIGINT AS n_all_masked,
+    count(*) FILTER (WHERE len(list_filter(input_ids, lambda x: x <> {EOS})) = 0)::BIGINT AS n_empty_input,
+    count(*) FILTER (WHERE len(list_filter(input_ids, lambda x: x >= 0)) = 0)::BIGINT AS n_all_negative
+    """).replace("FROM (", "FROM (", 1) + " GROUP BY split")
+def q_sample_checks(spark, sf):
+    return S.sample_violations(samples_for(spark, sf), EOS)
+
+
+@register("count_records", " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", count(*)::BIGINT AS n_rows FROM {t}" for t in tables.TABLES))
+def q_count_records(spark, sf):
+    out = None
+    for t in tables.TABLES:
+        c = tables.read_table(spark, sf, t).agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(t).alias("table"), "n_rows")
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+# ---------------------------------------------------------------------------
+# Metrics (events read as a metrics log: split = event_type, loss = value)
+# ---------------------------------------------------------------------------
+
+def _log(spark, sf):
+    return tables.metrics_log(spark, sf).withColumn(
+        "batch_size", F.get_json_object("props", "$.k").cast("long")) if False else \
+        tables.read_table(spark, sf, "events").select(
+            F.col("event_type").alias("split"), "event_id", "ts", "user_id", F.col("value").alias("loss"),
+            F.get_json_object("props", "$.k").cast("long").alias("batch_size"))
+
+
+STEP_SQL = "(epoch_us(ts) // 3600000000)::BIGINT"
+LOSS_MEAN_SQL = f"""
+    SELECT split, step, avg(m) AS loss, count(*)::BIGINT AS n_replicas FROM (
+      SELECT event_type AS split, {STEP_SQL} AS step, user_id % 8 AS replica, avg(value) AS m
+      FROM events GROUP BY ALL) GROUP BY split, step"""
+
+
+def _loss_mean(spark, sf):
+    log = _log(spark, sf)
+    step = F.floor(M.epoch_micros(F.col("ts")) / F.lit(3600000000)).cast("long")
+    return M.loss_mean(log, step, F.pmod("user_id", F.lit(8)))
+
+
+@register("loss_mean", f"SELECT split, step, round(loss, 6) AS loss, n_replicas FROM ({LOSS_MEAN_SQL})")
+def q_loss_mean(spark, sf):
+    lm = _loss_mean(spark, sf)
+    return lm.select("split", "step", r6(F.col("loss")).alias("loss"), F.col("n_replicas").cast("long"))
+
+
+def _ema_sql(src: str, key: str, order: str, x: str, c: float = EMA_CONSTANT) -> str:
+    return f"""list_reduce(list({x}) OVER (PARTITION BY {key} ORDER BY {order}
+                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda acc, v: {c} * acc + {1 - c} * v)"""
+
+
+@register("perplexity", f"""
+    SELECT split, step, printf('%.8e', exp(loss)) AS ppl,
+           printf('%.8e', exp({_ema_sql('', 'split', 'step', 'loss')})) AS ppl_ema
+    FROM ({LOSS_MEAN_SQL})""")
+def q_perplexity(spark, sf):
+    lm = M.ema(_loss_mean(spark, sf).select("split", "step", "loss"), "split", ["step"], "loss")
+    # Perplexities span many orders of magnitude: compared at 9 significant digits.
+    return lm.select("split", "step", F.format_string("%.8e", M.perplexity(F.col("loss"))).alias("ppl"),
+                     F.format_string("%.8e", M.perplexity(F.col("ema"))).alias("ppl_ema"))
+
+
+@register("ema", f"""
+    SELECT event_type AS split, event_id, round({_ema_sql('', 'event_type', 'ts, event_id', 'value')}, 6) AS ema
+    FROM events""")
+def q_ema(spark, sf):
+    log = _log(spark, sf).select("split", "event_id", "ts", "loss")
+    out = M.ema(log, "split", ["ts", "event_id"], "loss")
+    return out.select("split", "event_id", r6(F.col("ema")).alias("ema"))
+
+
+@register("numeric_check", """
+    SELECT event_type AS split, count(*) FILTER (WHERE isnan(value) OR isinf(value))::BIGINT AS n_bad,
+           count(*)::BIGINT AS n FROM events GROUP BY event_type""")
+def q_numeric_check(spark, sf):
+    return M.numeric_check(_log(spark, sf), "loss")
+
+
+@register("step_counters", """
+    SELECT event_type AS split, event_id,
+           row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id)::BIGINT AS batches,
+           sum(json_extract_string(props, '$.k')::BIGINT) OVER (PARTITION BY event_type ORDER BY ts, event_id
+               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS samples
+    FROM events""")
+def q_step_counters(spark, sf):
+    log = _log(spark, sf).select("split", "event_id", "ts", "batch_size")
+    out = M.step_counters(log, "split", ["ts", "event_id"], "batch_size")
+    return out.select("split", "event_id", "batches", "samples")
+
+
+@register("batch_duration", """
+    SELECT event_id, round((epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts, event_id)) / 1e6, 6) AS duration_s
+    FROM events""")
+def q_batch_duration(spark, sf):
+    log = _log(spark, sf).select("event_id", "ts")
+    out = M.batch_duration(log, "ts", ["ts", "event_id"])
+    return out.select("event_id", r6(F.col("duration_s")).alias("duration_s"))
+
+
+CADENCE_SQL = f"""
+    SELECT split, (unnest(acc[2:]))::BIGINT AS event_id FROM (
+      SELECT event_type AS split,
+             list_reduce(list([epoch_us(ts) / 1e6, event_id::DOUBLE] ORDER BY ts, event_id),
+                         lambda acc, x: CASE WHEN x[1] >= acc[1] + {SAVE_PERIOD_MIN * 60}
+                                             THEN list_concat([x[1]], acc[2:], [x[2]]) ELSE acc END) AS acc
+      FROM events GROUP BY event_type)"""
+
+
+@register("cadence_marks", CADENCE_SQL)
+def q_cadence_marks(spark, sf):
+    log = _log(spark, sf).select("split", "event_id", "ts")
+    out = M.cadence_marks(log, "split", "ts", ["ts", "event_id"], SAVE_PERIOD_MIN * 60.0)
+    return out.where("marked").select("split", "event_id")
+
+
+# ---------------------------------------------------------------------------
+# Shuffle, batches, epochs, replicas, schedule
+# ---------------------------------------------------------------------------
+
+BATCH = 8
+POS_SQL = f"(row_number() OVER (PARTITION BY split ORDER BY {O.u32(str(SEED), '0', 'sample_id')}, sample_id) - 1)"
+BATCHES_SQL = f"""
+    SELECT split, sample_id, pos, (pos // {BATCH})::BIGINT AS batch_no, (pos % {BATCH})::BIGINT AS pos_in_batch,
+           (CASE WHEN pos // {BATCH} < n // {BATCH} THEN {BATCH} ELSE n - (n // {BATCH}) * {BATCH} END)::BIGINT
+             AS batch_rows
+    FROM (SELECT split, sample_id, {POS_SQL} AS pos, count(*) OVER (PARTITION BY split) AS n FROM questions)
+    WHERE split = 'test' OR pos // {BATCH} < n // {BATCH}"""
+
+
+@register("seeded_shuffle", O.sql(f"SELECT split, sample_id, {POS_SQL}::BIGINT AS pos FROM questions", "questions"))
+def q_seeded_shuffle(spark, sf):
+    out = B.shuffled_positions(tables.questions(spark, sf).select("split", "sample_id"))
+    return out.select("split", "sample_id", F.col("pos").cast("long"))
+
+
+def _batches(spark, sf):
+    return B.make_batches(tables.questions(spark, sf).select("split", "sample_id"), BATCH)
+
+
+@register("make_batches", O.sql(
+    f"SELECT split, sample_id, batch_no, pos_in_batch, batch_rows FROM ({BATCHES_SQL})", "questions"))
+def q_make_batches(spark, sf):
+    return _batches(spark, sf).select("split", "sample_id", "batch_no", "pos_in_batch", "batch_rows")
+
+
+@register("replica_split", O.sql(f"""
+    SELECT split, sample_id, batch_no, (pos_in_batch // (batch_rows // 3))::BIGINT AS replica
+    FROM ({BATCHES_SQL}) WHERE batch_rows // 3 > 0 AND pos_in_batch // (batch_rows // 3) < 3""", "questions"))
+def q_replica_split(spark, sf):
+    return B.replica_split(_batches(spark, sf), 3).select("split", "sample_id", "batch_no", "replica")
+
+
+@register("take_batches", O.sql(
+    f"SELECT split, sample_id, batch_no FROM ({BATCHES_SQL}) WHERE batch_no < 2", "questions"))
+def q_take_batches(spark, sf):
+    return B.take_batches(_batches(spark, sf), 2).select("split", "sample_id", "batch_no")
+
+
+@register("repeat_epochs", O.sql(f"""
+    SELECT epoch::BIGINT AS epoch, split, sample_id,
+           (row_number() OVER (PARTITION BY split, epoch ORDER BY {O.u32(str(SEED), 'epoch', 'sample_id')},
+                                sample_id) - 1)::BIGINT AS pos
+    FROM questions, range(3) t(epoch)""", "questions"))
+def q_repeat_epochs(spark, sf):
+    ep = B.repeat_epochs(tables.questions(spark, sf).select("split", "sample_id"), 3)
+    out = B.shuffled_positions(ep, "sample_id", ("split",), SEED, epoch_col="epoch")
+    return out.select(F.col("epoch").cast("long"), "split", "sample_id", F.col("pos").cast("long"))
+
+
+_TR_SQL = f"(SELECT DISTINCT batch_no FROM ({BATCHES_SQL}) WHERE split = 'train')"
+_NE_SQL = f"(SELECT count(DISTINCT batch_no) AS e FROM ({BATCHES_SQL}) WHERE split = 'eval')"
+
+
+@register("schedule_interleave", O.sql(f"""
+    SELECT (batch_no // {BATCHES_BETWEEN_EVALS})::BIGINT AS round, 'train' AS phase,
+           (batch_no % {BATCHES_BETWEEN_EVALS})::BIGINT AS slot, batch_no FROM {_TR_SQL}
+    UNION ALL
+    SELECT r.round, 'eval', s.slot::BIGINT, ((r.round * {NUMBER_EVAL_BATCHES} + s.slot) % ne.e)::BIGINT
+    FROM (SELECT DISTINCT batch_no // {BATCHES_BETWEEN_EVALS} AS round FROM {_TR_SQL}) r,
+         range({NUMBER_EVAL_BATCHES}) s(slot), {_NE_SQL} ne
+    WHERE ne.e > 0""", "questions"))
+def q_schedule_interleave(spark, sf):
+    b = _batches(spark, sf)
+    return B.schedule_interleave(b.where(F.col("split") == "train"), b.where(F.col("split") == "eval"))
