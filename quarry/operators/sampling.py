@@ -55,11 +55,11 @@ def paired_subset(ids: DataFrame, id_col: str, n: int, tables: dict, seed: int =
 
     Returns ``{name: table filtered by left-semi join}``; each keeps its own
     columns plus ``new_id``, the id's position among the chosen ids in sorted
-    order. Numbering the chosen ids is a sort of at most ``n`` rows.
+    order (a range-partitioned scan, not a single-task window).
     """
     if total is not None and n >= total:
         raise ValueError(f"subset size {n} must be smaller than the total {total}")
-    chosen = hash_sample(ids.select(id_col).distinct(), id_col, n, seed)
-    from pyspark.sql import Window
-    numbered = chosen.withColumn("new_id", (F.row_number().over(Window.orderBy(id_col)) - 1).cast("long"))
+    from quarry.operators.scan import ordered_scan
+    chosen = hash_sample(ids.select(id_col).distinct(), id_col, n, seed).withColumn("_all", F.lit(0))
+    numbered = ordered_scan(chosen, "_all", [id_col], "row_number", out="new_id").drop("_all")
     return {name: t.join(numbered, id_col) for name, t in tables.items()}

@@ -138,6 +138,9 @@ def mips_exact(queries: DataFrame, blocks: DataFrame, k: int = 10, *, qid_col: s
     if nq * max(dim, 1) * 8 <= broadcast_bytes:
         cands = _broadcast_path(q, b, k, dim)
     else:
+        nb = b.count()
+        if nb * max(dim, 1) * 8 <= broadcast_bytes:
+            return _broadcast_blocks(q, b, k, dim, qid_col)
         cands = _tiled_path(q, b, k, nq, query_tile_rows, block_tile_rows)
     ranked = topk_rank(cands, "qid", [F.desc("score"), F.asc("block_id")], k)
     return ranked.select(F.col("qid").alias(qid_col), F.col("rank").cast("long").alias("rank"),
@@ -166,6 +169,52 @@ def _broadcast_path(q: DataFrame, b: DataFrame, k: int, dim: int) -> DataFrame:
     return b.mapInArrow(score_partition, CANDIDATE_SCHEMA)
 
 
+def _broadcast_blocks(q: DataFrame, b: DataFrame, k: int, dim: int, qid_col: str) -> DataFrame:
+    """Small block side (e.g. centroids): broadcast it and stream the queries.
+
+    Every query sees all blocks inside one task, so its top-k is final: no merge
+    shuffle at all."""
+    spark = q.sparkSession
+    rows = b.collect()  # size-checked by the caller against broadcast_bytes
+    bids = np.array([r["block_id"] for r in rows], dtype=np.int64)
+    bmat = (np.array([r["v"] for r in rows], dtype=np.float64).reshape(len(rows), dim)
+            if rows else np.empty((0, dim)))
+    order = np.argsort(bids, kind="stable")
+    bc = spark.sparkContext.broadcast((bids[order], bmat[order]))
+    schema = T.StructType([T.StructField(qid_col, T.LongType()), T.StructField("rank", T.LongType()),
+                           T.StructField("block_id", T.LongType()), T.StructField("score", T.DoubleType())])
+
+    def score_queries(batches):
+        ids, mat = bc.value
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            qm = vectors_to_matrix(batch.column("v"), mat.shape[0] and mat.shape[1])
+            top = TopK(qm, k)
+            top.update(mat, ids)
+            m = top.s.shape[1]
+            qids = batch.column("qid").to_numpy(zero_copy_only=False).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(qids, m), pa.int64()), pa.array(np.tile(np.arange(1, m + 1), len(qids)), pa.int64()),
+                 pa.array(top.i.reshape(-1), pa.int64()), pa.array(top.s.reshape(-1), pa.float64())],
+                names=[qid_col, "rank", "block_id", "score"])
+
+    return q.mapInArrow(score_queries, schema)
+
+
+def topk_small_side(queries: DataFrame, small: DataFrame, k: int, *, qid_col: str, small_id_col: str,
+                    vec_col: str = "embedding", max_bytes: int = 512 << 20) -> DataFrame:
+    """Top-k of a bounded, broadcast ``small`` set (e.g. centroids) for every query:
+    ``qid_col, rank, block_id, score``. Raises if ``small`` exceeds ``max_bytes``."""
+    q = queries.select(F.col(qid_col).cast("long").alias("qid"), F.col(vec_col).alias("v"))
+    b = small.select(F.col(small_id_col).cast("long").alias("block_id"), F.col(vec_col).alias("v"))
+    dim_row = b.select(F.size("v").alias("d")).head(1)
+    dim = int(dim_row[0]["d"]) if dim_row else 0
+    if b.count() * max(dim, 1) * 8 > max_bytes:
+        raise ValueError("small side exceeds its broadcast bound")
+    return _broadcast_blocks(q, b, k, dim, qid_col)
+
+
 def _tiled_path(q: DataFrame, b: DataFrame, k: int, nq: int, query_tile_rows: int,
                 block_tile_rows: int) -> DataFrame:
     nb = b.count()

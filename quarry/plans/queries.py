@@ -714,3 +714,170 @@ _NE_SQL = f"(SELECT count(DISTINCT batch_no) AS e FROM ({BATCHES_SQL}) WHERE spl
 def q_schedule_interleave(spark, sf):
     b = _batches(spark, sf)
     return B.schedule_interleave(b.where(F.col("split") == "train"), b.where(F.col("split") == "eval"))
+
+
+# ---------------------------------------------------------------------------
+# Approximate search, recall, subsets
+# ---------------------------------------------------------------------------
+
+from quarry.operators import ann as AN  # noqa: E402
+from quarry.operators.retrieval import gather_blocks  # noqa: E402
+from quarry.operators.sampling import paired_subset  # noqa: E402
+from quarry.operators.search import mips_exact  # noqa: E402
+
+N_LEAVES = 16
+N_QUERY_SAMPLE = 100
+_ANN: dict = {}
+
+
+def ann_index(spark, sf):
+    key = (id(spark), sf)
+    if key not in _ANN:
+        bv = tables.block_vectors(spark, sf)
+        cents, assigned = AN.ivf_train(bv, N_LEAVES)
+        _ANN[key] = (cents.cache(), assigned.cache())
+    return _ANN[key]
+
+
+def _qv(spark, sf):
+    return tables.query_vectors(spark, sf).select(F.col("sample_id").alias("qid"), "embedding")
+
+
+@register("ivf_train")
+def q_ivf_train(spark, sf):
+    _, assigned = ann_index(spark, sf)
+    return assigned.select("block_id", "leaf")
+
+
+@register("ivf_probe", O.sql(
+    "SELECT sample_id, rank::BIGINT AS rank, block_id, round(score, 6) AS score FROM hits", "hits"))
+def q_ivf_probe(spark, sf):
+    # All leaves probed: must equal exact search.
+    cents, assigned = ann_index(spark, sf)
+    out = AN.ivf_probe(_qv(spark, sf), assigned, cents, N_LEAVES, 10)
+    return out.select(F.col("qid").alias("sample_id"), "rank", "block_id", r6(F.col("score")).alias("score"))
+
+
+@register("live_retrieve", O.sql("""
+    SELECT h.sample_id, h.rank::BIGINT AS rank, h.block_id, b.text
+    FROM hits h JOIN blocks b USING (block_id)""", "hits", "blocks"))
+def q_live_retrieve(spark, sf):
+    cents, assigned = ann_index(spark, sf)
+    hits = AN.ivf_probe(_qv(spark, sf), assigned, cents, N_LEAVES, 10)
+    out = gather_blocks(hits.select(F.col("qid").alias("sample_id"), "rank", "block_id"),
+                        tables.blocks(spark, sf, with_vectors=False))
+    return out.select("sample_id", "rank", "block_id", "text")
+
+
+def _pq(spark, sf):
+    key = ("pq", id(spark), sf)
+    if key not in _ANN:
+        cents, assigned = ann_index(spark, sf)
+        books = AN.pq_train(assigned, dims_per_block=8).cache()
+        _ANN[key] = (books, AN.pq_encode(assigned, books).cache())
+    return _ANN[key]
+
+
+@register("pq_score")
+def q_pq_score(spark, sf):
+    cents, _ = ann_index(spark, sf)
+    books, coded = _pq(spark, sf)
+    out = AN.ivf_probe(_qv(spark, sf), coded, cents, 4, 100, codebooks=books)
+    return out.select(F.col("qid").alias("sample_id"), "rank", "block_id", r6(F.col("score")).alias("score"))
+
+
+@register("rerank_exact", O.sql(
+    "SELECT sample_id, rank::BIGINT AS rank, block_id, round(score, 6) AS score FROM hits", "hits"))
+def q_rerank_exact(spark, sf):
+    # PQ candidates over every leaf, re-ranked exactly with a reorder depth covering
+    # all blocks: must equal exact search.
+    cents, _ = ann_index(spark, sf)
+    books, coded = _pq(spark, sf)
+    n_blocks = coded.count()
+    approx = AN.ivf_probe(_qv(spark, sf), coded, cents, N_LEAVES, n_blocks, codebooks=books)
+    out = AN.rerank_exact(approx, _qv(spark, sf), tables.block_vectors(spark, sf), 10)
+    return out.select(F.col("qid").alias("sample_id"), "rank", "block_id", r6(F.col("score")).alias("score"))
+
+
+def _recall(spark, sf, mode):
+    cents, assigned = ann_index(spark, sf)
+    qv = _qv(spark, sf)
+    approx = AN.ivf_probe(qv, assigned, cents, 4, 10)
+    if mode == "all":
+        exact = mips_exact(qv, tables.block_vectors(spark, sf), 10, qid_col="qid")
+        return AN.recall(approx, exact, mode="all")
+    emb = tables.read_table(spark, sf, "embeddings")
+    n = emb.count()
+    own = tables.questions(spark, sf).select(F.col("sample_id").alias("qid"),
+                                             F.pmod("sample_id", F.lit(n)).alias("own_id"))
+    return AN.recall(approx, own, mode="any", self_col="own_id")
+
+
+@register("recall_all")
+def q_recall_all(spark, sf):
+    return _recall(spark, sf, "all")
+
+
+@register("recall_any")
+def q_recall_any(spark, sf):
+    return _recall(spark, sf, "any")
+
+
+QS_SQL = f"""SELECT vec_id, embedding FROM embeddings
+             ORDER BY {O.u32(str(SEED), 'vec_id')}, vec_id LIMIT {N_QUERY_SAMPLE}"""
+
+
+def _query_sample(spark, sf):
+    emb = tables.read_table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return hash_sample(emb, "vec_id", N_QUERY_SAMPLE, SEED)
+
+
+@register("query_sample", f"SELECT vec_id, len(embedding)::BIGINT AS dim FROM ({QS_SQL})")
+def q_query_sample(spark, sf):
+    return _query_sample(spark, sf).select("vec_id", F.size("embedding").cast("long").alias("dim"))
+
+
+@register("recall_match", O.sql(f"""
+    SELECT 'any' AS mode, count(*) FILTER (WHERE hit) / count(*) AS recall,
+           count(*) FILTER (WHERE hit)::BIGINT AS count_goods, count(*)::BIGINT AS count_total
+    FROM (SELECT q.vec_id, bool_or(t.block_id = q.vec_id) AS hit FROM ({QS_SQL}) q JOIN (
+            SELECT qid, block_id FROM (
+              SELECT q.vec_id AS qid, b.block_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY
+                     list_dot_product(q.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.block_id) AS r
+              FROM ({QS_SQL}) q, blocks b) WHERE r <= 10) t ON t.qid = q.vec_id
+          GROUP BY q.vec_id)""", "blocks"))
+def q_recall_match(spark, sf):
+    # Self-recall of exact search: sampled vectors as queries; is the vector's own
+    # passage among its top 10?
+    qs = _query_sample(spark, sf).select(F.col("vec_id").alias("qid"), "embedding")
+    found = mips_exact(qs, tables.block_vectors(spark, sf), 10, qid_col="qid")
+    own = qs.select("qid", F.col("qid").alias("own_id"))
+    return AN.recall(found, own, mode="any", self_col="own_id")
+
+
+@register("id_intersect", O.sql("""
+    SELECT a.sample_id, count(b.block_id)::BIGINT AS n_shared
+    FROM hits a JOIN questions qa ON qa.sample_id = a.sample_id
+    JOIN questions qb ON qb.sample_id = a.sample_id + 2
+    LEFT JOIN hits b ON b.sample_id = a.sample_id + 2 AND b.block_id = a.block_id
+    GROUP BY a.sample_id""", "hits", "questions"))
+def q_id_intersect(spark, sf):
+    # Passages shared by the top-10 lists of consecutive questions of a conversation.
+    c = cache_for(spark, sf).select("sample_id", F.transform("retrievals", lambda r: r["block_id"]).alias("ids"))
+    nxt = c.select((F.col("sample_id") - 2).alias("sample_id"), F.col("ids").alias("next_ids"))
+    return c.join(nxt, "sample_id").select(
+        "sample_id", F.size(F.array_intersect("ids", "next_ids")).cast("long").alias("n_shared"))
+
+
+@register("paired_subset", O.sql(f"""
+    SELECT (row_number() OVER (ORDER BY block_id) - 1)::BIGINT AS new_id, block_id,
+           length(text)::BIGINT AS n_chars, len(embedding)::BIGINT AS dim
+    FROM (SELECT * FROM blocks ORDER BY {O.u32(str(SEED), 'block_id')}, block_id LIMIT 100)""", "blocks"))
+def q_paired_subset(spark, sf):
+    d = tables.blocks(spark, sf, with_vectors=False)
+    v = tables.block_vectors(spark, sf)
+    total = d.count()
+    sub = paired_subset(d.select("block_id"), "block_id", 100, {"text": d, "vec": v}, SEED, total)
+    return (sub["text"].join(sub["vec"].drop("new_id"), "block_id")
+            .select("new_id", "block_id", F.length("text").cast("long").alias("n_chars"),
+                    F.size("embedding").cast("long").alias("dim")))
