@@ -881,3 +881,141 @@ def q_paired_subset(spark, sf):
     return (sub["text"].join(sub["vec"].drop("new_id"), "block_id")
             .select("new_id", "block_id", F.length("text").cast("long").alias("n_chars"),
                     F.size("embedding").cast("long").alias("dim")))
+
+
+# ---------------------------------------------------------------------------
+# Sinks and sources (round trips through the shared checkpoint folder)
+# ---------------------------------------------------------------------------
+
+from quarry.session import scratch_path  # noqa: E402
+from quarry.sources import cache_io as CI  # noqa: E402
+from quarry.streaming import metrics_stream as MS  # noqa: E402
+
+SHARDS = 8
+_SHARD_SQL = f"""
+    SELECT q.split, q.sample_id, ((row_number() OVER (PARTITION BY q.split ORDER BY q.sample_id) - 1) % {SHARDS})
+             AS shard, coalesce(h.n, 0) AS n_hits
+    FROM questions q LEFT JOIN (SELECT sample_id, count(*) AS n FROM hits GROUP BY sample_id) h USING (sample_id)"""
+
+
+def _written_cache(spark, sf):
+    key = ("cache-path", id(spark), sf)
+    if key not in _ANN:
+        _ANN[key] = CI.sink_cache(cache_for(spark, sf), scratch_path(spark, "cache"), SHARDS)
+    return _ANN[key]
+
+
+@register("sink_cache", O.sql(f"""
+    SELECT split, shard::BIGINT AS shard, count(*)::BIGINT AS n_rows, sum(n_hits)::BIGINT AS n_retrievals
+    FROM ({_SHARD_SQL}) GROUP BY split, shard""", "questions", "hits"))
+def q_sink_cache(spark, sf):
+    path = CI.sink_cache(cache_for(spark, sf), scratch_path(spark, "cache"), SHARDS)
+    back = CI.src_cache(spark, path)
+    return back.groupBy("split", F.col("shard").cast("long").alias("shard")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(F.size("retrievals")).cast("long").alias("n_retrievals"))
+
+
+@register("src_cache", O.sql("""
+    SELECT t.sample_id, array_to_string(t.question_ids, ' ') AS question_ids,
+           array_to_string(t.answer_ids, ' ') AS answer_ids,
+           (SELECT string_agg(h.block_id::VARCHAR, ' ' ORDER BY h.rank) FROM hits h WHERE h.sample_id = t.sample_id)
+             AS block_ids
+    FROM qa_tok t WHERE t.split = 'train'""", "qa_tok", "hits"))
+def q_src_cache(spark, sf):
+    back = CI.src_cache(spark, _written_cache(spark, sf), "train")
+    return back.select("sample_id", ids_text(F.col("question_ids")).alias("question_ids"),
+                       ids_text(F.col("answer_ids")).alias("answer_ids"),
+                       F.array_join(F.transform("retrievals", lambda r: r["block_id"].cast("string")), " ")
+                       .alias("block_ids"))
+
+
+@register("shard_paths", O.sql(f"""
+    SELECT split, shard::BIGINT AS shard, 1::BIGINT AS n_files, count(*)::BIGINT AS n_rows
+    FROM ({_SHARD_SQL}) GROUP BY split, shard""", "questions", "hits"))
+def q_shard_paths(spark, sf):
+    files = CI.shard_paths(CI.src_cache(spark, _written_cache(spark, sf)))
+    return files.groupBy("split", F.col("shard").cast("long").alias("shard")).agg(
+        F.count_distinct("path").cast("long").alias("n_files"), F.sum("n_rows").cast("long").alias("n_rows"))
+
+
+_TEST_PROMPT_SQL = f"""
+    SELECT sample_id, list_slice(input_ids, 1, len(input_ids) - coalesce(list_position(list_transform(
+             list_reverse(input_ids), lambda x: x <> {EOS}), true) - 1, len(input_ids))) AS ids
+    FROM ({O.assembled_sql()}) WHERE split = 'test'"""
+
+
+@register("sink_generations", O.sql(f"""
+    SELECT 'test' AS split, 'cached_pretok' AS approach, p.sample_id, coalesce(d.txt, '') AS text,
+           {SEED}::BIGINT AS seed
+    FROM ({_TEST_PROMPT_SQL}) p LEFT JOIN (
+      SELECT sample_id, string_agg(coalesce(v.token, '<< ' || x.id || ' >>'), ' ' ORDER BY x.pos) AS txt
+      FROM (SELECT sample_id, unnest(ids) AS id, unnest(range(1, len(ids) + 1)) AS pos FROM ({_TEST_PROMPT_SQL})) x
+      LEFT JOIN vocab v ON v.token_id = x.id GROUP BY sample_id) d USING (sample_id)""",
+    "qa_tok", "sel_ctx", "vocab"))
+def q_sink_generations(spark, sf):
+    # The generation step itself is not built; the rows written are the decoded
+    # prompts a generator would receive, with the run parameters.
+    voc = vocab_for(spark, sf)
+    s = samples_for(spark, sf).where(F.col("split") == "test")
+    prompt = A.prompt_extract(F.col("input_ids"), F.col("label_ids"), F.lit(True), EOS)
+    gen = s.select("split", F.lit("cached_pretok").alias("approach"), "sample_id",
+                   voc.decode(prompt).alias("text"))
+    path = CI.sink_generations(gen, scratch_path(spark, "generations"),
+                               {"seed": SEED, "temperature": TEMPERATURE, "num_retrievals": NUM_RETRIEVALS})
+    back = spark.read.json(path)
+    return back.select("split", "approach", "sample_id", "text",
+                       F.get_json_object("params", "$.seed").cast("long").alias("seed"))
+
+
+@register("sink_recall", ORACLE["recall_match"])
+def q_sink_recall(spark, sf):
+    path = CI.sink_report(q_recall_match(spark, sf), scratch_path(spark, "recall"))
+    back = spark.read.schema("mode string, recall double, count_goods long, count_total long").json(path)
+    return back
+
+
+@register("collate", O.sql(f"""
+    SELECT split, batch_no, count(*)::BIGINT AS n_rows, count(DISTINCT replica)::BIGINT AS n_replicas FROM (
+      SELECT split, sample_id, batch_no, (pos_in_batch // (batch_rows // 3))::BIGINT AS replica
+      FROM ({BATCHES_SQL}) WHERE batch_rows // 3 > 0 AND pos_in_batch // (batch_rows // 3) < 3)
+    GROUP BY split, batch_no""", "questions"))
+def q_collate(spark, sf):
+    shares = B.replica_split(_batches(spark, sf), 3)
+    per_replica = [shares.where(F.col("replica") == r) for r in range(3)]
+    out = per_replica[0]
+    for p in per_replica[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("split", "batch_no").agg(F.count(F.lit(1)).alias("n_rows"),
+                                                F.count_distinct("replica").cast("long").alias("n_replicas"))
+
+
+# ---------------------------------------------------------------------------
+# Streaming twins (must equal their batch versions)
+# ---------------------------------------------------------------------------
+
+def _staged_events(spark, sf):
+    key = ("staged", id(spark), sf)
+    if key not in _ANN:
+        ev = tables.read_table(spark, sf, "events")
+        _ANN[key] = MS.stage_time_ordered(ev, "ts", 4, scratch_path(spark, "events-stream"))
+    return _ANN[key]
+
+
+@register("ema_stream", ORACLE["ema"])
+def q_ema_stream(spark, sf):
+    out = MS.ema_stream(spark, _staged_events(spark, sf), MS.events_schema(spark, sf))
+    return out.select("split", "event_id", r6(F.col("ema")).alias("ema"))
+
+
+@register("cadence_stream", CADENCE_SQL)
+def q_cadence_stream(spark, sf):
+    return MS.cadence_stream(spark, _staged_events(spark, sf), MS.events_schema(spark, sf),
+                             SAVE_PERIOD_MIN * 60.0)
+
+
+@register("counters_stream", """
+    SELECT event_type AS split, count(*)::BIGINT AS batches,
+           sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS samples
+    FROM events GROUP BY event_type""")
+def q_counters_stream(spark, sf):
+    return MS.counters_stream(spark, _staged_events(spark, sf), MS.events_schema(spark, sf))
