@@ -104,3 +104,21 @@ def _make_decoder(toks: list[str]):
         return pc.binary_join(_rebuild(col, words), " ")
 
     return decode
+
+
+def write_vocab_file(vocab_df: DataFrame, path: str) -> str:
+    """One token per line in id order (a single bounded file: at most V lines)."""
+    vocab_df.orderBy("token_id").select("token").coalesce(1).write.mode("overwrite").text(path)
+    return path
+
+
+def read_vocab_file(spark, path: str) -> DataFrame:
+    """Vocabulary file -> ``token, token_id`` with id = line number.
+
+    Line numbers come from ``zipWithIndex`` over the text partitions in file
+    order (two passes, no single-partition window).
+    """
+    lines = spark.read.text(path)
+    indexed = lines.rdd.zipWithIndex().map(lambda p: (p[0][0], int(p[1])))
+    return spark.createDataFrame(indexed, "token string, token_id long").select(
+        "token", F.col("token_id").cast("int"))

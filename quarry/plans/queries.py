@@ -1019,3 +1019,47 @@ def q_cadence_stream(spark, sf):
     FROM events GROUP BY event_type""")
 def q_counters_stream(spark, sf):
     return MS.counters_stream(spark, _staged_events(spark, sf), MS.events_schema(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# Encoder hook, vocabulary file round trip, batch-padded encoder inputs
+# ---------------------------------------------------------------------------
+
+from quarry.operators.encoder import encoder_hook, hashing_embedder  # noqa: E402
+from quarry.operators.vocab import read_vocab_file, write_vocab_file  # noqa: E402
+
+
+@register("encoder_hook")
+def q_encoder_hook(spark, sf):
+    voc = vocab_for(spark, sf)
+    v = encoder_hook(voc.encode(F.col("question"), CONTEXT_SIZE), hashing_embedder(64), 64, max_len=128,
+                     cls_id=SP["cls"], sep_id=SP["sep"])
+    return tables.questions(spark, sf).select("sample_id", v.alias("embedding")).select(
+        "sample_id", F.size("embedding").cast("long").alias("dim"),
+        r6(F.aggregate("embedding", F.lit(0.0).cast("double"), lambda a, x: a + x * x)).alias("sq_norm"))
+
+
+@register("src_vocab_file", O.sql("SELECT token, token_id FROM vocab", "vocab"))
+def q_src_vocab_file(spark, sf):
+    path = write_vocab_file(vocab_for(spark, sf).df, scratch_path(spark, "vocab"))
+    return read_vocab_file(spark, path)
+
+
+@register("encoder_batch_pad", O.sql(f"""
+    SELECT split, sample_id, batch_no,
+           (max(len(question_ids) + 2) OVER (PARTITION BY split, batch_no))::BIGINT AS padded_len,
+           (len(question_ids) + 2)::BIGINT AS n_mask
+    FROM ({BATCHES_SQL}) JOIN q_tok USING (sample_id)""", "questions", "q_tok"))
+def q_encoder_batch_pad(spark, sf):
+    # Encoder inputs padded to the longest row of their batch (window per batch:
+    # groups are batch-sized).
+    from pyspark.sql import Window
+    voc = vocab_for(spark, sf)
+    b = _batches(spark, sf).join(tables.questions(spark, sf).select("sample_id", "question"), "sample_id")
+    e = A.encoder_inputs(voc.encode(F.col("question"), CONTEXT_SIZE), SP["cls"], SP["sep"])
+    x = b.select("split", "sample_id", "batch_no", e["input_ids"].alias("ids"))
+    w = Window.partitionBy("split", "batch_no")
+    mx = F.max(F.size("ids")).over(w)
+    padded = F.concat(F.col("ids"), F.array_repeat(F.lit(0), mx - F.size("ids")))
+    return x.select("split", "sample_id", "batch_no", F.size(padded).cast("long").alias("padded_len"),
+                    F.size("ids").cast("long").alias("n_mask"))
