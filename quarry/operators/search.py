@@ -147,12 +147,17 @@ def mips_exact(queries: DataFrame, blocks: DataFrame, k: int = 10, *, qid_col: s
                          "block_id", "score")
 
 
+def _to_matrix(df: DataFrame, id_col: str, dim: int):
+    """Columnar (Arrow) transfer of a size-checked vector table to ids + float64 matrix."""
+    t = df.select(id_col, "v").toArrow()
+    ids = t.column(id_col).to_numpy().astype(np.int64)
+    mat = vectors_to_matrix(t.column("v"), dim) if len(ids) else np.empty((0, dim))
+    return ids, mat
+
+
 def _broadcast_path(q: DataFrame, b: DataFrame, k: int, dim: int) -> DataFrame:
     spark = q.sparkSession
-    rows = q.collect()  # size-checked by the caller against broadcast_bytes
-    qids = np.array([r["qid"] for r in rows], dtype=np.int64)
-    qmat = (np.array([r["v"] for r in rows], dtype=np.float64).reshape(len(rows), dim)
-            if rows else np.empty((0, dim)))
+    qids, qmat = _to_matrix(q, "qid", dim)  # size-checked by the caller against broadcast_bytes
     bc = spark.sparkContext.broadcast((qids, qmat))
 
     def score_partition(batches):
@@ -175,10 +180,7 @@ def _broadcast_blocks(q: DataFrame, b: DataFrame, k: int, dim: int, qid_col: str
     Every query sees all blocks inside one task, so its top-k is final: no merge
     shuffle at all."""
     spark = q.sparkSession
-    rows = b.collect()  # size-checked by the caller against broadcast_bytes
-    bids = np.array([r["block_id"] for r in rows], dtype=np.int64)
-    bmat = (np.array([r["v"] for r in rows], dtype=np.float64).reshape(len(rows), dim)
-            if rows else np.empty((0, dim)))
+    bids, bmat = _to_matrix(b, "block_id", dim)  # size-checked by the caller against broadcast_bytes
     order = np.argsort(bids, kind="stable")
     bc = spark.sparkContext.broadcast((bids[order], bmat[order]))
     schema = T.StructType([T.StructField(qid_col, T.LongType()), T.StructField("rank", T.LongType()),

@@ -36,13 +36,13 @@ def corpus_vocab(spark: SparkSession, sf_dir: str, vocab_size: int = VOCAB_SIZE)
 
 
 def retrieval_hits(spark: SparkSession, sf_dir: str, k: int = NUM_NEIGHBORS,
-                   qs: DataFrame | None = None, **search_kw) -> DataFrame:
-    """``split, sample_id, rank, block_id, score`` -- exact top-k per question."""
+                   qs: DataFrame | None = None, with_split: bool = True, **search_kw) -> DataFrame:
+    """``[split,] sample_id, rank, block_id, score`` -- exact top-k per question."""
     qs = qs if qs is not None else tables.questions(spark, sf_dir)
     qv = tables.query_vectors(spark, sf_dir, qs)
     bv = tables.block_vectors(spark, sf_dir)
     hits = mips_exact(qv, bv, k, qid_col="sample_id", **search_kw)
-    return hits.join(qs.select("split", "sample_id"), "sample_id")
+    return hits.join(qs.select("split", "sample_id"), "sample_id") if with_split else hits
 
 
 def block_tokens(spark: SparkSession, sf_dir: str, vocab: Vocab,
@@ -57,7 +57,7 @@ def retrieval_cache(spark: SparkSession, sf_dir: str, vocab: Vocab, k: int = NUM
                     **search_kw) -> DataFrame:
     """``split, sample_id, question_ids, answer_ids, retrievals`` (the cache table)."""
     qs = qs if qs is not None else tables.questions(spark, sf_dir)
-    hits = retrieval_hits(spark, sf_dir, k, qs, **search_kw).drop("split")
+    hits = retrieval_hits(spark, sf_dir, k, qs, with_split=False, **search_kw)
     gathered = gather_blocks(hits, block_tokens(spark, sf_dir, vocab, context_size))
     per_q = collect_retrievals(gathered, "sample_id", ["block_id", "score", "token_ids"])
     fields = qs.select(
