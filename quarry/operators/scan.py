@@ -34,7 +34,8 @@ from pyspark.sql import types as T
 from quarry.session import checkpoint_dir
 
 BROADCAST_SUMMARY_ROWS = 1_000_000
-ROWS_PER_PARTITION = 2_000_000
+ROWS_PER_PARTITION = 2_000_000     # upper bound per range partition (held in one task's memory)
+MIN_ROWS_PER_PARTITION = 20_000    # below this, extra partitions only add task overhead
 
 
 def _affine_prefix(a: np.ndarray, b: np.ndarray):
@@ -105,9 +106,13 @@ def ordered_scan(df: DataFrame, keys, order, kind: str, value: str | None = None
     spark = df.sparkSession
     checkpoint_dir(spark)
     if n_parts is None:
-        n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # Sized from the row total: enough partitions to keep each within
+        # ROWS_PER_PARTITION, and up to the cluster's parallelism when there are
+        # enough rows to share.
         n_rows = df.count()
-        n_parts = max(1, min(max(n_parts, math.ceil(n_rows / ROWS_PER_PARTITION)), max(1, n_rows)))
+        par = spark.sparkContext.defaultParallelism
+        n_parts = max(1, math.ceil(n_rows / ROWS_PER_PARTITION),
+                      min(par, math.ceil(n_rows / MIN_ROWS_PER_PARTITION)))
     sort_cols = keys + order
     ordered = (df.repartitionByRange(n_parts, *sort_cols).sortWithinPartitions(*sort_cols)
                  .withColumn("_pid", F.spark_partition_id())).checkpoint(eager=True)
@@ -148,7 +153,8 @@ def ordered_scan(df: DataFrame, keys, order, kind: str, value: str | None = None
                 n, float(seg.sum()), a, b, float(seg[0]), float(seg[-1]), head_t, head_g])
         yield pd.DataFrame(rows, columns=summary_schema.fieldNames())
 
-    summaries = ordered.mapInPandas(summarise, summary_schema)
+    summary_cols = ["_pid"] + sort_cols + ([value] if value and value not in sort_cols else [])
+    summaries = ordered.select(*summary_cols).mapInPandas(summarise, summary_schema)
 
     start_schema = T.StructType([T.StructField("_pid", T.IntegerType())] + key_fields + [
         T.StructField("_n0", T.LongType()), T.StructField("_v0", T.DoubleType())])

@@ -40,8 +40,13 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
+def skey(spark: SparkSession):
+    """Cache key of a live session (a new session never reuses an old entry)."""
+    return (spark.sparkContext.applicationId, id(spark))
+
+
 def vocab_for(spark: SparkSession, sf_dir: str) -> Vocab:
-    key = (id(spark), sf_dir)
+    key = (skey(spark), sf_dir)
     if key not in _VOCABS:
         _VOCABS[key] = P.corpus_vocab(spark, sf_dir)
     return _VOCABS[key]
@@ -731,7 +736,7 @@ _ANN: dict = {}
 
 
 def ann_index(spark, sf):
-    key = (id(spark), sf)
+    key = (skey(spark), sf)
     if key not in _ANN:
         bv = tables.block_vectors(spark, sf)
         cents, assigned = AN.ivf_train(bv, N_LEAVES)
@@ -770,7 +775,7 @@ def q_live_retrieve(spark, sf):
 
 
 def _pq(spark, sf):
-    key = ("pq", id(spark), sf)
+    key = ("pq", skey(spark), sf)
     if key not in _ANN:
         cents, assigned = ann_index(spark, sf)
         books = AN.pq_train(assigned, dims_per_block=8).cache()
@@ -899,7 +904,7 @@ _SHARD_SQL = f"""
 
 
 def _written_cache(spark, sf):
-    key = ("cache-path", id(spark), sf)
+    key = ("cache-path", skey(spark), sf)
     if key not in _ANN:
         _ANN[key] = CI.sink_cache(cache_for(spark, sf), scratch_path(spark, "cache"), SHARDS)
     return _ANN[key]
@@ -994,7 +999,7 @@ def q_collate(spark, sf):
 # ---------------------------------------------------------------------------
 
 def _staged_events(spark, sf):
-    key = ("staged", id(spark), sf)
+    key = ("staged", skey(spark), sf)
     if key not in _ANN:
         ev = tables.read_table(spark, sf, "events")
         _ANN[key] = MS.stage_time_ordered(ev, "ts", 4, scratch_path(spark, "events-stream"))
@@ -1063,3 +1068,12 @@ def q_encoder_batch_pad(spark, sf):
     padded = F.concat(F.col("ids"), F.array_repeat(F.lit(0), mx - F.size("ids")))
     return x.select("split", "sample_id", "batch_no", F.size(padded).cast("long").alias("padded_len"),
                     F.size("ids").cast("long").alias("n_mask"))
+
+
+@register("src_question_records", O.sql("""
+    SELECT split, sample_id, question, answer, (CASE WHEN answer IS NULL THEN 0 ELSE 1 END)::BIGINT AS n_answers
+    FROM questions""", "questions"))
+def q_src_question_records(spark, sf):
+    q = tables.questions_from_records(tables.qa_records(spark, sf))
+    return q.select("split", "sample_id", "question", "answer",
+                    F.coalesce(F.size("answers"), F.lit(0)).cast("long").alias("n_answers"))

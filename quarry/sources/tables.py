@@ -74,6 +74,36 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def qa_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question records in the reference's nested shape, derived from the conversations:
+    ``split, id STRING, input STRING, output ARRAY<STRUCT<answer STRING>>`` -- one record
+    per user turn, ``output`` = the following assistant turn (none on test).
+    The split column uses the reference's raw name ``validation`` for eval."""
+    q = questions(spark, sf_dir)
+    return q.select(
+        F.when(F.col("split") == "eval", "validation").otherwise(F.col("split")).alias("split"),
+        F.col("sample_id").cast("string").alias("id"), F.col("question").alias("input"),
+        F.when(F.col("answer").isNull(), F.array().cast("array<struct<answer:string>>"))
+         .otherwise(F.array(F.struct(F.col("answer").alias("answer")))).alias("output"))
+
+
+def questions_from_records(records: DataFrame) -> DataFrame:
+    """Nested question records -> ``split, sample_id, question, answers, answer``.
+
+    ``answers = transform(output, o -> o.answer)``; the cached answer is the first
+    one (``try_element_at``); test rows keep no answer; ``validation`` is named
+    ``eval`` (the reader and writer of the reference disagree on the name).
+    """
+    split = F.when(F.col("split") == "validation", "eval").otherwise(F.col("split"))
+    answers = F.transform(F.col("output"), lambda o: o["answer"])
+    return records.select(
+        check_split(split).alias("split"), F.col("id").cast("long").alias("sample_id"),
+        F.col("input").alias("question"),
+        F.when(split == "test", F.lit(None).cast("array<string>")).otherwise(answers).alias("answers"),
+        F.when(split == "test", F.lit(None).cast("string"))
+         .otherwise(F.try_element_at(answers, F.lit(1))).alias("answer"))
+
+
 def multi_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conv_id, question, answers ARRAY<STRING>`` -- every assistant turn of a
     conversation, in turn order, as the answer list of its first user turn."""
