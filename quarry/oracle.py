@@ -37,7 +37,8 @@ def encode_sql(src: str, key: str, text: str, max_len: int = CONTEXT_SIZE) -> st
 
 
 def ctes(ctx: int = CONTEXT_SIZE, gen: int = MAX_GENERATION_LENGTH, k: int = NUM_NEIGHBORS,
-         n_sample: int = NUM_RETRIEVALS, temperature: float = TEMPERATURE, seed: int = SEED):
+         n_sample: int = NUM_RETRIEVALS, temperature: float = TEMPERATURE, seed: int = SEED,
+         epochs: int = 1):
     c = {}
     c["questions"] = ([], """
       SELECT CASE WHEN u.conv_id % 10 = 0 THEN 'eval' WHEN u.conv_id % 10 = 1 THEN 'test'
@@ -82,6 +83,19 @@ def ctes(ctx: int = CONTEXT_SIZE, gen: int = MAX_GENERATION_LENGTH, k: int = NUM
                                                   / 4294967296.0)) AS gk
             FROM hits)
       QUALIFY pos <= {n_sample}""")
+    c["sampled_ep"] = (["hits"], f"""
+      SELECT epoch, sample_id, block_id,
+             row_number() OVER (PARTITION BY epoch, sample_id ORDER BY gk DESC, block_id) AS pos
+      FROM (SELECT e.epoch, sample_id, block_id,
+                   score / {temperature} - ln(-ln(({u32(str(seed), 'e.epoch', 'sample_id', 'block_id')} + 0.5)
+                                                  / 4294967296.0)) AS gk
+            FROM hits, (SELECT range AS epoch FROM range({epochs})) e)
+      QUALIFY pos <= {n_sample}""")
+    c["sel_ctx_ep"] = (["sampled_ep", "block_tok"], """
+      SELECT s.epoch, s.sample_id, list(b.token_ids ORDER BY s.pos) AS ctxs
+      FROM sampled_ep s JOIN block_tok b USING (block_id) GROUP BY s.epoch, s.sample_id""")
+    c["qa_tok_ep"] = (["qa_tok"], f"""
+      SELECT t.*, e.epoch FROM qa_tok t, (SELECT range AS epoch FROM range({epochs})) e""")
     c["sel_ctx"] = (["sampled", "block_tok"], """
       SELECT s.sample_id, list(b.token_ids ORDER BY s.pos) AS ctxs
       FROM sampled s JOIN block_tok b USING (block_id) GROUP BY s.sample_id""")
@@ -119,8 +133,9 @@ def pad_cut(arr: str, n: int, pad: int) -> str:
 
 
 def assembled_sql(mode: str = "multiple", helpers: bool = True, approach: str = "cached_pretok",
-                  ctx: int = CONTEXT_SIZE, gen: int = MAX_GENERATION_LENGTH) -> str:
-    """Body producing ``split, sample_id, input_ids, label_ids`` as lists."""
+                  ctx: int = CONTEXT_SIZE, gen: int = MAX_GENERATION_LENGTH, per_epoch: bool = False) -> str:
+    """Body producing ``split, sample_id, [epoch,] input_ids, label_ids`` as lists
+    (``per_epoch`` reads ``qa_tok_ep`` / ``sel_ctx_ep``)."""
     qh, ch, ah = SP["question"], SP["context"], SP["answer"]
     q = f"list_concat([{qh}], t.question_ids)" if helpers else "t.question_ids"
     if helpers and mode == "multiple":
@@ -136,14 +151,17 @@ def assembled_sql(mode: str = "multiple", helpers: bool = True, approach: str =
                   f" {a_help})")
     else:
         prefix = f"list_concat({q}, {a_help})"
+    src = ("qa_tok_ep t LEFT JOIN sel_ctx_ep s USING (epoch, sample_id)" if per_epoch
+           else "qa_tok t LEFT JOIN sel_ctx s USING (sample_id)")
+    ep = "t.epoch, " if per_epoch else ""
     inner = f"""
-      SELECT t.split, t.sample_id,
+      SELECT t.split, t.sample_id, {ep}
              CASE WHEN t.split = 'test' THEN {prefix} ELSE list_concat({prefix}, t.answer_ids) END AS raw_in,
              CASE WHEN t.split = 'test' THEN NULL
                   ELSE list_concat({rep(f'len({prefix})', MASK_ID)}, t.answer_ids) END AS raw_lab
-      FROM qa_tok t LEFT JOIN sel_ctx s USING (sample_id)"""
+      FROM {src}"""
     return f"""
-      SELECT split, sample_id, {pad_cut('raw_in', ctx, EOS)} AS input_ids,
+      SELECT split, sample_id, {'epoch, ' if per_epoch else ''}{pad_cut('raw_in', ctx, EOS)} AS input_ids,
              CASE WHEN raw_lab IS NULL THEN NULL
                   ELSE {pad_cut(f'list_concat(raw_lab, [{EOS}])', ctx, MASK_ID)} END AS label_ids
       FROM ({inner})"""

@@ -74,10 +74,12 @@ def training_samples(cache: DataFrame, *, num_retrievals: int = NUM_RETRIEVALS,
                      approach: str = "cached_pretok", use_helper_words: bool = True,
                      helper_mode: str = "multiple", context_size: int = CONTEXT_SIZE,
                      max_generation_length: int = MAX_GENERATION_LENGTH,
-                     vocab_size: int = VOCAB_SIZE, allow_fewer: bool = False) -> DataFrame:
-    """Cache -> ``split, sample_id, input_ids, label_ids`` (labels NULL on test).
+                     vocab_size: int = VOCAB_SIZE, allow_fewer: bool = False,
+                     keep=()) -> DataFrame:
+    """Cache -> ``split, sample_id, [keep...,] input_ids, label_ids`` (labels NULL on test).
 
-    Narrow: sampling, assembly and padding are in-row expressions.
+    Narrow: sampling, assembly and padding are in-row expressions. ``epoch`` may
+    be a column (one draw per epoch).
     """
     sp = special_ids(vocab_size)
     is_test = F.col("split") == "test"
@@ -91,5 +93,25 @@ def training_samples(cache: DataFrame, *, num_retrievals: int = NUM_RETRIEVALS,
                    context_size=context_size, max_generation_length=max_generation_length,
                    specials=sp)
     fin = finalize_sample(raw, context_size, sp["eos"])
-    return cache.select("split", "sample_id", fin["input_ids"].alias("input_ids"),
+    return cache.select("split", "sample_id", *keep, fin["input_ids"].alias("input_ids"),
                         fin["label_ids"].alias("label_ids"))
+
+
+def training_feed(cache: DataFrame, *, epochs: int, batch_size: int, replicas: int, seed: int = SEED,
+                  **sample_kw) -> DataFrame:
+    """What the training loop consumes: per epoch a fresh keyed shuffle, batches
+    (partial last batch dropped except on test), contiguous replica shares, and a
+    fresh Gumbel draw of contexts per (epoch, sample).
+
+    Positions are computed on the light ``(split, sample_id, epoch)`` table (a
+    range-partitioned scan); the heavy cache rows join once on ``sample_id`` and
+    assembly is narrow.
+    """
+    from quarry.operators.batching import make_batches, repeat_epochs, replica_split
+    light = repeat_epochs(cache.select("split", "sample_id"), epochs)
+    placed = replica_split(make_batches(light, batch_size, seed=seed, epoch_col="epoch"), replicas)
+    placed = placed.select("split", "sample_id", "epoch", "batch_no", "replica", "pos_in_batch")
+    heavy = cache.select("sample_id", "question_ids", "answer_ids", "retrievals")
+    joined = placed.join(heavy, "sample_id")
+    return training_samples(joined, seed=seed, epoch=F.col("epoch"),
+                            keep=("epoch", "batch_no", "replica", "pos_in_batch"), **sample_kw)

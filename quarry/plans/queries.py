@@ -1077,3 +1077,32 @@ def q_src_question_records(spark, sf):
     q = tables.questions_from_records(tables.qa_records(spark, sf))
     return q.select("split", "sample_id", "question", "answer",
                     F.coalesce(F.size("answers"), F.lit(0)).cast("long").alias("n_answers"))
+
+
+FEED_EPOCHS, FEED_REPLICAS = 2, 3
+_FEED_POS_SQL = f"""
+    SELECT split, sample_id, epoch, pos, n FROM (
+      SELECT split, sample_id, epoch,
+             row_number() OVER (PARTITION BY split, epoch ORDER BY {O.u32(str(SEED), 'epoch', 'sample_id')}, sample_id) - 1 AS pos,
+             count(*) OVER (PARTITION BY split, epoch) AS n
+      FROM questions, (SELECT range AS epoch FROM range({FEED_EPOCHS})) e)"""
+_FEED_PLACED_SQL = f"""
+    SELECT split, sample_id, epoch, pos // {BATCH} AS batch_no,
+           (pos % {BATCH}) // ((CASE WHEN pos // {BATCH} < n // {BATCH} THEN {BATCH} ELSE n - (n // {BATCH}) * {BATCH} END)
+                              // {FEED_REPLICAS}) AS replica
+    FROM ({_FEED_POS_SQL})
+    WHERE (split = 'test' OR pos // {BATCH} < n // {BATCH})
+      AND (CASE WHEN pos // {BATCH} < n // {BATCH} THEN {BATCH} ELSE n - (n // {BATCH}) * {BATCH} END) // {FEED_REPLICAS} > 0"""
+
+
+@register("training_feed", O.sql(f"""
+    SELECT a.epoch::BIGINT AS epoch, a.split, a.sample_id, p.batch_no::BIGINT AS batch_no,
+           p.replica::BIGINT AS replica, array_to_string(a.input_ids, ' ') AS input_ids,
+           array_to_string(a.label_ids, ' ') AS label_ids
+    FROM ({O.assembled_sql(per_epoch=True)}) a
+    JOIN ({_FEED_PLACED_SQL}) p USING (split, sample_id, epoch)
+    WHERE p.replica < {FEED_REPLICAS}""", "qa_tok_ep", "sel_ctx_ep", "questions", epochs=FEED_EPOCHS))
+def q_training_feed(spark, sf):
+    feed = P.training_feed(cache_for(spark, sf), epochs=FEED_EPOCHS, batch_size=BATCH, replicas=FEED_REPLICAS)
+    return feed.select(F.col("epoch").cast("long"), "split", "sample_id", "batch_no", "replica",
+                       ids_text(F.col("input_ids")).alias("input_ids"), ids_text(F.col("label_ids")).alias("label_ids"))
