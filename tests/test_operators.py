@@ -167,3 +167,34 @@ def test_schedule(spark):
     s = B.schedule_interleave(tr, ev, 5, 1).orderBy("round", F.desc("phase"), "slot").collect()
     assert [(r["round"], r["phase"]) for r in s] == [(0, "train")] * 5 + [(0, "eval")] + [(1, "train")] * 2 + [(1, "eval")]
     assert [r["batch_no"] for r in s if r["phase"] == "eval"] == [0, 1]
+
+
+def test_ivf_salted_tiles_equal_exact(spark):
+    from quarry.operators import ann as AN
+    rng = np.random.default_rng(5)
+    # one dominant cluster: most blocks land in the same leaf
+    base = np.concatenate([rng.normal(size=(240, 8)) * 0.05 + 3.0, rng.normal(size=(60, 8))])
+    bv = [(i, base[i].astype(np.float32).tolist()) for i in range(len(base))]
+    qv = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(30)]
+    b, q = _vec_df(spark, bv, "block_id"), _vec_df(spark, qv, "qid")
+    cents, assigned = AN.ivf_train(b, 4)
+    exact = {(r.qid, r.rank): r.block_id for r in mips_exact(q, b, 5, qid_col="qid").collect()}
+    got = {(r.qid, r.rank): r.block_id
+           for r in AN.ivf_probe(q, assigned, cents, 4, 5, max_tile_rows=25).collect()}
+    assert got == exact
+
+
+def test_pq_rerank_full_depth_equals_exact(spark):
+    from quarry.operators import ann as AN
+    rng = np.random.default_rng(6)
+    bv = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(120)]
+    qv = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(10)]
+    b, q = _vec_df(spark, bv, "block_id"), _vec_df(spark, qv, "qid")
+    cents, assigned = AN.ivf_train(b, 3)
+    books = AN.pq_train(assigned, dims_per_block=4)
+    coded = AN.pq_encode(assigned, books)
+    approx = AN.ivf_probe(q, coded, cents, 3, 120, codebooks=books)
+    assert approx.count() == 10 * 120
+    re = AN.rerank_exact(approx, q, b, 5)
+    exact = {(r.qid, r.rank): r.block_id for r in mips_exact(q, b, 5, qid_col="qid").collect()}
+    assert {(r.qid, r.rank): r.block_id for r in re.collect()} == exact
