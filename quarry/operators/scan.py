@@ -195,9 +195,15 @@ def ordered_scan(df: DataFrame, keys, order, kind: str, value: str | None = None
         return res
 
     start_tab = summaries.groupBy(*keys).applyInPandas(starts, start_schema)
-    if start_tab.count() <= BROADCAST_SUMMARY_ROWS:
-        start_tab = F.broadcast(start_tab)
-    joined = ordered.join(start_tab, ["_pid"] + keys, "left")
+    # Null-safe match on (partition, key): a NULL key is a key like any other.
+    renamed = start_tab.select(F.col("_pid").alias("_sp"), *[F.col(k).alias(f"_sk{i}") for i, k in enumerate(keys)],
+                               "_n0", "_v0")
+    if start_tab.count() <= BROADCAST_SUMMARY_ROWS:   # at most partitions + keys rows
+        renamed = F.broadcast(renamed)
+    cond = F.col("_pid") == F.col("_sp")
+    for i, k in enumerate(keys):
+        cond = cond & ordered[k].eqNullSafe(F.col(f"_sk{i}"))
+    joined = ordered.join(renamed, cond, "left").drop("_sp", *[f"_sk{i}" for i in range(len(keys))])
 
     out_type = {"row_number": T.LongType(), "sum": T.DoubleType(), "ema": T.DoubleType(),
                 "lag": T.DoubleType(), "cadence": T.BooleanType()}[kind]

@@ -73,6 +73,29 @@ def _merge(best_s, best_i, cs, ci, k: int):
     return np.take_along_axis(all_s, order, 1), np.take_along_axis(all_i, order, 1)
 
 
+def _merge_above(best_s, best_i, S, ids, k: int):
+    """Merge a score tile into full top-k lists, looking only at scores that reach
+    each row's current k-th best (after a few tiles almost none do)."""
+    thr = best_s[:, -1]
+    r, c = np.nonzero(S >= thr[:, None])
+    if len(r) == 0:
+        return best_s, best_i
+    n = best_s.shape[0]
+    rows = np.concatenate([np.repeat(np.arange(n), k), r])
+    sc = np.concatenate([best_s.reshape(-1), S[r, c]])
+    ii = np.concatenate([best_i.reshape(-1), ids[c]])
+    order = np.lexsort((ii, -sc, rows))
+    rows, sc, ii = rows[order], sc[order], ii[order]
+    start = np.searchsorted(rows, np.arange(n), side="left")
+    pos = np.arange(len(rows)) - start[rows]
+    keep = pos < k
+    out_s = np.empty((n, k))
+    out_i = np.empty((n, k), dtype=np.int64)
+    out_s[rows[keep], pos[keep]] = sc[keep]
+    out_i[rows[keep], pos[keep]] = ii[keep]
+    return out_s, out_i
+
+
 class TopK:
     """Running top-k of a fixed query matrix against streamed block batches."""
 
@@ -89,8 +112,12 @@ class TopK:
         parts_s, parts_i = [], []
         for lo in range(0, self.q.shape[0], QUERY_CHUNK):
             S = self.q[lo:lo + QUERY_CHUNK] @ bmat.T
-            cs, ci = _select_k(S, bids, self.k)
-            ms, mi = _merge(self.s[lo:lo + QUERY_CHUNK], self.i[lo:lo + QUERY_CHUNK], cs, ci, self.k)
+            bs, bi = self.s[lo:lo + QUERY_CHUNK], self.i[lo:lo + QUERY_CHUNK]
+            if bs.shape[1] == self.k:
+                ms, mi = _merge_above(bs, bi, S, bids, self.k)
+            else:
+                cs, ci = _select_k(S, bids, self.k)
+                ms, mi = _merge(bs, bi, cs, ci, self.k)
             parts_s.append(ms)
             parts_i.append(mi)
         self.s = np.concatenate(parts_s)

@@ -30,6 +30,10 @@ def build_session(master: str | None = None, app: str = "quarry",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        # One BLAS thread per Python task: Spark already runs one task per core.
+        "spark.executorEnv.OMP_NUM_THREADS": "1",
+        "spark.executorEnv.OPENBLAS_NUM_THREADS": "1",
+        "spark.executorEnv.MKL_NUM_THREADS": "1",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)

@@ -198,3 +198,9 @@ def test_pq_rerank_full_depth_equals_exact(spark):
     re = AN.rerank_exact(approx, q, b, 5)
     exact = {(r.qid, r.rank): r.block_id for r in mips_exact(q, b, 5, qid_col="qid").collect()}
     assert {(r.qid, r.rank): r.block_id for r in re.collect()} == exact
+
+
+def test_scan_null_key(spark):
+    df = spark.createDataFrame([(None, 1, 1.0), (None, 2, 2.0), ("a", 1, 5.0)], "k string, t long, x double")
+    got = {(r["k"], r["t"]): r["o"] for r in ordered_scan(df, "k", ["t"], "sum", "x", "o", n_parts=2).collect()}
+    assert got == {(None, 1): 1.0, (None, 2): 3.0, ("a", 1): 5.0}
