@@ -6,13 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def gather_blocks(hits: DataFrame, payload: DataFrame, block_id_col: str = "block_id") -> DataFrame:
+HIT_ROW_BYTES = 48                 # (sample_id, rank, block_id, score) plus hash-table overhead
+MAX_BROADCAST_HIT_BYTES = 1 << 30
+
+
+def gather_blocks(hits: DataFrame, payload: DataFrame, block_id_col: str = "block_id",
+                  n_hits: int | None = None) -> DataFrame:
     """Attach each hit's passage payload (text and/or token ids) by ``block_id``.
 
-    An equi inner join: the hit set is the probe side and the passage table is
-    never broadcast (it grows with the corpus). A hub passage hit by a large
-    share of questions is a skewed key; AQE's skew-join splitting handles it.
+    An equi inner join. The passage table grows with the corpus and is never
+    broadcast. When the hit set is known to be small enough (``n_hits`` rows,
+    e.g. queries x k, within ``MAX_BROADCAST_HIT_BYTES``), the *hits* are
+    broadcast and the passage table is streamed: passages are not shuffled at
+    all and a hub passage hit by many questions costs nothing extra. Otherwise
+    both sides shuffle on ``block_id`` and AQE's skew-join splitting handles hub
+    passages.
     """
+    if n_hits is not None and n_hits * HIT_ROW_BYTES <= MAX_BROADCAST_HIT_BYTES:
+        return payload.join(F.broadcast(hits), block_id_col)
     return hits.join(payload, block_id_col)
 
 

@@ -5,8 +5,11 @@ Plan shape of ``retrieval_cache`` (shuffles named):
 1. questions: conversation self-join on (conv_id, turn)             -- shuffle
 2. ``mips_exact``: block table streamed, queries broadcast (size-checked);
    per-query candidate merge                                          -- shuffle 1
-3. passages tokenised once per block, joined to the hit set           -- shuffle 2
-4. regroup k hits per question (bounded groups), join question ids    -- shuffle 3
+   (the hit set, questions x k rows, is checkpointed: it is read twice)
+3. only passages that were hit are tokenised, once each (semi join against
+   the broadcast distinct hit ids); the hit set is broadcast into the passage
+   stream when its row bound allows, so passages are never shuffled
+4. regroup k hits per question (bounded groups), join question ids    -- shuffle 2
 """
 
 from __future__ import annotations
@@ -15,12 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.assembly import assemble, finalize_sample
-from quarry.operators.retrieval import collect_retrievals, gather_blocks
+from quarry.operators.retrieval import MAX_BROADCAST_HIT_BYTES, collect_retrievals, gather_blocks
 from quarry.operators.sampling import gumbel_sample
 from quarry.operators.search import mips_exact
 from quarry.operators.vocab import Vocab, build_vocab
 from quarry.params import (CONTEXT_SIZE, MAX_GENERATION_LENGTH, NUM_NEIGHBORS, NUM_RETRIEVALS,
                            SEED, TEMPERATURE, VOCAB_SIZE, special_ids)
+from quarry.session import checkpoint_dir
 from quarry.sources import tables
 
 
@@ -57,8 +61,19 @@ def retrieval_cache(spark: SparkSession, sf_dir: str, vocab: Vocab, k: int = NUM
                     **search_kw) -> DataFrame:
     """``split, sample_id, question_ids, answer_ids, retrievals`` (the cache table)."""
     qs = qs if qs is not None else tables.questions(spark, sf_dir)
-    hits = retrieval_hits(spark, sf_dir, k, qs, with_split=False, **search_kw)
-    gathered = gather_blocks(hits, block_tokens(spark, sf_dir, vocab, context_size))
+    checkpoint_dir(spark)
+    # The hit set (questions x k rows) is materialised once in the shared
+    # checkpoint folder: it is read twice below and the search must not rerun.
+    hits = retrieval_hits(spark, sf_dir, k, qs, with_split=False, **search_kw).checkpoint(eager=True)
+    n_hits = qs.count() * k  # upper bound on the hit set (row total, bounded metadata)
+    # Tokenise only passages that were hit, each once.
+    text = tables.blocks(spark, sf_dir, with_vectors=False)
+    hit_ids = hits.select("block_id").distinct()
+    if n_hits * 8 <= MAX_BROADCAST_HIT_BYTES:
+        hit_ids = F.broadcast(hit_ids)
+    hit_text = text.join(hit_ids, "block_id", "left_semi")
+    tokens = hit_text.select("block_id", vocab.encode(F.col("text"), context_size).alias("token_ids"))
+    gathered = gather_blocks(hits, tokens, n_hits=n_hits)
     per_q = collect_retrievals(gathered, "sample_id", ["block_id", "score", "token_ids"])
     fields = qs.select(
         "split", "sample_id",
