@@ -89,3 +89,16 @@ def sample_violations(samples: DataFrame, eos: int) -> DataFrame:
 
 def retrieval_count_violations(cache: DataFrame, k: int) -> Column:
     return F.count_if(F.size(F.col("retrievals")) != k)
+
+
+def cache_violations(cache, k: int):
+    """Per split: cache rows breaking the cache invariants (k neighbours per row,
+    non-empty question, an answer on every non-test row, no -1 padding left)."""
+    r, q, a = F.col("retrievals"), F.col("question_ids"), F.col("answer_ids")
+    return cache.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.size(r) != k).alias("n_wrong_k"),
+        F.count_if(F.size(q) == 0).alias("n_empty_question"),
+        F.count_if((F.col("split") != "test") & (a.isNull() | (F.size(a) == 0))).alias("n_missing_answer"),
+        F.count_if(F.exists(q, lambda x: x == RAGGED_PAD_ID)
+                   | F.coalesce(F.exists(a, lambda x: x == RAGGED_PAD_ID), F.lit(False))).alias("n_pad_left"))

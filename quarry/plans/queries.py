@@ -1106,3 +1106,26 @@ def q_training_feed(spark, sf):
     feed = P.training_feed(cache_for(spark, sf), epochs=FEED_EPOCHS, batch_size=BATCH, replicas=FEED_REPLICAS)
     return feed.select(F.col("epoch").cast("long"), "split", "sample_id", "batch_no", "replica",
                        ids_text(F.col("input_ids")).alias("input_ids"), ids_text(F.col("label_ids")).alias("label_ids"))
+
+
+@register("cache_checks", O.sql("""
+    SELECT t.split, count(*)::BIGINT AS n,
+           count(*) FILTER (WHERE coalesce(h.n, 0) <> 10)::BIGINT AS n_wrong_k,
+           count(*) FILTER (WHERE len(t.question_ids) = 0)::BIGINT AS n_empty_question,
+           count(*) FILTER (WHERE t.split <> 'test' AND (t.answer_ids IS NULL OR len(t.answer_ids) = 0))::BIGINT
+             AS n_missing_answer,
+           count(*) FILTER (WHERE list_contains(t.question_ids, -1)
+                              OR coalesce(list_contains(t.answer_ids, -1), false))::BIGINT AS n_pad_left
+    FROM qa_tok t LEFT JOIN (SELECT sample_id, count(*) AS n FROM hits GROUP BY sample_id) h USING (sample_id)
+    GROUP BY t.split""", "qa_tok", "hits"))
+def q_cache_checks(spark, sf):
+    return S.cache_violations(cache_for(spark, sf), 10)
+
+
+@register("shard_lists", O.sql(f"""
+    SELECT split, count(*)::BIGINT AS n_shards, string_agg(shard::VARCHAR, ' ' ORDER BY shard) AS shards
+    FROM (SELECT DISTINCT split, shard FROM ({_SHARD_SQL})) GROUP BY split""", "questions", "hits"))
+def q_shard_lists(spark, sf):
+    files = CI.shard_lists(CI.src_cache(spark, _written_cache(spark, sf)))
+    return files.select("split", F.size("shards").cast("long").alias("n_shards"),
+                        F.array_join(F.transform("shards", lambda s: s["shard"].cast("string")), " ").alias("shards"))

@@ -62,3 +62,10 @@ def sink_report(report: DataFrame, path: str) -> str:
     """Write a (one-row) report as JSON (sink_recall)."""
     report.coalesce(1).write.mode("overwrite").json(path)
     return path
+
+
+def shard_lists(cache: DataFrame) -> DataFrame:
+    """``split, shards ARRAY<STRUCT<shard, path>>`` sorted numerically by shard
+    (one entry per file; bounded by the shard count)."""
+    files = shard_paths(cache).select("split", "shard", "path")
+    return files.groupBy("split").agg(F.array_sort(F.collect_list(F.struct("shard", "path"))).alias("shards"))
