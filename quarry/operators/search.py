@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.session import spread
+
 CANDIDATE_SCHEMA = T.StructType([
     T.StructField("qid", T.LongType()), T.StructField("block_id", T.LongType()),
     T.StructField("score", T.DoubleType())])
@@ -163,7 +165,7 @@ def mips_exact(queries: DataFrame, blocks: DataFrame, k: int = 10, *, qid_col: s
     dim_row = q.select(F.size("v").alias("d")).head(1)
     dim = int(dim_row[0]["d"]) if dim_row else 0
     if nq * max(dim, 1) * 8 <= broadcast_bytes:
-        cands = _broadcast_path(q, b, k, dim)
+        cands = _broadcast_path(q, spread(b), k, dim)
     else:
         nb = b.count()
         if nb * max(dim, 1) * 8 <= broadcast_bytes:

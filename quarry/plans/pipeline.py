@@ -24,7 +24,7 @@ from quarry.operators.search import mips_exact
 from quarry.operators.vocab import Vocab, build_vocab
 from quarry.params import (CONTEXT_SIZE, MAX_GENERATION_LENGTH, NUM_NEIGHBORS, NUM_RETRIEVALS,
                            SEED, TEMPERATURE, VOCAB_SIZE, special_ids)
-from quarry.session import checkpoint_dir
+from quarry.session import checkpoint_dir, spread
 from quarry.sources import tables
 
 
@@ -32,7 +32,7 @@ def corpus_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All text the vocabulary is built from: passages and conversation turns."""
     d = tables.read_table(spark, sf_dir, "documents").select("text")
     c = tables.read_table(spark, sf_dir, "conversations").select("text")
-    return d.unionByName(c)
+    return spread(d.unionByName(c))
 
 
 def corpus_vocab(spark: SparkSession, sf_dir: str, vocab_size: int = VOCAB_SIZE) -> Vocab:
@@ -71,11 +71,11 @@ def retrieval_cache(spark: SparkSession, sf_dir: str, vocab: Vocab, k: int = NUM
     hit_ids = hits.select("block_id").distinct()
     if n_hits * 8 <= MAX_BROADCAST_HIT_BYTES:
         hit_ids = F.broadcast(hit_ids)
-    hit_text = text.join(hit_ids, "block_id", "left_semi")
+    hit_text = spread(text.join(hit_ids, "block_id", "left_semi"))
     tokens = hit_text.select("block_id", vocab.encode(F.col("text"), context_size).alias("token_ids"))
     gathered = gather_blocks(hits, tokens, n_hits=n_hits)
     per_q = collect_retrievals(gathered, "sample_id", ["block_id", "score", "token_ids"])
-    fields = qs.select(
+    fields = spread(qs).select(
         "split", "sample_id",
         vocab.encode(F.col("question"), context_size).alias("question_ids"),
         F.when(F.col("answer").isNull(), F.lit(None).cast("array<int>"))

@@ -67,3 +67,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written table under the shared checkpoint folder."""
     base = checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def spread(df, min_partitions: int | None = None):
+    """Give CPU-heavy narrow work (tokenising, scoring) at least the cluster's
+    parallelism. Large inputs already have many partitions and pass through
+    untouched; a small input read as one split is dealt round-robin first."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
