@@ -1129,3 +1129,13 @@ def q_shard_lists(spark, sf):
     files = CI.shard_lists(CI.src_cache(spark, _written_cache(spark, sf)))
     return files.select("split", F.size("shards").cast("long").alias("n_shards"),
                         F.array_join(F.transform("shards", lambda s: s["shard"].cast("string")), " ").alias("shards"))
+
+
+@register("loss_mean_stream", f"""
+    SELECT split, step, round(loss, 6) AS loss, n_replicas FROM ({LOSS_MEAN_SQL})
+    WHERE (step + 1) * 3600000000 <= (SELECT max(epoch_us(ts)) FROM events) - 7200000000""")
+def q_loss_mean_stream(spark, sf):
+    # Steps still inside the 2-hour watermark delay at the end of the input are
+    # not final, so they are not emitted (append mode).
+    out = MS.loss_mean_stream(spark, _staged_events(spark, sf), MS.events_schema(spark, sf))
+    return out.select("split", "step", r6(F.col("loss")).alias("loss"), F.col("n_replicas").cast("long"))

@@ -6,11 +6,13 @@ average, the cadence its last mark time, and both remember the last
 (ts, id) they consumed. **Ordering assumption:** files arrive in time order
 (one writer, as in training); inside a micro-batch rows are sorted by
 (ts, id). A row older than the key's last consumed row is *late*: it is not
-folded in (the running value cannot be rewound) and is counted in the
-``n_late`` column of the state-report stream.
+folded in (the running value cannot be rewound) and is counted in the key's
+state (``n_late``).
 
 Counters are a plain streaming aggregation (``groupBy(split).agg``), written
-per micro-batch with ``foreachBatch``.
+per micro-batch with ``foreachBatch``. Per-step loss means use event time
+proper: two chained windowed aggregations under a watermark, append mode, so a
+step is emitted once final and later rows are dropped as late data.
 
 Checkpoints and outputs live under the shared checkpoint folder.
 """
@@ -136,6 +138,32 @@ def counters_stream(spark: SparkSession, source_dir: str, schema: T.StructType,
     return spark.read.parquet(out_path)
 
 
+def loss_mean_stream(spark: SparkSession, source_dir: str, schema: T.StructType, *, step: str = "1 hour",
+                     delay: str = "2 hours", replicas: int = 8, files_per_trigger: int = 1,
+                     key: str = "event_type", value: str = "value") -> DataFrame:
+    """Event-time version of ``loss_mean``: per (step window, split, replica) mean,
+    then the mean of the replica means per (step window, split).
+
+    Two chained windowed aggregations under one watermark (``delay``); append
+    mode emits a step once the watermark passes its end, and rows arriving
+    later than that are dropped by Spark as late data. Output:
+    ``split, step (hours since epoch), loss, n_replicas``.
+    """
+    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+           .parquet(source_dir)
+           # event time as TIMESTAMP with the same epoch value as the zone-less column
+           .withColumn("_et", F.timestamp_micros(epoch_micros(F.col("ts")))))
+    per_rep = (src.withWatermark("_et", delay)
+                  .groupBy(F.window("_et", step).alias("w"), F.col(key).alias("split"),
+                           F.pmod(F.col("user_id"), F.lit(replicas)).alias("replica"))
+                  .agg(F.avg(value).alias("m")))
+    per_step = (per_rep.groupBy(F.window(F.window_time("w"), step).alias("w"), "split")
+                       .agg(F.avg("m").alias("loss"), F.count(F.lit(1)).alias("n_replicas")))
+    out = per_step.select("split", F.floor(F.unix_micros(F.col("w.start")) / F.lit(3600000000)).cast("long")
+                          .alias("step"), "loss", "n_replicas")
+    return _run_to_files(spark, out, "loss-mean-stream")
+
+
 def _run_to_files(spark: SparkSession, out: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, f"{name}-out")
     q = (out.writeStream.format("parquet").outputMode("append").option("path", path)
