@@ -63,3 +63,12 @@ def paired_subset(ids: DataFrame, id_col: str, n: int, tables: dict, seed: int =
     chosen = hash_sample(ids.select(id_col).distinct(), id_col, n, seed).withColumn("_all", F.lit(0))
     numbered = ordered_scan(chosen, "_all", [id_col], "row_number", out="new_id").drop("_all")
     return {name: t.join(numbered, id_col) for name, t in tables.items()}
+
+
+def query_sample(df: DataFrame, id_col: str, n: int, seed: int = SEED) -> DataFrame:
+    """``n`` points drawn without replacement to serve as search queries; asking
+    for more points than exist is an error."""
+    total = df.count()  # row total: bounded metadata
+    if n > total:
+        raise ValueError(f"query sample of {n} exceeds the {total} available points")
+    return hash_sample(df, id_col, n, seed)

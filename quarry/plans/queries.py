@@ -833,8 +833,9 @@ QS_SQL = f"""SELECT vec_id, embedding FROM embeddings
 
 
 def _query_sample(spark, sf):
+    from quarry.operators.sampling import query_sample
     emb = tables.read_table(spark, sf, "embeddings").select("vec_id", "embedding")
-    return hash_sample(emb, "vec_id", N_QUERY_SAMPLE, SEED)
+    return query_sample(emb, "vec_id", N_QUERY_SAMPLE, SEED)
 
 
 @register("query_sample", f"SELECT vec_id, len(embedding)::BIGINT AS dim FROM ({QS_SQL})")

@@ -80,3 +80,27 @@ def test_missing_cache_split_is_an_error(spark, tmp_path):
     from quarry.sources.cache_io import src_cache
     with pytest.raises(FileNotFoundError):
         src_cache(spark, str(tmp_path / "nothing"), "train")
+
+
+def test_stream_drops_late_rows(spark):
+    from quarry.session import scratch_path
+    from quarry.sources.tables import read_table
+    from quarry.streaming import metrics_stream as MS
+    ev = read_table(spark, SF_SMALL, "events")
+    cut = ev.orderBy("ts").select("ts").limit(ev.count() // 2).agg(F.max("ts").alias("m")).first()["m"]
+    path = scratch_path(spark, "late")
+    later = ev.where(F.col("ts") > F.lit(cut))
+    later.coalesce(1).write.parquet(path)                      # arrives first
+    ev.where(F.col("ts") <= F.lit(cut)).coalesce(1).write.mode("append").parquet(path)  # then older rows
+    out = MS.ema_stream(spark, path, ev.schema)
+    assert out.count() == later.count()
+
+
+def test_cache_split_pruning(spark):
+    from quarry.plans import queries as Q
+    from quarry.sources.cache_io import src_cache
+    path = Q._written_cache(spark, SF_SMALL)
+    train = src_cache(spark, path, "train")
+    files = train.inputFiles()
+    assert files and all("split=train" in f for f in files)
+    assert train.count() == Q.cache_for(spark, SF_SMALL).where("split = 'train'").count()
