@@ -431,7 +431,9 @@ STRIP_SQL = f"regexp_replace({{}}, '^{WS}+|{WS}+$', '', 'g')"
 QA_LEN_SQL = f"""
     SELECT len({O.tok(f"{STRIP_SQL.format('q')} || ' ' || {STRIP_SQL.format('a')}")}) AS len FROM (
       SELECT u.conv_id, arg_min(u.text, u.turn) AS q FROM conversations u
-      WHERE u.role = 'user' AND u.conv_id % 10 NOT IN (0, 1) GROUP BY u.conv_id) JOIN (
+      WHERE u.role = 'user' AND (CASE WHEN u.conv_id % 10 = 0 THEN 'eval' WHEN u.conv_id % 10 = 1 THEN 'test'
+                                      ELSE 'train' END) = 'train'
+      GROUP BY u.conv_id) JOIN (
       SELECT conv_id, arg_min(text, struct_pack(l := length(text), t := turn)) AS a
       FROM conversations WHERE role = 'assistant' GROUP BY conv_id) USING (conv_id)"""
 
@@ -441,7 +443,8 @@ PASSAGE_SAMPLE_SQL = f"""
 
 
 def qa_lengths(spark, sf):
-    ma = tables.multi_answers(spark, sf).where(~F.pmod("conv_id", F.lit(10)).isin(0, 1))
+    # The length study runs on the training split.
+    ma = tables.multi_answers(spark, sf).where(tables.split_of(F.col("conv_id")) == "train")
     pos = F.transform(F.col("answers"), lambda a, i: F.struct(F.length(a).alias("l"), i.alias("p"), a.alias("a")))
     best = F.element_at(F.array_sort(pos), 1)["a"]
     txt = F.concat(strip_ws(F.col("question")), F.lit(" "), strip_ws(best))
