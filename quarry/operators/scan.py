@@ -194,7 +194,9 @@ def ordered_scan(df: DataFrame, keys, order, kind: str, value: str | None = None
         res["_v0"] = out_v
         return res
 
-    start_tab = summaries.groupBy(*keys).applyInPandas(starts, start_schema)
+    # Materialised once (small: one row per segment): the size check below and
+    # the join must not each re-run the summary pass over all rows.
+    start_tab = summaries.groupBy(*keys).applyInPandas(starts, start_schema).checkpoint(eager=True)
     # Null-safe match on (partition, key): a NULL key is a key like any other.
     renamed = start_tab.select(F.col("_pid").alias("_sp"), *[F.col(k).alias(f"_sk{i}") for i, k in enumerate(keys)],
                                "_n0", "_v0")
