@@ -803,7 +803,9 @@ def q_rerank_exact(spark, sf):
     books, coded = _pq(spark, sf)
     n_blocks = coded.count()
     approx = AN.ivf_probe(_qv(spark, sf), coded, cents, N_LEAVES, n_blocks, codebooks=books)
-    out = AN.rerank_exact(approx, _qv(spark, sf), tables.block_vectors(spark, sf), 10)
+    nq = _qv(spark, sf).count()
+    out = AN.rerank_exact(approx, _qv(spark, sf), tables.block_vectors(spark, sf), 10,
+                          n_candidates=nq * n_blocks, query_bytes=nq * 64 * 8)
     return out.select(F.col("qid").alias("sample_id"), "rank", "block_id", r6(F.col("score")).alias("score"))
 
 
