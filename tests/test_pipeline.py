@@ -70,10 +70,29 @@ def test_stream_equals_batch(spark):
     assert a == b
 
 
+def _final_plan(df):
+    df.write.format("noop").mode("overwrite").save()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_plan_uses_window_group_limit(spark):
     from quarry.plans import queries as Q
-    plan = Q.QUERIES["mips_exact"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan or "AdaptiveSparkPlan" in plan
+    df = Q.QUERIES["mips_exact"](spark, SF_SMALL)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+@pytest.mark.parametrize("name", ["ema", "step_counters", "batch_duration", "cadence_marks", "make_batches",
+                                  "seeded_shuffle"])
+def test_running_quantities_use_no_window(spark, name):
+    # Running / positional quantities come from the range-partitioned scan, never
+    # from a window over raw rows.
+    from quarry.plans import queries as Q
+    df = Q.QUERIES[name](spark, SF_SMALL)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Window [" not in plan and "WindowGroupLimit" not in plan
 
 
 def test_missing_cache_split_is_an_error(spark, tmp_path):
