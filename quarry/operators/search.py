@@ -203,7 +203,8 @@ def _broadcast_path(q: DataFrame, b: DataFrame, k: int, dim: int) -> DataFrame:
     return b.mapInArrow(score_partition, CANDIDATE_SCHEMA)
 
 
-def _broadcast_blocks(q: DataFrame, b: DataFrame, k: int, dim: int, qid_col: str) -> DataFrame:
+def _broadcast_blocks(q: DataFrame, b: DataFrame, k: int, dim: int, qid_col: str,
+                      carry_vectors: bool = False) -> DataFrame:
     """Small block side (e.g. centroids): broadcast it and stream the queries.
 
     Every query sees all blocks inside one task, so its top-k is final: no merge
@@ -212,8 +213,12 @@ def _broadcast_blocks(q: DataFrame, b: DataFrame, k: int, dim: int, qid_col: str
     bids, bmat = _to_matrix(b, "block_id", dim)  # size-checked by the caller against broadcast_bytes
     order = np.argsort(bids, kind="stable")
     bc = spark.sparkContext.broadcast((bids[order], bmat[order]))
-    schema = T.StructType([T.StructField(qid_col, T.LongType()), T.StructField("rank", T.LongType()),
-                           T.StructField("block_id", T.LongType()), T.StructField("score", T.DoubleType())])
+    fields = [T.StructField(qid_col, T.LongType()), T.StructField("rank", T.LongType()),
+              T.StructField("block_id", T.LongType()), T.StructField("score", T.DoubleType())]
+    if carry_vectors:
+        fields.append(T.StructField("v", q.schema["v"].dataType))
+    schema = T.StructType(fields)
+    names = [f.name for f in fields]
 
     def score_queries(batches):
         ids, mat = bc.value
@@ -225,25 +230,29 @@ def _broadcast_blocks(q: DataFrame, b: DataFrame, k: int, dim: int, qid_col: str
             top.update(mat, ids)
             m = top.s.shape[1]
             qids = batch.column("qid").to_numpy(zero_copy_only=False).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(qids, m), pa.int64()), pa.array(np.tile(np.arange(1, m + 1), len(qids)), pa.int64()),
-                 pa.array(top.i.reshape(-1), pa.int64()), pa.array(top.s.reshape(-1), pa.float64())],
-                names=[qid_col, "rank", "block_id", "score"])
+            cols = [pa.array(np.repeat(qids, m), pa.int64()),
+                    pa.array(np.tile(np.arange(1, m + 1), len(qids)), pa.int64()),
+                    pa.array(top.i.reshape(-1), pa.int64()), pa.array(top.s.reshape(-1), pa.float64())]
+            if carry_vectors:
+                cols.append(batch.column("v").take(pa.array(np.repeat(np.arange(len(qids)), m))))
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return q.mapInArrow(score_queries, schema)
 
 
 def topk_small_side(queries: DataFrame, small: DataFrame, k: int, *, qid_col: str, small_id_col: str,
-                    vec_col: str = "embedding", max_bytes: int = 512 << 20) -> DataFrame:
+                    vec_col: str = "embedding", max_bytes: int = 512 << 20,
+                    carry_vectors: bool = False) -> DataFrame:
     """Top-k of a bounded, broadcast ``small`` set (e.g. centroids) for every query:
-    ``qid_col, rank, block_id, score``. Raises if ``small`` exceeds ``max_bytes``."""
+    ``qid_col, rank, block_id, score[, v]`` (``v``: the query vector, carried so
+    callers need no join back). Raises if ``small`` exceeds ``max_bytes``."""
     q = queries.select(F.col(qid_col).cast("long").alias("qid"), F.col(vec_col).alias("v"))
     b = small.select(F.col(small_id_col).cast("long").alias("block_id"), F.col(vec_col).alias("v"))
     dim_row = b.select(F.size("v").alias("d")).head(1)
     dim = int(dim_row[0]["d"]) if dim_row else 0
     if b.count() * max(dim, 1) * 8 > max_bytes:
         raise ValueError("small side exceeds its broadcast bound")
-    return _broadcast_blocks(q, b, k, dim, qid_col)
+    return _broadcast_blocks(q, b, k, dim, qid_col, carry_vectors)
 
 
 def _tiled_path(q: DataFrame, b: DataFrame, k: int, nq: int, query_tile_rows: int,
