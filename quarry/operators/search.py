@@ -161,9 +161,8 @@ def mips_exact(queries: DataFrame, blocks: DataFrame, k: int = 10, *, qid_col: s
     """Top-``k`` blocks per query by inner product: ``qid_col, rank, block_id, score``."""
     q = queries.select(F.col(qid_col).cast("long").alias("qid"), F.col(vec_col).alias("v"))
     b = blocks.select(F.col(block_id_col).cast("long").alias("block_id"), F.col(vec_col).alias("v"))
-    nq = q.count()
-    dim_row = q.select(F.size("v").alias("d")).head(1)
-    dim = int(dim_row[0]["d"]) if dim_row else 0
+    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()  # one pass
+    nq, dim = int(stats["n"]), int(stats["d"] or 0)
     if nq * max(dim, 1) * 8 <= broadcast_bytes:
         cands = _broadcast_path(q, spread(b), k, dim)
     else:
