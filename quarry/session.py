@@ -42,6 +42,7 @@ def build_session(master: str | None = None, app: str = "quarry",
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("WARN")
+    ship_package(spark)
     return spark
 
 
@@ -75,3 +76,29 @@ def spread(df, min_partitions: int | None = None):
     untouched; a small input read as one split is dealt round-robin first."""
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quarry`` importable in the Python workers (what ``--py-files`` does):
+    the package is zipped once per application and added with ``addPyFile``, so
+    Spark serves it to every executor. Operators that run Python in tasks need it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import zipfile
+
+    import quarry
+    root = os.path.dirname(os.path.abspath(quarry.__file__))
+    fd, path = tempfile.mkstemp(prefix=f"quarry-{uuid.uuid4().hex[:8]}-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
