@@ -56,8 +56,7 @@ def ema(df: DataFrame, key, order, value: str, constant: float = EMA_CONSTANT,
 
 def step_counters(df: DataFrame, key, order, batch_size: str) -> DataFrame:
     """``batches`` (1-based running count) and ``samples`` (running sum of batch sizes)."""
-    n = ordered_scan(df, key, order, "row_number", out="_rn")
-    s = ordered_scan(n, key, order, "sum", batch_size, out="_samples")
+    s = ordered_scan(df, key, order, "sum", batch_size, out="_samples", position="_rn")  # one pass
     return (s.withColumn("batches", (F.col("_rn") + 1).cast("long"))
              .withColumn("samples", F.col("_samples").cast("long")).drop("_rn", "_samples"))
 

@@ -89,8 +89,10 @@ def _runs(pdf: pd.DataFrame, cols: list[str]):
 
 def ordered_scan(df: DataFrame, keys, order, kind: str, value: str | None = None,
                  out: str = "scan", *, n_parts: int | None = None, constant: float | None = None,
-                 seed_value: float | None = None, period: float | None = None) -> DataFrame:
-    """Add column ``out``: the scan ``kind`` of ``value`` per ``keys`` in ``order``.
+                 seed_value: float | None = None, period: float | None = None,
+                 position: str | None = None) -> DataFrame:
+    """Add column ``out``: the scan ``kind`` of ``value`` per ``keys`` in ``order``
+    (and, with ``position``, the row's 0-based position in its key from the same pass).
 
     ``cadence`` reads ``value`` as a time in seconds and ``period`` in seconds;
     ``seed_value`` is the incoming average (``ema``) or last-mark time (``cadence``).
@@ -209,7 +211,8 @@ def ordered_scan(df: DataFrame, keys, order, kind: str, value: str | None = None
 
     out_type = {"row_number": T.LongType(), "sum": T.DoubleType(), "ema": T.DoubleType(),
                 "lag": T.DoubleType(), "cadence": T.BooleanType()}[kind]
-    out_schema = T.StructType([f for f in df.schema.fields] + [T.StructField(out, out_type)])
+    extra = [T.StructField(position, T.LongType())] if position else []
+    out_schema = T.StructType([f for f in df.schema.fields] + [T.StructField(out, out_type)] + extra)
     names = df.columns
 
     def apply(batches):
@@ -221,8 +224,10 @@ def ordered_scan(df: DataFrame, keys, order, kind: str, value: str | None = None
         x = pdf[value].to_numpy(dtype=np.float64) if value else None
         res = np.empty(len(pdf), dtype=object if kind in ("lag",) else
                        (np.int64 if kind == "row_number" else (bool if kind == "cadence" else np.float64)))
+        pos = np.empty(len(pdf), dtype=np.int64)
         for lo, hi in _runs(pdf, ["_pid"] + keys):
             n0 = int(pdf["_n0"].iat[lo])
+            pos[lo:hi] = n0 + np.arange(hi - lo)
             v0 = pdf["_v0"].iat[lo]
             v0 = None if v0 is None or (isinstance(v0, float) and math.isnan(v0)) else float(v0)
             n = hi - lo
@@ -239,6 +244,8 @@ def ordered_scan(df: DataFrame, keys, order, kind: str, value: str | None = None
             elif kind == "cadence":
                 res[lo:hi], _ = _cadence_marks(x[lo:hi], per, v0)
         pdf[out] = res
-        yield pdf[names + [out]]
+        if position:
+            pdf[position] = pos
+        yield pdf[names + [out] + ([position] if position else [])]
 
     return joined.mapInPandas(apply, out_schema)
