@@ -18,10 +18,24 @@ from quarry.operators.scan import ordered_scan
 from quarry.params import NUM_SHARDS
 
 
+MAX_BROADCAST_SHARD_MAP_ROWS = 20_000_000
+
+
 def sink_cache(cache: DataFrame, path: str, num_shards: int = NUM_SHARDS, order_col: str = "sample_id",
                mode: str = "overwrite") -> str:
-    pos = ordered_scan(cache, "split", [order_col], "row_number", out="_pos")
-    out = pos.withColumn("shard", F.pmod(F.col("_pos"), F.lit(num_shards)).cast("int")).drop("_pos")
+    """Write the cache dealt round-robin into ``num_shards`` shards per split.
+
+    Positions are computed on the light ``(split, id)`` projection; the heavy
+    rows (token arrays) meet the shard map through a broadcast join when the map
+    is within its row bound, so they are shuffled exactly once -- by the
+    ``repartition(split, shard)`` that gives every shard a single writer."""
+    light = cache.select("split", order_col)
+    pos = ordered_scan(light, "split", [order_col], "row_number", out="_pos")
+    shard_map = pos.select("split", order_col,
+                           F.pmod(F.col("_pos"), F.lit(num_shards)).cast("int").alias("shard"))
+    if shard_map.count() <= MAX_BROADCAST_SHARD_MAP_ROWS:
+        shard_map = F.broadcast(shard_map)
+    out = cache.join(shard_map, ["split", order_col])
     (out.repartition("split", "shard").write.mode(mode)
         .partitionBy("split", "shard").parquet(path))
     return path
