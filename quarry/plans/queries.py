@@ -558,11 +558,7 @@ def q_count_records(spark, sf):
 # ---------------------------------------------------------------------------
 
 def _log(spark, sf):
-    return tables.metrics_log(spark, sf).withColumn(
-        "batch_size", F.get_json_object("props", "$.k").cast("long")) if False else \
-        tables.read_table(spark, sf, "events").select(
-            F.col("event_type").alias("split"), "event_id", "ts", "user_id", F.col("value").alias("loss"),
-            F.get_json_object("props", "$.k").cast("long").alias("batch_size"))
+    return tables.metrics_log(spark, sf)
 
 
 STEP_SQL = "(epoch_us(ts) // 3600000000)::BIGINT"

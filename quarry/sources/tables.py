@@ -135,11 +135,12 @@ def benchmark_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metrics_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``split, event_id, ts, user_id, loss``: the events table read as a metrics log
-    (split = event_type, loss = value)."""
+    """``split, event_id, ts, user_id, loss, batch_size``: the events table read as a
+    metrics log (split = event_type, loss = value, batch size = ``props.k``)."""
     ev = read_table(spark, sf_dir, "events")
     return ev.select(F.col("event_type").alias("split"), "event_id", "ts", "user_id",
-                     F.col("value").alias("loss"))
+                     F.col("value").alias("loss"),
+                     F.get_json_object("props", "$.k").cast("long").alias("batch_size"))
 
 
 QUESTION_SCHEMA = T.StructType([
