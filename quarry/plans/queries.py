@@ -1141,3 +1141,14 @@ def q_loss_mean_stream(spark, sf):
     # not final, so they are not emitted (append mode).
     out = MS.loss_mean_stream(spark, _staged_events(spark, sf), MS.events_schema(spark, sf))
     return out.select("split", "step", r6(F.col("loss")).alias("loss"), F.col("n_replicas").cast("long"))
+
+
+@register("src_blocks_positional", O.sql("""
+    SELECT (row_number() OVER (ORDER BY block_id) - 1)::BIGINT AS block_pos, text FROM blocks""", "blocks"))
+def q_src_blocks_positional(spark, sf):
+    # Passages exported without ids, in id order (a range-partitioned sort writes
+    # part files whose names follow that order), then imported by position.
+    path = scratch_path(spark, "blocks-positional")
+    b = tables.blocks(spark, sf, with_vectors=False)
+    b.repartitionByRange(4, "block_id").sortWithinPartitions("block_id").select("text").write.parquet(path)
+    return tables.import_positional(spark, path, "block_pos")

@@ -152,3 +152,20 @@ def check_split(col: Column) -> Column:
     """Membership check for split names (enum_check): fails the job on a stray value."""
     return F.when(col.isin(*SPLITS), col).otherwise(
         F.raise_error(F.concat(F.lit("unknown split: "), F.coalesce(col, F.lit("NULL")))))
+
+
+def import_positional(spark: SparkSession, path: str, id_col: str = "block_id") -> DataFrame:
+    """Read a Parquet dataset whose record identity is its position (file order,
+    then row order inside the file) and make the position an explicit id column.
+
+    Uses the file-source metadata (``_metadata.file_path``, ``_metadata.row_index``)
+    and a range-partitioned scan for the numbering -- no single-partition window,
+    no reliance on how files are packed into tasks.
+    """
+    from quarry.operators.scan import ordered_scan
+    df = spark.read.parquet(path)
+    cols = df.columns
+    meta = df.select(*cols, F.col("_metadata.file_path").alias("_file"),
+                     F.col("_metadata.row_index").alias("_row"), F.lit(0).alias("_all"))
+    numbered = ordered_scan(meta, "_all", ["_file", "_row"], "row_number", out=id_col)
+    return numbered.select(id_col, *cols)
