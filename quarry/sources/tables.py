@@ -42,14 +42,20 @@ def blocks(spark: SparkSession, sf_dir: str, with_vectors: bool = True) -> DataF
     return out if with_vectors else out.select("block_id", "text")
 
 
-def block_vectors(spark: SparkSession, sf_dir: str, dim: int | None = None) -> DataFrame:
+def block_vectors(spark: SparkSession, sf_dir: str, dim: int | None = None,
+                  vector_names=("embedding", "block_emb")) -> DataFrame:
     """``block_id, embedding`` for blocks that have text (src_vectors).
 
-    With ``dim`` given, rows of another width raise at run time
-    (``raise_error`` inside the plan, no driver round trip).
+    The vector column is looked up by name with fallbacks (first of
+    ``vector_names`` present). With ``dim`` given, rows of another width raise at
+    run time (``raise_error`` inside the plan, no driver round trip).
     """
     d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("block_id"))
-    e = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("block_id"), "embedding")
+    raw = read_table(spark, sf_dir, "embeddings")
+    name = next((n for n in vector_names if n in raw.columns), None)
+    if name is None:
+        raise KeyError(f"no vector column among {list(vector_names)}")
+    e = raw.select(F.col("vec_id").alias("block_id"), F.col(name).alias("embedding"))
     out = e.join(d, "block_id", "left_semi")
     if dim is not None:
         out = out.withColumn("embedding", F.when(F.size("embedding") == dim, F.col("embedding"))
