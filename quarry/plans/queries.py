@@ -139,12 +139,8 @@ def q_truncate_field(spark, sf):
            count(*)::BIGINT AS n_answers
     FROM conversations WHERE role = 'assistant' GROUP BY conv_id""")
 def q_shortest_answer(spark, sf):
-    ma = tables.multi_answers(spark, sf)
-    pos = F.transform(F.col("answers"), lambda a, i: F.struct(F.length(a).alias("l"), i.alias("p"),
-                                                                a.alias("a")))
-    best = F.element_at(F.array_sort(pos), 1)["a"]
-    return ma.select("conv_id", strip_ws(best).alias("answer"),
-                     F.size("answers").cast("long").alias("n_answers"))
+    qa = tables.first_question_shortest_answer(spark, sf)
+    return qa.select("conv_id", "answer", F.col("n_answers").cast("long"))
 
 
 @register("enum_check", O.sql("""
@@ -444,11 +440,9 @@ PASSAGE_SAMPLE_SQL = f"""
 
 def qa_lengths(spark, sf):
     # The length study runs on the training split.
-    ma = tables.multi_answers(spark, sf).where(tables.split_of(F.col("conv_id")) == "train")
-    pos = F.transform(F.col("answers"), lambda a, i: F.struct(F.length(a).alias("l"), i.alias("p"), a.alias("a")))
-    best = F.element_at(F.array_sort(pos), 1)["a"]
-    txt = F.concat(strip_ws(F.col("question")), F.lit(" "), strip_ws(best))
-    return ma.select(F.size(tokens(txt)).alias("len"))
+    qa = tables.first_question_shortest_answer(spark, sf).where(tables.split_of(F.col("conv_id")) == "train")
+    txt = F.concat(strip_ws(F.col("question")), F.lit(" "), F.col("answer"))
+    return qa.select(F.size(tokens(txt)).alias("len"))
 
 
 def passage_sample(spark, sf):

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.functions.text import strip_ws
 from quarry.params import SPLITS
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -110,17 +111,30 @@ def questions_from_records(records: DataFrame) -> DataFrame:
          .otherwise(F.try_element_at(answers, F.lit(1))).alias("answer"))
 
 
-def multi_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``conv_id, question, answers ARRAY<STRING>`` -- every assistant turn of a
-    conversation, in turn order, as the answer list of its first user turn."""
+def first_question_shortest_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conv_id, question, answer, n_answers`` -- per conversation, its first user
+    turn and its shortest assistant turn (characters before trimming, earlier turn
+    on ties), whitespace-trimmed.
+
+    Both are ``min_by`` aggregates: partial aggregation on the map side, so a
+    conversation holding a huge share of all turns never becomes one big group.
+    """
     conv = read_table(spark, sf_dir, "conversations")
     first_q = (conv.where(F.col("role") == "user")
                .groupBy("conv_id").agg(F.min_by("text", "turn").alias("question")))
-    ans = (conv.where(F.col("role") == "assistant")
-           .groupBy("conv_id")
-           .agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("_a"))
-           .select("conv_id", F.transform("_a", lambda s: s["text"]).alias("answers")))
-    return first_q.join(ans, "conv_id")
+    shortest = (conv.where(F.col("role") == "assistant")
+                .groupBy("conv_id")
+                .agg(F.min_by("text", F.struct(F.length("text"), F.col("turn"))).alias("answer"),
+                     F.count(F.lit(1)).alias("n_answers")))
+    return first_q.join(shortest, "conv_id").select(
+        "conv_id", "question", strip_ws(F.col("answer")).alias("answer"), "n_answers")
+
+
+def shortest_answer(answers: Column) -> Column:
+    """In-row version for nested records (``answers ARRAY<STRING>``): the answer of
+    least length, first on ties, trimmed."""
+    pos = F.transform(answers, lambda a, i: F.struct(F.length(a).alias("l"), i.alias("p"), a.alias("a")))
+    return strip_ws(F.element_at(F.array_sort(pos), 1)["a"])
 
 
 def query_vectors(spark: SparkSession, sf_dir: str, qs: DataFrame | None = None) -> DataFrame:

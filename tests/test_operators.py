@@ -204,3 +204,9 @@ def test_scan_null_key(spark):
     df = spark.createDataFrame([(None, 1, 1.0), (None, 2, 2.0), ("a", 1, 5.0)], "k string, t long, x double")
     got = {(r["k"], r["t"]): r["o"] for r in ordered_scan(df, "k", ["t"], "sum", "x", "o", n_parts=2).collect()}
     assert got == {(None, 1): 1.0, (None, 2): 3.0, ("a", 1): 5.0}
+
+
+def test_shortest_answer_in_row(spark):
+    from quarry.sources.tables import shortest_answer
+    df = spark.createDataFrame([(["abcd", " x", "yz"],)], "a array<string>")
+    assert df.select(shortest_answer(F.col("a"))).first()[0] == "x"
