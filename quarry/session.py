@@ -72,10 +72,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def spread(df, min_partitions: int | None = None):
     """Give CPU-heavy narrow work (tokenising, scoring) at least the cluster's
-    parallelism. Large inputs already have many partitions and pass through
-    untouched; a small input read as one split is dealt round-robin first."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    parallelism. The decision uses the optimizer's size estimate (no job runs):
+    an input small enough to be read as fewer splits than there are cores is
+    dealt round-robin; anything larger is left exactly as it is."""
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    split_bytes = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b"))
+    try:
+        est = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - no estimate: leave the plan alone
+        return df
+    return df.repartition(target) if est < split_bytes * target else df
 
 
 _SHIPPED: set = set()
