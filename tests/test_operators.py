@@ -179,9 +179,10 @@ def test_ivf_salted_tiles_equal_exact(spark):
     b, q = _vec_df(spark, bv, "block_id"), _vec_df(spark, qv, "qid")
     cents, assigned = AN.ivf_train(b, 4)
     exact = {(r.qid, r.rank): r.block_id for r in mips_exact(q, b, 5, qid_col="qid").collect()}
-    got = {(r.qid, r.rank): r.block_id
-           for r in AN.ivf_probe(q, assigned, cents, 4, 5, max_tile_rows=25).collect()}
-    assert got == exact
+    for kw in ({}, {"broadcast_bytes": 1}):   # broadcast query matrix / vectors carried per probe
+        got = {(r.qid, r.rank): r.block_id
+               for r in AN.ivf_probe(q, assigned, cents, 4, 5, max_tile_rows=25, **kw).collect()}
+        assert got == exact, kw
 
 
 def test_pq_rerank_full_depth_equals_exact(spark):
