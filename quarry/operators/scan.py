@@ -36,6 +36,7 @@ from quarry.session import checkpoint_dir
 BROADCAST_SUMMARY_ROWS = 1_000_000
 ROWS_PER_PARTITION = 2_000_000     # upper bound per range partition (held in one task's memory)
 MIN_ROWS_PER_PARTITION = 20_000    # below this, extra partitions only add task overhead
+BYTES_PER_PARTITION = 256 << 20    # estimated input bytes per range partition
 
 
 def _affine_prefix(a: np.ndarray, b: np.ndarray):
@@ -113,8 +114,13 @@ def ordered_scan(df: DataFrame, keys, order, kind: str, value: str | None = None
         # enough rows to share.
         n_rows = df.count()
         par = spark.sparkContext.defaultParallelism
-        n_parts = max(1, math.ceil(n_rows / ROWS_PER_PARTITION),
+        try:  # optimizer size estimate (no job): also bound the bytes one task holds
+            est_bytes = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        except Exception:  # noqa: BLE001
+            est_bytes = 0
+        n_parts = max(1, math.ceil(n_rows / ROWS_PER_PARTITION), math.ceil(est_bytes / BYTES_PER_PARTITION),
                       min(par, math.ceil(n_rows / MIN_ROWS_PER_PARTITION)))
+        n_parts = min(n_parts, max(1, n_rows))
     sort_cols = keys + order
     ordered = (df.repartitionByRange(n_parts, *sort_cols).sortWithinPartitions(*sort_cols)
                  .withColumn("_pid", F.spark_partition_id())).checkpoint(eager=True)

@@ -25,7 +25,8 @@ def test_every_query_has_known_twin_status():
 
 
 @pytest.mark.parametrize("name", ["assemble_retrieval", "mips_exact", "gumbel_sample", "ema", "make_batches",
-                                  "length_cutoffs", "cadence_marks", "ivf_probe"])
+                                  "length_cutoffs", "cadence_marks", "ivf_probe", "training_feed",
+                                  "loss_mean_stream", "sink_cache", "rerank_exact"])
 def test_twin_matches(spark, name):
     con = duckdb.connect()
     for t in TABLES:
