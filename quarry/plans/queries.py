@@ -580,14 +580,14 @@ def _ema_sql(src: str, key: str, order: str, x: str, c: float = EMA_CONSTANT) ->
 
 
 @register("perplexity", f"""
-    SELECT split, step, printf('%.8e', exp(loss)) AS ppl,
-           printf('%.8e', exp({_ema_sql('', 'split', 'step', 'loss')})) AS ppl_ema
+    SELECT split, step, printf('%.6e', exp(loss)) AS ppl,
+           printf('%.6e', exp({_ema_sql('', 'split', 'step', 'loss')})) AS ppl_ema
     FROM ({LOSS_MEAN_SQL})""")
 def q_perplexity(spark, sf):
     lm = M.ema(_loss_mean(spark, sf).select("split", "step", "loss"), "split", ["step"], "loss")
-    # Perplexities span many orders of magnitude: compared at 9 significant digits.
-    return lm.select("split", "step", F.format_string("%.8e", M.perplexity(F.col("loss"))).alias("ppl"),
-                     F.format_string("%.8e", M.perplexity(F.col("ema"))).alias("ppl_ema"))
+    # Perplexities span many orders of magnitude: compared at 7 significant digits.
+    return lm.select("split", "step", F.format_string("%.6e", M.perplexity(F.col("loss"))).alias("ppl"),
+                     F.format_string("%.6e", M.perplexity(F.col("ema"))).alias("ppl_ema"))
 
 
 @register("ema", f"""
