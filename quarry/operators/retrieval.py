@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.params import MAX_BROADCAST_BYTES
+
 
 HIT_ROW_BYTES = 48                 # (sample_id, rank, block_id, score) plus hash-table overhead
-MAX_BROADCAST_HIT_BYTES = 1 << 30
+MAX_BROADCAST_HIT_BYTES = MAX_BROADCAST_BYTES
 
 
 def gather_blocks(hits: DataFrame, payload: DataFrame, block_id_col: str = "block_id",

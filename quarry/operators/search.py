@@ -113,7 +113,7 @@ class TopK:
             return
         parts_s, parts_i = [], []
         for lo in range(0, self.q.shape[0], QUERY_CHUNK):
-            S = self.q[lo:lo + QUERY_CHUNK] @ bmat.T
+            S = self.q[lo:lo + QUERY_CHUNK].astype(np.float64) @ bmat.T.astype(np.float64, copy=False)
             bs, bi = self.s[lo:lo + QUERY_CHUNK], self.i[lo:lo + QUERY_CHUNK]
             if bs.shape[1] == self.k:
                 ms, mi = _merge_above(bs, bi, S, bids, self.k)
@@ -163,11 +163,11 @@ def mips_exact(queries: DataFrame, blocks: DataFrame, k: int = 10, *, qid_col: s
     b = blocks.select(F.col(block_id_col).cast("long").alias("block_id"), F.col(vec_col).alias("v"))
     stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()  # one pass
     nq, dim = int(stats["n"]), int(stats["d"] or 0)
-    if nq * max(dim, 1) * 8 <= broadcast_bytes:
+    if nq * max(dim, 1) * 4 <= broadcast_bytes:   # shipped as float32
         cands = _broadcast_path(q, spread(b), k, dim)
     else:
         nb = b.count()
-        if nb * max(dim, 1) * 8 <= broadcast_bytes:
+        if nb * max(dim, 1) * 4 <= broadcast_bytes:
             return _broadcast_blocks(q, b, k, dim, qid_col)
         cands = _tiled_path(q, b, k, nq, query_tile_rows, block_tile_rows)
     ranked = topk_rank(cands, "qid", [F.desc("score"), F.asc("block_id")], k)
@@ -180,7 +180,9 @@ def _to_matrix(df: DataFrame, id_col: str, dim: int):
     t = df.select(id_col, "v").toArrow()
     ids = t.column(id_col).to_numpy().astype(np.int64)
     mat = vectors_to_matrix(t.column("v"), dim) if len(ids) else np.empty((0, dim))
-    return ids, mat
+    # float32 halves the broadcast; vectors are stored as float32, so nothing is lost,
+    # and scoring upcasts each chunk to float64 before the product.
+    return ids, mat.astype(np.float32)
 
 
 def _broadcast_path(q: DataFrame, b: DataFrame, k: int, dim: int) -> DataFrame:
@@ -224,7 +226,7 @@ def _broadcast_blocks(q: DataFrame, b: DataFrame, k: int, dim: int, qid_col: str
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            qm = vectors_to_matrix(batch.column("v"), mat.shape[0] and mat.shape[1])
+            qm = vectors_to_matrix(batch.column("v"), mat.shape[1] if mat.shape[0] else None)
             top = TopK(qm, k)
             top.update(mat, ids)
             m = top.s.shape[1]

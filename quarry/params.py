@@ -38,6 +38,7 @@ SAVE_PERIOD_MIN = 20                # checkpoint cadence, minutes
 # Engine parameters (not from the reference)
 VOCAB_SIZE = 20000                  # capped vocabulary built from the text
 SEED = 7                            # default sampling seed
+MAX_BROADCAST_BYTES = 256 << 20     # bound for broadcasting data-dependent tables (hits, candidates, maps)
 TOKEN_PATTERN = r"[^ \t\n\r\f\x0B]+"   # whitespace split, identical in Java regex and RE2
 
 

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from quarry.operators.scan import ordered_scan
-from quarry.params import NUM_SHARDS
+from quarry.params import MAX_BROADCAST_BYTES, NUM_SHARDS
 
 
-MAX_BROADCAST_SHARD_MAP_ROWS = 20_000_000
+MAX_BROADCAST_SHARD_MAP_ROWS = MAX_BROADCAST_BYTES // 32   # (split, id, shard) + overhead
 
 
 def sink_cache(cache: DataFrame, path: str, num_shards: int = NUM_SHARDS, order_col: str = "sample_id",
