@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quarry.params import (CONTEXT_SIZE, IVF_LEAVES_TO_SEARCH, IVF_NUM_LEAVES, MAX_GENERATION_LENGTH,
                            NUM_NEIGHBORS, NUM_RETRIEVALS, NUM_SHARDS, PASSAGE_LENGTH_FRACTIONS,
-                           PASSAGE_LENGTH_SAMPLE, QA_LENGTH_FRACTIONS, SEED, TEMPERATURE)
+                           PASSAGE_LENGTH_SAMPLE, QA_LENGTH_FRACTIONS, SAVE_PERIOD_MIN, SEED, TEMPERATURE)
 from quarry.session import checkpoint_dir, ship_package
 
 
@@ -86,7 +86,8 @@ def job_metrics(spark, a):
     lm = M.ema(lm.select("split", "step", "loss"), "split", ["step"], "loss")
     lm.select("split", "step", "loss", "ema", M.perplexity(F.col("loss")).alias("ppl"),
               M.perplexity(F.col("ema")).alias("ppl_ema")).write.mode("overwrite").parquet(a.out + "/steps")
-    marks = M.cadence_marks(log.select("split", "event_id", "ts"), "split", "ts", ["ts", "event_id"], 20 * 60.0)
+    marks = M.cadence_marks(log.select("split", "event_id", "ts"), "split", "ts", ["ts", "event_id"],
+                            SAVE_PERIOD_MIN * 60.0)
     marks.where("marked").write.mode("overwrite").parquet(a.out + "/checkpoint_marks")
 
 
