@@ -124,3 +124,17 @@ def test_cache_split_pruning(spark):
     files = train.inputFiles()
     assert files and all("split=train" in f for f in files)
     assert train.count() == Q.cache_for(spark, SF_SMALL).where("split = 'train'").count()
+
+
+def test_jobs_cache_then_samples(spark):
+    from quarry import jobs
+    from quarry.session import scratch_path
+    out = scratch_path(spark, "job-cache")
+    jobs.main(["cache", "--data", SF_SMALL, "--out", out, "--shards", "4"])
+    back = spark.read.parquet(out)
+    assert back.select("shard").distinct().count() == 4
+    feed_out = scratch_path(spark, "job-samples")
+    jobs.main(["samples", "--cache", out, "--out", feed_out, "--epochs", "2", "--batch", "4", "--replicas", "2"])
+    feed = spark.read.parquet(feed_out)
+    assert feed.select("epoch").distinct().count() == 2
+    assert feed.where(F.size("input_ids") != 1024).count() == 0
