@@ -130,3 +130,26 @@ def training_feed(cache: DataFrame, *, epochs: int, batch_size: int, replicas: i
     joined = placed.join(heavy, "sample_id")
     return training_samples(joined, seed=seed, epoch=F.col("epoch"),
                             keep=("epoch", "batch_no", "replica", "pos_in_batch"), **sample_kw)
+
+
+# ---------------------------------------------------------------------------
+# Closures for DataFrame.transform (the reference's dataset map functions)
+# ---------------------------------------------------------------------------
+
+def make_retrieve_and_merge(**sample_kw):
+    """Returns ``cache -> samples``: sampling + assembly + padding, for ``df.transform``."""
+    def retrieve_and_merge(cache: DataFrame) -> DataFrame:
+        return training_samples(cache, **sample_kw)
+    return retrieve_and_merge
+
+
+def make_prompt_prep(eos: int | None = None):
+    """Returns ``samples -> prompts``: the generation input of each finished sample."""
+    from quarry.operators.assembly import prompt_extract
+    eos = special_ids(VOCAB_SIZE)["eos"] if eos is None else eos
+
+    def prompt_prep(samples: DataFrame) -> DataFrame:
+        is_test = F.col("split") == "test"
+        return samples.select("split", "sample_id", prompt_extract(
+            F.col("input_ids"), F.col("label_ids"), is_test, eos).alias("prompt_ids"))
+    return prompt_prep

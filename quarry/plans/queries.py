@@ -316,6 +316,15 @@ def q_prompt_extract(spark, sf):
     return s.select("split", "sample_id", ids_text(pr).alias("prompt_ids"))
 
 
+@register("row_map", ORACLE["prompt_extract"])
+def q_row_map(spark, sf):
+    # The same prompts as prompt_extract, built as a chain of dataset closures.
+    prompts = (cache_for(spark, sf)
+               .transform(P.make_retrieve_and_merge())
+               .transform(P.make_prompt_prep(EOS)))
+    return prompts.select("split", "sample_id", ids_text(F.col("prompt_ids")).alias("prompt_ids"))
+
+
 @register("strip_special", _fin_sql(f"""
     sample_id, array_to_string(list_filter(input_ids, lambda x: x >= 0 AND x <> {EOS}), ' ') AS ids"""))
 def q_strip_special(spark, sf):
