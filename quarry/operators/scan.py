@@ -136,30 +136,56 @@ def ordered_scan(df: DataFrame, keys, order, kind: str, value: str | None = None
     c = float(constant) if constant is not None else 0.0
     per = float(period or 0.0)
 
+    names_sum = summary_schema.fieldNames()
+
     def summarise(batches):
-        frames = [b for b in batches if len(b)]
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True).sort_values(sort_cols, kind="stable")
-        pdf = pdf.reset_index(drop=True)
-        x = pdf[value].to_numpy(dtype=np.float64) if value else np.zeros(len(pdf))
-        rows = []
-        for lo, hi in _runs(pdf, keys):
-            seg = x[lo:hi]
-            n = hi - lo
-            a = b = 0.0
+        # Streams the (sorted) partition batch by batch; only the current key
+        # run's accumulators are held (cadence keeps the run's times: its chain
+        # summary needs the whole run).
+        cur = None  # [run_key, n, s, A, B, first, last, times]
+
+        def emit(run):
+            key, n, tot, A, B, first, last, times = run
             head_t = head_g = None
-            if kind == "ema":
-                A, B = _affine_prefix(np.full(n, c), (1 - c) * seg)
-                a, b = float(A[-1]), float(B[-1])
             if kind == "cadence":
+                seg = np.concatenate(times)
                 g = _cadence_terminal(seg, per)
-                h = int(np.searchsorted(seg, seg[0] + per, side="right"))
-                h = min(h + 1, n)
+                h = min(int(np.searchsorted(seg, seg[0] + per, side="right")) + 1, len(seg))
                 head_t, head_g = seg[:h].tolist(), g[:h].tolist()
-            rows.append([int(pdf["_pid"].iat[lo])] + [pdf[k].iat[lo] for k in keys] + [
-                n, float(seg.sum()), a, b, float(seg[0]), float(seg[-1]), head_t, head_g])
-        yield pd.DataFrame(rows, columns=summary_schema.fieldNames())
+            return list(key) + [n, tot, A, B, first, last, head_t, head_g]
+
+        out = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = pdf[value].to_numpy(dtype=np.float64) if value else np.zeros(len(pdf))
+            for lo, hi in _runs(pdf, ["_pid"] + keys):
+                key = tuple(pdf[col].iat[lo] for col in ["_pid"] + keys)
+                seg = x[lo:hi]
+                A = B = 0.0
+                if kind == "ema":
+                    Ap, Bp = _affine_prefix(np.full(hi - lo, c), (1 - c) * seg)
+                    A, B = float(Ap[-1]), float(Bp[-1])
+                if cur is not None and cur[0] == key:      # run continues from the last batch
+                    cur[1] += hi - lo
+                    cur[2] += float(seg.sum())
+                    cur[4] = A * cur[4] + B
+                    cur[3] = cur[3] * A
+                    cur[6] = float(seg[-1])
+                    if kind == "cadence":
+                        cur[7].append(seg)
+                    continue
+                if cur is not None:
+                    out.append(emit(cur))
+                cur = [key, hi - lo, float(seg.sum()), A, B, float(seg[0]), float(seg[-1]),
+                       [seg] if kind == "cadence" else None]
+            if len(out) >= 1024:
+                yield pd.DataFrame(out, columns=names_sum)
+                out = []
+        if cur is not None:
+            out.append(emit(cur))
+        if out:
+            yield pd.DataFrame(out, columns=names_sum)
 
     summary_cols = ["_pid"] + sort_cols + ([value] if value and value not in sort_cols else [])
     summaries = ordered.select(*summary_cols).mapInPandas(summarise, summary_schema)
@@ -208,12 +234,18 @@ def ordered_scan(df: DataFrame, keys, order, kind: str, value: str | None = None
     # Null-safe match on (partition, key): a NULL key is a key like any other.
     renamed = start_tab.select(F.col("_pid").alias("_sp"), *[F.col(k).alias(f"_sk{i}") for i, k in enumerate(keys)],
                                "_n0", "_v0")
-    if start_tab.count() <= BROADCAST_SUMMARY_ROWS:   # at most partitions + keys rows
+    small = start_tab.count() <= BROADCAST_SUMMARY_ROWS   # at most partitions + keys rows
+    if small:
         renamed = F.broadcast(renamed)
     cond = F.col("_pid") == F.col("_sp")
     for i, k in enumerate(keys):
         cond = cond & ordered[k].eqNullSafe(F.col(f"_sk{i}"))
     joined = ordered.join(renamed, cond, "left").drop("_sp", *[f"_sk{i}" for i in range(len(keys))])
+    # The apply step streams each partition in (partition id, key, order) order.
+    # Broadcast join: partitions are the checkpointed ones, already in key order
+    # (one partition id each), so this sort is satisfied by the child ordering and
+    # planned away. Shuffle join: segments of several partitions meet, sort them.
+    joined = joined.sortWithinPartitions(*sort_cols) if small else joined.sortWithinPartitions("_pid", *sort_cols)
 
     out_type = {"row_number": T.LongType(), "sum": T.DoubleType(), "ema": T.DoubleType(),
                 "lag": T.DoubleType(), "cadence": T.BooleanType()}[kind]
@@ -221,37 +253,52 @@ def ordered_scan(df: DataFrame, keys, order, kind: str, value: str | None = None
     out_schema = T.StructType([f for f in df.schema.fields] + [T.StructField(out, out_type)] + extra)
     names = df.columns
 
+    res_dtype = object if kind == "lag" else (np.int64 if kind == "row_number" else
+                                              (bool if kind == "cadence" else np.float64))
+
     def apply(batches):
-        frames = [b for b in batches if len(b)]
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True).sort_values(["_pid"] + sort_cols, kind="stable")
-        pdf = pdf.reset_index(drop=True)
-        x = pdf[value].to_numpy(dtype=np.float64) if value else None
-        res = np.empty(len(pdf), dtype=object if kind in ("lag",) else
-                       (np.int64 if kind == "row_number" else (bool if kind == "cadence" else np.float64)))
-        pos = np.empty(len(pdf), dtype=np.int64)
-        for lo, hi in _runs(pdf, ["_pid"] + keys):
-            n0 = int(pdf["_n0"].iat[lo])
-            pos[lo:hi] = n0 + np.arange(hi - lo)
-            v0 = pdf["_v0"].iat[lo]
-            v0 = None if v0 is None or (isinstance(v0, float) and math.isnan(v0)) else float(v0)
-            n = hi - lo
-            if kind == "row_number":
-                res[lo:hi] = n0 + np.arange(n)
-            elif kind == "sum":
-                res[lo:hi] = (v0 or 0.0) + np.cumsum(x[lo:hi])
-            elif kind == "ema":
-                A, B = _affine_prefix(np.full(n, c), (1 - c) * x[lo:hi])
-                res[lo:hi] = A * v0 + B
-            elif kind == "lag":
-                res[lo] = v0
-                res[lo + 1:hi] = x[lo:hi - 1]
-            elif kind == "cadence":
-                res[lo:hi], _ = _cadence_marks(x[lo:hi], per, v0)
-        pdf[out] = res
-        if position:
-            pdf[position] = pos
-        yield pdf[names + [out] + ([position] if position else [])]
+        # Streams the partition (sorted by _pid, keys, order); the state of the
+        # key run in progress is carried from one Arrow batch to the next.
+        carry = None  # (run_key, next_position, state)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            pdf = pdf.reset_index(drop=True)
+            x = pdf[value].to_numpy(dtype=np.float64) if value else None
+            res = np.empty(len(pdf), dtype=res_dtype)
+            pos = np.empty(len(pdf), dtype=np.int64)
+            for lo, hi in _runs(pdf, ["_pid"] + keys):
+                key = tuple(pdf[col].iat[lo] for col in ["_pid"] + keys)
+                if carry is not None and carry[0] == key:
+                    n0, v0 = carry[1], carry[2]
+                else:
+                    n0 = int(pdf["_n0"].iat[lo])
+                    v0 = pdf["_v0"].iat[lo]
+                    v0 = None if v0 is None or (isinstance(v0, float) and math.isnan(v0)) else float(v0)
+                n = hi - lo
+                pos[lo:hi] = n0 + np.arange(n)
+                if kind == "row_number":
+                    res[lo:hi] = pos[lo:hi]
+                    end = None
+                elif kind == "sum":
+                    cs = (v0 or 0.0) + np.cumsum(x[lo:hi])
+                    res[lo:hi] = cs
+                    end = float(cs[-1])
+                elif kind == "ema":
+                    A, B = _affine_prefix(np.full(n, c), (1 - c) * x[lo:hi])
+                    out_v = A * v0 + B
+                    res[lo:hi] = out_v
+                    end = float(out_v[-1])
+                elif kind == "lag":
+                    res[lo] = v0
+                    res[lo + 1:hi] = x[lo:hi - 1]
+                    end = float(x[hi - 1])
+                else:  # cadence
+                    res[lo:hi], end = _cadence_marks(x[lo:hi], per, v0)
+                carry = (key, n0 + n, end)
+            pdf[out] = res
+            if position:
+                pdf[position] = pos
+            yield pdf[names + [out] + ([position] if position else [])]
 
     return joined.mapInPandas(apply, out_schema)

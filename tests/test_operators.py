@@ -211,3 +211,32 @@ def test_shortest_answer_in_row(spark):
     from quarry.sources.tables import shortest_answer
     df = spark.createDataFrame([(["abcd", " x", "yz"],)], "a array<string>")
     assert df.select(shortest_answer(F.col("a"))).first()[0] == "x"
+
+
+def test_scan_carries_state_across_arrow_batches(spark):
+    random.seed(4)
+    rows = [("hot" if random.random() < 0.7 else "cold", i, random.random()) for i in range(2500)]
+    df = spark.createDataFrame(rows, "k string, t long, x double")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        got = {(r["k"], r["t"]): (r["o"], r["p"]) for r in
+               ordered_scan(df, "k", ["t"], "ema", "x", "o", n_parts=3, constant=0.8, position="p").collect()}
+        lag = {(r["k"], r["t"]): r["o"] for r in ordered_scan(df, "k", ["t"], "lag", "x", "o", n_parts=3).collect()}
+        cad = {(r["k"], r["t"]): r["o"] for r in
+               ordered_scan(df, "k", ["t"], "cadence", "t", "o", n_parts=3, period=7.0).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    state, pos, prev, last = {}, {}, {}, {}
+    for k, t, x in sorted(rows, key=lambda r: (r[0], r[1])):
+        v = x if k not in state else 0.8 * state[k] + 0.2 * x
+        state[k] = v
+        p = pos.get(k, -1) + 1
+        pos[k] = p
+        assert abs(got[(k, t)][0] - v) < 1e-9 and got[(k, t)][1] == p
+        assert lag[(k, t)] == prev.get(k)
+        prev[k] = x
+        mark = k not in last or t >= last[k] + 7.0
+        if mark:
+            last[k] = t
+        assert cad[(k, t)] == mark
