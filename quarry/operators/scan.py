@@ -16,6 +16,11 @@ scan runs in three steps instead:
    ``n`` rows);
 3. **apply**: each partition re-scans its rows from the incoming state.
 
+Steps 2 and 3 stream the sorted partition one Arrow batch at a time and carry
+only the state of the key run in progress, so a task holds one batch (the
+cadence summary keeps the times of one run, as its chain needs the whole run).
+Partition counts come from the row total and the optimizer's byte estimate.
+
 Kinds: ``row_number`` (0-based), ``sum`` (inclusive), ``ema`` (first value
 initialises unless a seed is given), ``lag`` (previous row's value, NULL first)
 and ``cadence`` (True where the row is marked).
