@@ -37,6 +37,7 @@ CANDIDATE_SCHEMA = T.StructType([
     T.StructField("score", T.DoubleType())])
 
 QUERY_CHUNK = 1024
+PAIRS_PER_TASK = 5_000_000_000    # ~1 min of scoring per task at ~7e7 pairs/s/core
 
 
 def topk_rank(df: DataFrame, partition_by, order_by, k: int, rank_col: str = "rank") -> DataFrame:
@@ -164,7 +165,13 @@ def mips_exact(queries: DataFrame, blocks: DataFrame, k: int = 10, *, qid_col: s
     stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()  # one pass
     nq, dim = int(stats["n"]), int(stats["d"] or 0)
     if nq * max(dim, 1) * 4 <= broadcast_bytes:   # shipped as float32
-        cands = _broadcast_path(q, spread(b), k, dim)
+        # Each block task emits k candidates per query, so the merge shuffles
+        # tasks x queries x k rows: size the tasks by work (query x block pairs),
+        # not by input splits. coalesce() only ever merges splits (narrow).
+        nb = b.count()
+        sc = q.sparkSession.sparkContext
+        tasks = max(sc.defaultParallelism, math.ceil(nq * nb / PAIRS_PER_TASK))
+        cands = _broadcast_path(q, spread(b).coalesce(tasks), k, dim)
     else:
         nb = b.count()
         if nb * max(dim, 1) * 4 <= broadcast_bytes:
