@@ -7,21 +7,31 @@ names and value rendering match the SQL twin in ``ORACLE`` (floats rounded to
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from quarry import oracle as O
-from quarry.functions.arrays import attention_mask, ids_text, strip_padding, strip_special, pad_cut
-from quarry.functions.text import fmt_duration, fmt_sections, strip_ws
+from quarry.functions.arrays import attention_mask, ids_text, pad_cut, strip_padding, strip_special
+from quarry.functions.text import fmt_duration, fmt_sections, strip_ws, tokens
+from quarry.operators import ann as AN
 from quarry.operators import assembly as A
-from quarry.operators.retrieval import cached_lookup, select_by_index
-from quarry.operators.sampling import gumbel_sample
-from quarry.operators.search import topk_rank
-from quarry.operators.vocab import Vocab
-from quarry.params import (CONTEXT_SIZE, MASK_ID, NUM_RETRIEVALS, RAGGED_PAD_ID, SEED, TEMPERATURE,
-                           VOCAB_SIZE, special_ids)
+from quarry.operators import batching as B
+from quarry.operators import metrics as M
+from quarry.operators import stats as S
+from quarry.operators.encoder import encoder_hook, hashing_embedder
+from quarry.operators.retrieval import cached_lookup, gather_blocks, select_by_index
+from quarry.operators.sampling import gumbel_sample, hash_sample, paired_subset
+from quarry.operators.search import mips_exact, topk_rank
+from quarry.operators.vocab import Vocab, read_vocab_file, write_vocab_file
+from quarry.params import (BATCHES_BETWEEN_EVALS, CONTEXT_SIZE, EMA_CONSTANT, MASK_ID, NUMBER_EVAL_BATCHES,
+                           NUM_RETRIEVALS, PASSAGE_LENGTH_FRACTIONS, PASSAGE_LENGTH_SAMPLE,
+                           QA_LENGTH_FRACTIONS, RAGGED_PAD_ID, SAVE_PERIOD_MIN, SEED, SPLIT_CARDINALITIES,
+                           TEMPERATURE, VOCAB_SIZE, special_ids)
 from quarry.plans import pipeline as P
+from quarry.session import scratch_path
+from quarry.sources import cache_io as CI
 from quarry.sources import tables
+from quarry.streaming import metrics_stream as MS
 
 SP = special_ids(VOCAB_SIZE)
 EOS = SP["eos"]
@@ -420,15 +430,6 @@ def q_fmt_sections(spark, sf):
 # Length study and checks
 # ---------------------------------------------------------------------------
 
-from quarry.functions.keyed import hash32  # noqa: E402
-from quarry.functions.text import tokens  # noqa: E402
-from quarry.operators import stats as S  # noqa: E402
-from quarry.operators import metrics as M  # noqa: E402
-from quarry.operators import batching as B  # noqa: E402
-from quarry.operators.sampling import hash_sample  # noqa: E402
-from quarry.params import (EMA_CONSTANT, PASSAGE_LENGTH_FRACTIONS, PASSAGE_LENGTH_SAMPLE,  # noqa: E402
-                           QA_LENGTH_FRACTIONS, SAVE_PERIOD_MIN, SPLIT_CARDINALITIES,
-                           BATCHES_BETWEEN_EVALS, NUMBER_EVAL_BATCHES)
 
 WS = r"[ \t\n\r\f\x0B]"
 STRIP_SQL = f"regexp_replace({{}}, '^{WS}+|{WS}+$', '', 'g')"
@@ -727,10 +728,6 @@ def q_schedule_interleave(spark, sf):
 # Approximate search, recall, subsets
 # ---------------------------------------------------------------------------
 
-from quarry.operators import ann as AN  # noqa: E402
-from quarry.operators.retrieval import gather_blocks  # noqa: E402
-from quarry.operators.sampling import paired_subset  # noqa: E402
-from quarry.operators.search import mips_exact  # noqa: E402
 
 N_LEAVES = 16
 N_QUERY_SAMPLE = 100
@@ -897,9 +894,6 @@ def q_paired_subset(spark, sf):
 # Sinks and sources (round trips through the shared checkpoint folder)
 # ---------------------------------------------------------------------------
 
-from quarry.session import scratch_path  # noqa: E402
-from quarry.sources import cache_io as CI  # noqa: E402
-from quarry.streaming import metrics_stream as MS  # noqa: E402
 
 SHARDS = 8
 _SHARD_SQL = f"""
@@ -1035,8 +1029,6 @@ def q_counters_stream(spark, sf):
 # Encoder hook, vocabulary file round trip, batch-padded encoder inputs
 # ---------------------------------------------------------------------------
 
-from quarry.operators.encoder import encoder_hook, hashing_embedder  # noqa: E402
-from quarry.operators.vocab import read_vocab_file, write_vocab_file  # noqa: E402
 
 
 @register("encoder_hook")
