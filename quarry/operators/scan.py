@@ -123,7 +123,10 @@ def ordered_scan(df: DataFrame, keys, order, kind: str, value: str | None = None
             est_bytes = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         except Exception:  # noqa: BLE001
             est_bytes = 0
-        n_parts = max(1, math.ceil(n_rows / ROWS_PER_PARTITION), math.ceil(est_bytes / BYTES_PER_PARTITION),
+        # (join size estimates can be far too high: the byte term never asks
+        # for partitions of fewer than 1000 rows)
+        by_bytes = min(math.ceil(est_bytes / BYTES_PER_PARTITION), math.ceil(n_rows / 1000))
+        n_parts = max(1, math.ceil(n_rows / ROWS_PER_PARTITION), by_bytes,
                       min(par, math.ceil(n_rows / MIN_ROWS_PER_PARTITION)))
         n_parts = min(n_parts, max(1, n_rows))
     sort_cols = keys + order
