@@ -42,8 +42,10 @@ CADENCE_STATE = T.StructType([T.StructField("last_mark", T.DoubleType()),
 
 
 def stage_time_ordered(df: DataFrame, ts: str, n_files: int, path: str) -> str:
-    """Write ``df`` as ``n_files`` files in time order, one job per file, so file
-    modification order follows event time (feeds the stream tests)."""
+    """Replay helper: write ``df`` as ``n_files`` time slices in time order, one job
+    per slice, so file modification order follows event time and each micro-batch
+    (``maxFilesPerTrigger=1``) is one slice. A live stream arrives from its writer
+    instead; this exists to replay a table through the streaming operators."""
     bounds = df.select(F.min(epoch_micros(F.col(ts))).alias("lo"),
                        F.max(epoch_micros(F.col(ts))).alias("hi")).first()
     lo, hi = int(bounds["lo"]), int(bounds["hi"]) + 1
