@@ -42,7 +42,14 @@ def job_samples(spark, a):
               max_generation_length=a.max_generation_length, approach=a.approach,
               use_helper_words=not a.no_helper_words, helper_mode=a.helper_mode)
     feed = P.training_feed(cache, epochs=a.epochs, batch_size=a.batch, replicas=a.replicas, seed=a.seed, **kw)
+    from quarry.operators.stats import observe_sample_checks, strict_sample_checks
+    from quarry.params import special_ids
+    eos = special_ids()["eos"]
+    if a.strict:
+        feed = strict_sample_checks(feed, eos)
+    feed, obs = observe_sample_checks(feed, eos)
     feed.write.mode("overwrite").partitionBy("split", "epoch").parquet(a.out)
+    print({"sample_checks": obs.get})
 
 
 def job_recall(spark, a):
@@ -115,6 +122,7 @@ def main(argv=None):
     s.add_argument("--approach", default="cached_pretok", choices=["cached_pretok", "naked_lm"])
     s.add_argument("--helper-mode", default="multiple", choices=["multiple", "once"])
     s.add_argument("--no-helper-words", action="store_true")
+    s.add_argument("--strict", action="store_true", help="fail on the first sample breaking an invariant")
     r = sub.add_parser("recall")
     r.add_argument("--data", required=True)
     r.add_argument("--out", required=True)

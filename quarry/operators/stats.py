@@ -102,3 +102,34 @@ def cache_violations(cache, k: int):
         F.count_if((F.col("split") != "test") & (a.isNull() | (F.size(a) == 0))).alias("n_missing_answer"),
         F.count_if(F.exists(q, lambda x: x == RAGGED_PAD_ID)
                    | F.coalesce(F.exists(a, lambda x: x == RAGGED_PAD_ID), F.lit(False))).alias("n_pad_left"))
+
+
+def _violation_exprs(eos: int):
+    i, lab = F.col("input_ids"), F.col("label_ids")
+    return {
+        "n_pad_input": F.exists(i, lambda x: x == RAGGED_PAD_ID),
+        "n_pad_label": F.coalesce(F.exists(lab, lambda x: x == RAGGED_PAD_ID), F.lit(False)),
+        "n_all_masked": lab.isNotNull() & F.forall(lab, lambda x: x == MASK_ID),
+        "n_empty_input": (F.size(i) == 0) | F.forall(i, lambda x: x == eos),
+    }
+
+
+def observe_sample_checks(samples, eos: int):
+    """Attach the sample invariants as in-flight metrics (``DataFrame.observe``):
+    counted while the samples are written, no extra pass. Returns
+    ``(observed_df, observation)``; read ``observation.get`` after the action."""
+    from pyspark.sql import Observation
+    obs = Observation("sample_checks")
+    metrics = [F.count(F.lit(1)).alias("n")] + [F.count_if(e).alias(k) for k, e in _violation_exprs(eos).items()]
+    return samples.observe(obs, *metrics), obs
+
+
+def strict_sample_checks(samples, eos: int):
+    """Fail the job at the first sample breaking an invariant (debug-check mode)."""
+    bad = None
+    for k, e in _violation_exprs(eos).items():
+        cond = F.when(e, F.lit(k))
+        bad = cond if bad is None else F.coalesce(bad, cond)
+    return samples.withColumn("input_ids", F.when(bad.isNull(), F.col("input_ids")).otherwise(
+        F.raise_error(F.concat(F.lit("sample check failed: "), bad, F.lit(" in sample "),
+                               F.col("sample_id").cast("string")))))

@@ -92,3 +92,18 @@ def test_prompt_extract(spark):
 def test_invalid_mode():
     with pytest.raises(ValueError):
         A.concat_contexts(F.col("x"), F.col("y"), "twice")
+
+
+def test_observed_and_strict_checks(spark):
+    from quarry.operators.stats import observe_sample_checks, strict_sample_checks
+    q = list(range(10, 24))
+    i, l = run(spark, q, [[20, 21]], [30, 31])          # negative budget: all labels masked
+    ok_i, ok_l = run(spark, [10, 11], [[20]], [30])
+    df = spark.createDataFrame([("train", 1, i, l), ("train", 2, ok_i, ok_l)],
+                               "split string, sample_id long, input_ids array<int>, label_ids array<int>")
+    observed, obs = observe_sample_checks(df, 0)
+    observed.write.format("noop").mode("overwrite").save()
+    assert obs.get["n"] == 2 and obs.get["n_all_masked"] == 1
+    with pytest.raises(Exception):
+        strict_sample_checks(df, 0).collect()
+    assert strict_sample_checks(df.where("sample_id = 2"), 0).count() == 1
