@@ -72,19 +72,10 @@ def cardinality_check(df: DataFrame, expected: dict, key: str = "split") -> Data
 
 def sample_violations(samples: DataFrame, eos: int) -> DataFrame:
     """Per split: counts of rows breaking each finished-sample invariant."""
-    i, lab = F.col("input_ids"), F.col("label_ids")
-    has_pad_in = F.exists(i, lambda x: x == RAGGED_PAD_ID)
-    has_pad_lab = F.coalesce(F.exists(lab, lambda x: x == RAGGED_PAD_ID), F.lit(False))
-    all_masked = lab.isNotNull() & F.forall(lab, lambda x: x == MASK_ID)
-    empty_in = (F.size(i) == 0) | F.forall(i, lambda x: x == eos)
-    all_negative = F.forall(i, lambda x: x < 0)
+    checks = _violation_exprs(eos)
+    checks["n_all_negative"] = F.forall(F.col("input_ids"), lambda x: x < 0)
     return samples.groupBy("split").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(has_pad_in).alias("n_pad_input"),
-        F.count_if(has_pad_lab).alias("n_pad_label"),
-        F.count_if(all_masked).alias("n_all_masked"),
-        F.count_if(empty_in).alias("n_empty_input"),
-        F.count_if(all_negative).alias("n_all_negative"))
+        F.count(F.lit(1)).alias("n"), *[F.count_if(e).alias(k) for k, e in checks.items()])
 
 
 def retrieval_count_violations(cache: DataFrame, k: int) -> Column:
