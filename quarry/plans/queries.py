@@ -197,9 +197,9 @@ def q_topk_rank(spark, sf):
     SELECT h.sample_id, h.rank::BIGINT AS rank, h.block_id, b.text
     FROM hits h JOIN blocks b USING (block_id)""", "hits", "blocks"))
 def q_gather_blocks(spark, sf):
-    from quarry.operators.retrieval import gather_blocks
-    h = P.retrieval_hits(spark, sf).select("sample_id", "rank", "block_id")
-    return gather_blocks(h, tables.blocks(spark, sf, with_vectors=False))
+    qs = tables.questions(spark, sf)
+    h = P.retrieval_hits(spark, sf, qs=qs, with_split=False).select("sample_id", "rank", "block_id")
+    return gather_blocks(h, tables.blocks(spark, sf, with_vectors=False), n_hits=qs.count() * 10)
 
 
 @register("collect_retrievals", O.sql("""
@@ -769,7 +769,7 @@ def q_live_retrieve(spark, sf):
     cents, assigned = ann_index(spark, sf)
     hits = AN.ivf_probe(_qv(spark, sf), assigned, cents, N_LEAVES, 10)
     out = gather_blocks(hits.select(F.col("qid").alias("sample_id"), "rank", "block_id"),
-                        tables.blocks(spark, sf, with_vectors=False))
+                        tables.blocks(spark, sf, with_vectors=False), n_hits=_qv(spark, sf).count() * 10)
     return out.select("sample_id", "rank", "block_id", "text")
 
 
