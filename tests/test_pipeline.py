@@ -138,3 +138,22 @@ def test_jobs_cache_then_samples(spark):
     feed = spark.read.parquet(feed_out)
     assert feed.select("epoch").distinct().count() == 2
     assert feed.where(F.size("input_ids") != 1024).count() == 0
+
+
+def test_jobs_recall_lengths_metrics(spark):
+    import json
+    import os
+    from quarry import jobs
+    from quarry.session import scratch_path
+    out = scratch_path(spark, "job-recall")
+    jobs.main(["recall", "--data", SF_SMALL, "--out", out, "--leaves", "4", "--nprobe", "4", "--queries", "20"])
+    local = out.replace("file:", "")
+    files = [f for f in os.listdir(local) if f.endswith(".json")]
+    rep = json.loads(open(os.path.join(local, files[0])).readline())
+    assert rep["recall"] == 1.0 and rep["count_total"] == 200   # every leaf probed: exact
+    lengths = scratch_path(spark, "job-lengths")
+    jobs.main(["lengths", "--data", SF_SMALL, "--out", lengths])
+    assert spark.read.parquet(lengths + "/qa_budget").count() == 14 * 4
+    metrics = scratch_path(spark, "job-metrics")
+    jobs.main(["metrics", "--data", SF_SMALL, "--out", metrics])
+    assert spark.read.parquet(metrics + "/steps").where("ppl IS NULL").count() == 0
