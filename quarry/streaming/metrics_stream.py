@@ -41,13 +41,17 @@ CADENCE_STATE = T.StructType([T.StructField("last_mark", T.DoubleType()),
                               T.StructField("last_id", T.LongType()), T.StructField("n_late", T.LongType())])
 
 
-def stage_time_ordered(df: DataFrame, ts: str, n_files: int, path: str) -> str:
+def stage_time_ordered(df: DataFrame, ts: str, n_files: int, path: str,
+                       max_rows_per_file: int = 2_000_000) -> str:
     """Replay helper: write ``df`` as ``n_files`` time slices in time order, one job
     per slice, so file modification order follows event time and each micro-batch
     (``maxFilesPerTrigger=1``) is one slice. A live stream arrives from its writer
-    instead; this exists to replay a table through the streaming operators."""
+    instead; this exists to replay a table through the streaming operators. More
+    slices are cut when needed so no slice (one writer task) exceeds
+    ``max_rows_per_file`` rows on average."""
     bounds = df.select(F.min(epoch_micros(F.col(ts))).alias("lo"),
-                       F.max(epoch_micros(F.col(ts))).alias("hi")).first()
+                       F.max(epoch_micros(F.col(ts))).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    n_files = max(n_files, math.ceil(int(bounds["n"]) / max_rows_per_file))
     lo, hi = int(bounds["lo"]), int(bounds["hi"]) + 1
     step = max(1, math.ceil((hi - lo) / n_files))
     for i in range(n_files):
