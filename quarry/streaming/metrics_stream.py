@@ -51,6 +51,9 @@ def stage_time_ordered(df: DataFrame, ts: str, n_files: int, path: str,
     ``max_rows_per_file`` rows on average."""
     bounds = df.select(F.min(epoch_micros(F.col(ts))).alias("lo"),
                        F.max(epoch_micros(F.col(ts))).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    if not bounds["n"]:
+        df.limit(0).write.mode("append").parquet(path)
+        return path
     n_files = max(n_files, math.ceil(int(bounds["n"]) / max_rows_per_file))
     lo, hi = int(bounds["lo"]), int(bounds["hi"]) + 1
     step = max(1, math.ceil((hi - lo) / n_files))
