@@ -240,3 +240,12 @@ def test_scan_carries_state_across_arrow_batches(spark):
         if mark:
             last[k] = t
         assert cad[(k, t)] == mark
+
+
+def test_mips_tiled_with_empty_tiles(spark):
+    q = _vec_df(spark, [(i, [float(i), 1.0]) for i in range(5)], "qid")
+    b = _vec_df(spark, [(7, [1.0, 0.0]), (8, [0.0, 1.0]), (9, [1.0, 1.0])], "block_id")
+    a = {(r.qid, r.rank): r.block_id for r in mips_exact(q, b, 2, qid_col="qid").collect()}
+    t = {(r.qid, r.rank): r.block_id for r in mips_exact(q, b, 2, qid_col="qid", broadcast_bytes=1,
+                                                           query_tile_rows=2, block_tile_rows=1).collect()}
+    assert a == t and len(a) == 10
