@@ -38,6 +38,7 @@ CANDIDATE_SCHEMA = T.StructType([
 
 QUERY_CHUNK = 1024
 PAIRS_PER_TASK = 5_000_000_000    # ~1 min of scoring per task at ~7e7 pairs/s/core
+CANDIDATE_ROWS_BUDGET = 2_000_000_000   # tasks x queries x k rows entering the merge shuffle
 
 
 def topk_rank(df: DataFrame, partition_by, order_by, k: int, rank_col: str = "rank") -> DataFrame:
@@ -170,7 +171,9 @@ def mips_exact(queries: DataFrame, blocks: DataFrame, k: int = 10, *, qid_col: s
         # not by input splits. coalesce() only ever merges splits (narrow).
         nb = b.count()
         sc = q.sparkSession.sparkContext
-        tasks = max(sc.defaultParallelism, math.ceil(nq * nb / PAIRS_PER_TASK))
+        lo = max(1, math.ceil(nq * nb / PAIRS_PER_TASK))               # tasks never run too long
+        hi = max(lo, CANDIDATE_ROWS_BUDGET // max(1, nq * k))           # merge volume stays bounded
+        tasks = min(max(sc.defaultParallelism, lo), hi)
         cands = _broadcast_path(q, spread(b).coalesce(tasks), k, dim)
     else:
         nb = b.count()
