@@ -39,14 +39,35 @@ def seeded_order(df: DataFrame, id_col: str, seed: int = SEED, epoch=0) -> DataF
         "_shuffle_key", id_col)
 
 
+TOP_N_IN_ONE_TASK = 100_000   # above this, a sample is cut by a hash threshold instead of a top-n merge
+
+
 def hash_sample(df: DataFrame, id_col: str, n: int, seed: int = SEED) -> DataFrame:
     """``n`` rows chosen without replacement by keyed hash order (query_sample, len_sample).
 
-    The limit is the operator itself; it is planned as a bounded top-n
-    (TakeOrderedAndProject), not a sort of the whole table.
+    The limit is the operator itself. Small ``n``: a bounded top-n
+    (TakeOrderedAndProject: per-task top-n, then one merge of tasks x n rows).
+    Large ``n``: an exact threshold instead -- a histogram of the hash's top 16
+    bits (at most 65 536 rows, partial aggregation) locates the bucket holding
+    the n-th row; rows below it are kept as they are and only that one bucket
+    (about total / 65 536 rows) is ordered and cut. Same rows either way.
     """
-    key = hash32(F.lit(seed), F.col(id_col))
-    return df.withColumn("_h", key).orderBy("_h", id_col).limit(n).drop("_h")
+    keyed = df.withColumn("_h", hash32(F.lit(seed), F.col(id_col)))
+    if n <= TOP_N_IN_ONE_TASK:
+        return keyed.orderBy("_h", id_col).limit(n).drop("_h")
+    keyed = keyed.withColumn("_b", F.shiftright(F.col("_h"), 16))
+    hist = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("c")).orderBy("_b").collect()  # <= 65 536 rows
+    below, cut = 0, None
+    for r in hist:
+        if below + r["c"] >= n:
+            cut = r["_b"]
+            break
+        below += r["c"]
+    if cut is None:                      # fewer than n rows: all of them
+        return keyed.drop("_h", "_b")
+    inside = keyed.where(F.col("_b") < cut)
+    edge = keyed.where(F.col("_b") == cut).orderBy("_h", id_col).limit(n - below)
+    return inside.unionByName(edge).drop("_h", "_b")
 
 
 def paired_subset(ids: DataFrame, id_col: str, n: int, tables: dict, seed: int = SEED,

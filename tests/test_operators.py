@@ -249,3 +249,16 @@ def test_mips_tiled_with_empty_tiles(spark):
     t = {(r.qid, r.rank): r.block_id for r in mips_exact(q, b, 2, qid_col="qid", broadcast_bytes=1,
                                                            query_tile_rows=2, block_tile_rows=1).collect()}
     assert a == t and len(a) == 10
+
+
+def test_hash_sample_threshold_path_equals_top_n(spark):
+    from quarry.operators import sampling as SM
+    df = spark.range(0, 5000).withColumnRenamed("id", "k")
+    small = {r["k"] for r in SM.hash_sample(df, "k", 1234, 7).collect()}
+    old = SM.TOP_N_IN_ONE_TASK
+    SM.TOP_N_IN_ONE_TASK = 10
+    try:
+        big = {r["k"] for r in SM.hash_sample(df, "k", 1234, 7).collect()}
+    finally:
+        SM.TOP_N_IN_ONE_TASK = old
+    assert small == big and len(big) == 1234
