@@ -1147,3 +1147,14 @@ def q_src_blocks_positional(spark, sf):
     b = tables.blocks(spark, sf, with_vectors=False)
     b.repartitionByRange(4, "block_id").sortWithinPartitions("block_id").select("text").write.parquet(path)
     return tables.import_positional(spark, path, "block_pos")
+
+
+@register("ema_stream_event_time", f"""
+    SELECT split, event_id, ema FROM ({ORACLE['ema']})
+    JOIN (SELECT event_id, epoch_us(ts) AS us FROM events) USING (event_id)
+    WHERE us <= (SELECT (max(epoch_us(ts)) // 1000) * 1000 - 7200000000 FROM events)""")
+def q_ema_stream_event_time(spark, sf):
+    # Folded in event-time order under a 2-hour watermark; rows still inside the
+    # delay at the end of the input are not final and not emitted.
+    out = MS.ema_stream_event_time(spark, _staged_events(spark, sf), MS.events_schema(spark, sf))
+    return out.select("split", "event_id", r6(F.col("ema")).alias("ema"))

@@ -184,3 +184,70 @@ def _run_to_files(spark: SparkSession, out: DataFrame, name: str) -> DataFrame:
 
 def events_schema(spark: SparkSession, sf_dir: str) -> T.StructType:
     return spark.read.parquet(os.path.join(sf_dir, "events.parquet")).schema
+
+
+EMA_WM_STATE = T.StructType([
+    T.StructField("avg", T.DoubleType()), T.StructField("done_us", T.LongType()),
+    T.StructField("done_id", T.LongType()), T.StructField("n_late", T.LongType()),
+    T.StructField("buf_us", T.ArrayType(T.LongType())), T.StructField("buf_id", T.ArrayType(T.LongType())),
+    T.StructField("buf_x", T.ArrayType(T.DoubleType()))])
+
+
+def ema_stream_event_time(spark: SparkSession, source_dir: str, schema: T.StructType, *, delay: str = "2 hours",
+                          constant: float = EMA_CONSTANT, files_per_trigger: int = 1,
+                          key: str = "event_type", value: str = "value") -> DataFrame:
+    """EMA per split in event-time order, without assuming ordered arrival.
+
+    Rows wait in the key's state until the watermark (max event time seen minus
+    ``delay``) passes them, then are folded in (ts, id) order; a row at or
+    before the last folded position arrives too late and is counted
+    (``n_late``), not folded. An event-time timeout re-runs the key when the
+    watermark moves past its buffer, so folding does not wait for new rows of
+    that key. Rows still inside the delay when the input ends stay buffered (not
+    final), as in any append-mode event-time operator. Buffer size per key is the
+    rows of one delay window.
+    """
+    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+           .parquet(source_dir)
+           .withColumn("_et", F.timestamp_micros(epoch_micros(F.col("ts")))))
+    rows = (src.withWatermark("_et", delay)
+               .select(F.col(key).alias("split"), "event_id", "_et",
+                       epoch_micros(F.col("ts")).alias("_us"), F.col(value).cast("double").alias("x")))
+    c = float(constant)
+
+    def step(k, pdfs, state):
+        if state.exists:
+            avg, done_us, done_id, n_late, bu, bi, bx = state.get
+        else:
+            avg, done_us, done_id, n_late, bu, bi, bx = None, None, None, 0, [], [], []
+        frames = [p[["event_id", "_us", "x"]] for p in pdfs if len(p)]
+        buf = pd.DataFrame({"event_id": np.asarray(bi or [], dtype=np.int64),
+                            "_us": np.asarray(bu or [], dtype=np.int64),
+                            "x": np.asarray(bx or [], dtype=np.float64)})
+        pdf = pd.concat(([buf] if len(buf) else []) + frames, ignore_index=True) if frames else buf
+        if done_us is not None and len(pdf):
+            late = (pdf["_us"] < done_us) | ((pdf["_us"] == done_us) & (pdf["event_id"] <= done_id))
+            n_late += int(late.sum())
+            pdf = pdf[~late]
+        pdf = pdf.sort_values(["_us", "event_id"], kind="stable")
+        wm_us = state.getCurrentWatermarkMs() * 1000
+        ready = pdf[pdf["_us"] <= wm_us]
+        rest = pdf[pdf["_us"] > wm_us]
+        out = None
+        if len(ready):
+            x = ready["x"].to_numpy(dtype=np.float64)
+            start = x[0] if avg is None else avg
+            A, B = _affine_prefix(np.full(len(x), c), (1 - c) * x)
+            vals = A * start + B
+            avg, done_us, done_id = float(vals[-1]), int(ready["_us"].iat[-1]), int(ready["event_id"].iat[-1])
+            out = pd.DataFrame({"split": k[0], "event_id": ready["event_id"].to_numpy(), "ema": vals})
+        state.update((avg, done_us, done_id, n_late, rest["_us"].tolist(), rest["event_id"].tolist(),
+                      rest["x"].tolist()))
+        if len(rest):
+            state.setTimeoutTimestamp(max(int(rest["_us"].min() // 1000), state.getCurrentWatermarkMs() + 1))
+        if out is not None:
+            yield out
+
+    out = rows.groupBy("split").applyInPandasWithState(
+        step, "split string, event_id long, ema double", EMA_WM_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return _run_to_files(spark, out, "ema-wm-stream")
