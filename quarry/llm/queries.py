@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quarry.llm import quality_rules as QR
 from quarry.llm.common import table, tokenizer_path
 
 QUERIES: dict = {}
@@ -21,3 +22,8 @@ def register(name: str, oracle: str | None = None):
 def op10(spark, sf_dir):
     from quarry.llm.token_counts import token_counts
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@register("op8_quality_rules", QR.oracle_sql())
+def op8(spark, sf_dir):
+    return QR.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
