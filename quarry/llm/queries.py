@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quarry.llm import chat_format as CF
+from quarry.llm import license_scan as LS
 from quarry.llm import quality_rules as QR
 from quarry.llm.common import table, tokenizer_path
 
@@ -27,3 +29,13 @@ def op10(spark, sf_dir):
 @register("op8_quality_rules", QR.oracle_sql())
 def op8(spark, sf_dir):
     return QR.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op4_license_scan", LS.oracle_sql())
+def op4(spark, sf_dir):
+    return LS.license_scan(table(spark, sf_dir, "documents"))
+
+
+@register("op5_chat_format", CF.oracle_sql())
+def op5(spark, sf_dir):
+    return CF.rotate(table(spark, sf_dir, "conversations"))
