@@ -6,6 +6,7 @@ from quarry.llm import chat_format as CF
 from quarry.llm import license_scan as LS
 from quarry.llm import quality_rules as QR
 from quarry.llm.common import table, tokenizer_path
+from quarry.llm.ngram_join import ngram_join
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -39,3 +40,8 @@ def op4(spark, sf_dir):
 @register("op5_chat_format", CF.oracle_sql())
 def op5(spark, sf_dir):
     return CF.rotate(table(spark, sf_dir, "conversations"))
+
+
+@register("op1_ngram_join")
+def op1(spark, sf_dir):
+    return ngram_join(table(spark, sf_dir, "documents"))
