@@ -7,6 +7,7 @@ from quarry.llm import license_scan as LS
 from quarry.llm import quality_rules as QR
 from quarry.llm.common import table, tokenizer_path
 from quarry.llm.ngram_join import ngram_join
+from quarry.llm.suffix_dedup import suffix_dedup
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -45,3 +46,9 @@ def op5(spark, sf_dir):
 @register("op1_ngram_join")
 def op1(spark, sf_dir):
     return ngram_join(table(spark, sf_dir, "documents"))
+
+
+@register("op2_suffix_dedup")
+def op2(spark, sf_dir):
+    out = suffix_dedup(table(spark, sf_dir, "documents"), keep="none", columns=["doc_id"], with_text=False)
+    return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
