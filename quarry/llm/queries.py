@@ -7,6 +7,7 @@ from quarry.llm import license_scan as LS
 from quarry.llm import quality_rules as QR
 from quarry.llm.common import table, tokenizer_path
 from quarry.llm.ngram_join import ngram_join
+from quarry.llm.packing import pack
 from quarry.llm.suffix_dedup import suffix_dedup
 
 QUERIES: dict = {}
@@ -52,3 +53,8 @@ def op1(spark, sf_dir):
 def op2(spark, sf_dir):
     out = suffix_dedup(table(spark, sf_dir, "documents"), keep="none", columns=["doc_id"], with_text=False)
     return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@register("op9_packing")
+def op9(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
