@@ -19,7 +19,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     files every executor sees, and nothing upstream is computed twice."""
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{name}")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -14,8 +14,8 @@ cutoffs of a rule and stratum the one that rejects most labelled bad documents i
 to fewer good ones, then to the higher cutoff. A rule with no such cutoff doesn't act there, so
 with too few labels nothing is rejected beyond the base.
 
-The measures are written once with the rows (no shuffle of texts); labels meet the measures only,
-and the cutoffs (strata x rules rows) are joined without a hint, so Spark checks their size.
+The measures are written once with the rows (no shuffle of texts) and labels meet the measures only. The
+cutoffs, a row per stratum, are broadcast up to ``MAX_SENT`` rows and joined by a shuffle beyond.
 
 Defined results: null text has no words; a null stratum value is a stratum of its own; each input
 row is judged by itself, repeated rows included; several labels of one id: the lowest quality holds;
@@ -43,6 +43,7 @@ RULES = {
     "long_words": ("word_chars", "n_words", 1_000, (6_500, 7_000, 8_000, 9_000, 10_000, 12_000)),
 }
 RISK, ERROR = 0.005, 0.05
+MAX_SENT = 100_000
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words")
 
 
@@ -116,24 +117,25 @@ def select_cutoffs(labelled: DataFrame, risk: float = RISK, error: float = ERROR
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-           stratum_col: str = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """``docs`` packed as ``_row`` with ``_quality``, ``_base`` (fails the base) and ``_failed`` (rules it breaks)."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+           stratum_col: str = "lang", risk: float = RISK, error: float = ERROR, carry: list | None = None) -> DataFrame:
+    """``docs`` (or its columns ``carry``) packed as ``_row`` with ``_quality``, ``_base`` (fails the base) and ``_failed`` (rules it breaks)."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("_row"),
                        F.col(text_col).alias("_text"),
                        F.coalesce(F.concat(F.lit("="), F.col(stratum_col).cast("string")), F.lit("")).alias("stratum"))
     rows = written(measure(rows, "_text").drop("_text"), "quality")
     marks = (labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
              .groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("quality")))
     labelled = (rows.select(F.col(f"_row.{id_col}").alias("_id"), "stratum", "_quality").join(marks, "_id"))
-    cutoffs = select_cutoffs(labelled, risk, error)
-    rows = rows.join(cutoffs, "stratum", "left")
+    cutoffs = written(select_cutoffs(labelled, risk, error), "cutoffs")
+    # a row per stratum with a cutoff: sent to the rows while they are few, shuffled together with them beyond
+    rows = rows.join(F.broadcast(cutoffs) if cutoffs.count() <= MAX_SENT else cutoffs, "stratum", "left")
     broken = F.array_compact(F.array(*[F.when(ratio(r) > F.col(r), F.lit(r)) for r in RULES]))
     return rows.select("_row", "_quality", base_failed().alias("_base"), F.concat_ws(",", broken).alias("_failed"))
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
     """One row per input row: id, measures, ``base_failed``, ``failed_rules``, ``kept``."""
-    return judged(docs, labels, id_col=id_col, **kw).select(
+    return judged(docs, labels, id_col=id_col, carry=[id_col], **kw).select(
         F.col(f"_row.{id_col}").alias(id_col), *[F.col(f"_quality.{m}").alias(m) for m in MEASURES],
         F.col("_base").alias("base_failed"), F.col("_failed").alias("failed_rules"),
         (~F.col("_base") & (F.col("_failed") == "")).alias("kept"))
