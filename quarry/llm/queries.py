@@ -5,6 +5,7 @@ from __future__ import annotations
 from quarry.llm import chat_format as CF
 from quarry.llm import license_scan as LS
 from quarry.llm import quality_rules as QR
+from quarry.llm import warc
 from quarry.llm.common import table, tokenizer_path
 from quarry.llm.ngram_join import ngram_join
 from quarry.llm.packing import pack
@@ -58,3 +59,9 @@ def op2(spark, sf_dir):
 @register("op9_packing")
 def op9(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@register("op7_warc", warc.ORACLE)
+def op7(spark, sf_dir):
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
