@@ -7,6 +7,7 @@ from quarry.llm import license_scan as LS
 from quarry.llm import quality_rules as QR
 from quarry.llm import warc
 from quarry.llm.common import table, tokenizer_path
+from quarry.llm.decontaminate import leaks
 from quarry.llm.ngram_join import ngram_join
 from quarry.llm.packing import pack
 from quarry.llm.suffix_dedup import suffix_dedup
@@ -65,3 +66,8 @@ def op9(spark, sf_dir):
 def op7(spark, sf_dir):
     manifest = warc.write_archives(table(spark, sf_dir, "pages"))
     return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("op6_decontamination")
+def op6(spark, sf_dir):
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

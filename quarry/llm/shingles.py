@@ -26,6 +26,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=U) * _M3)
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 9, 10, 11, 12, 13]] = True
+#: Bytes outside ASCII letters, digits and the bytes of other characters.
+MARKS = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _POWERS: dict = {}
@@ -61,9 +63,9 @@ def slices(offsets: np.ndarray, limit: int = SLICE):
         i = j
 
 
-def _hash_piece(low: np.ndarray, first: np.ndarray):
+def _hash_piece(low: np.ndarray, first: np.ndarray, gaps: np.ndarray):
     """Starts, ends and hashes of the words of one piece; ``first`` marks the first bytes of texts."""
-    word = ~SPACES[low]
+    word = ~gaps[low]
     prev = np.empty_like(word)
     prev[0] = False
     prev[1:] = word[:-1]
@@ -79,18 +81,19 @@ def _hash_piece(low: np.ndarray, first: np.ndarray):
     return starts, ends, mix((h[ends] - h[starts]) * q[starts] + (ends - starts).astype(U) * _M3)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray):
-    """``(hashes, text number, start)`` of the lower-cased (A-Z) words of the texts ``offsets`` cuts from ``data``."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACES):
+    """``(hashes, text number, start)`` of the lower-cased (A-Z) words of the texts ``offsets`` cuts from ``data``;
+    ``gaps`` marks the bytes between words."""
     a, z = int(offsets[0]), int(offsets[-1])
     hs, ts, ss = [], [], []
     at = a
     while at < z:
         end = min(at + SLICE, z)
-        if end < z:  # to the next text or white space, so that no word is cut
+        if end < z:  # to the next text or gap, so that no word is cut
             k = int(np.searchsorted(offsets, end))
             stop, step = int(offsets[k]), end
             while step < stop:
-                gap = np.flatnonzero(SPACES[data[step:min(step + 65536, stop)]])
+                gap = np.flatnonzero(gaps[data[step:min(step + 65536, stop)]])
                 if len(gap):
                     stop = step + int(gap[0])
                     break
@@ -100,7 +103,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray):
         first = np.zeros(len(low), bool)
         begun = offsets[(offsets >= at) & (offsets < end)] - at
         first[begun] = True
-        s, _, h = _hash_piece(low, first)
+        s, _, h = _hash_piece(low, first, gaps)
         hs.append(h)
         ss.append(s + at)
         ts.append(np.searchsorted(offsets, s + at, side="right") - 1)
