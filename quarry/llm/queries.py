@@ -8,6 +8,7 @@ from quarry.llm import quality_rules as QR
 from quarry.llm import warc
 from quarry.llm.common import table, tokenizer_path
 from quarry.llm.decontaminate import leaks
+from quarry.llm.language_id import identify
 from quarry.llm.ngram_join import ngram_join
 from quarry.llm.packing import pack
 from quarry.llm.suffix_dedup import suffix_dedup
@@ -71,3 +72,8 @@ def op7(spark, sf_dir):
 @register("op6_decontamination")
 def op6(spark, sf_dir):
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op3_language_id")
+def op3(spark, sf_dir):
+    return identify(table(spark, sf_dir, "documents"))
