@@ -13,9 +13,9 @@ A document's set are the distinct ``k``-word shingles of its whole text (A-Z low
 3. Every node is a point: its shingles hashed into ``DIMS`` groups and counted. The sum of the smaller
    coordinates of two points bounds the overlap of their sets, and the coordinate-wise maxima of boxes bound
    it for all points below them. A cell of up to ``LEAF`` points is one leaf, whose pairs are bounded one by
-   one. A larger cell is an R-tree; its nodes are met with a hub first, and pairs that are still in different
-   components afterwards are found by descending the tree in pairs of boxes. Cells above ``TILE`` points are cut
-   into tiles, a task for each pair of tiles.
+   one; a larger cell is an R-tree that is descended in pairs of boxes. In each cell the nodes are met with a hub
+   first, and only pairs that are in different components afterwards are looked for in the tree. Cells above
+   ``TILE`` points are cut into tiles, a task for each pair of tiles.
 4. Pairs that survive are verified on the whole sets. What is skipped are pairs whose ends are linked already.
 
 Not all pairs of a group of near copies are emitted: a cell of any size adds a star of pairs, and then only
@@ -43,6 +43,7 @@ GROUP_BITS, DIM_BITS = 18, 6
 DIMS = 1 << DIM_BITS
 LEAF, TILE = 16, 4096
 FILTER_BITS = 26
+SUMMARY = ["id", "key", "n", "node", "point", "grp", "cnt"]
 
 
 def need(nx, ny, num: int, den: int):
@@ -56,11 +57,11 @@ def digest(s: np.ndarray) -> int:
 
 
 def _summaries(batches, k):
-    """Rows ``(id, n, node, point, grp, cnt)``: a row per text, and per task the texts of each hash group."""
+    """Rows ``(id, key, n, node, point, grp, cnt)``: a row per text, and per task the texts of each hash group."""
     totals = np.zeros(1 << GROUP_BITS, np.int64)
     for b in batches:
         n, node, point, held = [], [], [], []
-        for _, s in shingle_sets(b.column(1), k):
+        for _, s in shingle_sets(b.column(2), k):
             n.append(len(s))
             node.append(digest(s) if len(s) else None)
             point.append(np.bincount((s >> U(64 - DIM_BITS)).astype(np.int64), minlength=DIMS).astype(np.int32).tobytes())
@@ -71,17 +72,12 @@ def _summaries(batches, k):
         if held:
             totals += np.bincount((np.concatenate(held) >> U(64 - GROUP_BITS)).astype(np.int64), minlength=len(totals))
         m = len(n)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(point, pa.binary()),
-                                          pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())], names=["id", "n", "node", "point", "grp", "cnt"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(point, pa.binary()),
+                                          pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())], names=SUMMARY)
     g = np.flatnonzero(totals)
     if len(g):
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(g), batch_type(b)), pa.nulls(len(g), pa.int64()), pa.nulls(len(g), pa.int64()),
-                                          pa.nulls(len(g), pa.binary()), pa.array(g.astype(np.int32)), pa.array(totals[g])],
-                                         names=["id", "n", "node", "point", "grp", "cnt"])
-
-
-def batch_type(b):
-    return b.column(0).type
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(g), b.column(0).type), *[pa.nulls(len(g), pa.int64())] * 3,
+                                          pa.nulls(len(g), pa.binary()), pa.array(g.astype(np.int32)), pa.array(totals[g])], names=SUMMARY)
 
 
 def _entries(batches, k, num, den, ranks):
@@ -139,42 +135,31 @@ def _runs(batches):
 
 
 def _cells(batches, num, den):
-    """From rows sorted by (cell, node): pairs of small cells and of stars ``(null, a, b)``, members of large cells ``(cell, node, null)``."""
+    """From rows sorted by (cell, node): pairs of each cell's hub with its members ``(null, a, b)``, and the members of
+    cells of three or more ``(cell, node, null)``. The hub is the node with the smallest hash, so that cells of
+    the same documents have the same hub."""
     for cell, node, npos in _runs(batches):
         fresh = np.ones(len(cell), bool)
         fresh[1:] = (cell[1:] != cell[:-1]) | (node[1:] != node[:-1])  # copies met by several tasks
         cell, node, npos = cell[fresh], node[fresh], npos[fresh]
-        n, p = npos >> 32, npos & 0xFFFFFFFF
         begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
         size = np.diff(np.append(begin, len(cell)))
-        each = np.repeat(size, size)
-        a, z = [], []
-        small = np.flatnonzero((each > 1) & (each <= LEAF))
-        for d in range(1, LEAF):
-            i = small[small + d < len(cell)]
-            i = i[cell[i] == cell[i + d]]
-            if not len(i):
-                break
-            i = i[possible(n[i], p[i], n[i + d], p[i + d], num, den)]
-            a.append(node[i])
-            z.append(node[i + d])
-        large = each > LEAF
-        if large.any():
-            rows = np.flatnonzero(large)
-            salt = mix(node[rows].view(U) ^ mix(cell[rows].view(U)))  # another hub in each cell
-            order = np.lexsort((salt, cell[rows]))
-            rows = rows[order]
-            first = np.concatenate([[True], cell[rows][1:] != cell[rows][:-1]])
-            hub = rows[np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))]
-            ok = ~first & possible(n[rows], p[rows], n[hub], p[hub], num, den)
-            a.append(np.minimum(node[rows[ok]], node[hub[ok]]))
-            z.append(np.maximum(node[rows[ok]], node[hub[ok]]))
-        if a:
-            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(z)], 1), axis=0)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["cell", "a", "b"])
-        if large.any():
-            yield pa.RecordBatch.from_arrays([pa.array(cell[large]), pa.array(node[large]), pa.nulls(int(large.sum()), pa.int64())], names=["cell", "a", "b"])
+        shared = np.repeat(size > 1, size)
+        cell, node, npos, each = cell[shared], node[shared], npos[shared], np.repeat(size, size)[shared]
+        if not len(cell):
+            continue
+        order = np.lexsort((mix(node.view(U)), cell))
+        cell, node, npos, each = cell[order], node[order], npos[order], each[order]
+        n, p = npos >> 32, npos & 0xFFFFFFFF
+        first = np.concatenate([[True], cell[1:] != cell[:-1]])
+        hub = np.maximum.accumulate(np.where(first, np.arange(len(cell)), 0))
+        ok = ~first & possible(n, p, n[hub], p[hub], num, den)
+        pairs = np.unique(np.stack([np.minimum(node[ok], node[hub[ok]]), np.maximum(node[ok], node[hub[ok]])], 1), axis=0)
+        if len(pairs):
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["cell", "a", "b"])
+        more = each > 2
+        if more.any():
+            yield pa.RecordBatch.from_arrays([pa.array(cell[more]), pa.array(node[more]), pa.nulls(int(more.sum()), pa.int64())], names=["cell", "a", "b"])
 
 
 def points(column) -> np.ndarray:
@@ -284,46 +269,54 @@ def _chain(batches):
     yield None
 
 
-def _wanted_sets(batches, k, bitmap):
-    """Rows ``(node, set)`` of the sets whose bit is set, each once per task; the filter may let others through."""
-    bits, seen = bitmap.value, set()
+def _wanted_texts(batches, k, bitmap):
+    """Rows ``(node, text)`` of the sets whose bit is set, each once per task, texts compressed (less than half of
+    their shingles' hashes); the filter may let others through."""
+    import zstandard
+    bits, seen, press = bitmap.value, set(), zstandard.ZstdCompressor(level=3)
     for b in batches:
-        node, held, size = [], [], 0
-        for _, s in shingle_sets(b.column(0), k):
+        node, rows = [], []
+        for r, s in shingle_sets(b.column(0), k):
             if not len(s):
                 continue
             d = digest(s)
             slot = d & ((1 << FILTER_BITS) - 1)
-            if d in seen or not (int(bits[slot >> 6]) >> (slot & 63)) & 1:
-                continue
-            seen.add(d)
-            node.append(d)
-            held.append(s.tobytes())
-            size += len(s)
-            if size > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(held, pa.binary())], names=["node", "shingles"])
-                node, held, size = [], [], 0
+            if d not in seen and (int(bits[slot >> 6]) >> (slot & 63)) & 1:
+                seen.add(d)
+                node.append(d)
+                rows.append(r)
         if node:
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(held, pa.binary())], names=["node", "shingles"])
+            texts = [press.compress(x.encode()) for x in b.column(0).take(pa.array(rows)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(texts, pa.binary())], names=["node", "z"])
+
 
+def _verified(batches, k, num, den):
+    """From ``(a, b, text of a, text of b)``: the pairs whose sets link; the last set of either side is kept, as rows
+    of a node follow each other."""
+    import zstandard
+    unpress, last = zstandard.ZstdDecompressor(), {}
 
-def _verified(batches, num, den):
+    def of(side, node, z):
+        if last.get(side, (None,))[0] != node:
+            text = unpress.decompress(z).decode()
+            last[side] = node, dict(shingle_sets(pa.array([text], pa.large_string()), k))[0]
+        return last[side][1]
     for b in batches:
-        a, z, keep = b.column(0), b.column(1), []
-        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-            x, y = np.frombuffer(x, U), np.frombuffer(y, U)
+        keep = []
+        for i, j, x, y in zip(*(c.to_pylist() for c in b.columns)):
+            x, y = of(0, i, x), of(1, j, y)
             if len(x) > len(y):
                 x, y = y, x
             at = np.searchsorted(y, x)
             both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
             keep.append(den * both >= num * (len(x) + len(y) - both))
         keep = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([a.filter(keep), z.filter(keep)], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
 
 def verify(texts: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs ``(a, b)`` of nodes whose whole sets link. Sets are made from the texts of nodes in a pair; others
-    are left out by a bitmap of fixed size (2**26 bits), which lets some through but none out."""
+    """The pairs ``(a, b)`` of nodes whose whole sets link. Texts of nodes outside of pairs are left out by a bitmap
+    of fixed size (2**26 bits), which lets some through but none out."""
     spark = texts.sparkSession
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     slot = F.col("node").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
@@ -332,21 +325,22 @@ def verify(texts: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> Da
     bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     bits[words.column(0).to_numpy()] = words.column(1).to_numpy()
     bitmap = spark.sparkContext.broadcast(bits.view(U))
-    sets = texts.mapInArrow(functools.partial(_wanted_sets, k=k, bitmap=bitmap), "node long, shingles binary")
-    sets = written(sets, "sets")
-    one = sets.groupBy("node").agg(F.first("shingles").alias("shingles"))  # tasks may both have a copy
-    both = (pairs.join(one.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-            .join(one.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y"))
-    return written(both.mapInArrow(functools.partial(_verified, num=num, den=den), "a long, b long"), "links")
+    some = texts.mapInArrow(functools.partial(_wanted_texts, k=k, bitmap=bitmap), "node long, z binary")
+    some = written(some.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("z").alias("z")), "texts")  # tasks may both have a copy
+    both = (pairs.join(some.select(F.col("node").alias("a"), F.col("z").alias("x")), "a")
+            .join(some.select(F.col("node").alias("b"), F.col("z").alias("y")), "b").select("a", "b", "x", "y"))
+    return written(both.mapInArrow(functools.partial(_verified, k=k, num=num, den=den), "a long, b long"), "links")
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
-    """One row per input row: id, ``n_shingles``, ``component_id``."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int):
+    """``(facts, components)``: a row ``(id, key, n, node)`` per document (``key``: digest of the text), and
+    ``(node, component)`` of every node."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
     facts = written(rows.mapInArrow(functools.partial(_summaries, k=k),
-                                    f"id {id_type}, n long, node long, point binary, grp int, cnt long"), "summaries")
+                                    f"id {id_type}, key long, n long, node long, point binary, grp int, cnt long"), "summaries")
     counts = facts.where(F.col("grp").isNotNull()).groupBy("grp").agg(F.sum("cnt").alias("cnt")).toArrow()  # 2**18 rows at most
     total = np.zeros(1 << GROUP_BITS, np.int64)
     total[counts.column(0).to_numpy()] = counts.column(1).to_numpy()
@@ -354,7 +348,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rank[np.argsort(total, kind="stable")] = np.arange(len(total), dtype=U)
     ranks = spark.sparkContext.broadcast(rank)
     facts = facts.where(F.col("grp").isNull())
-    nodes = facts.where(F.col("node").isNotNull()).groupBy("node").agg(F.first("n").alias("n"), F.first("point").alias("point"), F.min("id").alias("low"))
+    nodes = facts.where(F.col("node").isNotNull()).groupBy("node").agg(F.first("n").alias("n"), F.first("point").alias("point"))
     nodes = written(nodes, "nodes")
     texts = rows.select("text")
 
@@ -371,11 +365,13 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = verify(texts, pairs, k, num, den)
     joined = components(links)
 
-    # large cells: what their hub left in different components
+    # cells that their hub has left in different components, one of those with the same members
     members = cells.where(F.col("cell").isNotNull()).select("cell", F.col("a").alias("node"))
     members = (members.join(joined, "node", "left").select("cell", "node", F.coalesce("component", "node").alias("component")))
-    open_cells = members.groupBy("cell").agg(F.count("*").alias("size"), (F.min("component") != F.max("component")).alias("open"))
-    open_cells = open_cells.where("open").select("cell", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
+    open_cells = members.groupBy("cell").agg(F.count("*").alias("size"), F.sum(F.col("node").cast("decimal(38,0)")).alias("sum"),
+                                             (F.min("component") != F.max("component")).alias("open"))
+    open_cells = open_cells.where("open").groupBy("size", "sum").agg(F.min("cell").alias("cell"))
+    open_cells = open_cells.select("cell", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
     own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     tiles = (members.join(open_cells, "cell").withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -389,9 +385,31 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         links = links.union(verify(texts, more, k, num, den))
         joined = components(links)
 
-    named = nodes.select("node", "low").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return facts, nodes.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+    """One row per input row: id, ``n_shingles``, ``component_id``."""
+    facts, named = _grouped(docs, id_col, text_col, k, num, den)
+    low = facts.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("low"))
+    named = named.join(low, "node")
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
     named = named.join(lowest, "component").select("node", "component_id")
     out = facts.join(named, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                       F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+    """One row of ``docs`` per group: that with the smallest id (nulls last), then the smallest digest of the text.
+    Documents without words are groups of their own."""
+    facts, named = _grouped(docs, id_col, text_col, k, num, den)
+    own = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("key"))
+    best = facts.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(own).alias("best"))
+    best = best.join(named, "node").groupBy("component").agg(F.min("best").alias("best")).select("best.id", "best.key")
+    best = best.select(F.col("id").alias("_id"), F.col("key").alias("_key"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("_i"),
+                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    rows = rows.withColumn("_k", F.xxhash64("_text")).withColumn("_words", F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
+    kept = rows.where("_words").join(best, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left_semi")
+    return kept.dropDuplicates(["_i", "_k"]).select("row.*").union(rows.where("not _words").select("row.*"))

@@ -7,7 +7,7 @@ Texts are ordered by their smallest id. Strings are judged on the input, not on
 1. Equal texts are one text with a count; all but the first are later copies as a whole.
 2. Every window of ``length`` bytes belongs to a cell: its ``GRAM``-byte string with the smallest hash. Equal
    windows lie in equal cells, so only cells with two fragments or more matter. A fragment is a stretch of
-   neighbouring windows of a cell; fragments that are equal as a whole (64-bit digests of their bytes) need no
+   neighbouring windows of a cell, ``length - GRAM + 1`` at most; fragments that are equal as a whole (64-bit digests of their bytes) need no
    comparison: each is a copy of the others.
 3. Different fragments of a cell meet in a suffix array: ranks of their windows by prefix doubling, the common
    prefixes of neighbours, and for every window the previous and next smaller position in suffix order. These
@@ -62,8 +62,9 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def fragments(data: np.ndarray, bounds: np.ndarray, length: int, gram: int):
-    """``(text number, start in data, windows, cell, digest)`` of the fragments of the texts that ``bounds`` cuts."""
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U, U))
+    """``(text number, start in data, windows, several, cell, digest)`` of the fragments of the texts that ``bounds``
+    cuts; ``several`` is 1 where the cell's string stands more than once in a fragment, which may then repeat itself."""
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, U, U))
     n = len(data) - length + 1
     if n < 1:
         return none
@@ -76,19 +77,26 @@ def fragments(data: np.ndarray, bounds: np.ndarray, length: int, gram: int):
     text = np.searchsorted(bounds, np.arange(n), side="right") - 1
     ok = np.arange(n) + length <= bounds[text + 1]
     begin = ok.copy()
-    begin[1:] &= (place[1:] != place[:-1]) | (text[1:] != text[:-1]) | ~ok[:-1]
+    cell = g[place]
+    begin[1:] &= (cell[1:] != cell[:-1]) | (text[1:] != text[:-1]) | ~ok[:-1]
     s = np.flatnonzero(begin)
     if not len(s):
         return none
-    stop = np.append(s[1:], n)
-    # a fragment ends before the next one or where windows no longer fit into the text
-    size = np.minimum(stop, bounds[text[s] + 1] - length + 1) - s
-    return text[s], s, size, g[place[s]], digests(h, s, s + size - 1 + length)
+    # a run ends before the next one or where windows no longer fit into the text
+    size = np.minimum(np.append(s[1:], n), bounds[text[s] + 1] - length + 1) - s
+    # runs of one cell can be long in periodic text: they are cut into equal steps
+    step = length - gram + 1
+    count = -(-size // step)
+    shift = (np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)) * step
+    size = np.minimum(np.repeat(size, count) - shift, step)
+    s = np.repeat(s, count) + shift
+    several = (place[s] != place[s + size - 1]).astype(np.int64)
+    return text[s], s, size, several, cell[s], digests(h, s, s + size - 1 + length)
 
 
 def _entries(batches, length, gram):
     """Rows ``(cell, frag, ord, txt, span)`` of the texts this task hasn't met with as small an id; ``span`` packs
-    start and windows."""
+    start, ``several`` and windows."""
     seen: dict = {}
 
     def new(t, o):
@@ -107,14 +115,14 @@ def _entries(batches, length, gram):
                 pieces = [(int(off[i]), int(off[j]))]
             for x, y in pieces:
                 bounds = np.clip(off[i:j + 1], x, y) - x
-                t, s, size, cell, frag = fragments(data[x:y], bounds, length, gram)
+                t, s, size, several, cell, frag = fragments(data[x:y], bounds, length, gram)
                 t = t + i
                 use = fresh[t]
                 t, s = t[use], s[use]
                 start = s + x - off[t]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cell[use].view(np.int64)), pa.array(frag[use].view(np.int64)), pa.array(order[t]), pa.array(txt[t]),
-                     pa.array((start << 7) | size[use])], names=["cell", "frag", "ord", "txt", "span"])
+                     pa.array((start << 8) | (several[use] << 7) | size[use])], names=["cell", "frag", "ord", "txt", "span"])
 
 
 def _runs(batches):
@@ -136,7 +144,7 @@ def _runs(batches):
 
 def _cells(batches):
     """From rows sorted by (cell, frag, ord, txt, span): ``(kind, cell, ord, txt, span)``; kind 2: a later copy of an
-    equal fragment, 1: the first of equal fragments, 0: a fragment to compare with others of its cell."""
+    equal fragment, 1: the first of equal fragments, 0: a fragment to compare with others of its cell and with itself."""
     for cell, frag, order, txt, span in _runs(batches):
         first = np.ones(len(cell), bool)
         first[1:] = (cell[1:] != cell[:-1]) | (frag[1:] != frag[:-1])
@@ -152,7 +160,7 @@ def _cells(batches):
         has_copy[lead[copy]] = True
         later = np.flatnonzero(copy)
         ones = np.flatnonzero(first & has_copy)
-        compare = np.flatnonzero(first & several[group])
+        compare = np.flatnonzero(first & (several[group] | ((span & 128) != 0)))
         rows = np.concatenate([later, ones, compare])
         kind = np.repeat(np.array([2, 1, 0], np.int32), [len(later), len(ones), len(compare)])
         if len(rows):
@@ -209,7 +217,7 @@ def _fragments_of(batches, length):
             seen.add(t)
             raw = b.column(1)[r].as_py().encode()
             for kind, c, o, span in zip(*(b.column(i)[r].as_py() for i in range(2, 6))):
-                s, n = span >> 7, span & 127
+                s, n = span >> 8, span & 127
                 if kind == 0:
                     cell.append(c)
                     order.append(o)
@@ -320,7 +328,7 @@ def _cut(batches, length, keep):
             if copies is not None and len(raw) >= length and (keep == "none" or order != first):
                 parts = [[0, len(raw)]]
             else:
-                marks = [(s >> 7, s & 127) for k, s in zip(kinds or (), spans or ()) if k in marked]
+                marks = [(s >> 8, s & 127) for k, s in zip(kinds or (), spans or ()) if k in marked]
                 parts = merge(marks + list(zip(starts or (), sizes or ())), length)
             left, at = [], 0
             for s, e in parts:

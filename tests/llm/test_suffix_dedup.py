@@ -47,7 +47,7 @@ def corpus(seed):
         for _ in range(rng.randint(0, 8)):
             copy[rng.randrange(len(copy))] = word()
         rows.append(" ".join(copy))
-    rows += [passages[0] + passages[1] + passages[0], "ab" * 400, "a" * 700, "a" * 200, "a" * 199, "b" * 201, passages[2], passages[2], base, base]
+    rows += [passages[0] + passages[1] + passages[0], "ab" * 400, "a" * 700, "a" * 200, "a" * 199, "b" * 201, "xyz" * 500, ("pq" * 150) + "r" + ("pq" * 150), passages[2], passages[2], base, base]
     rng.shuffle(rows)
     return [(i, t) for i, t in enumerate(rows)]
 
@@ -79,7 +79,7 @@ def test_pieces_of_long_texts(monkeypatch):
     import pyarrow as pa
     b = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([1]), pa.array([data.tobytes().decode()])], names=["txt", "ord", "text"])
     spans = [s for out in D._entries([b], L, D.GRAM) for s in out.column(4).to_pylist()]
-    assert sorted(x for s in spans for x in range(s >> 7, (s >> 7) + (s & 127))) == list(range(len(data) - L + 1))
+    assert sorted(x for s in spans for x in range(s >> 8, (s >> 8) + (s & 127))) == list(range(len(data) - L + 1))
 
 
 def test_nulls_repeats_empty(spark):
