@@ -39,10 +39,10 @@ from quarry.llm.common import written
 from quarry.llm.components import components
 from quarry.llm.shingles import U, mix, shingle_sets
 
-GROUP_BITS, DIM_BITS = 18, 6
+GROUP_BITS, DIM_BITS = 18, 8
 DIMS = 1 << DIM_BITS
 LEAF, TILE = 16, 4096
-FILTER_BITS = 26
+FILTER_BITS, KEPT = 26, 64 << 20
 SUMMARY = ["id", "key", "n", "node", "point", "grp", "cnt"]
 
 
@@ -64,7 +64,8 @@ def _summaries(batches, k):
         for _, s in shingle_sets(b.column(2), k):
             n.append(len(s))
             node.append(digest(s) if len(s) else None)
-            point.append(np.bincount((s >> U(64 - DIM_BITS)).astype(np.int64), minlength=DIMS).astype(np.int32).tobytes())
+            counts = np.bincount((s >> U(64 - DIM_BITS)).astype(np.int64), minlength=DIMS)
+            point.append(counts.astype(np.uint8 if counts.max() < 256 else np.int32).tobytes())
             held.append(s)
             if len(held) >= 256:
                 totals += np.bincount((np.concatenate(held) >> U(64 - GROUP_BITS)).astype(np.int64), minlength=len(totals))
@@ -163,7 +164,11 @@ def _cells(batches, num, den):
 
 
 def points(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int32).reshape(-1, DIMS)
+    """Points from bytes: one byte per coordinate, or four where a count needs them."""
+    rows = column.to_pylist()
+    if all(len(r) == DIMS for r in rows):
+        return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, DIMS)
+    return np.stack([np.frombuffer(r, np.uint8 if len(r) == DIMS else np.int32).astype(np.int32) for r in rows])
 
 
 def _bounded(batches, num, den):
@@ -172,7 +177,7 @@ def _bounded(batches, num, den):
         if b.num_rows:
             na, nb = b.column(2).to_numpy(), b.column(4).to_numpy()
             ok = (den * np.minimum(na, nb) >= num * np.maximum(na, nb)) & (
-                np.minimum(points(b.column(3)), points(b.column(5))).sum(1) >= need(na, nb, num, den))
+                np.minimum(points(b.column(3)), points(b.column(5))).sum(1, dtype=np.int64) >= need(na, nb, num, den))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], names=["a", "b"])
 
 
@@ -197,9 +202,9 @@ class RTree:
         if not len(ok):
             return ok
         keep = []
-        for c in range(0, len(ok), 65536):
-            x = ok[c:c + 65536]
-            keep.append(x[np.minimum(q[i[x]], q[j[x]]).sum(1) >= need(lo[i[x]], lo[j[x]], num, den)])
+        for c in range(0, len(ok), 16384):
+            x = ok[c:c + 16384]
+            keep.append(x[np.minimum(q[i[x]], q[j[x]]).sum(1, dtype=np.int64) >= need(lo[i[x]], lo[j[x]], num, den)])
         return np.concatenate(keep)
 
 
@@ -291,20 +296,24 @@ def _wanted_texts(batches, k, bitmap):
 
 
 def _verified(batches, k, num, den):
-    """From ``(a, b, text of a, text of b)``: the pairs whose sets link; the last set of either side is kept, as rows
-    of a node follow each other."""
+    """From ``(a, b, text of a, text of b)``: the pairs whose sets link. Sets that were made are kept up to ``KEPT``
+    bytes, as nodes come again."""
     import zstandard
-    unpress, last = zstandard.ZstdDecompressor(), {}
-
-    def of(side, node, z):
-        if last.get(side, (None,))[0] != node:
-            text = unpress.decompress(z).decode()
-            last[side] = node, dict(shingle_sets(pa.array([text], pa.large_string()), k))[0]
-        return last[side][1]
+    unpress, made, held = zstandard.ZstdDecompressor(), {}, 0
+
+    def of(node, z):
+        nonlocal held
+        if node not in made:
+            if held > KEPT:
+                made.clear()
+                held = 0
+            made[node] = dict(shingle_sets(pa.array([unpress.decompress(z).decode()], pa.large_string()), k))[0]
+            held += made[node].nbytes
+        return made[node]
     for b in batches:
         keep = []
         for i, j, x, y in zip(*(c.to_pylist() for c in b.columns)):
-            x, y = of(0, i, x), of(1, j, y)
+            x, y = of(i, x), of(j, y)
             if len(x) > len(y):
                 x, y = y, x
             at = np.searchsorted(y, x)
@@ -379,7 +388,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
              .join(nodes.select("node", "n", "point"), "node")
              .select("tile", "node", "component", "n", F.col("own").alias("side"), "point"))
     more = (tiles.repartition("tile").sortWithinPartitions("tile")
-            .mapInArrow(functools.partial(_descend, num=num, den=den), "a long, b long").distinct())
+            .mapInArrow(functools.partial(_descend, num=num, den=den), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"))
     more = written(more, "more")
     if not more.isEmpty():
         links = links.union(verify(texts, more, k, num, den))
