@@ -34,9 +34,10 @@ def strip_padding(arr: Column, pad: int = RAGGED_PAD_ID, trailing_only: bool = T
 
 
 def strip_padding_2d(arr: Column, pad: int = RAGGED_PAD_ID) -> Column:
-    """Rank-2 version: strip each row's trailing pad, then drop rows left empty at the end."""
+    """Rank-2 version: strip each row's trailing pad, then drop the run of empty rows at the end (an
+    empty row before a filled one keeps its place, so that ranks still line up)."""
     rows = F.transform(arr, lambda r: strip_padding(r, pad))
-    return F.filter(rows, lambda r: F.size(r) > 0)
+    return F.slice(rows, 1, F.size(rows) - _trailing_run(F.transform(rows, lambda r: F.least(F.size(r), F.lit(1))), 0))
 
 
 def _trailing_run(arr: Column, value: int) -> Column:

@@ -48,32 +48,32 @@ def assert_numeric(df: DataFrame, col: str) -> DataFrame:
 
 
 def ema(df: DataFrame, key, order, value: str, constant: float = EMA_CONSTANT,
-        seed_value: float | None = None, out: str = "ema") -> DataFrame:
+        seed_value: float | None = None, out: str = "ema", seeds: DataFrame | None = None) -> DataFrame:
     """Running ``avg = c*avg + (1-c)*x`` per key in order; the first value initialises
-    unless ``seed_value`` is given (settable average)."""
-    return ordered_scan(df, key, order, "ema", value, out, constant=constant, seed_value=seed_value)
+    unless ``seed_value`` is given (settable average) or ``seeds`` has one for the key."""
+    return ordered_scan(df, key, order, "ema", value, out, constant=constant, seed_value=seed_value, seeds=seeds)
 
 
 def step_counters(df: DataFrame, key, order, batch_size: str) -> DataFrame:
     """``batches`` (1-based running count) and ``samples`` (running sum of batch sizes)."""
     s = ordered_scan(df, key, order, "sum", batch_size, out="_samples", position="_rn")  # one pass
     return (s.withColumn("batches", (F.col("_rn") + 1).cast("long"))
-             .withColumn("samples", F.col("_samples").cast("long")).drop("_rn", "_samples"))
+             .withColumn("samples", F.coalesce(F.col("_samples"), F.lit(0)).cast("long")).drop("_rn", "_samples"))
 
 
 def batch_duration(df: DataFrame, ts: str, order, key: str | None = None) -> DataFrame:
     """Seconds since the previous row of the same run (one clock for all splits)."""
     keyed = df.withColumn("_run", F.col(key) if key else F.lit(0)).withColumn(
-        "_us", epoch_micros(F.col(ts)).cast("double"))
+        "_us", epoch_micros(F.col(ts)))
     out = ordered_scan(keyed, "_run", order, "lag", "_us", "_prev_us")
     return out.withColumn("duration_s", (F.col("_us") - F.col("_prev_us")) / F.lit(1e6)).drop(
         "_run", "_us", "_prev_us")
 
 
 def cadence_marks(df: DataFrame, key, ts: str, order, period_s: float,
-                  last_mark_s: float | None = None, out: str = "marked") -> DataFrame:
+                  last_mark_s: float | None = None, out: str = "marked", seeds: DataFrame | None = None) -> DataFrame:
     """True where at least ``period_s`` passed since the last *marked* row of the key.
     With no ``last_mark_s`` the first row is marked."""
     keyed = df.withColumn("_t", epoch_micros(F.col(ts)).cast("double") / F.lit(1e6))
     return ordered_scan(keyed, key, order, "cadence", "_t", out, period=period_s,
-                        seed_value=last_mark_s).drop("_t")
+                        seed_value=last_mark_s, seeds=seeds).drop("_t")

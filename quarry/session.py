@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -59,6 +60,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="quarry-ckpt-", dir="/tmp")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
@@ -70,6 +73,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def size_in_bytes(text) -> int:
+    """Bytes of a Spark size setting: ``134217728b``, ``256MB``, ``1g`` (no unit: bytes)."""
+    m = re.fullmatch(r"(\d+)\s*([kmgtp]?)i?b?", str(text).strip().lower())
+    if not m:
+        raise ValueError(f"not a size: {text!r}")
+    return int(m[1]) << (10 * " kmgtp".index(m[2] or " "))
+
+
 def spread(df, min_partitions: int | None = None):
     """Give CPU-heavy narrow work (tokenising, scoring) at least the cluster's
     parallelism. The decision uses the optimizer's size estimate (no job runs):
@@ -77,7 +88,7 @@ def spread(df, min_partitions: int | None = None):
     dealt round-robin; anything larger is left exactly as it is."""
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism
-    split_bytes = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b"))
+    split_bytes = size_in_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
     try:
         est = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # noqa: BLE001 - no estimate: leave the plan alone
