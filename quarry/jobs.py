@@ -80,7 +80,7 @@ def job_lengths(spark, a):
     S.cum_fraction(S.length_hist(qa)).write.mode("overwrite").parquet(a.out + "/qa_hist")
     cut = S.length_cutoffs(qa, QA_LENGTH_FRACTIONS)
     S.retrieval_budget(cut).write.mode("overwrite").parquet(a.out + "/qa_budget")
-    S.length_cutoffs(Q.passage_sample(spark, a.data), PASSAGE_LENGTH_FRACTIONS) \
+    S.length_cutoffs(Q.passage_lengths(spark, a.data), PASSAGE_LENGTH_FRACTIONS) \
         .write.mode("overwrite").parquet(a.out + "/passage_cutoffs")
 
 

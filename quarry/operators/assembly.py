@@ -75,6 +75,7 @@ def assemble(question_ids: Column, answer_ids: Column, is_test: Column, *,
         prefix = F.concat(q, a_help)
     else:
         raise ValueError(f"unsupported approach {approach!r}")
+    answer_ids = F.coalesce(answer_ids, F.array().cast("array<int>"))  # a question nobody answered
     inputs = F.when(is_test, prefix).otherwise(F.concat(prefix, answer_ids))
     labels = F.when(is_test, F.lit(None).cast("array<int>")).otherwise(
         F.concat(F.array_repeat(F.lit(MASK_ID), F.size(prefix)), answer_ids))

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.keyed import gumbel_key, hash32
-from quarry.params import NUM_RETRIEVALS, SEED, TEMPERATURE
+from quarry.operators.ranks import global_rank
+from quarry.params import MAX_BROADCAST_BYTES, NUM_RETRIEVALS, SEED, TEMPERATURE
+
+CHOSEN_ROW_BYTES = 64   # of a broadcast table of chosen ids
 
 
 def gumbel_sample(retrievals: Column, sample_id: Column, k: int = NUM_RETRIEVALS,
@@ -32,29 +35,14 @@ def gumbel_sample(retrievals: Column, sample_id: Column, k: int = NUM_RETRIEVALS
         F.lit(k))))
 
 
-def seeded_order(df: DataFrame, id_col: str, seed: int = SEED, epoch=0) -> DataFrame:
-    """Global deterministic shuffle: range-partitioned sort on (keyed hash, id)."""
-    ep = epoch if isinstance(epoch, Column) else F.lit(epoch)
-    return df.withColumn("_shuffle_key", hash32(F.lit(seed), ep, F.col(id_col))).orderBy(
-        "_shuffle_key", id_col)
-
-
-TOP_N_IN_ONE_TASK = 100_000   # above this, a sample is cut by a hash threshold instead of a top-n merge
-
-
 def hash_sample(df: DataFrame, id_col: str, n: int, seed: int = SEED) -> DataFrame:
     """``n`` rows chosen without replacement by keyed hash order (query_sample, len_sample).
 
-    The limit is the operator itself. Small ``n``: a bounded top-n
-    (TakeOrderedAndProject: per-task top-n, then one merge of tasks x n rows).
-    Large ``n``: an exact threshold instead -- a histogram of the hash's top 16
-    bits (at most 65 536 rows, partial aggregation) locates the bucket holding
-    the n-th row; rows below it are kept as they are and only that one bucket
-    (about total / 65 536 rows) is ordered and cut. Same rows either way.
+    The limit is the operator itself. A histogram of the hash's top 16 bits (at most 65 536 rows, partial
+    aggregation) locates the bucket holding the n-th row; rows below it are kept as they are and only
+    that one bucket (about total / 65 536 rows) is ordered and cut.
     """
     keyed = df.withColumn("_h", hash32(F.lit(seed), F.col(id_col)))
-    if n <= TOP_N_IN_ONE_TASK:
-        return keyed.orderBy("_h", id_col).limit(n).drop("_h")
     keyed = keyed.withColumn("_b", F.shiftright(F.col("_h"), 16))
     hist = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("c")).orderBy("_b").collect()  # <= 65 536 rows
     below, cut = 0, None
@@ -76,13 +64,14 @@ def paired_subset(ids: DataFrame, id_col: str, n: int, tables: dict, seed: int =
 
     Returns ``{name: table filtered by left-semi join}``; each keeps its own
     columns plus ``new_id``, the id's position among the chosen ids in sorted
-    order (a range-partitioned scan, not a single-task window).
+    order. The chosen ids are broadcast to the tables while they are below the broadcast bound.
     """
     if total is not None and n >= total:
         raise ValueError(f"subset size {n} must be smaller than the total {total}")
-    from quarry.operators.scan import ordered_scan
-    chosen = hash_sample(ids.select(id_col).distinct(), id_col, n, seed).withColumn("_all", F.lit(0))
-    numbered = ordered_scan(chosen, "_all", [id_col], "row_number", out="new_id").drop("_all")
+    chosen = hash_sample(ids.select(id_col).distinct(), id_col, n, seed)
+    numbered = global_rank(chosen, [id_col], "new_id")
+    if n * CHOSEN_ROW_BYTES <= MAX_BROADCAST_BYTES:
+        numbered = F.broadcast(numbered)
     return {name: t.join(numbered, id_col) for name, t in tables.items()}
 
 

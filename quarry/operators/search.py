@@ -36,9 +36,11 @@ CANDIDATE_SCHEMA = T.StructType([
     T.StructField("qid", T.LongType()), T.StructField("block_id", T.LongType()),
     T.StructField("score", T.DoubleType())])
 
-QUERY_CHUNK = 1024
+QUERY_CHUNK, BLOCK_CHUNK = 1024, 4096   # a score tile holds at most this many queries x blocks
+FLOOR_SAMPLE = 65_536             # blocks whose scores give every query a lower bound for its k-th score
 PAIRS_PER_TASK = 5_000_000_000    # ~1 min of scoring per task at ~7e7 pairs/s/core
 CANDIDATE_ROWS_BUDGET = 2_000_000_000   # tasks x queries x k rows entering the merge shuffle
+FLOOR_ROWS = 10_000_000           # above so many, tasks emit only rows that reach a sampled lower bound
 
 
 def topk_rank(df: DataFrame, partition_by, order_by, k: int, rank_col: str = "rank") -> DataFrame:
@@ -113,6 +115,10 @@ class TopK:
     def update(self, bmat: np.ndarray, bids: np.ndarray):
         if bmat.shape[0] == 0 or self.q.shape[0] == 0:
             return
+        for lo in range(0, bmat.shape[0], BLOCK_CHUNK):
+            self._update(bmat[lo:lo + BLOCK_CHUNK], bids[lo:lo + BLOCK_CHUNK])
+
+    def _update(self, bmat: np.ndarray, bids: np.ndarray):
         parts_s, parts_i = [], []
         for lo in range(0, self.q.shape[0], QUERY_CHUNK):
             S = self.q[lo:lo + QUERY_CHUNK].astype(np.float64) @ bmat.T.astype(np.float64, copy=False)
@@ -127,11 +133,15 @@ class TopK:
         self.s = np.concatenate(parts_s)
         self.i = np.concatenate(parts_i)
 
-    def rows(self, qids: np.ndarray) -> pa.RecordBatch:
+    def rows(self, qids: np.ndarray, floor: np.ndarray | None = None) -> pa.RecordBatch:
+        """The kept rows; with ``floor`` those that reach their query's lower bound."""
         m = self.s.shape[1]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(qids, m), pa.int64()), pa.array(self.i.reshape(-1), pa.int64()),
-             pa.array(self.s.reshape(-1), pa.float64())], schema=_CAND_ARROW)
+        q, i, s = np.repeat(qids, m), self.i.reshape(-1), self.s.reshape(-1)
+        if floor is not None:
+            use = s >= np.repeat(floor, m)
+            q, i, s = q[use], i[use], s[use]
+        return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())],
+                                          schema=_CAND_ARROW)
 
 
 _CAND_ARROW = pa.schema([("qid", pa.int64()), ("block_id", pa.int64()), ("score", pa.float64())])
@@ -165,19 +175,22 @@ def mips_exact(queries: DataFrame, blocks: DataFrame, k: int = 10, *, qid_col: s
     b = blocks.select(F.col(block_id_col).cast("long").alias("block_id"), F.col(vec_col).alias("v"))
     stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()  # one pass
     nq, dim = int(stats["n"]), int(stats["d"] or 0)
-    if nq * max(dim, 1) * 4 <= broadcast_bytes:   # shipped as float32
-        # Each block task emits k candidates per query, so the merge shuffles
-        # tasks x queries x k rows: size the tasks by work (query x block pairs),
-        # not by input splits. coalesce() only ever merges splits (narrow).
+    if nq * max(dim, 1) * 8 <= broadcast_bytes:
+        # Each block task emits at most k candidates per query: size the tasks by work
+        # (query x block pairs), not by input splits. coalesce() only ever merges splits (narrow).
+        # With many tasks the merge would grow with them, so a sample of the blocks
+        # first gives every query a lower bound for its k-th score, and tasks emit
+        # only rows that reach it (the same result; about k x blocks / sample rows).
         nb = b.count()
         sc = q.sparkSession.sparkContext
         lo = max(1, math.ceil(nq * nb / PAIRS_PER_TASK))               # tasks never run too long
         hi = max(lo, CANDIDATE_ROWS_BUDGET // max(1, nq * k))           # merge volume stays bounded
         tasks = min(max(sc.defaultParallelism, lo), hi)
-        cands = _broadcast_path(q, spread(b).coalesce(tasks), k, dim)
+        floor = _floor(q, b, nq, nb, k, dim) if tasks * nq * k > FLOOR_ROWS else None
+        cands = _broadcast_path(q, spread(b).coalesce(tasks), k, dim, floor)
     else:
         nb = b.count()
-        if nb * max(dim, 1) * 4 <= broadcast_bytes:
+        if nb * max(dim, 1) * 8 <= broadcast_bytes:
             return _broadcast_blocks(q, b, k, dim, qid_col)
         cands = _tiled_path(q, b, k, nq, query_tile_rows, block_tile_rows)
     ranked = topk_rank(cands, "qid", [F.desc("score"), F.asc("block_id")], k)
@@ -190,18 +203,26 @@ def _to_matrix(df: DataFrame, id_col: str, dim: int):
     t = df.select(id_col, "v").toArrow()
     ids = t.column(id_col).to_numpy().astype(np.int64)
     mat = vectors_to_matrix(t.column("v"), dim) if len(ids) else np.empty((0, dim))
-    # float32 halves the broadcast; vectors are stored as float32, so nothing is lost,
-    # and scoring upcasts each chunk to float64 before the product.
-    return ids, mat.astype(np.float32)
+    return ids, mat  # float64, as in every other path: equal scores whatever the path
+
 
+def _floor(q: DataFrame, b: DataFrame, nq: int, nb: int, k: int, dim: int) -> dict:
+    """``qid -> score`` of the query's k-th best block in a keyed sample of the blocks (a row per query)."""
+    share = min(1.0, FLOOR_SAMPLE / max(nb, 1))
+    some = b.where(F.pmod(F.xxhash64("block_id", F.lit(29)), F.lit(1 << 31)) < int(share * (1 << 31)))
+    ranked = topk_rank(_broadcast_path(q, some, k, dim), "qid", [F.desc("score"), F.asc("block_id")], k)
+    rows = ranked.where(F.col("rank") == k).select("qid", "score").toArrow()
+    return dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()))
 
-def _broadcast_path(q: DataFrame, b: DataFrame, k: int, dim: int) -> DataFrame:
+
+def _broadcast_path(q: DataFrame, b: DataFrame, k: int, dim: int, floor: dict | None = None) -> DataFrame:
     spark = q.sparkSession
     qids, qmat = _to_matrix(q, "qid", dim)  # size-checked by the caller against broadcast_bytes
-    bc = spark.sparkContext.broadcast((qids, qmat))
+    low = None if floor is None else np.array([floor.get(int(i), -np.inf) for i in qids])
+    bc = spark.sparkContext.broadcast((qids, qmat, low))
 
     def score_partition(batches):
-        ids, mat = bc.value
+        ids, mat, low = bc.value
         top = TopK(mat, k)
         for batch in batches:
             if batch.num_rows == 0:
@@ -209,7 +230,7 @@ def _broadcast_path(q: DataFrame, b: DataFrame, k: int, dim: int) -> DataFrame:
             bm = vectors_to_matrix(batch.column("v"), mat.shape[1])
             top.update(bm, batch.column("block_id").to_numpy(zero_copy_only=False).astype(np.int64))
         if top.s.shape[1]:
-            yield top.rows(ids)
+            yield top.rows(ids, low)
 
     return b.mapInArrow(score_partition, CANDIDATE_SCHEMA)
 

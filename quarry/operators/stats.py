@@ -54,12 +54,6 @@ def unique_check(df: DataFrame, cols, name: str) -> DataFrame:
     return n.select(F.lit(name).alias("table"), "n", "n_distinct", (F.col("n") == F.col("n_distinct")).alias("ok"))
 
 
-def duplicates(df: DataFrame, cols) -> DataFrame:
-    """Offending keys with their multiplicity."""
-    cols = [cols] if isinstance(cols, str) else list(cols)
-    return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-
-
 def cardinality_check(df: DataFrame, expected: dict, key: str = "split") -> DataFrame:
     """``split, n, expected, ok`` against an expectation table given as an argument."""
     spark = df.sparkSession

@@ -1,69 +1,109 @@
 """Vocabulary: build, encode (token -> id) and decode (id -> token).
 
-The vocabulary is the top ``V`` tokens of the corpus by (count desc, token
-asc), ids ``0..V-1``; unknown tokens map to the OOV id ``V``. Building it is a
-distributed count with map-side partial aggregation (a hot token never lands
-in one task), then a bounded top-V. Encoding and decoding are narrow: the
-size-checked vocabulary ships with an Arrow-batched function that does a
-vectorised hash lookup per batch, so token streams are never exploded or
-shuffled.
+The vocabulary holds every distinct token of the corpus, ordered by (count desc, token asc);
+ids follow the reserved ones (``params.SPECIALS``), and a token outside of it has the OOV id.
+Building is a distributed count with map-side partial aggregation (a hot token never lands
+in one task) and a range-partitioned numbering, written once. While its tokens are below
+``MAX_VOCAB_BYTES`` they ship with an Arrow-batched function that does a vectorised hash lookup,
+so token streams are neither exploded nor shuffled; beyond, ``encode_into`` / ``decode_into`` join the
+distinct tokens of a row with the vocabulary table. Both give the same ids.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import tokens as tokenize
-from quarry.params import VOCAB_SIZE
+from quarry.operators.ranks import global_rank
+from quarry.params import FIRST_TOKEN_ID, special_ids
+from quarry.session import scratch_path
 
 MAX_VOCAB_BYTES = 256 << 20
+OOV = special_ids()["oov"]
 
 
-def build_vocab(texts: DataFrame, vocab_size: int = VOCAB_SIZE, text_col: str = "text") -> DataFrame:
-    """``token, token_id, cnt`` for the top ``vocab_size`` tokens."""
+def build_vocab(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """``token, token_id, cnt`` for every distinct token."""
     counts = (texts.select(F.explode(tokenize(F.col(text_col))).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("cnt")))
-    top = counts.orderBy(F.desc("cnt"), F.asc("token")).limit(vocab_size)
-    # Window over at most vocab_size rows (after the limit): bounded, one task.
-    w = Window.orderBy(F.desc("cnt"), F.asc("token"))
-    return top.select("token", (F.row_number().over(w) - 1).cast("int").alias("token_id"), "cnt")
+    ranked = global_rank(counts, [F.desc("cnt"), F.asc("token")], "token_id")
+    return ranked.select("token", (F.col("token_id") + FIRST_TOKEN_ID).cast("int").alias("token_id"), "cnt")
 
 
 class Vocab:
-    """A materialised vocabulary (bounded by ``vocab_size``) with column functions."""
-
-    def __init__(self, vocab_df: DataFrame, vocab_size: int = VOCAB_SIZE):
-        rows = vocab_df.select("token", "token_id").orderBy("token_id").collect()
-        if len(rows) > vocab_size:
-            raise ValueError(f"vocabulary has {len(rows)} entries, cap is {vocab_size}")
-        toks = [r["token"] for r in rows]
-        if [r["token_id"] for r in rows] != list(range(len(rows))):
-            raise ValueError("vocabulary ids must be 0..n-1")
-        nbytes = sum(len(t.encode("utf-8")) for t in toks)
-        if nbytes > MAX_VOCAB_BYTES:
-            raise ValueError(f"vocabulary of {nbytes} bytes exceeds the broadcast bound")
-        self.size = vocab_size
-        self.tokens = toks
-        self.df = vocab_df
-        self._encode = _make_encoder(toks, vocab_size)
-        self._decode = _make_decoder(toks)
+    """A vocabulary ``token, token_id`` (built or given) with functions for columns and tables."""
+
+    def __init__(self, vocab_df: DataFrame, max_bytes: int = MAX_VOCAB_BYTES):
+        path = scratch_path(vocab_df.sparkSession, "vocab-table")
+        vocab_df.write.parquet(path)
+        self.df = vocab_df.sparkSession.read.schema(vocab_df.schema).parquet(path)
+        n, low, high, nbytes = self.df.agg(F.count(F.lit(1)), F.min("token_id"), F.max("token_id"),
+                                           F.sum(F.octet_length("token"))).first()
+        if n and (low, high) != (FIRST_TOKEN_ID, FIRST_TOKEN_ID + n - 1):
+            raise ValueError(f"vocabulary ids must be {FIRST_TOKEN_ID}..{FIRST_TOKEN_ID + n - 1}")
+        self.size = n
+        self.tokens = None
+        if (nbytes or 0) <= max_bytes:  # checked before anything is gathered
+            self.tokens = self.df.select("token", "token_id").orderBy("token_id").toArrow().column("token").to_pylist()
+            self._encode = _make_encoder(self.tokens)
+            self._decode = _make_decoder(self.tokens)
+
+    def _small(self):
+        if self.tokens is None:
+            raise ValueError("the vocabulary is too large to ship with a column function: use encode_into / decode_into")
 
     def encode_tokens(self, toks: Column) -> Column:
         """ARRAY<STRING> -> ARRAY<INT>; unknown -> OOV id."""
+        self._small()
         return self._encode(toks)
 
     def encode(self, text: Column, max_len: int | None = None) -> Column:
         """Text -> ids of its whole token stream, optionally truncated (truncate_field)."""
-        ids = self._encode(tokenize(text))
-        return F.slice(ids, 1, max_len) if max_len else ids
+        toks = tokenize(text)
+        return self.encode_tokens(F.slice(toks, 1, max_len) if max_len else toks)
 
     def decode(self, ids: Column) -> Column:
         """ARRAY<INT> -> space-joined tokens; ids outside the vocabulary render as ``<< id >>``."""
+        self._small()
         return self._decode(ids)
 
+    def encode_into(self, df: DataFrame, fields: dict, max_len: int | None = None) -> DataFrame:
+        """``df`` with ``fields`` (new column -> text column) encoded, whatever the vocabulary's size."""
+        for out, text in fields.items():
+            if self.tokens is not None:
+                df = df.withColumn(out, self.encode(F.col(text), max_len))
+            else:
+                toks = tokenize(F.col(text))
+                df = self._joined(df, F.slice(toks, 1, max_len) if max_len else toks, out, "token", "token_id",
+                                  lambda x: F.coalesce(x, F.lit(OOV)))
+        return df
+
+    def decode_into(self, df: DataFrame, fields: dict) -> DataFrame:
+        """``df`` with ``fields`` (new column -> id column) decoded, whatever the vocabulary's size."""
+        for out, ids in fields.items():
+            if self.tokens is not None:
+                df = df.withColumn(out, self.decode(F.col(ids)))
+            else:
+                df = self._joined(df, F.col(ids), out, "token_id", "token", None)
+                words = F.transform(F.arrays_zip(F.col(out).alias("w"), F.col(ids).alias("i")),
+                                    lambda p: F.coalesce(p["w"], F.concat(F.lit("<< "), p["i"].cast("string"), F.lit(" >>"))))
+                df = df.withColumn(out, F.array_join(words, " "))
+        return df
+
+    def _joined(self, df: DataFrame, items: Column, out: str, key: str, value: str, fill) -> DataFrame:
+        """Looks the items of an array up in the vocabulary table: a row's distinct items are joined by an equi join (a
+        frequent item's rows can be split), gathered back into a map per row, and the array is mapped in the row."""
+        path = scratch_path(df.sparkSession, "rows")
+        df.withColumn("_items", items).withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+        rows = df.sparkSession.read.parquet(path)
+        found = (rows.select("_row", F.explode(F.array_distinct("_items")).alias(key)).join(self.df.select(key, value), key)
+                 .groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("_map")))
+        mapped = F.transform("_items", lambda x: F.try_element_at("_map", x) if fill is None else fill(F.try_element_at("_map", x)))
+        return rows.join(found, "_row", "left").withColumn(out, mapped).drop("_items", "_row", "_map")
+
 
 def _rebuild(lists: pa.Array, values: pa.Array) -> pa.Array:
     lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
@@ -73,7 +113,7 @@ def _rebuild(lists: pa.Array, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), values, mask=lists.is_null())
 
 
-def _make_encoder(toks: list[str], oov: int):
+def _make_encoder(toks: list[str]):
     value_set = pa.array(toks, type=pa.string())
 
     @F.arrow_udf("array<int>")
@@ -81,7 +121,7 @@ def _make_encoder(toks: list[str], oov: int):
         if isinstance(col, pa.ChunkedArray):
             col = col.combine_chunks()
         flat = pc.list_flatten(col)
-        idx = pc.fill_null(pc.index_in(flat, value_set=value_set), oov).cast(pa.int32())
+        idx = pc.fill_null(pc.add(pc.index_in(flat, value_set=value_set), FIRST_TOKEN_ID), OOV).cast(pa.int32())
         return _rebuild(col, idx)
 
     return encode
@@ -95,11 +135,11 @@ def _make_decoder(toks: list[str]):
     def decode(col: pa.Array) -> pa.Array:
         if isinstance(col, pa.ChunkedArray):
             col = col.combine_chunks()
-        flat = pc.list_flatten(col).cast(pa.int64())
+        flat = pc.subtract(pc.list_flatten(col).cast(pa.int64()), FIRST_TOKEN_ID)
         known = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, n))
         safe = pc.if_else(known, flat, 0)
         words = pc.take(vocab, safe) if n else pa.nulls(len(flat), pa.string())
-        unknown = pc.binary_join_element_wise("<< ", pc.cast(flat, pa.string()), " >>", "")
+        unknown = pc.binary_join_element_wise("<< ", pc.cast(pc.add(flat, FIRST_TOKEN_ID), pa.string()), " >>", "")
         words = pc.if_else(known, words, unknown)
         return pc.binary_join(_rebuild(col, words), " ")
 
@@ -107,18 +147,15 @@ def _make_decoder(toks: list[str]):
 
 
 def write_vocab_file(vocab_df: DataFrame, path: str) -> str:
-    """One token per line in id order (a single bounded file: at most V lines)."""
-    vocab_df.orderBy("token_id").select("token").coalesce(1).write.mode("overwrite").text(path)
+    """One token per line in id order, in as many files as the range partitions have (ids start at the first line)."""
+    vocab_df.repartitionByRange("token_id").sortWithinPartitions("token_id").select("token").write.mode("overwrite").text(path)
     return path
 
 
 def read_vocab_file(spark, path: str) -> DataFrame:
-    """Vocabulary file -> ``token, token_id`` with id = line number.
-
-    Line numbers come from ``zipWithIndex`` over the text partitions in file
-    order (two passes, no single-partition window).
-    """
-    lines = spark.read.text(path)
-    indexed = lines.rdd.zipWithIndex().map(lambda p: (p[0][0], int(p[1])))
-    return spark.createDataFrame(indexed, "token string, token_id long").select(
-        "token", F.col("token_id").cast("int"))
+    """Vocabulary file(s), one token per line -> ``token, token_id``; the id follows the line's place in file order.
+    A line's place is its start in its file, which the reader gives as metadata, so nothing runs row by row."""
+    lines = spark.read.text(path).select(F.col("value").alias("token"), F.col("_metadata.file_path").alias("_file"),
+                                         F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    ranked = global_rank(lines, ["_file", "_block", "_at"], "token_id")
+    return ranked.select("token", (F.col("token_id") + FIRST_TOKEN_ID).cast("int").alias("token_id"))

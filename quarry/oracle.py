@@ -8,10 +8,9 @@ rounded to 6 places and id arrays rendered as space-joined text on both sides.
 from __future__ import annotations
 
 from quarry.params import (CONTEXT_SIZE, MASK_ID, MAX_GENERATION_LENGTH, NUM_NEIGHBORS,
-                           NUM_RETRIEVALS, SEED, TEMPERATURE, TOKEN_PATTERN, VOCAB_SIZE, special_ids)
+                           NUM_RETRIEVALS, SEED, TEMPERATURE, TOKEN_PATTERN, FIRST_TOKEN_ID, special_ids)
 
-SP = special_ids(VOCAB_SIZE)
-V = VOCAB_SIZE
+SP = special_ids()
 EOS = SP["eos"]
 
 
@@ -29,7 +28,7 @@ def encode_sql(src: str, key: str, text: str, max_len: int = CONTEXT_SIZE) -> st
     SELECT s.{key} AS k, CASE WHEN s.{text} IS NULL THEN NULL
            ELSE list_slice(coalesce(x.ids, []::INTEGER[]), 1, {max_len}) END AS ids
     FROM {src} s LEFT JOIN (
-      SELECT t.k, list(coalesce(v.token_id, {V}) ORDER BY t.pos) AS ids
+      SELECT t.k, list(coalesce(v.token_id, {SP['oov']}) ORDER BY t.pos) AS ids
       FROM (SELECT k, unnest(tk) AS token, unnest(range(1, len(tk) + 1)) AS pos
             FROM (SELECT {key} AS k, {tok(text)} AS tk FROM {src} WHERE {text} IS NOT NULL)) t
       LEFT JOIN vocab v ON v.token = t.token
@@ -45,18 +44,20 @@ def ctes(ctx: int = CONTEXT_SIZE, gen: int = MAX_GENERATION_LENGTH, k: int = NUM
                   ELSE 'train' END AS split,
              u.conv_id * 100 + u.turn AS sample_id, u.text AS question,
              CASE WHEN u.conv_id % 10 = 1 THEN NULL ELSE a.text END AS answer
-      FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-      WHERE u.role = 'user' AND a.role = 'assistant'""")
+      FROM conversations u LEFT JOIN conversations a
+        ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+      WHERE u.role = 'user'""")
     c["blocks"] = ([], """
-      SELECT d.doc_id AS block_id, d.text, e.embedding
-      FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id""")
+      SELECT doc_id AS block_id, text FROM documents""")
+    c["block_vec"] = (["blocks"], """
+      SELECT b.block_id, e.embedding FROM blocks b JOIN embeddings e ON e.vec_id = b.block_id""")
     c["qvec"] = (["questions"], """
       SELECT q.split, q.sample_id, e.embedding FROM questions q
       JOIN embeddings e ON e.vec_id = q.sample_id % (SELECT count(*) FROM embeddings)""")
-    c["scored"] = (["qvec", "blocks"], """
+    c["scored"] = (["qvec", "block_vec"], """
       SELECT q.sample_id, b.block_id,
              list_dot_product(q.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score
-      FROM qvec q, blocks b""")
+      FROM qvec q, block_vec b""")
     c["hits"] = (["scored", "questions"], f"""
       SELECT h.*, q.split FROM (
         SELECT sample_id, block_id, score,
@@ -65,10 +66,9 @@ def ctes(ctx: int = CONTEXT_SIZE, gen: int = MAX_GENERATION_LENGTH, k: int = NUM
       WHERE rank <= {k}""")
     c["corpus"] = ([], "SELECT text FROM documents UNION ALL SELECT text FROM conversations")
     c["vocab"] = (["corpus"], f"""
-      SELECT token, (row_number() OVER (ORDER BY cnt DESC, token) - 1)::INTEGER AS token_id
+      SELECT token, (row_number() OVER (ORDER BY cnt DESC, token) - 1 + {FIRST_TOKEN_ID})::INTEGER AS token_id
       FROM (SELECT token, count(*) AS cnt FROM (SELECT unnest({tok('text')}) AS token FROM corpus)
-            GROUP BY token)
-      QUALIFY row_number() OVER (ORDER BY cnt DESC, token) <= {V}""")
+            GROUP BY token)""")
     c["block_tok"] = (["blocks", "vocab"], f"""
       SELECT k AS block_id, ids AS token_ids FROM ({encode_sql('blocks', 'block_id', 'text', ctx)})""")
     c["q_tok"] = (["questions", "vocab"], f"""

@@ -19,8 +19,6 @@ BATCHES_BETWEEN_EVALS = 5           # schedule: train batches per round
 NUMBER_EVAL_BATCHES = 1             # schedule: eval batches per round
 EMA_CONSTANT = 0.9                  # moving-average constant for losses
 SPLIT_CARDINALITIES = {"train": 272637, "eval": 1507, "test": 600}
-HELPER_TEXT = {"question": "Question:\n", "context": "\nContext:\n", "answer": "\nAnswer:\n"}
-APPROACHES = ("cached_pretok", "naked_lm")
 HELPER_MODES = ("multiple", "once")
 SPLITS = ("train", "eval", "test")
 QA_LENGTH_FRACTIONS = (.55, .6, .65, .7, .75, .775, .8, .825, .85, .875, .9, .925, .95, .975)
@@ -36,14 +34,16 @@ SAVE_PERIOD_MIN = 20                # checkpoint cadence, minutes
 # ---------------------------------------------------------------------------
 
 # Engine parameters (not from the reference)
-VOCAB_SIZE = 20000                  # capped vocabulary built from the text
 SEED = 7                            # default sampling seed
 MAX_BROADCAST_BYTES = 256 << 20     # bound for broadcasting data-dependent tables (hits, candidates, maps)
 TOKEN_PATTERN = r"[^ \t\n\r\f\x0B]+"   # whitespace split, identical in Java regex and RE2
 
 
-def special_ids(vocab_size: int = VOCAB_SIZE) -> dict:
-    """Reserved ids above the vocabulary: OOV, eos, cls, sep and one id per helper word."""
-    v = vocab_size
-    return {"oov": v, "eos": v + 1, "cls": v + 2, "sep": v + 3,
-            "question": v + 4, "context": v + 5, "answer": v + 6}
+# Reserved ids come first, so that they don't depend on how many tokens a vocabulary has.
+SPECIALS = ("oov", "eos", "cls", "sep", "question", "context", "answer")
+FIRST_TOKEN_ID = len(SPECIALS)
+
+
+def special_ids() -> dict:
+    """Reserved ids below the vocabulary's: OOV, eos, cls, sep and one id per helper word."""
+    return {name: i for i, name in enumerate(SPECIALS)}

@@ -23,7 +23,7 @@ from quarry.operators.sampling import gumbel_sample
 from quarry.operators.search import mips_exact
 from quarry.operators.vocab import Vocab, build_vocab
 from quarry.params import (CONTEXT_SIZE, MAX_GENERATION_LENGTH, NUM_NEIGHBORS, NUM_RETRIEVALS,
-                           SEED, TEMPERATURE, VOCAB_SIZE, special_ids)
+                           SEED, TEMPERATURE, special_ids)
 from quarry.session import checkpoint_dir, spread
 from quarry.sources import tables
 
@@ -35,8 +35,8 @@ def corpus_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(d.unionByName(c))
 
 
-def corpus_vocab(spark: SparkSession, sf_dir: str, vocab_size: int = VOCAB_SIZE) -> Vocab:
-    return Vocab(build_vocab(corpus_text(spark, sf_dir), vocab_size), vocab_size)
+def corpus_vocab(spark: SparkSession, sf_dir: str) -> Vocab:
+    return Vocab(build_vocab(corpus_text(spark, sf_dir)))
 
 
 def retrieval_hits(spark: SparkSession, sf_dir: str, k: int = NUM_NEIGHBORS,
@@ -52,8 +52,8 @@ def retrieval_hits(spark: SparkSession, sf_dir: str, k: int = NUM_NEIGHBORS,
 def block_tokens(spark: SparkSession, sf_dir: str, vocab: Vocab,
                  max_len: int = CONTEXT_SIZE) -> DataFrame:
     """``block_id, token_ids`` -- every passage tokenised once, cut to the model size."""
-    return tables.blocks(spark, sf_dir, with_vectors=False).select(
-        "block_id", vocab.encode(F.col("text"), max_len).alias("token_ids"))
+    text = tables.blocks(spark, sf_dir, with_vectors=False)
+    return vocab.encode_into(text, {"token_ids": "text"}, max_len).select("block_id", "token_ids")
 
 
 def retrieval_cache(spark: SparkSession, sf_dir: str, vocab: Vocab, k: int = NUM_NEIGHBORS,
@@ -72,14 +72,11 @@ def retrieval_cache(spark: SparkSession, sf_dir: str, vocab: Vocab, k: int = NUM
     if n_hits * 8 <= MAX_BROADCAST_HIT_BYTES:
         hit_ids = F.broadcast(hit_ids)
     hit_text = spread(text.join(hit_ids, "block_id", "left_semi"))
-    tokens = hit_text.select("block_id", vocab.encode(F.col("text"), context_size).alias("token_ids"))
+    tokens = vocab.encode_into(hit_text, {"token_ids": "text"}, context_size).select("block_id", "token_ids")
     gathered = gather_blocks(hits, tokens, n_hits=n_hits)
     per_q = collect_retrievals(gathered, "sample_id", ["block_id", "score", "token_ids"])
-    fields = spread(qs).select(
-        "split", "sample_id",
-        vocab.encode(F.col("question"), context_size).alias("question_ids"),
-        F.when(F.col("answer").isNull(), F.lit(None).cast("array<int>"))
-         .otherwise(vocab.encode(F.col("answer"), context_size)).alias("answer_ids"))
+    fields = vocab.encode_into(spread(qs), {"question_ids": "question", "answer_ids": "answer"}, context_size).select(
+        "split", "sample_id", "question_ids", "answer_ids")
     return fields.join(per_q, "sample_id", "left").withColumn(
         "retrievals", F.coalesce("retrievals", F.array().cast(per_q.schema["retrievals"].dataType)))
 
@@ -89,14 +86,14 @@ def training_samples(cache: DataFrame, *, num_retrievals: int = NUM_RETRIEVALS,
                      approach: str = "cached_pretok", use_helper_words: bool = True,
                      helper_mode: str = "multiple", context_size: int = CONTEXT_SIZE,
                      max_generation_length: int = MAX_GENERATION_LENGTH,
-                     vocab_size: int = VOCAB_SIZE, allow_fewer: bool = False,
+                     allow_fewer: bool = False,
                      keep=()) -> DataFrame:
     """Cache -> ``split, sample_id, [keep...,] input_ids, label_ids`` (labels NULL on test).
 
     Narrow: sampling, assembly and padding are in-row expressions. ``epoch`` may
     be a column (one draw per epoch).
     """
-    sp = special_ids(vocab_size)
+    sp = special_ids()
     is_test = F.col("split") == "test"
     contexts = None
     if approach == "cached_pretok":
@@ -146,7 +143,7 @@ def make_retrieve_and_merge(**sample_kw):
 def make_prompt_prep(eos: int | None = None):
     """Returns ``samples -> prompts``: the generation input of each finished sample."""
     from quarry.operators.assembly import prompt_extract
-    eos = special_ids(VOCAB_SIZE)["eos"] if eos is None else eos
+    eos = special_ids()["eos"] if eos is None else eos
 
     def prompt_prep(samples: DataFrame) -> DataFrame:
         is_test = F.col("split") == "test"

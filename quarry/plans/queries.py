@@ -23,17 +23,17 @@ from quarry.operators.retrieval import cached_lookup, gather_blocks, select_by_i
 from quarry.operators.sampling import gumbel_sample, hash_sample, paired_subset
 from quarry.operators.search import mips_exact, topk_rank
 from quarry.operators.vocab import Vocab, read_vocab_file, write_vocab_file
-from quarry.params import (BATCHES_BETWEEN_EVALS, CONTEXT_SIZE, EMA_CONSTANT, MASK_ID, NUMBER_EVAL_BATCHES,
+from quarry.params import (BATCHES_BETWEEN_EVALS, CONTEXT_SIZE, EMA_CONSTANT, IVF_REORDER, MASK_ID, NUMBER_EVAL_BATCHES,
                            NUM_RETRIEVALS, PASSAGE_LENGTH_FRACTIONS, PASSAGE_LENGTH_SAMPLE,
                            QA_LENGTH_FRACTIONS, RAGGED_PAD_ID, SAVE_PERIOD_MIN, SEED, SPLIT_CARDINALITIES,
-                           TEMPERATURE, VOCAB_SIZE, special_ids)
+                           TEMPERATURE, special_ids)
 from quarry.plans import pipeline as P
 from quarry.session import scratch_path
 from quarry.sources import cache_io as CI
 from quarry.sources import tables
 from quarry.streaming import metrics_stream as MS
 
-SP = special_ids(VOCAB_SIZE)
+SP = special_ids()
 EOS = SP["eos"]
 _VOCABS: dict = {}
 
@@ -98,7 +98,7 @@ def q_src_blocks(spark, sf):
 @register("src_vectors", O.sql("""
     SELECT block_id, len(embedding)::BIGINT AS dim,
            round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS sq_norm
-    FROM blocks""", "blocks"))
+    FROM block_vec""", "block_vec"))
 def q_src_vectors(spark, sf):
     from quarry.functions.arrays import dot
     v = tables.block_vectors(spark, sf, dim=64)
@@ -115,8 +115,8 @@ def q_src_vocab(spark, sf):
     SELECT sample_id, array_to_string(question_ids, ' ') AS question_ids FROM q_tok""", "q_tok"))
 def q_vocab_encode(spark, sf):
     voc = vocab_for(spark, sf)
-    return tables.questions(spark, sf).select(
-        "sample_id", ids_text(voc.encode(F.col("question"), CONTEXT_SIZE)).alias("question_ids"))
+    return voc.encode_into(tables.questions(spark, sf), {"ids": "question"}, CONTEXT_SIZE).select(
+        "sample_id", ids_text(F.col("ids")).alias("question_ids"))
 
 
 @register("vocab_decode", O.sql(f"""
@@ -127,8 +127,9 @@ def q_vocab_encode(spark, sf):
       LEFT JOIN vocab v ON v.token_id = x.id GROUP BY sample_id) d USING (sample_id)""", "q_tok", "vocab"))
 def q_vocab_decode(spark, sf):
     voc = vocab_for(spark, sf)
-    ids = F.concat(F.array(F.lit(SP["question"])), voc.encode(F.col("question"), CONTEXT_SIZE))
-    return tables.questions(spark, sf).select("sample_id", voc.decode(ids).alias("decoded"))
+    q = voc.encode_into(tables.questions(spark, sf), {"ids": "question"}, CONTEXT_SIZE)
+    q = q.withColumn("ids", F.concat(F.array(F.lit(SP["question"])), "ids"))
+    return voc.decode_into(q, {"decoded": "ids"}).select("sample_id", "decoded")
 
 
 @register("truncate_field", O.sql(f"""
@@ -443,9 +444,11 @@ QA_LEN_SQL = f"""
       SELECT conv_id, arg_min(text, struct_pack(l := length(text), t := turn)) AS a
       FROM conversations WHERE role = 'assistant' GROUP BY conv_id) USING (conv_id)"""
 
+LEN_SAMPLE = 150   # below the table's size at every scale, so that the cut is seen
+PASSAGE_LEN_SQL = f"SELECT doc_id, len({O.tok('text')}) AS len FROM documents WHERE text IS NOT NULL"
 PASSAGE_SAMPLE_SQL = f"""
     SELECT doc_id, len({O.tok('text')}) AS len FROM documents
-    ORDER BY {O.u32('7', 'doc_id')}, doc_id LIMIT {PASSAGE_LENGTH_SAMPLE}"""
+    ORDER BY {O.u32('7', 'doc_id')}, doc_id LIMIT {LEN_SAMPLE}"""
 
 
 def qa_lengths(spark, sf):
@@ -455,10 +458,16 @@ def qa_lengths(spark, sf):
     return qa.select(F.size(tokens(txt)).alias("len"))
 
 
-def passage_sample(spark, sf):
-    docs = tables.read_table(spark, sf, "documents").select("doc_id", "text")
-    return hash_sample(docs, "doc_id", PASSAGE_LENGTH_SAMPLE, SEED).select(
-        "doc_id", F.size(tokens(F.col("text"))).alias("len"))
+def passage_sample(spark, sf, n=PASSAGE_LENGTH_SAMPLE):
+    docs = tables.read_table(spark, sf, "documents").select("doc_id")
+    text = tables.read_table(spark, sf, "documents").select("doc_id", "text")
+    chosen = hash_sample(docs, "doc_id", n, SEED)  # ids only; the texts of the chosen follow
+    return text.join(chosen, "doc_id", "left_semi").select("doc_id", F.size(tokens(F.col("text"))).alias("len"))
+
+
+def passage_lengths(spark, sf):
+    docs = tables.read_table(spark, sf, "documents").where(F.col("text").isNotNull())
+    return docs.select(F.size(tokens(F.col("text"))).alias("len"))
 
 
 def _cutoff_sql(src: str, fractions) -> str:
@@ -496,12 +505,12 @@ def q_retrieval_budget(spark, sf):
 
 @register("len_sample", f"SELECT doc_id, len::BIGINT AS len FROM ({PASSAGE_SAMPLE_SQL})")
 def q_len_sample(spark, sf):
-    return passage_sample(spark, sf).select("doc_id", F.col("len").cast("long"))
+    return passage_sample(spark, sf, LEN_SAMPLE).select("doc_id", F.col("len").cast("long"))
 
 
-@register("passage_cutoffs", _cutoff_sql(PASSAGE_SAMPLE_SQL, PASSAGE_LENGTH_FRACTIONS))
+@register("passage_cutoffs", _cutoff_sql(PASSAGE_LEN_SQL, PASSAGE_LENGTH_FRACTIONS))
 def q_passage_cutoffs(spark, sf):
-    return S.length_cutoffs(passage_sample(spark, sf), PASSAGE_LENGTH_FRACTIONS)
+    return S.length_cutoffs(passage_lengths(spark, sf), PASSAGE_LENGTH_FRACTIONS)
 
 
 @register("unique_check", O.sql("""
@@ -790,18 +799,34 @@ def q_pq_score(spark, sf):
     return out.select(F.col("qid").alias("sample_id"), "rank", "block_id", r6(F.col("score")).alias("score"))
 
 
-@register("rerank_exact", O.sql(
-    "SELECT sample_id, rank::BIGINT AS rank, block_id, round(score, 6) AS score FROM hits", "hits"))
+@register("rerank_exact", O.sql(f"""
+    SELECT sample_id, (row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, block_id))::BIGINT AS rank, block_id,
+           round(score, 6) AS score
+    FROM (SELECT sample_id, block_id, score FROM (
+            SELECT q.sample_id, b.block_id, list_dot_product(q.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score,
+                   row_number() OVER (PARTITION BY q.sample_id ORDER BY list_dot_product(q.embedding::DOUBLE[],
+                     list_transform(b.embedding::DOUBLE[], lambda x: round(x * 127) / 127)) DESC, b.block_id) AS r
+            FROM qvec q, block_vec b) WHERE r <= {IVF_REORDER})
+    QUALIFY rank <= 10""", "qvec", "block_vec"))
 def q_rerank_exact(spark, sf):
-    # PQ candidates over every leaf, re-ranked exactly with a reorder depth covering
-    # all blocks: must equal exact search.
+    # Candidates by compressed vectors (one byte per coordinate) to the documented reorder
+    # depth, re-ranked on the full ones: questions x 100 candidates, whatever the number of blocks.
+    qv, bv = _qv(spark, sf), tables.block_vectors(spark, sf)
+    approx = mips_exact(qv, AN.scalar_quantise(bv), IVF_REORDER, qid_col="qid")
+    nq = qv.count()
+    out = AN.rerank_exact(approx, qv, bv, 10, n_candidates=nq * IVF_REORDER, query_bytes=nq * 64 * 8)
+    return out.select(F.col("qid").alias("sample_id"), "rank", "block_id", r6(F.col("score")).alias("score"))
+
+
+@register("pq_rerank")
+def q_pq_rerank(spark, sf):
+    # The approximate pipeline as one: leaves, compressed scores, reorder depth, exact top-k.
     cents, _ = ann_index(spark, sf)
     books, coded = _pq(spark, sf)
-    n_blocks = coded.count()
-    approx = AN.ivf_probe(_qv(spark, sf), coded, cents, N_LEAVES, n_blocks, codebooks=books)
-    nq = _qv(spark, sf).count()
-    out = AN.rerank_exact(approx, _qv(spark, sf), tables.block_vectors(spark, sf), 10,
-                          n_candidates=nq * n_blocks, query_bytes=nq * 64 * 8)
+    qv = _qv(spark, sf)
+    approx = AN.ivf_probe(qv, coded, cents, 4, IVF_REORDER, codebooks=books)
+    nq = qv.count()
+    out = AN.rerank_exact(approx, qv, tables.block_vectors(spark, sf), 10, n_candidates=nq * IVF_REORDER, query_bytes=nq * 64 * 8)
     return out.select(F.col("qid").alias("sample_id"), "rank", "block_id", r6(F.col("score")).alias("score"))
 
 
@@ -851,8 +876,8 @@ def q_query_sample(spark, sf):
             SELECT qid, block_id FROM (
               SELECT q.vec_id AS qid, b.block_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY
                      list_dot_product(q.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.block_id) AS r
-              FROM ({QS_SQL}) q, blocks b) WHERE r <= 10) t ON t.qid = q.vec_id
-          GROUP BY q.vec_id)""", "blocks"))
+              FROM ({QS_SQL}) q, block_vec b) WHERE r <= 10) t ON t.qid = q.vec_id
+          GROUP BY q.vec_id)""", "block_vec"))
 def q_recall_match(spark, sf):
     # Self-recall of exact search: sampled vectors as queries; is the vector's own
     # passage among its top 10?
@@ -879,13 +904,14 @@ def q_id_intersect(spark, sf):
 @register("paired_subset", O.sql(f"""
     SELECT (row_number() OVER (ORDER BY block_id) - 1)::BIGINT AS new_id, block_id,
            length(text)::BIGINT AS n_chars, len(embedding)::BIGINT AS dim
-    FROM (SELECT * FROM blocks ORDER BY {O.u32(str(SEED), 'block_id')}, block_id LIMIT 100)""", "blocks"))
+    FROM (SELECT * FROM blocks ORDER BY {O.u32(str(SEED), 'block_id')}, block_id LIMIT 100)
+    LEFT JOIN block_vec USING (block_id)""", "blocks", "block_vec"))
 def q_paired_subset(spark, sf):
     d = tables.blocks(spark, sf, with_vectors=False)
     v = tables.block_vectors(spark, sf)
     total = d.count()
     sub = paired_subset(d.select("block_id"), "block_id", 100, {"text": d, "vec": v}, SEED, total)
-    return (sub["text"].join(sub["vec"].drop("new_id"), "block_id")
+    return (sub["text"].join(sub["vec"].drop("new_id"), "block_id", "left")  # some passages have no vector
             .select("new_id", "block_id", F.length("text").cast("long").alias("n_chars"),
                     F.size("embedding").cast("long").alias("dim")))
 
@@ -985,11 +1011,7 @@ def q_sink_recall(spark, sf):
     GROUP BY split, batch_no""", "questions"))
 def q_collate(spark, sf):
     shares = B.replica_split(_batches(spark, sf), 3)
-    per_replica = [shares.where(F.col("replica") == r) for r in range(3)]
-    out = per_replica[0]
-    for p in per_replica[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("split", "batch_no").agg(F.count(F.lit(1)).alias("n_rows"),
+    return shares.groupBy("split", "batch_no").agg(F.count(F.lit(1)).alias("n_rows"),
                                                 F.count_distinct("replica").cast("long").alias("n_replicas"))
 
 
@@ -1085,8 +1107,8 @@ _FEED_POS_SQL = f"""
       FROM questions, (SELECT range AS epoch FROM range({FEED_EPOCHS})) e)"""
 _FEED_PLACED_SQL = f"""
     SELECT split, sample_id, epoch, pos // {BATCH} AS batch_no,
-           (pos % {BATCH}) // ((CASE WHEN pos // {BATCH} < n // {BATCH} THEN {BATCH} ELSE n - (n // {BATCH}) * {BATCH} END)
-                              // {FEED_REPLICAS}) AS replica
+           (pos % {BATCH}) // nullif((CASE WHEN pos // {BATCH} < n // {BATCH} THEN {BATCH} ELSE n - (n // {BATCH}) * {BATCH} END)
+                              // {FEED_REPLICAS}, 0) AS replica
     FROM ({_FEED_POS_SQL})
     WHERE (split = 'test' OR pos // {BATCH} < n // {BATCH})
       AND (CASE WHEN pos // {BATCH} < n // {BATCH} THEN {BATCH} ELSE n - (n // {BATCH}) * {BATCH} END) // {FEED_REPLICAS} > 0"""
@@ -1145,7 +1167,7 @@ def q_src_blocks_positional(spark, sf):
     # part files whose names follow that order), then imported by position.
     path = scratch_path(spark, "blocks-positional")
     b = tables.blocks(spark, sf, with_vectors=False)
-    b.repartitionByRange(4, "block_id").sortWithinPartitions("block_id").select("text").write.parquet(path)
+    b.repartitionByRange("block_id").sortWithinPartitions("block_id").select("text").write.parquet(path)
     return tables.import_positional(spark, path, "block_pos")
 
 

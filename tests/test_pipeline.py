@@ -1,5 +1,7 @@
 """End-to-end checks on the driver tables: entry smoke, invariants, SQL twins."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -20,8 +22,8 @@ def test_entry_smoke(spark):
 def test_every_query_has_known_twin_status():
     qs, orc = E.queries(), E.oracle_sql()
     assert set(orc) <= set(qs)
-    rows_only = set(qs) - set(orc)
-    assert rows_only <= {"ivf_train", "pq_score", "recall_all", "recall_any", "encoder_hook"}
+    rows_only = {n for n in set(qs) - set(orc) if not re.match(r"op\d+_|pipeline$", n)}  # those have tests of their own
+    assert rows_only <= {"ivf_train", "pq_score", "pq_rerank", "recall_all", "recall_any", "encoder_hook"}
 
 
 @pytest.mark.parametrize("name", ["assemble_retrieval", "mips_exact", "gumbel_sample", "ema", "make_batches",
@@ -87,13 +89,14 @@ def test_plan_uses_window_group_limit(spark):
 @pytest.mark.parametrize("name", ["ema", "step_counters", "batch_duration", "cadence_marks", "make_batches",
                                   "seeded_shuffle"])
 def test_running_quantities_use_no_window(spark, name):
-    # Running / positional quantities come from the range-partitioned scan, never
-    # from a window over raw rows.
+    # Running / positional quantities come from the range-partitioned scan: a window holds
+    # one segment (a key's rows of one partition), never a whole key.
     from quarry.plans import queries as Q
     df = Q.QUERIES[name](spark, SF_SMALL)
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "Window [" not in plan and "WindowGroupLimit" not in plan
+    windows = [line for line in plan.split("\n") if "Window [" in line]
+    assert all("_pid#" in line for line in windows) and "WindowGroupLimit" not in plan
 
 
 def test_missing_cache_split_is_an_error(spark, tmp_path):
