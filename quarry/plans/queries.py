@@ -1019,23 +1019,20 @@ def q_collate(spark, sf):
 # Streaming twins (must equal their batch versions)
 # ---------------------------------------------------------------------------
 
-def _staged_events(spark, sf):
-    key = ("staged", skey(spark), sf)
-    if key not in _ANN:
-        ev = tables.read_table(spark, sf, "events")
-        _ANN[key] = MS.stage_time_ordered(ev, "ts", 4, scratch_path(spark, "events-stream"))
-    return _ANN[key]
+def _events(sf):
+    # The table itself is the stream's source. As a pattern the path may be a file or a folder.
+    return f"{sf.rstrip('/')}/events.parque[t]"
 
 
 @register("ema_stream", ORACLE["ema"])
 def q_ema_stream(spark, sf):
-    out = MS.ema_stream(spark, _staged_events(spark, sf), MS.events_schema(spark, sf))
+    out = MS.ema_stream(spark, _events(sf), MS.events_schema(spark, sf))
     return out.select("split", "event_id", r6(F.col("ema")).alias("ema"))
 
 
 @register("cadence_stream", CADENCE_SQL)
 def q_cadence_stream(spark, sf):
-    return MS.cadence_stream(spark, _staged_events(spark, sf), MS.events_schema(spark, sf),
+    return MS.cadence_stream(spark, _events(sf), MS.events_schema(spark, sf),
                              SAVE_PERIOD_MIN * 60.0)
 
 
@@ -1044,7 +1041,7 @@ def q_cadence_stream(spark, sf):
            sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS samples
     FROM events GROUP BY event_type""")
 def q_counters_stream(spark, sf):
-    return MS.counters_stream(spark, _staged_events(spark, sf), MS.events_schema(spark, sf))
+    return MS.counters_stream(spark, _events(sf), MS.events_schema(spark, sf))
 
 
 # ---------------------------------------------------------------------------
@@ -1150,13 +1147,9 @@ def q_shard_lists(spark, sf):
                         F.array_join(F.transform("shards", lambda s: s["shard"].cast("string")), " ").alias("shards"))
 
 
-@register("loss_mean_stream", f"""
-    SELECT split, step, round(loss, 6) AS loss, n_replicas FROM ({LOSS_MEAN_SQL})
-    WHERE (step + 1) * 3600000000 <= (SELECT max(epoch_us(ts)) FROM events) - 7200000000""")
+@register("loss_mean_stream", f"SELECT split, step, round(loss, 6) AS loss, n_replicas FROM ({LOSS_MEAN_SQL})")
 def q_loss_mean_stream(spark, sf):
-    # Steps still inside the 2-hour watermark delay at the end of the input are
-    # not final, so they are not emitted (append mode).
-    out = MS.loss_mean_stream(spark, _staged_events(spark, sf), MS.events_schema(spark, sf))
+    out = MS.loss_mean_stream(spark, _events(sf), MS.events_schema(spark, sf))
     return out.select("split", "step", r6(F.col("loss")).alias("loss"), F.col("n_replicas").cast("long"))
 
 
@@ -1171,12 +1164,8 @@ def q_src_blocks_positional(spark, sf):
     return tables.import_positional(spark, path, "block_pos")
 
 
-@register("ema_stream_event_time", f"""
-    SELECT split, event_id, ema FROM ({ORACLE['ema']})
-    JOIN (SELECT event_id, epoch_us(ts) AS us FROM events) USING (event_id)
-    WHERE us <= (SELECT (max(epoch_us(ts)) // 1000) * 1000 - 7200000000 FROM events)""")
+@register("ema_stream_event_time", ORACLE["ema"])
 def q_ema_stream_event_time(spark, sf):
-    # Folded in event-time order under a 2-hour watermark; rows still inside the
-    # delay at the end of the input are not final and not emitted.
-    out = MS.ema_stream_event_time(spark, _staged_events(spark, sf), MS.events_schema(spark, sf))
+    # Folded in event-time order under a 2-hour delay, flushed at the end of the input.
+    out = MS.ema_stream_event_time(spark, _events(sf), MS.events_schema(spark, sf))
     return out.select("split", "event_id", r6(F.col("ema")).alias("ema"))

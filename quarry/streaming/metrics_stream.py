@@ -1,137 +1,157 @@
 """Structured Streaming twins of the metric scans.
 
-The metrics log arrives as files. Per key (split) the state is carried across
-micro-batches with ``applyInPandasWithState``: the EMA keeps its running
-average, the cadence its last mark time, and both remember the last
-(ts, id) they consumed. **Ordering assumption:** files arrive in time order
-(one writer, as in training); inside a micro-batch rows are sorted by
-(ts, id). A row older than the key's last consumed row is *late*: it is not
-folded in (the running value cannot be rewound) and is counted in the key's
-state (``n_late``).
-
-Counters are a plain streaming aggregation (``groupBy(split).agg``), written
-per micro-batch with ``foreachBatch``. Per-step loss means use event time
-proper: two chained windowed aggregations under a watermark, append mode, so a
-step is emitted once final and later rows are dropped as late data.
-
-Checkpoints and outputs live under the shared checkpoint folder.
+The metrics log arrives as files, in any order. Every micro-batch (``foreachBatch``) is folded with the same
+range-partitioned ``ordered_scan`` as the batch version, started from each key's state, so a key with
+most of the rows still spreads over many tasks. Between batches three small or bounded tables are kept:
+
+* ``state``: per key its average or last mark, and the last (time, id) that was folded;
+* ``buffer``: rows that are not yet older than the newest time seen by ``delay``; they wait for rows
+  that belong before them;
+* ``late``: rows that arrived after their place had been folded. They can't be folded any more, so they are
+  written out, never dropped silently.
+
+When a bounded input ends, the buffer is flushed, so every row is either folded or in the late table. All tables
+of a batch are written under its number in the shared checkpoint folder and read by the next one: a batch that
+runs again after a failure starts from the same tables and overwrites its own.
+
+Counters are a plain streaming aggregation. Per-step loss means are windowed per replica under a
+watermark in update mode; each batch writes the means that changed, and the newest one of a window counts, so steps that
+are still open at the end of the input are part of the result.
 """
 
 from __future__ import annotations
 
-import math
 import os
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from quarry.operators.metrics import epoch_micros
-from quarry.operators.scan import _affine_prefix, _cadence_marks
+from quarry.operators.scan import ordered_scan
 from quarry.params import EMA_CONSTANT
 from quarry.session import scratch_path
 
-EMA_STATE = T.StructType([T.StructField("avg", T.DoubleType()), T.StructField("last_us", T.LongType()),
-                          T.StructField("last_id", T.LongType()), T.StructField("n_late", T.LongType())])
-CADENCE_STATE = T.StructType([T.StructField("last_mark", T.DoubleType()),
-                              T.StructField("last_us", T.LongType()),
-                              T.StructField("last_id", T.LongType()), T.StructField("n_late", T.LongType())])
-
-
-def stage_time_ordered(df: DataFrame, ts: str, n_files: int, path: str,
-                       max_rows_per_file: int = 2_000_000) -> str:
-    """Replay helper: write ``df`` as ``n_files`` time slices in time order, one job
-    per slice, so file modification order follows event time and each micro-batch
-    (``maxFilesPerTrigger=1``) is one slice. A live stream arrives from its writer
-    instead; this exists to replay a table through the streaming operators. More
-    slices are cut when needed so no slice (one writer task) exceeds
-    ``max_rows_per_file`` rows on average."""
-    bounds = df.select(F.min(epoch_micros(F.col(ts))).alias("lo"),
-                       F.max(epoch_micros(F.col(ts))).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    if not bounds["n"]:
-        df.limit(0).write.mode("append").parquet(path)
-        return path
-    n_files = max(n_files, math.ceil(int(bounds["n"]) / max_rows_per_file))
-    lo, hi = int(bounds["lo"]), int(bounds["hi"]) + 1
-    step = max(1, math.ceil((hi - lo) / n_files))
-    for i in range(n_files):
-        a, b = lo + i * step, lo + (i + 1) * step
-        part = df.where((epoch_micros(F.col(ts)) >= a) & (epoch_micros(F.col(ts)) < b))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return path
-
-
-def _in_order(pdf: pd.DataFrame, last_us, last_id):
-    pdf = pdf.sort_values(["_us", "event_id"], kind="stable")
-    if last_us is None:
-        return pdf, 0
-    late = (pdf["_us"] < last_us) | ((pdf["_us"] == last_us) & (pdf["event_id"] <= last_id))
-    return pdf[~late], int(late.sum())
+STATE = "split string, seed double, done_us long, done_id long, seen long"
+
+
+def _source(spark: SparkSession, source_dir: str, schema: T.StructType, files_per_trigger: int) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir)
+
+
+class _Fold:
+    """Micro-batches ``(split, event_id, _us, x)`` folded by ``scan(ready, seeds) -> (split, event_id, _us, o, seed)``."""
+
+    def __init__(self, spark: SparkSession, name: str, scan, delay_us: int, late_path: str | None):
+        self.spark, self.scan, self.delay_us = spark, scan, delay_us
+        self.base = scratch_path(spark, name)
+        self.late = late_path or f"{self.base}/late"
+        self.last = -1
+        self.row_schema = T.StructType([T.StructField("split", T.StringType()), T.StructField("event_id", T.LongType()),
+                                        T.StructField("_us", T.LongType()), T.StructField("x", T.DoubleType())])
+
+    def _read(self, table: str, n: int, schema) -> DataFrame:
+        if n < 0:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.base}/{table}/{n}")
+
+    def _written(self, df: DataFrame, table: str, n: int) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.base}/{table}/{n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.base}/{table}/{n}")
+
+    def batch(self, rows: DataFrame, n: int, flush: bool = False):
+        state = self._read("state", n - 1, STATE)
+        known = state.select(F.col("split").alias("_s"), "done_us", "done_id")
+        rows = self._written(rows.select("split", "event_id", "_us", "x"), "in", n)
+        rows = rows.join(known, rows["split"].eqNullSafe(F.col("_s")), "left")
+        old = F.coalesce((F.col("_us") < F.col("done_us")) | ((F.col("_us") == F.col("done_us")) & (F.col("event_id") <= F.col("done_id"))),
+                         F.lit(False))
+        names = ["split", "event_id", "_us", "x"]
+        rows.where(old).select(*names).write.mode("overwrite").parquet(f"{self.late}/batch={n}")
+        waiting = rows.where(~old).select(*names).unionByName(self._read("buffer", n - 1, self.row_schema))
+        seen = waiting.agg(F.max("_us")).first()[0]
+        before = state.agg(F.max("seen")).first()[0]
+        seen = max((x for x in (seen, before) if x is not None), default=None)
+        ripe = F.lit(True) if flush or seen is None else F.coalesce(F.col("_us") <= F.lit(seen - self.delay_us), F.lit(True))
+        self._written(waiting.where(~ripe), "buffer", n)
+        out = self._written(self.scan(waiting.where(ripe), state.select("split", "seed")), "out", n)
+        place = F.struct("_us", "event_id")
+        ends = out.groupBy(F.col("split").alias("_k")).agg(F.max(place).alias("_end"), F.max_by("seed", place).alias("_seed"), F.count("*").alias("_n"))
+        joined = state.join(ends, state["split"].eqNullSafe(F.col("_k")), "full")
+        fresh = F.col("_n").isNotNull()
+        after = joined.select(F.when(fresh, F.col("_k")).otherwise(F.col("split")).alias("split"), F.coalesce("_seed", "seed").alias("seed"),
+                              F.coalesce("_end._us", "done_us").alias("done_us"), F.coalesce("_end.event_id", "done_id").alias("done_id"),
+                              F.lit(seen).cast("long").alias("seen"))
+        self._written(after, "state", n)
+        self.last = n
+
+    def run(self, rows: DataFrame) -> DataFrame:
+        """Runs the stream to the end of its input, flushes, and returns the folded rows."""
+        q = (rows.writeStream.foreachBatch(lambda df, n: self.batch(df, n))
+             .option("checkpointLocation", f"{self.base}/checkpoint").start())
+        q.processAllAvailable()
+        q.stop()
+        self.batch(self.spark.createDataFrame([], self.row_schema), self.last + 1, flush=True)
+        parts = [f"{self.base}/out/{n}" for n in range(self.last + 1)]
+        return self.spark.read.schema(self.spark.read.parquet(parts[-1]).schema).parquet(*parts)
+
+
+def _micros(delay: str) -> int:
+    n, unit = delay.split()
+    return int(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")] * 1_000_000
 
 
 def ema_stream(spark: SparkSession, source_dir: str, schema: T.StructType, *, constant: float = EMA_CONSTANT,
-               files_per_trigger: int = 1, key: str = "event_type", value: str = "value") -> DataFrame:
-    """Run the streaming EMA to completion over ``source_dir`` and return its output
-    (``split, event_id, ema``) as a batch DataFrame read from the sink."""
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-           .parquet(source_dir))
-    rows = src.select(F.col(key).alias("split"), "event_id", epoch_micros(F.col("ts")).alias("_us"),
-                      F.col(value).cast("double").alias("x"))
-    c = float(constant)
-
-    def step(k, pdfs, state):
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        avg, last_us, last_id, n_late = state.get if state.exists else (None, None, None, 0)
-        pdf, late = _in_order(pdf, last_us, last_id)
-        if len(pdf):
-            x = pdf["x"].to_numpy(dtype=np.float64)
-            start = x[0] if avg is None else avg
-            A, B = _affine_prefix(np.full(len(x), c), (1 - c) * x)
-            out = A * start + B
-            state.update((float(out[-1]), int(pdf["_us"].iat[-1]), int(pdf["event_id"].iat[-1]), n_late + late))
-            yield pd.DataFrame({"split": k[0], "event_id": pdf["event_id"].to_numpy(), "ema": out})
-        elif late:
-            state.update((avg, last_us, last_id, n_late + late))
-
-    out = rows.groupBy("split").applyInPandasWithState(
-        step, "split string, event_id long, ema double", EMA_STATE, "append", GroupStateTimeout.NoTimeout)
-    return _run_to_files(spark, out, "ema-stream")
+               delay: str = "0 seconds", files_per_trigger: int = 1, key: str = "event_type", value: str = "value",
+               late_path: str | None = None) -> DataFrame:
+    """Streaming EMA per split in event-time order: ``split, event_id, ema``. Rows up to ``delay`` out of
+    order are folded in their place; later ones go to ``late_path`` (``batch=n`` folders)."""
+    rows = _source(spark, source_dir, schema, files_per_trigger).select(
+        F.col(key).alias("split"), "event_id", epoch_micros(F.col("ts")).alias("_us"), F.col(value).cast("double").alias("x"))
+
+    def scan(ready, seeds):
+        out = ordered_scan(ready, "split", ["_us", "event_id"], "ema", "x", "o", constant=constant, seeds=seeds)
+        return out.select("split", "event_id", "_us", "o", F.col("o").alias("seed"))
+    out = _Fold(spark, "ema-stream", scan, _micros(delay), late_path).run(rows)
+    return out.select("split", "event_id", F.col("o").alias("ema"))
+
+
+def ema_stream_event_time(spark: SparkSession, source_dir: str, schema: T.StructType, *, delay: str = "2 hours",
+                          **kw) -> DataFrame:
+    """``ema_stream`` for files that arrive out of order by up to ``delay``."""
+    return ema_stream(spark, source_dir, schema, delay=delay, **kw)
 
 
 def cadence_stream(spark: SparkSession, source_dir: str, schema: T.StructType, period_s: float, *,
-                   files_per_trigger: int = 1, key: str = "event_type") -> DataFrame:
-    """Streaming cadence marks (``split, event_id`` of marked rows); the first row
-    of a key is marked."""
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-           .parquet(source_dir))
-    rows = src.select(F.col(key).alias("split"), "event_id", epoch_micros(F.col("ts")).alias("_us"))
-
-    def step(k, pdfs, state):
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        last_mark, last_us, last_id, n_late = state.get if state.exists else (None, None, None, 0)
-        pdf, late = _in_order(pdf, last_us, last_id)
-        if len(pdf):
-            t = pdf["_us"].to_numpy(dtype=np.float64) / 1e6
-            marks, last_mark = _cadence_marks(t, float(period_s), last_mark)
-            state.update((last_mark, int(pdf["_us"].iat[-1]), int(pdf["event_id"].iat[-1]), n_late + late))
-            yield pd.DataFrame({"split": k[0], "event_id": pdf["event_id"].to_numpy()[marks]})
-        elif late:
-            state.update((last_mark, last_us, last_id, n_late + late))
-
-    out = rows.groupBy("split").applyInPandasWithState(
-        step, "split string, event_id long", CADENCE_STATE, "append", GroupStateTimeout.NoTimeout)
-    return _run_to_files(spark, out, "cadence-stream")
+                   delay: str = "0 seconds", files_per_trigger: int = 1, key: str = "event_type",
+                   late_path: str | None = None) -> DataFrame:
+    """Streaming cadence marks (``split, event_id`` of marked rows); the first row of a key is marked."""
+    rows = _source(spark, source_dir, schema, files_per_trigger).select(
+        F.col(key).alias("split"), "event_id", epoch_micros(F.col("ts")).alias("_us"))
+    rows = rows.withColumn("x", F.col("_us").cast("double") / F.lit(1e6))
+
+    def scan(ready, seeds):
+        out = ordered_scan(ready, "split", ["_us", "event_id"], "cadence", "x", "o", period=float(period_s), seeds=seeds)
+        # max_by skips rows without a mark: the newest marked time is the key's state
+        return out.select("split", "event_id", "_us", "o", F.when(F.col("o"), F.col("x")).alias("seed"))
+    fold = _Fold(spark, "cadence-stream", _last_known(scan), _micros(delay), late_path)
+    return fold.run(rows).where("o").select("split", "event_id")
+
+
+def _last_known(scan):
+    """A scan whose ``seed`` is the key's largest one on every row (marked times only grow)."""
+    def run(ready, seeds):
+        out = scan(ready, seeds)
+        last = out.groupBy(F.col("split").alias("_g")).agg(F.max("seed").alias("_m"))
+        return out.join(last, out["split"].eqNullSafe(F.col("_g")), "left").withColumn("seed", F.col("_m")).drop("_g", "_m")
+    return run
 
 
 def counters_stream(spark: SparkSession, source_dir: str, schema: T.StructType, *,
                     files_per_trigger: int = 1, key: str = "event_type") -> DataFrame:
     """Running counters per split (``split, batches, samples``), complete mode; each
     micro-batch's full result replaces the previous one in the sink folder."""
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-           .parquet(source_dir))
+    src = _source(spark, source_dir, schema, files_per_trigger)
     agg = (src.select(F.col(key).alias("split"),
                       F.get_json_object("props", "$.k").cast("long").alias("batch_size"))
               .groupBy("split").agg(F.count(F.lit(1)).alias("batches"), F.sum("batch_size").alias("samples")))
@@ -153,101 +173,29 @@ def loss_mean_stream(spark: SparkSession, source_dir: str, schema: T.StructType,
     """Event-time version of ``loss_mean``: per (step window, split, replica) mean,
     then the mean of the replica means per (step window, split).
 
-    Two chained windowed aggregations under one watermark (``delay``); append
-    mode emits a step once the watermark passes its end, and rows arriving
-    later than that are dropped by Spark as late data. Output:
-    ``split, step (hours since epoch), loss, n_replicas``.
+    The windows' state is bounded by the watermark (``delay``); a batch emits the windows it changed, and the newest
+    mean of each is taken when the output is read. Output: ``split, step (hours since epoch), loss, n_replicas``.
     """
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-           .parquet(source_dir)
-           # event time as TIMESTAMP with the same epoch value as the zone-less column
-           .withColumn("_et", F.timestamp_micros(epoch_micros(F.col("ts")))))
+    src = _source(spark, source_dir, schema, files_per_trigger).withColumn(
+        "_et", F.timestamp_micros(epoch_micros(F.col("ts"))))  # the same epoch value as the zone-less column
     per_rep = (src.withWatermark("_et", delay)
                   .groupBy(F.window("_et", step).alias("w"), F.col(key).alias("split"),
                            F.pmod(F.col("user_id"), F.lit(replicas)).alias("replica"))
                   .agg(F.avg(value).alias("m")))
-    per_step = (per_rep.groupBy(F.window(F.window_time("w"), step).alias("w"), "split")
-                       .agg(F.avg("m").alias("loss"), F.count(F.lit(1)).alias("n_replicas")))
-    out = per_step.select("split", F.floor(F.unix_micros(F.col("w.start")) / F.lit(3600000000)).cast("long")
-                          .alias("step"), "loss", "n_replicas")
-    return _run_to_files(spark, out, "loss-mean-stream")
+    per_rep = per_rep.select("split", "replica", F.floor(F.unix_micros(F.col("w.start")) / F.lit(3600000000)).cast("long").alias("step"), "m")
+    out_path = scratch_path(spark, "loss-mean-out")
 
+    def write(batch_df, n):
+        batch_df.write.mode("overwrite").parquet(f"{out_path}/batch={n}")
 
-def _run_to_files(spark: SparkSession, out: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(spark, f"{name}-out")
-    q = (out.writeStream.format("parquet").outputMode("append").option("path", path)
-            .option("checkpointLocation", scratch_path(spark, f"{name}-ckpt")).start())
+    q = (per_rep.writeStream.outputMode("update").foreachBatch(write)
+         .option("checkpointLocation", scratch_path(spark, "loss-mean-ckpt")).start())
     q.processAllAvailable()
     q.stop()
-    return spark.read.schema(out.schema).parquet(path)
+    last = (spark.read.parquet(out_path).groupBy("split", "step", "replica")
+            .agg(F.max_by(F.struct("m"), "batch").alias("m")))
+    return last.groupBy("split", "step").agg(F.avg("m.m").alias("loss"), F.count(F.lit(1)).alias("n_replicas"))
 
 
 def events_schema(spark: SparkSession, sf_dir: str) -> T.StructType:
     return spark.read.parquet(os.path.join(sf_dir, "events.parquet")).schema
-
-
-EMA_WM_STATE = T.StructType([
-    T.StructField("avg", T.DoubleType()), T.StructField("done_us", T.LongType()),
-    T.StructField("done_id", T.LongType()), T.StructField("n_late", T.LongType()),
-    T.StructField("buf_us", T.ArrayType(T.LongType())), T.StructField("buf_id", T.ArrayType(T.LongType())),
-    T.StructField("buf_x", T.ArrayType(T.DoubleType()))])
-
-
-def ema_stream_event_time(spark: SparkSession, source_dir: str, schema: T.StructType, *, delay: str = "2 hours",
-                          constant: float = EMA_CONSTANT, files_per_trigger: int = 1,
-                          key: str = "event_type", value: str = "value") -> DataFrame:
-    """EMA per split in event-time order, without assuming ordered arrival.
-
-    Rows wait in the key's state until the watermark (max event time seen minus
-    ``delay``) passes them, then are folded in (ts, id) order; a row at or
-    before the last folded position arrives too late and is counted
-    (``n_late``), not folded. An event-time timeout re-runs the key when the
-    watermark moves past its buffer, so folding does not wait for new rows of
-    that key. Rows still inside the delay when the input ends stay buffered (not
-    final), as in any append-mode event-time operator. Buffer size per key is the
-    rows of one delay window.
-    """
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-           .parquet(source_dir)
-           .withColumn("_et", F.timestamp_micros(epoch_micros(F.col("ts")))))
-    rows = (src.withWatermark("_et", delay)
-               .select(F.col(key).alias("split"), "event_id", "_et",
-                       epoch_micros(F.col("ts")).alias("_us"), F.col(value).cast("double").alias("x")))
-    c = float(constant)
-
-    def step(k, pdfs, state):
-        if state.exists:
-            avg, done_us, done_id, n_late, bu, bi, bx = state.get
-        else:
-            avg, done_us, done_id, n_late, bu, bi, bx = None, None, None, 0, [], [], []
-        frames = [p[["event_id", "_us", "x"]] for p in pdfs if len(p)]
-        buf = pd.DataFrame({"event_id": np.asarray(bi or [], dtype=np.int64),
-                            "_us": np.asarray(bu or [], dtype=np.int64),
-                            "x": np.asarray(bx or [], dtype=np.float64)})
-        pdf = pd.concat(([buf] if len(buf) else []) + frames, ignore_index=True) if frames else buf
-        if done_us is not None and len(pdf):
-            late = (pdf["_us"] < done_us) | ((pdf["_us"] == done_us) & (pdf["event_id"] <= done_id))
-            n_late += int(late.sum())
-            pdf = pdf[~late]
-        pdf = pdf.sort_values(["_us", "event_id"], kind="stable")
-        wm_us = state.getCurrentWatermarkMs() * 1000
-        ready = pdf[pdf["_us"] <= wm_us]
-        rest = pdf[pdf["_us"] > wm_us]
-        out = None
-        if len(ready):
-            x = ready["x"].to_numpy(dtype=np.float64)
-            start = x[0] if avg is None else avg
-            A, B = _affine_prefix(np.full(len(x), c), (1 - c) * x)
-            vals = A * start + B
-            avg, done_us, done_id = float(vals[-1]), int(ready["_us"].iat[-1]), int(ready["event_id"].iat[-1])
-            out = pd.DataFrame({"split": k[0], "event_id": ready["event_id"].to_numpy(), "ema": vals})
-        state.update((avg, done_us, done_id, n_late, rest["_us"].tolist(), rest["event_id"].tolist(),
-                      rest["x"].tolist()))
-        if len(rest):
-            state.setTimeoutTimestamp(max(int(rest["_us"].min() // 1000), state.getCurrentWatermarkMs() + 1))
-        if out is not None:
-            yield out
-
-    out = rows.groupBy("split").applyInPandasWithState(
-        step, "split string, event_id long, ema double", EMA_WM_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    return _run_to_files(spark, out, "ema-wm-stream")

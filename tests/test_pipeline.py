@@ -105,7 +105,7 @@ def test_missing_cache_split_is_an_error(spark, tmp_path):
         src_cache(spark, str(tmp_path / "nothing"), "train")
 
 
-def test_stream_drops_late_rows(spark):
+def test_late_rows_are_accounted_for(spark):
     from quarry.session import scratch_path
     from quarry.sources.tables import read_table
     from quarry.streaming import metrics_stream as MS
@@ -115,8 +115,17 @@ def test_stream_drops_late_rows(spark):
     later = ev.where(F.col("ts") > F.lit(cut))
     later.coalesce(1).write.parquet(path)                      # arrives first
     ev.where(F.col("ts") <= F.lit(cut)).coalesce(1).write.mode("append").parquet(path)  # then older rows
-    out = MS.ema_stream(spark, path, ev.schema)
+    late = scratch_path(spark, "late-rows")
+    out = MS.ema_stream(spark, path, ev.schema, late_path=late)
     assert out.count() == later.count()
+    assert spark.read.parquet(late).count() == ev.count() - later.count()
+    # within the delay the same rows are folded in their place
+    span = ev.select(F.max("ts").cast("timestamp").cast("double") - F.min("ts").cast("timestamp").cast("double")).first()[0]
+    whole = MS.ema_stream(spark, path, ev.schema, delay=f"{int(span) + 1} seconds")
+    from quarry.plans import queries as Q
+    batch = {(r["split"], r["event_id"]): r["ema"] for r in Q.QUERIES["ema"](spark, SF_SMALL).collect()}
+    got = {(r["split"], r["event_id"]): round(r["ema"], 6) for r in whole.collect()}
+    assert got.keys() == batch.keys() and all(abs(got[k] - batch[k]) < 2e-6 for k in got)
 
 
 def test_cache_split_pruning(spark):
