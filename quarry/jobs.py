@@ -88,6 +88,7 @@ def job_metrics(spark, a):
     from quarry.operators import metrics as M
     from quarry.sources import tables
     log = tables.metrics_log(spark, a.data)
+    log = log if a.lenient else M.assert_numeric(log, "loss")  # a NaN or infinite loss ends the run
     step = F.floor(M.epoch_micros(F.col("ts")) / F.lit(3600000000)).cast("long")
     lm = M.loss_mean(log, step, F.pmod("user_id", F.lit(8)))
     lm = M.ema(lm.select("split", "step", "loss"), "split", ["step"], "loss")
@@ -136,6 +137,8 @@ def main(argv=None):
         x = sub.add_parser(name)
         x.add_argument("--data", required=True)
         x.add_argument("--out", required=True)
+        if name == "metrics":
+            x.add_argument("--lenient", action="store_true", help="carry NaN and infinite losses instead of failing")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName(f"quarry-{a.job}").getOrCreate()
     checkpoint_dir(spark)

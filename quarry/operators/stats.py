@@ -54,6 +54,17 @@ def unique_check(df: DataFrame, cols, name: str) -> DataFrame:
     return n.select(F.lit(name).alias("table"), "n", "n_distinct", (F.col("n") == F.col("n_distinct")).alias("ok"))
 
 
+def count_records(tables: dict, expected: dict | None = None) -> DataFrame:
+    """``table, n_rows, expected, ok``: records per table against a suspected total, where one is given."""
+    out = None
+    for name, df in tables.items():
+        want = F.lit((expected or {}).get(name)).cast("long")
+        c = df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(name).alias("table"), "n_rows", want.alias("expected"), (F.col("n_rows") == want).alias("ok"))
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
 def cardinality_check(df: DataFrame, expected: dict, key: str = "split") -> DataFrame:
     """``split, n, expected, ok`` against an expectation table given as an argument."""
     spark = df.sparkSession

@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from quarry import oracle as O
-from quarry.functions.arrays import attention_mask, ids_text, pad_cut, strip_padding, strip_special
+from quarry.functions.arrays import attention_mask, ids_text, pad_cut, strip_padding, strip_padding_2d, strip_special
 from quarry.functions.text import fmt_duration, fmt_sections, strip_ws, tokens
 from quarry.operators import ann as AN
 from quarry.operators import assembly as A
@@ -387,14 +387,33 @@ def q_encoder_inputs(spark, sf):
 @register("align_longest", _fin_sql(f"""
     sample_id, len(list_filter(input_ids, lambda x: x <> {EOS}))::BIGINT AS n_real,
     (CASE WHEN label_ids IS NULL THEN 0 ELSE len(label_ids) END)::BIGINT AS n_labels,
-    greatest(len(input_ids), coalesce(len(label_ids), 0))::BIGINT AS n_pairs"""))
+    greatest(len(input_ids), coalesce(len(label_ids), 0))::BIGINT AS n_pairs,
+    array_to_string(list_transform(list_zip(input_ids, coalesce(label_ids, [])),
+      lambda p: coalesce(p[1]::VARCHAR, '_') || ':' || coalesce(p[2]::VARCHAR, '_')), ' ') AS pairs"""))
 def q_align_longest(spark, sf):
     s = samples_for(spark, sf)
     z = F.arrays_zip(F.col("input_ids").alias("i"), F.coalesce(F.col("label_ids"), F.array().cast("array<int>")).alias("l"))
+    text = lambda x: F.coalesce(x.cast("string"), F.lit("_"))
     return s.select("sample_id",
                     F.size(F.filter(z, lambda p: p["i"].isNotNull() & (p["i"] != EOS))).cast("long").alias("n_real"),
                     F.size(F.filter(z, lambda p: p["l"].isNotNull())).cast("long").alias("n_labels"),
-                    F.size(z).cast("long").alias("n_pairs"))
+                    F.size(z).cast("long").alias("n_pairs"),
+                    F.array_join(F.transform(z, lambda p: F.concat(text(p["i"]), F.lit(":"), text(p["l"]))), " ").alias("pairs"))
+
+
+@register("strip_padding_2d", O.sql("""
+    SELECT sample_id, CASE WHEN len(question_ids) > 4 THEN '[' || array_to_string(list_slice(question_ids, 1, 4), ' ') || '][][' ||
+             array_to_string(list_slice(question_ids, 5, 8), ' ') || ']'
+           WHEN len(question_ids) > 0 THEN '[' || array_to_string(question_ids, ' ') || ']' ELSE '' END AS rows
+    FROM q_tok""", "q_tok"))
+def q_strip_padding_2d(spark, sf):
+    # Rank-2 dense form, as neighbour lists are stored: rows padded with -1 to one width, an empty
+    # row between filled ones and empty rows at the end. Only the latter go.
+    q = vocab_for(spark, sf).encode_into(tables.questions(spark, sf), {"ids": "question"}, CONTEXT_SIZE)
+    none = F.array().cast("array<int>")
+    dense = F.transform(F.array(F.slice("ids", 1, 4), none, F.slice("ids", 5, 4), none, none), lambda r: pad_cut(r, 4, RAGGED_PAD_ID))
+    rows = F.transform(strip_padding_2d(dense), lambda r: F.concat(F.lit("["), ids_text(r), F.lit("]")))
+    return q.select("sample_id", F.array_join(rows, "").alias("rows"))
 
 
 # ---------------------------------------------------------------------------
@@ -555,15 +574,15 @@ def q_sample_checks(spark, sf):
     return S.sample_violations(samples_for(spark, sf), EOS)
 
 
+#: Suspected totals, given by the caller; tables without one are only counted.
+EXPECTED_ROWS = {"region": 5, "nation": 25, "embeddings": 1}
+
+
 @register("count_records", " UNION ALL ".join(
-    f"SELECT '{t}' AS \"table\", count(*)::BIGINT AS n_rows FROM {t}" for t in tables.TABLES))
+    f"SELECT '{t}' AS \"table\", count(*)::BIGINT AS n_rows, {EXPECTED_ROWS.get(t, 'NULL')}::BIGINT AS expected, "
+    f"count(*) = {EXPECTED_ROWS.get(t, 'NULL')} AS ok FROM {t}" for t in tables.TABLES))
 def q_count_records(spark, sf):
-    out = None
-    for t in tables.TABLES:
-        c = tables.read_table(spark, sf, t).agg(F.count(F.lit(1)).alias("n_rows")).select(
-            F.lit(t).alias("table"), "n_rows")
-        out = c if out is None else out.unionByName(c)
-    return out
+    return S.count_records({t: tables.read_table(spark, sf, t) for t in tables.TABLES}, EXPECTED_ROWS)
 
 
 # ---------------------------------------------------------------------------
@@ -1050,14 +1069,22 @@ def q_counters_stream(spark, sf):
 
 
 
-@register("encoder_hook")
+@register("encoder_hook", O.sql(f"""
+    SELECT sample_id, 64::BIGINT AS dim, (count(*) FILTER (WHERE c <> 0))::BIGINT AS n_nonzero, arg_max(j, c * 64 - j)::BIGINT AS top
+    FROM (SELECT q.sample_id, r.j, coalesce(sum(s), 0) AS c FROM q_tok q CROSS JOIN (SELECT range AS j FROM range(64)) r
+          LEFT JOIN (SELECT sample_id, h % 64 AS j, CASE WHEN (h >> 16) & 1 = 1 THEN 1 ELSE -1 END AS s FROM (
+              SELECT sample_id, (unnest(list_concat([{SP['cls']}], list_slice(question_ids, 1, 126), [{SP['sep']}]))::BIGINT
+                     * 2654435761) % 4294967296 AS h FROM q_tok)) t ON t.sample_id = q.sample_id AND t.j = r.j
+          GROUP BY q.sample_id, r.j) GROUP BY sample_id""", "q_tok"))
 def q_encoder_hook(spark, sf):
+    # Whole-number features behind the unit vector: which coordinates are set, and the largest.
     voc = vocab_for(spark, sf)
     v = encoder_hook(voc.encode(F.col("question"), CONTEXT_SIZE), hashing_embedder(64), 64, max_len=128,
                      cls_id=SP["cls"], sep_id=SP["sep"])
-    return tables.questions(spark, sf).select("sample_id", v.alias("embedding")).select(
-        "sample_id", F.size("embedding").cast("long").alias("dim"),
-        r6(F.aggregate("embedding", F.lit(0.0).cast("double"), lambda a, x: a + x * x)).alias("sq_norm"))
+    e = tables.questions(spark, sf).select("sample_id", v.alias("v"))
+    return e.select("sample_id", F.size("v").cast("long").alias("dim"),
+                    F.size(F.filter("v", lambda x: x != 0)).cast("long").alias("n_nonzero"),
+                    (F.array_position("v", F.array_max("v")) - 1).cast("long").alias("top"))
 
 
 @register("src_vocab_file", O.sql("SELECT token, token_id FROM vocab", "vocab"))
