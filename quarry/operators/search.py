@@ -105,8 +105,10 @@ def _merge_above(best_s, best_i, S, ids, k: int):
 class TopK:
     """Running top-k of a fixed query matrix against streamed block batches."""
 
-    def __init__(self, qmat: np.ndarray, k: int):
+    def __init__(self, qmat: np.ndarray, k: int, score=None):
+        """``score(lo, hi, rows)``: scores of the queries ``lo:hi`` with the batch's block rows, in place of products."""
         self.q = qmat
+        self.score = score
         self.k = k
         n = qmat.shape[0]
         self.s = np.empty((n, 0), dtype=np.float64)
@@ -116,12 +118,16 @@ class TopK:
         if bmat.shape[0] == 0 or self.q.shape[0] == 0:
             return
         for lo in range(0, bmat.shape[0], BLOCK_CHUNK):
-            self._update(bmat[lo:lo + BLOCK_CHUNK], bids[lo:lo + BLOCK_CHUNK])
+            rows = slice(lo, min(lo + BLOCK_CHUNK, bmat.shape[0]))
+            self._update(bmat[rows], bids[rows], rows)
 
-    def _update(self, bmat: np.ndarray, bids: np.ndarray):
+    def _update(self, bmat: np.ndarray, bids: np.ndarray, rows: slice):
         parts_s, parts_i = [], []
         for lo in range(0, self.q.shape[0], QUERY_CHUNK):
-            S = self.q[lo:lo + QUERY_CHUNK].astype(np.float64) @ bmat.T.astype(np.float64, copy=False)
+            if self.score is not None:
+                S = self.score(lo, min(lo + QUERY_CHUNK, self.q.shape[0]), rows)
+            else:
+                S = self.q[lo:lo + QUERY_CHUNK].astype(np.float64) @ bmat.T.astype(np.float64, copy=False)
             bs, bi = self.s[lo:lo + QUERY_CHUNK], self.i[lo:lo + QUERY_CHUNK]
             if bs.shape[1] == self.k:
                 ms, mi = _merge_above(bs, bi, S, bids, self.k)

@@ -24,7 +24,7 @@ from quarry.operators.sampling import gumbel_sample, hash_sample, paired_subset
 from quarry.operators.search import mips_exact, topk_rank
 from quarry.operators.vocab import Vocab, read_vocab_file, write_vocab_file
 from quarry.params import (BATCHES_BETWEEN_EVALS, CONTEXT_SIZE, EMA_CONSTANT, IVF_REORDER, MASK_ID, NUMBER_EVAL_BATCHES,
-                           NUM_RETRIEVALS, PASSAGE_LENGTH_FRACTIONS, PASSAGE_LENGTH_SAMPLE,
+                           NUM_RETRIEVALS, PASSAGE_LENGTH_FRACTIONS, PASSAGE_LENGTH_SAMPLE, PQ_DIMS_PER_BLOCK,
                            QA_LENGTH_FRACTIONS, RAGGED_PAD_ID, SAVE_PERIOD_MIN, SEED, SPLIT_CARDINALITIES,
                            TEMPERATURE, special_ids)
 from quarry.plans import pipeline as P
@@ -762,12 +762,46 @@ N_QUERY_SAMPLE = 100
 _ANN: dict = {}
 
 
+KMEANS_ROUNDS = 5
+
+
+def _leaves_sql() -> str:
+    """CTEs ``x`` (blocks as whole numbers), ``c<i>`` (centroids of round i) and ``leaf_of``: the k-means of ``ivf_train``."""
+    near = """SELECT block_id, leaf FROM (SELECT x.block_id, c.leaf, row_number() OVER (PARTITION BY x.block_id ORDER BY
+        list_dot_product(c.v, c.v) - 2 * list_dot_product(x.v, c.v), c.leaf) AS r FROM x, {c} c) WHERE r = 1"""
+    parts = [f"""x AS MATERIALIZED (SELECT block_id, list_transform(embedding::DOUBLE[], lambda e: round(e * {AN.SCALE})) AS v FROM block_vec)""",
+             f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY block_id) - 1 AS leaf, v FROM (
+                 SELECT * FROM x ORDER BY {O.u32(str(SEED), 'block_id')}, block_id LIMIT {N_LEAVES}))"""]
+    for i in range(KMEANS_ROUNDS):
+        parts.append(f"a{i} AS MATERIALIZED ({near.format(c=f'c{i}')})")
+        parts.append(f"""c{i + 1} AS MATERIALIZED (SELECT c.leaf, coalesce(n.v, c.v) AS v FROM c{i} c LEFT JOIN (
+            SELECT leaf, list(m ORDER BY d) AS v FROM (SELECT leaf, d, round(sum(e::BIGINT) / count(*)) AS m FROM (
+              SELECT a.leaf, unnest(x.v) AS e, unnest(range(1, len(x.v) + 1)) AS d FROM a{i} a JOIN x USING (block_id))
+            GROUP BY leaf, d) GROUP BY leaf) n USING (leaf))""")
+    parts.append(f"leaf_of AS MATERIALIZED ({near.format(c=f'c{KMEANS_ROUNDS}')})")
+    return ", ".join(parts)
+
+
+def _with_leaves(body: str, *needed: str) -> str:
+    return O.sql("", "block_vec", *needed).rstrip() + ", " + _leaves_sql() + body
+
+
+_PROBED = f"""
+    (SELECT sample_id AS qid, block_id FROM (
+       SELECT q.sample_id, b.block_id, row_number() OVER (PARTITION BY q.sample_id ORDER BY
+              list_dot_product(q.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.block_id) AS r
+       FROM qvec q JOIN (SELECT sample_id, leaf FROM (SELECT q.sample_id, c.leaf, row_number() OVER (PARTITION BY q.sample_id ORDER BY
+              list_dot_product(q.embedding::DOUBLE[], list_transform(c.v, lambda e: e / {AN.SCALE})) DESC, c.leaf) AS r
+            FROM qvec q, c{KMEANS_ROUNDS} c) WHERE r <= 4) p USING (sample_id)
+       JOIN leaf_of l ON l.leaf = p.leaf JOIN block_vec b ON b.block_id = l.block_id) WHERE r <= 10)"""
+
+
 def ann_index(spark, sf):
     key = (skey(spark), sf)
     if key not in _ANN:
         bv = tables.block_vectors(spark, sf)
-        cents, assigned = AN.ivf_train(bv, N_LEAVES)
-        _ANN[key] = (cents.cache(), assigned.cache())
+        cents, assigned = AN.ivf_train(bv, N_LEAVES, rounds=KMEANS_ROUNDS)
+        _ANN[key] = (cents, AN.write_index(assigned, scratch_path(spark, "index")))  # written once, a folder per leaf
     return _ANN[key]
 
 
@@ -775,7 +809,7 @@ def _qv(spark, sf):
     return tables.query_vectors(spark, sf).select(F.col("sample_id").alias("qid"), "embedding")
 
 
-@register("ivf_train")
+@register("ivf_train", _with_leaves(" SELECT block_id, leaf FROM leaf_of"))
 def q_ivf_train(spark, sf):
     _, assigned = ann_index(spark, sf)
     return assigned.select("block_id", "leaf")
@@ -805,8 +839,11 @@ def _pq(spark, sf):
     key = ("pq", skey(spark), sf)
     if key not in _ANN:
         cents, assigned = ann_index(spark, sf)
-        books = AN.pq_train(assigned, dims_per_block=8).cache()
-        _ANN[key] = (books, AN.pq_encode(assigned, books).cache())
+        path = scratch_path(spark, "codebooks")
+        AN.pq_train(assigned, dims_per_block=PQ_DIMS_PER_BLOCK).write.parquet(path)
+        books = spark.read.parquet(path)
+        coded = AN.pq_encode(assigned, books).drop("embedding")
+        _ANN[key] = (books, AN.write_index(coded, scratch_path(spark, "coded")))
     return _ANN[key]
 
 
@@ -863,12 +900,17 @@ def _recall(spark, sf, mode):
     return AN.recall(approx, own, mode="any", self_col="own_id")
 
 
-@register("recall_all")
+@register("recall_all", _with_leaves(f"""
+    SELECT 'all' AS mode, count(p.block_id) / count(*) AS recall, count(p.block_id)::BIGINT AS count_goods, count(*)::BIGINT AS count_total
+    FROM hits h LEFT JOIN {_PROBED} p ON p.qid = h.sample_id AND p.block_id = h.block_id""", "qvec", "hits"))
 def q_recall_all(spark, sf):
     return _recall(spark, sf, "all")
 
 
-@register("recall_any")
+@register("recall_any", _with_leaves(f"""
+    SELECT 'any' AS mode, count(p.block_id) / count(*) AS recall, count(p.block_id)::BIGINT AS count_goods, count(*)::BIGINT AS count_total
+    FROM (SELECT sample_id, sample_id % (SELECT count(*) FROM embeddings) AS own FROM questions) q
+    LEFT JOIN {_PROBED} p ON p.qid = q.sample_id AND p.block_id = q.own""", "qvec"))
 def q_recall_any(spark, sf):
     return _recall(spark, sf, "any")
 
