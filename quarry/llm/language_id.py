@@ -27,10 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.llm.common import written
 from quarry.llm.shingles import buffers
 
 WINDOW, HIDDEN, LANES = 128, 8, 4096
 DOCUMENTS, PLACES, STEPS, BATCH, RATE, SEED = 400, 4, 250, 128, 0.02, 7
+MAX_SENT = 10_000
 UND = "und"
 
 
@@ -221,12 +223,14 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, documents
     """``(windows, targets, languages)`` of a bounded sample of labelled documents (module docstring)."""
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
     key = F.xxhash64(F.col(id_col).cast("string"), F.lit(SEED))
-    counts = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"))
+    counts = written(rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")), "languages")
+    counts = F.broadcast(counts) if counts.count() <= MAX_SENT else counts  # a row per language
     parts = F.array(*[F.substring(F.col(text_col), F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(j)), F.greatest(
         F.length(text_col) - WINDOW, F.lit(1))).cast("int") + 1, F.lit(WINDOW)) for j in range(places)])
-    some = rows.select(key.alias("key"), F.col(lang_col).alias("lang"), parts.alias("parts"))
+    some = rows.select(key.alias("key"), F.col(lang_col).alias("lang"), F.col(text_col), F.col(id_col)).join(counts, "lang")
     # a hash threshold leaves about twice as many as are taken, whatever the size of a language
-    some = some.join(counts, "lang").where(F.pmod("key", F.lit(1 << 31)) < F.least(F.lit(1.0), F.lit(2.0 * documents) / F.col("n")) * (1 << 31))
+    few = F.pmod("key", F.lit(1 << 31)) < F.least(F.lit(1.0), F.lit(2.0 * documents) / F.col("n")) * (1 << 31)
+    some = some.where(few).select("key", "lang", parts.alias("parts"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("key", "parts"))
     got = some.withColumn("rank", rank).where(F.col("rank") <= documents).select("lang", "parts").toArrow()
     pairs = sorted((a, part.encode()[:WINDOW]) for a, ps in zip(got.column(0).to_pylist(), got.column(1).to_pylist()) for part in ps)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import written
+from quarry.llm.common import remove_tables, tables_so_far, written
 from quarry.llm.components import components
 from quarry.llm.shingles import U, mix, shingle_sets
 
@@ -234,8 +234,9 @@ def tree_pairs(tree: RTree, num: int, den: int, wanted, out_rows: int = 1 << 18)
 
 
 def _descend(batches, num, den):
-    """Rows ``(tile, node, component, n, side, point)`` sorted by tile: pairs of different components and, in a tile
-    of two sides, of different sides, that pass the bounds."""
+    """Rows ``(tile, node, component, n, side, point, cell, cells)`` sorted by tile: pairs of different components and, in
+    a tile of two sides, of different sides, that pass the bounds. A pair that shares several cells is emitted in
+    the smallest of them, so that a group's many common cells don't multiply its pairs."""
     import pyarrow.compute as pc
     rest = None
     for b in _chain(batches):
@@ -260,10 +261,13 @@ def _descend(batches, num, den):
                     continue
                 tree = RTree(points(part.column(5).combine_chunks()), n)
                 two = len(np.unique(side)) > 1
+                here, sets = part.column(6)[0].as_py(), [set(x) for x in part.column(7).to_pylist()]
 
                 def wanted(i, j):
                     return (comp[i] != comp[j]) & ((side[i] != side[j]) if two else True)
                 for i, j in tree_pairs(tree, num, den, wanted):
+                    mine = np.array([min(sets[x] & sets[y]) == here for x, y in zip(i.tolist(), j.tolist())], bool)
+                    i, j = i[mine], j[mine]
                     p, q = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
                     yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(q)], names=["a", "b"])
         rest = keep
@@ -344,7 +348,7 @@ def verify(texts: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> Da
 def _grouped(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int):
     """``(facts, components)``: a row ``(id, key, n, node)`` per document (``key``: digest of the text), and
     ``(node, component)`` of every node."""
-    spark = docs.sparkSession
+    spark, since = docs.sparkSession, tables_so_far()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -381,20 +385,25 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
                                              (F.min("component") != F.max("component")).alias("open"))
     open_cells = open_cells.where("open").groupBy("size", "sum").agg(F.min("cell").alias("cell"))
     open_cells = open_cells.select("cell", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
+    inside = members.join(open_cells, "cell")
+    lists = inside.groupBy("node").agg(F.collect_list("cell").alias("cells"))  # at most a node's prefix
     own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    tiles = (members.join(open_cells, "cell").withColumn("own", own)
+    tiles = (inside.withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
              .withColumn("tile", F.concat_ws("/", "cell", F.least("own", "other"), F.greatest("own", "other")))
-             .join(nodes.select("node", "n", "point"), "node")
-             .select("tile", "node", "component", "n", F.col("own").alias("side"), "point"))
+             .join(nodes.select("node", "n", "point"), "node").join(lists, "node")
+             .select("tile", "node", "component", "n", F.col("own").alias("side"), "point", "cell", "cells"))
     more = (tiles.repartition("tile").sortWithinPartitions("tile")
-            .mapInArrow(functools.partial(_descend, num=num, den=den), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"))
+            .mapInArrow(functools.partial(_descend, num=num, den=den), "a long, b long").join(pairs, ["a", "b"], "left_anti"))
     more = written(more, "more")
     if not more.isEmpty():
         links = links.union(verify(texts, more, k, num, den))
         joined = components(links)
 
-    return facts, nodes.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    named = nodes.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    named, facts = written(named, "named"), written(facts.select("id", "key", "n", "node"), "facts")
+    remove_tables(spark, since, [named, facts])
+    return facts, named
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100) -> DataFrame:

@@ -106,12 +106,12 @@ def select_cutoffs(labelled: DataFrame, risk: float = RISK, error: float = ERROR
     seen = labelled.where(~base_failed())
     above = [F.sum(F.when((F.col("quality") == q) & (ratio(r) > F.lit(c)), 1).otherwise(0)).alias(f"{r}_{c}_{q}")
              for r, c in grid for q in (0, 1)]
-    counts = seen.groupBy("stratum").agg(F.sum((F.col("quality") == 1).cast("long")).alias("n"), *above)
-    counts = counts.crossJoin(counts.agg(F.count("*").alias("n_strata")))  # one row
+    counts = written(seen.groupBy("stratum").agg(F.sum((F.col("quality") == 1).cast("long")).alias("n"), *above), "counts")
+    tests = max(counts.count(), 1) * len(grid)  # a row per stratum
     cells = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).cast("long").alias("cutoff"), F.col(f"{r}_{c}_1").alias("k"),
                                F.col(f"{r}_{c}_0").alias("bad")) for r, c in grid])
-    cells = counts.select("stratum", "n", "n_strata", F.inline(cells))
-    sound = cells.where(tail_at_most(risk, f"{error!r}D / (n_strata * {len(grid)})"))
+    cells = counts.select("stratum", "n", F.inline(cells))
+    sound = cells.where(tail_at_most(risk, f"{error / tests!r}D"))
     best = F.max_by("cutoff", F.struct(F.col("bad"), -F.col("k"), F.col("cutoff")))
     return sound.groupBy("stratum").pivot("rule", list(RULES)).agg(best)
 

@@ -7,8 +7,9 @@ Texts are ordered by their smallest id. Strings are judged on the input, not on
 1. Equal texts are one text with a count; all but the first are later copies as a whole.
 2. Every window of ``length`` bytes belongs to a cell: its ``GRAM``-byte string with the smallest hash. Equal
    windows lie in equal cells, so only cells with two fragments or more matter. A fragment is a stretch of
-   neighbouring windows of a cell, ``length - GRAM + 1`` at most; fragments that are equal as a whole (64-bit digests of their bytes) need no
-   comparison: each is a copy of the others.
+   neighbouring windows of a cell, ``length - GRAM + 1`` at most; fragments that are equal as a whole (64-bit digests
+   of their bytes) need no comparison: each is a copy of the others. Tasks combine equal fragments before the
+   shuffle, so a passage that a third of the texts share sends one row per task to its cell.
 3. Different fragments of a cell meet in a suffix array: ranks of their windows by prefix doubling, the common
    prefixes of neighbours, and for every window the previous and next smaller position in suffix order. These
    two give its longest previous factor; where that reaches ``length``, the window occurs earlier. Mirrored,
@@ -31,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import written
+from quarry.llm.common import remove_tables, tables_so_far, written
 from quarry.llm.shingles import _BYTE, U, buffers, mix, powers, slices
 
 LENGTH, GRAM, HOT = 200, 100, 4096
-PIECE = 900_000
+PIECE, COMBINED = 900_000, 1 << 20
 LAST = (1 << 63) - 1
 
 
@@ -95,15 +96,30 @@ def fragments(data: np.ndarray, bounds: np.ndarray, length: int, gram: int):
 
 
 def _entries(batches, length, gram):
-    """Rows ``(cell, frag, ord, txt, span)`` of the texts this task hasn't met with as small an id; ``span`` packs
-    start, ``several`` and windows."""
+    """Rows ``(route, kind, cell, frag, ord, txt, span)`` of the texts this task hasn't met with as small an id;
+    ``span`` packs start, ``several`` and windows. Equal fragments of a task are combined before the shuffle: copies (kind 2)
+    are decided here and go to any task by their text, the first one goes to its cell (kind 1: with copies, 0: without)."""
     seen: dict = {}
+    held: list = []
 
     def new(t, o):
         if seen.get(t, LAST + 1) <= o:
             return False
         seen[t] = o
         return True
+
+    def combined():
+        cell, frag, order, txt, span = (np.concatenate(c) for c in zip(*held))
+        held.clear()
+        by = np.lexsort((span, txt, order, frag, cell))
+        cell, frag, order, txt, span = cell[by], frag[by], order[by], txt[by], span[by]
+        first, copy, has_copy = _copies(cell, frag, txt, span)
+        rows = np.flatnonzero(first | copy)  # a text met again under a smaller id is no copy of itself
+        kind = np.where(copy, 2, has_copy).astype(np.int32)[rows]
+        route = np.where(copy, txt, cell)[rows]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (route, kind, cell[rows], frag[rows], order[rows], txt[rows], span[rows])],
+                                          names=["route", "kind", "cell", "frag", "ord", "txt", "span"])
+
     for b in batches:
         data, off = buffers(b.column(2))
         txt, order = b.column(0).to_numpy(), b.column(1).to_numpy()
@@ -120,9 +136,24 @@ def _entries(batches, length, gram):
                 use = fresh[t]
                 t, s = t[use], s[use]
                 start = s + x - off[t]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell[use].view(np.int64)), pa.array(frag[use].view(np.int64)), pa.array(order[t]), pa.array(txt[t]),
-                     pa.array((start << 8) | (several[use] << 7) | size[use])], names=["cell", "frag", "ord", "txt", "span"])
+                held.append((cell[use].view(np.int64), frag[use].view(np.int64), order[t], txt[t],
+                             (start << 8) | (several[use] << 7) | size[use]))
+                if sum(len(h[0]) for h in held) >= COMBINED:
+                    yield combined()
+    if held:
+        yield combined()
+
+
+def _copies(cell, frag, txt, span):
+    """For sorted rows: the first of each fragment, later ones of other places, and firsts that have such a copy."""
+    first = np.ones(len(cell), bool)
+    first[1:] = (cell[1:] != cell[:-1]) | (frag[1:] != frag[:-1])
+    head = np.flatnonzero(first)
+    lead = np.repeat(head, np.diff(np.append(head, len(cell))))
+    copy = ~first & ((txt != txt[lead]) | (span != span[lead]))
+    has_copy = np.zeros(len(cell), bool)
+    has_copy[lead[copy]] = True
+    return first, copy, has_copy
 
 
 def _runs(batches):
@@ -143,26 +174,27 @@ def _runs(batches):
 
 
 def _cells(batches):
-    """From rows sorted by (cell, frag, ord, txt, span): ``(kind, cell, ord, txt, span)``; kind 2: a later copy of an
+    """From rows sorted by (route, cell, frag, ord, txt, span): ``(kind, cell, ord, txt, span)``; kind 2: a later copy of an
     equal fragment, 1: the first of equal fragments, 0: a fragment to compare with others of its cell and with itself."""
-    for cell, frag, order, txt, span in _runs(batches):
-        first = np.ones(len(cell), bool)
-        first[1:] = (cell[1:] != cell[:-1]) | (frag[1:] != frag[:-1])
+    for route, known, cell, frag, order, txt, span in _runs(batches):
+        done = known == 2
+        later = [np.flatnonzero(done)]
+        rest = np.flatnonzero(~done)
+        known, cell2, frag, txt2, span2 = known[rest], cell[rest], frag[rest], txt[rest], span[rest]
         # a text that several tasks have met comes once per task: same fragment, text and span
+        first, copy, has_copy = _copies(cell2, frag, txt2, span2)
         head = np.flatnonzero(first)
-        lead = np.repeat(head, np.diff(np.append(head, len(cell))))
-        copy = ~first & ((txt != txt[lead]) | (span != span[lead]))
-        begin = np.ones(len(cell), bool)
-        begin[1:] = cell[1:] != cell[:-1]
+        lead = np.repeat(head, np.diff(np.append(head, len(rest))))
+        has_copy[lead[known == 1]] = True
+        begin = np.ones(len(rest), bool)
+        begin[1:] = cell2[1:] != cell2[:-1]
         group = np.cumsum(begin) - 1
-        several = np.bincount(group, weights=first) > 1
-        has_copy = np.zeros(len(cell), bool)
-        has_copy[lead[copy]] = True
-        later = np.flatnonzero(copy)
-        ones = np.flatnonzero(first & has_copy)
-        compare = np.flatnonzero(first & (several[group] | ((span & 128) != 0)))
-        rows = np.concatenate([later, ones, compare])
-        kind = np.repeat(np.array([2, 1, 0], np.int32), [len(later), len(ones), len(compare)])
+        several = np.bincount(group, weights=first) > 1 if len(rest) else np.zeros(0, bool)
+        later.append(rest[copy])
+        ones = rest[first & has_copy]
+        compare = rest[first & (several[group] | ((span2 & 128) != 0))]
+        rows = np.concatenate([*later, ones, compare])
+        kind = np.repeat(np.array([2, 2, 1, 0], np.int32), [*map(len, later), len(ones), len(compare)])
         if len(rows):
             yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(cell[rows]), pa.array(order[rows]), pa.array(txt[rows]), pa.array(span[rows])],
                                              names=["kind", "cell", "ord", "txt", "span"])
@@ -351,20 +383,23 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``kept_sha256`` of the remaining bytes, and (``with_text``) ``kept_text``, without characters that a cut has split."""
     if not length - gram < 127 or keep not in ("none", "first"):
         raise ValueError("length - gram must be below 127 and keep 'none' or 'first'")
+    since = tables_so_far()
     whole = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
     order = F.coalesce(F.col(id_col).cast("long") if whole else F.xxhash64(id_col), F.lit(LAST))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns or docs.columns]).alias("row"), order.alias("ord"), text.alias("text"))
     rows = rows.withColumn("txt", F.xxhash64("text"))
     entries = rows.select("txt", "ord", "text").mapInArrow(functools.partial(_entries, length=length, gram=gram),
-                                                           "cell long, frag long, ord long, txt long, span long")
-    cells = written(entries.repartition("cell").sortWithinPartitions("cell", "frag", "ord", "txt", "span")
+                                                           "route long, kind int, cell long, frag long, ord long, txt long, span long")
+    cells = written(entries.repartition("route").sortWithinPartitions("route", "cell", "frag", "ord", "txt", "span")
                     .mapInArrow(_cells, "kind int, cell long, ord long, txt long, span long"), "cells")
     hot = cells.where("kind = 0").groupBy("cell").count().where(F.col("count") > HOT).select("cell", F.lit(3).alias("_hot"))
     marks = (cells.join(hot, "cell", "left").withColumn("kind", F.when(F.col("kind") == 0, F.coalesce("_hot", "kind")).otherwise(F.col("kind")))
              .groupBy("txt").agg(F.collect_list(F.struct("kind", "cell", "ord", "span")).alias("m")))
     copies = rows.groupBy("txt").agg(F.count("*").alias("copies"), F.min("ord").alias("first")).where("copies > 1")
     marks = marks.join(copies, "txt", "full").withColumnRenamed("txt", "_t")
+    # a text with copies is judged where its smallest id is: elsewhere it was placed too late
+    marks = marks.withColumn("m", F.expr("filter(m, x -> copies IS NULL OR x.ord = first)"))
     known = rows.join(marks, F.col("txt") == F.col("_t"), "left")
     touched = F.col("_t").isNotNull()
     known = written(known.select(
@@ -372,6 +407,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col("m.span").alias("spans"), (F.col("text") if with_text else F.when(touched, F.col("text"))).alias("text"),
         touched.alias("touched"), F.octet_length("text").cast("long").alias("n_bytes"),
         F.when(~touched, F.sha2(F.col("text").cast("binary"), 256)).alias("sha")), "known")
+    remove_tables(docs.sparkSession, since, [known])
     compare = known.where("exists(kinds, k -> k = 0 or k = 3)").select("txt", "text", "kinds", "cells", "ords", "spans")
     found = (compare.mapInArrow(functools.partial(_fragments_of, length=length),
                                 "cell long, ord long, txt long, start long, windows int, bytes binary")

@@ -78,10 +78,22 @@ def test_pieces_of_long_texts(monkeypatch):
     monkeypatch.setattr(D, "PIECE", 1000)
     import pyarrow as pa
     b = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([1]), pa.array([data.tobytes().decode()])], names=["txt", "ord", "text"])
-    spans = [s for out in D._entries([b], L, D.GRAM) for s in out.column(4).to_pylist()]
+    spans = [s for out in D._entries([b], L, D.GRAM) for s in out.column(6).to_pylist()]
     assert sorted(x for s in spans for x in range(s >> 8, (s >> 8) + (s & 127))) == list(range(len(data) - L + 1))
 
 
+def test_copies_are_combined_before_the_shuffle():
+    import pyarrow as pa
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdef ") for _ in range(600))
+    texts = ["".join(rng.choice("abcdef ") for _ in range(300)) + passage for _ in range(50)]
+    b = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(range(50)), pa.array(texts)], names=["txt", "ord", "text"])
+    out = pa.Table.from_batches(D._entries([b], L, D.GRAM)).to_pydict()
+    sent = [(c, f) for c, f, k in zip(out["cell"], out["frag"], out["kind"]) if k < 2]
+    assert len(sent) == len(set(sent)) and out["kind"].count(2) > 49 * 3
+    assert all(r == t for r, t, k in zip(out["route"], out["txt"], out["kind"]) if k == 2)
+
+
 def test_nulls_repeats_empty(spark):
     long = "w " * 200_000 + "end"
     rows = [(None, "q" * 300), (3, "q" * 300), (3, None), (None, None), (5, ""), (6, long), (7, "é" * 150 + "z" + "é" * 150)]
