@@ -10,7 +10,7 @@ id lies in one piece, and only the last sequence can fall short.
 
 The sort moves keys, not ids: ids are written once and meet their place by the row's number. Texts are encoded
 by parts between spaces and line feeds, across which no token of a lower-casing, white-space-dropping pre-tokenizer
-reaches; each task's Python process remembers the ids of parts (at most ``MEMORY``) so that a repeated word is
+reaches; each task's Python process remembers the ids of parts (at most ``MEMORY``, about 200 bytes each) so that a repeated word is
 encoded once. Any other vocabulary encodes texts whole.
 
 Defined results: null text is empty and has only its end id; each input row is a document, repeated rows
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql.window import Window
 from quarry.llm.common import written
 from quarry.llm.shingles import U, mix
 
-SIZE, END, DIMS, BITS, MEMORY = 4096, 2, 4, 8, 400_000
+SIZE, END, DIMS, BITS, MEMORY = 4096, 2, 4, 8, 1_500_000
 
 
 def directions(n: int) -> np.ndarray:
@@ -65,24 +66,30 @@ def load(path: str):
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Little-endian ids of each text, as bytes of the vocabulary's id type."""
     tok, kind, _, memory = load(path)
-    plain = lambda xs: [np.array(e.ids, kind).tobytes() for e in tok.encode_batch_fast(xs, add_special_tokens=False)]
+    plain = lambda xs: [array(kind.char, e.ids).tobytes() for e in tok.encode_batch_fast(xs, add_special_tokens=False)]
     if memory is None:
         return plain(texts)
-    out = []
-    for t in texts:
-        parts = t.replace("\n", " ").split(" ")
-        for at in range(0, len(parts), MEMORY // 4):  # a text of any length
-            new = [p for p in dict.fromkeys(parts[at:at + MEMORY // 4]) if p not in memory]
-            if len(memory) + len(new) > MEMORY:
-                memory.clear()
-                new = list(dict.fromkeys(parts[at:at + MEMORY // 4]))
-            if new:
-                memory.update(zip(new, plain(new)))
-            out.append(b"".join([memory[p] for p in parts[at:at + MEMORY // 4]]))
-        if len(parts) > MEMORY // 4:
-            k = -(-len(parts) // (MEMORY // 4))
-            out[-k:] = [b"".join(out[-k:])]
-    return out
+    most = MEMORY // 4
+    rows = [t.replace("\n", " ").split(" ") for t in texts]
+    out: list = [[] for _ in texts]
+    begin, left = 0, [(i, at) for i, r in enumerate(rows) for at in range(0, len(r), most)]  # a text of any length
+    while begin < len(left):
+        end, held = begin, 0
+        while end < len(left) and (end == begin or held < most):  # pieces whose new parts are encoded in one call
+            held += min(most, len(rows[left[end][0]]) - left[end][1])
+            end += 1
+        pieces = [(i, rows[i][at:at + most]) for i, at in left[begin:end]]
+        new = {p for _, piece in pieces for p in piece if p not in memory}
+        if len(memory) + len(new) > MEMORY:
+            memory.clear()
+            new = {p for _, piece in pieces for p in piece}
+        if new:
+            new = list(new)
+            memory.update(zip(new, plain(new)))
+        for i, piece in pieces:
+            out[i].append(b"".join([memory[p] for p in piece]))
+        begin = end
+    return [b"".join(x) for x in out]
 
 
 def _documents(batches, path, end):
