@@ -8,6 +8,7 @@ from quarry.llm import quality_rules as QR
 from quarry.llm import warc
 from quarry.llm.common import table, tokenizer_path
 from quarry.llm.decontaminate import leaks
+from quarry.llm.embedding_whitening import whiten
 from quarry.llm.language_id import identify
 from quarry.llm.ngram_join import ngram_join
 from quarry.llm.packing import pack
@@ -77,3 +78,8 @@ def op6(spark, sf_dir):
 @register("op3_language_id")
 def op3(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents"))
+
+
+@register("op13_embedding_whitening")
+def op13(spark, sf_dir):
+    return whiten(table(spark, sf_dir, "embeddings"))
