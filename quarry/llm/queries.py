@@ -5,6 +5,7 @@ from __future__ import annotations
 from quarry.llm import chat_format as CF
 from quarry.llm import license_scan as LS
 from quarry.llm import quality_rules as QR
+from quarry.llm import structure_repair as SR
 from quarry.llm import warc
 from quarry.llm.common import table, tokenizer_path
 from quarry.llm.decontaminate import leaks
@@ -83,3 +84,8 @@ def op3(spark, sf_dir):
 @register("op13_embedding_whitening")
 def op13(spark, sf_dir):
     return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@register("op11_structure_repair", SR.oracle_sql())
+def op11(spark, sf_dir):
+    return SR.structure_repair(table(spark, sf_dir, "conversations"))
