@@ -11,6 +11,7 @@ from quarry.llm.common import table, tokenizer_path
 from quarry.llm.decontaminate import leaks
 from quarry.llm.embedding_whitening import whiten
 from quarry.llm.language_id import identify
+from quarry.llm.lm_scoring import lm_scores
 from quarry.llm.ngram_join import ngram_join
 from quarry.llm.packing import pack
 from quarry.llm.suffix_dedup import suffix_dedup
@@ -89,3 +90,8 @@ def op13(spark, sf_dir):
 @register("op11_structure_repair", SR.oracle_sql())
 def op11(spark, sf_dir):
     return SR.structure_repair(table(spark, sf_dir, "conversations"))
+
+
+@register("op12_lm_scoring")
+def op12(spark, sf_dir):
+    return lm_scores(table(spark, sf_dir, "documents"))
