@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarry.params import TOKEN_PATTERN
+from quarry.params import DELIMITER_PATTERN, TOKEN_PATTERN
 
 # Section titles rewritten by fmt_sections.
 SECTION_TITLES = ("Question:", "Answer:", "Context:")
@@ -16,6 +16,17 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), 0)
 
 
+def delimiter_tokens(text: Column, lower: bool = True) -> Column:
+    """Tokens of the whole text (ARRAY<STRING>) as the delimiter classes cut it: white space separates; every punctuation
+    mark, ASCII symbol and CJK ideograph, those outside the basic plane included, is a token of its own; what lies between
+    is a token. NULL stays NULL, a text without tokens gives an empty array."""
+    return F.regexp_extract_all(F.lower(text) if lower else text, F.lit(DELIMITER_PATTERN), 0)
+
+
+#: Ways to cut a text into tokens, by the name the jobs and the vocabulary build take.
+TOKENIZERS = {"whitespace": tokens, "delimiter": delimiter_tokens}
+
+
 def fmt_duration(seconds: Column) -> Column:
     """Seconds -> ``HH:MM:SS.mmm``; milliseconds truncated, hours may exceed two digits."""
     s = seconds.cast("double")

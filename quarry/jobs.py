@@ -1,6 +1,6 @@
 """Command-line jobs: the reference's batch scripts as Spark jobs.
 
-    python -m quarry.jobs cache   --data DIR --out PATH [--k 10] [--shards 2048]
+    python -m quarry.jobs cache   --data DIR --out PATH [--k 10] [--shards 2048] [--vocab FILE] [--tokenizer whitespace|delimiter]
     python -m quarry.jobs samples --cache PATH --out PATH [--split train] [--epochs 1] [--batch 8] [--replicas 1]
     python -m quarry.jobs recall  --data DIR --out PATH [--leaves 1000] [--nprobe 100] [--k 10] [--mode all]
     python -m quarry.jobs lengths --data DIR --out PATH
@@ -27,7 +27,7 @@ from quarry.session import checkpoint_dir, ship_package
 def job_cache(spark, a):
     from quarry.plans import pipeline as P
     from quarry.sources.cache_io import sink_cache
-    vocab = P.corpus_vocab(spark, a.data)
+    vocab = P.given_vocab(spark, a.vocab, a.tokenizer) if a.vocab else P.corpus_vocab(spark, a.data, a.tokenizer)
     cache = P.retrieval_cache(spark, a.data, vocab, k=a.k, context_size=a.context_size)
     sink_cache(cache, a.out, a.shards)
     # next to the shards ("_" prefix: skipped by partition discovery), after the overwrite
@@ -108,6 +108,8 @@ def main(argv=None):
     c.add_argument("--k", type=int, default=NUM_NEIGHBORS)
     c.add_argument("--shards", type=int, default=NUM_SHARDS)
     c.add_argument("--context-size", type=int, default=CONTEXT_SIZE)
+    c.add_argument("--vocab", default=None, help="vocabulary file, a token per line; without it one is built from the tables")
+    c.add_argument("--tokenizer", default="whitespace", choices=["whitespace", "delimiter"])
     s = sub.add_parser("samples")
     s.add_argument("--cache", required=True)
     s.add_argument("--out", required=True)

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import tokens as tokenize
+from quarry.functions.text import TOKENIZERS
 from quarry.operators.ranks import global_rank
 from quarry.params import FIRST_TOKEN_ID, special_ids
 from quarry.session import scratch_path
@@ -25,18 +25,19 @@ MAX_VOCAB_BYTES = 256 << 20
 OOV = special_ids()["oov"]
 
 
-def build_vocab(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """``token, token_id, cnt`` for every distinct token."""
-    counts = (texts.select(F.explode(tokenize(F.col(text_col))).alias("token"))
+def build_vocab(texts: DataFrame, text_col: str = "text", tokenizer: str = "whitespace") -> DataFrame:
+    """``token, token_id, cnt`` for every distinct token of ``tokenizer`` (a name of ``TOKENIZERS``)."""
+    counts = (texts.select(F.explode(TOKENIZERS[tokenizer](F.col(text_col))).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("cnt")))
     ranked = global_rank(counts, [F.desc("cnt"), F.asc("token")], "token_id")
     return ranked.select("token", (F.col("token_id") + FIRST_TOKEN_ID).cast("int").alias("token_id"), "cnt")
 
 
 class Vocab:
-    """A vocabulary ``token, token_id`` (built or given) with functions for columns and tables."""
+    """A vocabulary ``token, token_id`` (built or given) with functions for columns and tables; texts are cut by ``tokenizer``."""
 
-    def __init__(self, vocab_df: DataFrame, max_bytes: int = MAX_VOCAB_BYTES):
+    def __init__(self, vocab_df: DataFrame, max_bytes: int = MAX_VOCAB_BYTES, tokenizer: str = "whitespace"):
+        self.tokenize = TOKENIZERS[tokenizer]
         path = scratch_path(vocab_df.sparkSession, "vocab-table")
         vocab_df.write.parquet(path)
         self.df = vocab_df.sparkSession.read.schema(vocab_df.schema).parquet(path)
@@ -62,7 +63,7 @@ class Vocab:
 
     def encode(self, text: Column, max_len: int | None = None) -> Column:
         """Text -> ids of its whole token stream, optionally truncated (truncate_field)."""
-        toks = tokenize(text)
+        toks = self.tokenize(text)
         return self.encode_tokens(F.slice(toks, 1, max_len) if max_len else toks)
 
     def decode(self, ids: Column) -> Column:
@@ -76,7 +77,7 @@ class Vocab:
             if self.tokens is not None:
                 df = df.withColumn(out, self.encode(F.col(text), max_len))
             else:
-                toks = tokenize(F.col(text))
+                toks = self.tokenize(F.col(text))
                 df = self._joined(df, F.slice(toks, 1, max_len) if max_len else toks, out, "token", "token_id",
                                   lambda x: F.coalesce(x, F.lit(OOV)))
         return df

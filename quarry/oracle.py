@@ -7,7 +7,7 @@ rounded to 6 places and id arrays rendered as space-joined text on both sides.
 
 from __future__ import annotations
 
-from quarry.params import (CONTEXT_SIZE, MASK_ID, MAX_GENERATION_LENGTH, NUM_NEIGHBORS,
+from quarry.params import (CONTEXT_SIZE, DELIMITER_PATTERN, MASK_ID, MAX_GENERATION_LENGTH, NUM_NEIGHBORS,
                            NUM_RETRIEVALS, SEED, TEMPERATURE, TOKEN_PATTERN, FIRST_TOKEN_ID, special_ids)
 
 SP = special_ids()
@@ -18,6 +18,10 @@ def tok(expr: str) -> str:
     return f"regexp_extract_all(lower({expr}), '{TOKEN_PATTERN}')"
 
 
+def delimiter_tok(expr: str) -> str:
+    return f"regexp_extract_all(lower({expr}), '{DELIMITER_PATTERN}')"
+
+
 def u32(*parts: str) -> str:
     return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::BIGINT"
 

@@ -38,6 +38,15 @@ SEED = 7                            # default sampling seed
 MAX_BROADCAST_BYTES = 256 << 20     # bound for broadcasting data-dependent tables (hits, candidates, maps)
 TOKEN_PATTERN = r"[^ \t\n\r\f\x0B]+"   # whitespace split, identical in Java regex and RE2
 
+# White space, and the characters that are tokens of their own (ASCII punctuation and symbols, Unicode
+# punctuation, CJK ideographs), as regular-expression classes of Java and RE2.
+DELIMITER_SPACE = r"\t\n\f\r "
+DELIMITER_PUNCTUATION = r"!-/:-@\[-`{-~\p{P}"
+DELIMITER_CJK = (r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}"
+                 r"\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}")
+DELIMITER_PATTERN = (f"[{DELIMITER_PUNCTUATION}{DELIMITER_CJK}]"
+                     f"|[^{DELIMITER_SPACE}{DELIMITER_PUNCTUATION}{DELIMITER_CJK}]+")
+
 
 # Reserved ids come first, so that they don't depend on how many tokens a vocabulary has.
 SPECIALS = ("oov", "eos", "cls", "sep", "question", "context", "answer")

@@ -21,7 +21,7 @@ from quarry.operators.assembly import assemble, finalize_sample
 from quarry.operators.retrieval import MAX_BROADCAST_HIT_BYTES, collect_retrievals, gather_blocks
 from quarry.operators.sampling import gumbel_sample
 from quarry.operators.search import mips_exact
-from quarry.operators.vocab import Vocab, build_vocab
+from quarry.operators.vocab import Vocab, build_vocab, read_vocab_file
 from quarry.params import (CONTEXT_SIZE, MAX_GENERATION_LENGTH, NUM_NEIGHBORS, NUM_RETRIEVALS,
                            SEED, TEMPERATURE, special_ids)
 from quarry.session import checkpoint_dir, spread
@@ -35,8 +35,13 @@ def corpus_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(d.unionByName(c))
 
 
-def corpus_vocab(spark: SparkSession, sf_dir: str) -> Vocab:
-    return Vocab(build_vocab(corpus_text(spark, sf_dir)))
+def corpus_vocab(spark: SparkSession, sf_dir: str, tokenizer: str = "whitespace") -> Vocab:
+    return Vocab(build_vocab(corpus_text(spark, sf_dir), tokenizer=tokenizer), tokenizer=tokenizer)
+
+
+def given_vocab(spark: SparkSession, path: str, tokenizer: str = "whitespace") -> Vocab:
+    """A vocabulary file instead of a count over the corpus: one token per line, ids in line order."""
+    return Vocab(read_vocab_file(spark, path), tokenizer=tokenizer)
 
 
 def retrieval_hits(spark: SparkSession, sf_dir: str, k: int = NUM_NEIGHBORS,

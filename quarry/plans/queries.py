@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry import oracle as O
 from quarry.functions.arrays import attention_mask, ids_text, pad_cut, strip_padding, strip_padding_2d, strip_special
-from quarry.functions.text import fmt_duration, fmt_sections, strip_ws, tokens
+from quarry.functions.text import delimiter_tokens, fmt_duration, fmt_sections, strip_ws, tokens
 from quarry.operators import ann as AN
 from quarry.operators import assembly as A
 from quarry.operators import batching as B
@@ -119,6 +119,11 @@ def q_vocab_encode(spark, sf):
         "sample_id", ids_text(F.col("ids")).alias("question_ids"))
 
 
+def question_ids(spark, sf):
+    """Questions with ``ids``, by a column function or a join as the vocabulary's size asks."""
+    return vocab_for(spark, sf).encode_into(tables.questions(spark, sf), {"ids": "question"}, CONTEXT_SIZE)
+
+
 @register("vocab_decode", O.sql(f"""
     SELECT t.sample_id, coalesce(d.txt, '') AS decoded FROM q_tok t LEFT JOIN (
       SELECT sample_id, string_agg(coalesce(v.token, '<< ' || x.id || ' >>'), ' ' ORDER BY x.pos) AS txt
@@ -137,11 +142,9 @@ def q_vocab_decode(spark, sf):
            len(question_ids)::BIGINT AS n_kept
     FROM questions JOIN q_tok USING (sample_id)""", "questions", "q_tok"))
 def q_truncate_field(spark, sf):
-    voc = vocab_for(spark, sf)
-    from quarry.functions.text import tokens
-    return tables.questions(spark, sf).select(
+    return question_ids(spark, sf).select(
         "sample_id", F.size(tokens(F.col("question"))).cast("long").alias("n_tokens"),
-        F.size(voc.encode(F.col("question"), CONTEXT_SIZE)).cast("long").alias("n_kept"))
+        F.size("ids").cast("long").alias("n_kept"))
 
 
 @register("shortest_answer", """
@@ -366,9 +369,8 @@ def q_context_count(spark, sf):
 def q_strip_padding(spark, sf):
     # Dense import form: ids padded with -1 to the model size, as stored by the
     # reference cache; stripping the trailing pad recovers the ragged ids.
-    voc = vocab_for(spark, sf)
-    dense = pad_cut(voc.encode(F.col("question"), CONTEXT_SIZE), CONTEXT_SIZE, RAGGED_PAD_ID)
-    return tables.questions(spark, sf).select(
+    dense = pad_cut(F.col("ids"), CONTEXT_SIZE, RAGGED_PAD_ID)
+    return question_ids(spark, sf).select(
         "sample_id", ids_text(strip_padding(dense, RAGGED_PAD_ID)).alias("question_ids"))
 
 
@@ -377,9 +379,8 @@ def q_strip_padding(spark, sf):
            (len(question_ids) + 2)::BIGINT AS n_mask
     FROM q_tok""", "q_tok"))
 def q_encoder_inputs(spark, sf):
-    voc = vocab_for(spark, sf)
-    e = A.encoder_inputs(voc.encode(F.col("question"), CONTEXT_SIZE), SP["cls"], SP["sep"])
-    return tables.questions(spark, sf).select(
+    e = A.encoder_inputs(F.col("ids"), SP["cls"], SP["sep"])
+    return question_ids(spark, sf).select(
         "sample_id", ids_text(e["input_ids"]).alias("input_ids"),
         F.aggregate(e["input_mask"], F.lit(0).cast("long"), lambda a, x: a + x).alias("n_mask"))
 
@@ -1049,8 +1050,8 @@ def q_sink_generations(spark, sf):
     voc = vocab_for(spark, sf)
     s = samples_for(spark, sf).where(F.col("split") == "test")
     prompt = A.prompt_extract(F.col("input_ids"), F.col("label_ids"), F.lit(True), EOS)
-    gen = s.select("split", F.lit("cached_pretok").alias("approach"), "sample_id",
-                   voc.decode(prompt).alias("text"))
+    gen = voc.decode_into(s.select("split", F.lit("cached_pretok").alias("approach"), "sample_id", prompt.alias("prompt")),
+                          {"text": "prompt"}).drop("prompt")
     path = CI.sink_generations(gen, scratch_path(spark, "generations"),
                                {"seed": SEED, "temperature": TEMPERATURE, "num_retrievals": NUM_RETRIEVALS})
     back = spark.read.json(path)
@@ -1120,10 +1121,8 @@ def q_counters_stream(spark, sf):
           GROUP BY q.sample_id, r.j) GROUP BY sample_id""", "q_tok"))
 def q_encoder_hook(spark, sf):
     # Whole-number features behind the unit vector: which coordinates are set, and the largest.
-    voc = vocab_for(spark, sf)
-    v = encoder_hook(voc.encode(F.col("question"), CONTEXT_SIZE), hashing_embedder(64), 64, max_len=128,
-                     cls_id=SP["cls"], sep_id=SP["sep"])
-    e = tables.questions(spark, sf).select("sample_id", v.alias("v"))
+    v = encoder_hook(F.col("ids"), hashing_embedder(64), 64, max_len=128, cls_id=SP["cls"], sep_id=SP["sep"])
+    e = question_ids(spark, sf).select("sample_id", v.alias("v"))
     return e.select("sample_id", F.size("v").cast("long").alias("dim"),
                     F.size(F.filter("v", lambda x: x != 0)).cast("long").alias("n_nonzero"),
                     (F.array_position("v", F.array_max("v")) - 1).cast("long").alias("top"))
@@ -1135,6 +1134,43 @@ def q_src_vocab_file(spark, sf):
     return read_vocab_file(spark, path)
 
 
+@register("delimiter_tokens", f"""
+    SELECT doc_id, len(t)::BIGINT AS n_tokens, array_to_string(t, ' ') AS tokens
+    FROM (SELECT doc_id, {O.delimiter_tok('text')} AS t FROM documents)""")
+def q_delimiter_tokens(spark, sf):
+    t = delimiter_tokens(F.col("text"))
+    return tables.read_table(spark, sf, "documents").select("doc_id", t.alias("t")).select(
+        "doc_id", F.size("t").cast("long").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
+
+
+_DELIMITER_VOCAB = f"""(SELECT token, (row_number() OVER (ORDER BY cnt DESC, token) - 1 + {O.FIRST_TOKEN_ID})::INTEGER AS token_id, cnt::BIGINT AS cnt
+    FROM (SELECT token, count(*) AS cnt FROM (SELECT unnest({O.delimiter_tok('text')}) AS token FROM (
+            SELECT text FROM documents UNION ALL SELECT text FROM conversations)) GROUP BY token))"""
+
+
+def delimiter_vocab(spark, sf):
+    key = (skey(spark), sf, "delimiter")
+    if key not in _VOCABS:
+        _VOCABS[key] = P.corpus_vocab(spark, sf, "delimiter")
+    return _VOCABS[key]
+
+
+@register("src_vocab_delimiter", f"SELECT token, token_id, cnt FROM {_DELIMITER_VOCAB}")
+def q_src_vocab_delimiter(spark, sf):
+    return delimiter_vocab(spark, sf).df.select("token", "token_id", "cnt")
+
+
+@register("vocab_encode_delimiter", O.sql(f"""
+    SELECT q.sample_id, coalesce(string_agg(v.token_id::VARCHAR, ' ' ORDER BY pos), '') AS question_ids
+    FROM questions q LEFT JOIN (SELECT sample_id, unnest(t) AS token, unnest(range(len(t))) AS pos
+           FROM (SELECT sample_id, {O.delimiter_tok('question')} AS t FROM questions)) x ON x.sample_id = q.sample_id AND pos < {CONTEXT_SIZE}
+    LEFT JOIN {_DELIMITER_VOCAB} v USING (token) GROUP BY q.sample_id""", "questions"))
+def q_vocab_encode_delimiter(spark, sf):
+    voc = delimiter_vocab(spark, sf)
+    return voc.encode_into(tables.questions(spark, sf), {"ids": "question"}, CONTEXT_SIZE).select(
+        "sample_id", ids_text(F.col("ids")).alias("question_ids"))
+
+
 @register("encoder_batch_pad", O.sql(f"""
     SELECT split, sample_id, batch_no,
            (max(len(question_ids) + 2) OVER (PARTITION BY split, batch_no))::BIGINT AS padded_len,
@@ -1144,9 +1180,8 @@ def q_encoder_batch_pad(spark, sf):
     # Encoder inputs padded to the longest row of their batch (window per batch:
     # groups are batch-sized).
     from pyspark.sql import Window
-    voc = vocab_for(spark, sf)
-    b = _batches(spark, sf).join(tables.questions(spark, sf).select("sample_id", "question"), "sample_id")
-    e = A.encoder_inputs(voc.encode(F.col("question"), CONTEXT_SIZE), SP["cls"], SP["sep"])
+    b = _batches(spark, sf).join(question_ids(spark, sf).select("sample_id", F.col("ids").alias("question_ids")), "sample_id")
+    e = A.encoder_inputs(F.col("question_ids"), SP["cls"], SP["sep"])
     x = b.select("split", "sample_id", "batch_no", e["input_ids"].alias("ids"))
     w = Window.partitionBy("split", "batch_no")
     mx = F.max(F.size("ids")).over(w)
