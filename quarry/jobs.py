@@ -2,7 +2,7 @@
 
     python -m quarry.jobs cache   --data DIR --out PATH [--k 10] [--shards 2048] [--vocab FILE] [--tokenizer whitespace|delimiter]
     python -m quarry.jobs samples --cache PATH --out PATH [--split train] [--epochs 1] [--batch 8] [--replicas 1]
-    python -m quarry.jobs recall  --data DIR --out PATH [--leaves 1000] [--nprobe 100] [--k 10] [--mode all]
+    python -m quarry.jobs recall  --data DIR --out PATH [--leaves 1000] [--nprobe 100] [--k 10] [--mode all] [--reorder 100]
     python -m quarry.jobs lengths --data DIR --out PATH
     python -m quarry.jobs metrics --data DIR --out PATH
 
@@ -18,8 +18,8 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from quarry.params import (CONTEXT_SIZE, IVF_LEAVES_TO_SEARCH, IVF_NUM_LEAVES, MAX_GENERATION_LENGTH,
-                           NUM_NEIGHBORS, NUM_RETRIEVALS, NUM_SHARDS, PASSAGE_LENGTH_FRACTIONS,
+from quarry.params import (CONTEXT_SIZE, IVF_LEAVES_TO_SEARCH, IVF_NUM_LEAVES, IVF_REORDER, IVF_TRAINING_SAMPLE,
+                           MAX_GENERATION_LENGTH, NUM_NEIGHBORS, NUM_RETRIEVALS, NUM_SHARDS, PASSAGE_LENGTH_FRACTIONS,
                            PASSAGE_LENGTH_SAMPLE, QA_LENGTH_FRACTIONS, SAVE_PERIOD_MIN, SEED, TEMPERATURE)
 from quarry.session import checkpoint_dir, ship_package
 
@@ -53,24 +53,35 @@ def job_samples(spark, a):
 
 
 def job_recall(spark, a):
+    """Recall of the whole approximate pipeline: leaves, scores of compressed vectors, exact scores of the best
+    ``--reorder`` (0: exact scores in the probed leaves, nothing compressed). The index is written by leaf."""
     from quarry.operators import ann as AN
+    from quarry.operators import ann_leaves as AL
     from quarry.operators.sampling import query_sample
     from quarry.operators.search import mips_exact
+    from quarry.session import scratch_path
     from quarry.sources import tables
     from quarry.sources.cache_io import sink_report
     blocks = tables.block_vectors(spark, a.data)
-    cents, assigned = AN.ivf_train(blocks, a.leaves)
-    assigned = assigned.checkpoint(eager=True)
+    cents, assigned = AN.ivf_train(blocks, a.leaves, training_sample=a.training_sample, oversampled=True)
+    if not a.single_leaf:
+        assigned = AL.second_leaf(assigned, cents)
+    index = AN.write_index(assigned, scratch_path(spark, "index"))
     emb = tables.read_table(spark, a.data, "embeddings").select(F.col("vec_id").alias("qid"), "embedding")
     qs = query_sample(emb, "qid", a.queries, a.seed)
-    approx = AN.ivf_probe(qs, assigned, cents, a.nprobe, a.k)
+    if a.reorder:
+        books = AL.residual_books(index if a.single_leaf else index.where("spill = 0"), cents, training_sample=a.training_sample)
+        coded = AN.write_index(AL.residual_codes(index, cents, books), scratch_path(spark, "coded"))
+        best = AN.ivf_probe(qs, coded, cents, a.nprobe, a.reorder, codebooks=books, spilled=not a.single_leaf)
+        approx = AN.rerank_exact(best, qs, blocks, a.k, n_candidates=a.queries * a.reorder)
+    else:
+        approx = AN.ivf_probe(qs, index, cents, a.nprobe, a.k, spilled=not a.single_leaf)
     if a.mode == "all":
         report = AN.recall(approx, mips_exact(qs, blocks, a.k, qid_col="qid"), mode="all")
     else:
         report = AN.recall(approx, qs.select("qid", F.col("qid").alias("own")), mode="any", self_col="own")
-    params = F.to_json(F.struct(F.lit(a.leaves).alias("leaves"), F.lit(a.nprobe).alias("nprobe"),
-                                F.lit(a.k).alias("k"), F.lit(a.queries).alias("queries")))
-    sink_report(report.withColumn("flags", params), a.out)
+    flags = {"leaves": a.leaves, "nprobe": a.nprobe, "k": a.k, "queries": a.queries, "reorder": a.reorder, "spilled": not a.single_leaf}
+    sink_report(report.withColumn("flags", F.to_json(F.struct(*[F.lit(v).alias(n) for n, v in flags.items()]))), a.out)
 
 
 def job_lengths(spark, a):
@@ -134,6 +145,9 @@ def main(argv=None):
     r.add_argument("--k", type=int, default=NUM_NEIGHBORS)
     r.add_argument("--queries", type=int, default=PASSAGE_LENGTH_SAMPLE)
     r.add_argument("--mode", default="all", choices=["all", "any"])
+    r.add_argument("--reorder", type=int, default=IVF_REORDER, help="exact scores for so many of the best compressed ones (0: nothing compressed)")
+    r.add_argument("--training-sample", type=int, default=IVF_TRAINING_SAMPLE, help="vectors that leaves and codebooks are trained on")
+    r.add_argument("--single-leaf", action="store_true", help="no second leaf per vector")
     r.add_argument("--seed", type=int, default=SEED)
     for name in ("lengths", "metrics"):
         x = sub.add_parser(name)

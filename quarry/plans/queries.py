@@ -14,6 +14,7 @@ from quarry import oracle as O
 from quarry.functions.arrays import attention_mask, ids_text, pad_cut, strip_padding, strip_padding_2d, strip_special
 from quarry.functions.text import delimiter_tokens, fmt_duration, fmt_sections, strip_ws, tokens
 from quarry.operators import ann as AN
+from quarry.operators import ann_leaves as AL
 from quarry.operators import assembly as A
 from quarry.operators import batching as B
 from quarry.operators import metrics as M
@@ -758,102 +759,194 @@ def q_schedule_interleave(spark, sf):
 # ---------------------------------------------------------------------------
 
 
-N_LEAVES = 16
+N_LEAVES, N_PROBED = 128, 32      # leaves of the registered index, and those a query probes: a quarter
 N_QUERY_SAMPLE = 100
 _ANN: dict = {}
 
 
-KMEANS_ROUNDS = 5
+KMEANS_ROUNDS, PQ_ROUNDS = 5, 4
 
 
 def _leaves_sql() -> str:
-    """CTEs ``x`` (blocks as whole numbers), ``c<i>`` (centroids of round i) and ``leaf_of``: the k-means of ``ivf_train``."""
+    """CTEs ``x`` (blocks as whole numbers), ``c<i>`` (centroids of round i), ``leaf_of`` and ``leaves_of`` (first and
+    second leaf): the oversampled starts, the k-means and the spilling of the index."""
+    def dist(a, b):
+        return f"(list_dot_product({a}, {a}) - 2 * list_dot_product({a}, {b}) + list_dot_product({b}, {b}))"
     near = """SELECT block_id, leaf FROM (SELECT x.block_id, c.leaf, row_number() OVER (PARTITION BY x.block_id ORDER BY
         list_dot_product(c.v, c.v) - 2 * list_dot_product(x.v, c.v), c.leaf) AS r FROM x, {c} c) WHERE r = 1"""
+    hashed = f"{O.u32(str(SEED), 'block_id')}, block_id"
     parts = [f"""x AS MATERIALIZED (SELECT block_id, list_transform(embedding::DOUBLE[], lambda e: round(e * {AN.SCALE})) AS v FROM block_vec)""",
-             f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY block_id) - 1 AS leaf, v FROM (
-                 SELECT * FROM x ORDER BY {O.u32(str(SEED), 'block_id')}, block_id LIMIT {N_LEAVES}))"""]
+             f"k0 AS MATERIALIZED (SELECT 0 AS round, block_id, v FROM x ORDER BY {hashed} LIMIT 1)"]
+    per_round = AL.OVERSAMPLING * N_LEAVES / AL.START_ROUNDS
+    for i in range(AL.START_ROUNDS):
+        u = f"(({O.u32(str(SEED), repr(f'start{i}'), 'block_id')})::DOUBLE + 0.5) / 4294967296.0"
+        parts.append(f"""e{i} AS MATERIALIZED (SELECT x.block_id, any_value(x.v) AS v, min({dist('x.v', 'k.v')}) AS d FROM x, k{i} k GROUP BY x.block_id)""")
+        parts.append(f"""k{i + 1} AS MATERIALIZED (SELECT * FROM k{i} UNION ALL SELECT {i + 1}, block_id, v FROM e{i}
+            WHERE {u} * (SELECT sum(d::HUGEINT)::DOUBLE FROM e{i}) < {per_round} * d)""")
+    parts.append(f"""ks AS MATERIALIZED (SELECT row_number() OVER (ORDER BY round, block_id) AS j, v FROM (SELECT * FROM k{AL.START_ROUNDS}
+        UNION ALL (SELECT {AL.START_ROUNDS + 1}, block_id, v FROM x ORDER BY {hashed} LIMIT {N_LEAVES})))""")
+    parts.append(f"""kw AS MATERIALIZED (SELECT ks.j, ks.v, coalesce(w, 0)::DOUBLE AS w FROM ks LEFT JOIN (SELECT j, count(*) AS w FROM (
+        SELECT x.block_id, ks.j, row_number() OVER (PARTITION BY x.block_id ORDER BY {dist('x.v', 'ks.v')}, ks.j) AS r FROM x, ks)
+        WHERE r = 1 GROUP BY j) USING (j))""")
+    parts.append(f"""kt AS (SELECT 0 AS i, j, v, w, 1e300::DOUBLE AS far, row_number() OVER (ORDER BY w DESC, j) = 1 AS pick FROM kw
+        UNION ALL SELECT i + 1, j, v, w, far, w * far > 0 AND row_number() OVER (ORDER BY w * far DESC, j) = 1
+        FROM (SELECT t.i, t.j, t.v, t.w, least(t.far, {dist('t.v', 'p.v')}) AS far FROM kt t, (SELECT v FROM kt WHERE pick) p) WHERE i < {N_LEAVES - 1})""")
+    parts.append("c0 AS MATERIALIZED (SELECT i AS leaf, v FROM kt WHERE pick)")
     for i in range(KMEANS_ROUNDS):
         parts.append(f"a{i} AS MATERIALIZED ({near.format(c=f'c{i}')})")
         parts.append(f"""c{i + 1} AS MATERIALIZED (SELECT c.leaf, coalesce(n.v, c.v) AS v FROM c{i} c LEFT JOIN (
             SELECT leaf, list(m ORDER BY d) AS v FROM (SELECT leaf, d, round(sum(e::BIGINT) / count(*)) AS m FROM (
               SELECT a.leaf, unnest(x.v) AS e, unnest(range(1, len(x.v) + 1)) AS d FROM a{i} a JOIN x USING (block_id))
             GROUP BY leaf, d) GROUP BY leaf) n USING (leaf))""")
-    parts.append(f"leaf_of AS MATERIALIZED ({near.format(c=f'c{KMEANS_ROUNDS}')})")
+    c = f"c{KMEANS_ROUNDS}"
+    parts.append(f"leaf_of AS MATERIALIZED ({near.format(c=c)})")
+    along = ("(list_dot_product(x.v, x.v) - list_dot_product(x.v, c.v) - list_dot_product(x.v, o.v) + list_dot_product(o.v, c.v))")
+    parts.append(f"""leaves_of AS MATERIALIZED (SELECT block_id, leaf, 0 AS spill FROM leaf_of UNION ALL SELECT block_id, leaf, 1 FROM (
+        SELECT block_id, leaf, row_number() OVER (PARTITION BY block_id ORDER BY cost, leaf) AS r FROM (
+          SELECT x.block_id, c.leaf, {dist('x.v', 'c.v')} + CASE WHEN {dist('x.v', 'o.v')} > 0 THEN {along} * {along} / {dist('x.v', 'o.v')} ELSE 0 END AS cost
+          FROM x JOIN leaf_of l USING (block_id) JOIN {c} o ON o.leaf = l.leaf JOIN {c} c ON c.leaf <> l.leaf)) WHERE r = 1)""")
     return ", ".join(parts)
 
 
 def _with_leaves(body: str, *needed: str) -> str:
-    return O.sql("", "block_vec", *needed).rstrip() + ", " + _leaves_sql() + body
+    text = O.sql("", "block_vec", *needed).rstrip() + ", " + _leaves_sql() + body
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-_PROBED = f"""
-    (SELECT sample_id AS qid, block_id FROM (
-       SELECT q.sample_id, b.block_id, row_number() OVER (PARTITION BY q.sample_id ORDER BY
-              list_dot_product(q.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.block_id) AS r
-       FROM qvec q JOIN (SELECT sample_id, leaf FROM (SELECT q.sample_id, c.leaf, row_number() OVER (PARTITION BY q.sample_id ORDER BY
+_PROBES = f"""(SELECT sample_id, leaf FROM (SELECT q.sample_id, c.leaf, row_number() OVER (PARTITION BY q.sample_id ORDER BY
               list_dot_product(q.embedding::DOUBLE[], list_transform(c.v, lambda e: e / {AN.SCALE})) DESC, c.leaf) AS r
-            FROM qvec q, c{KMEANS_ROUNDS} c) WHERE r <= 4) p USING (sample_id)
-       JOIN leaf_of l ON l.leaf = p.leaf JOIN block_vec b ON b.block_id = l.block_id) WHERE r <= 10)"""
+            FROM qvec q, c{KMEANS_ROUNDS} c) WHERE r <= {N_PROBED})"""
+_PROBED = f"""
+    (SELECT sample_id AS qid, r AS rank, block_id, score FROM (
+       SELECT sample_id, block_id, score, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, block_id) AS r
+       FROM (SELECT q.sample_id, b.block_id, any_value(list_dot_product(q.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS score
+             FROM qvec q JOIN {_PROBES} p USING (sample_id) JOIN leaves_of l ON l.leaf = p.leaf JOIN block_vec b ON b.block_id = l.block_id
+             GROUP BY q.sample_id, b.block_id)) WHERE r <= 10)"""
 
 
 def ann_index(spark, sf):
+    """Centroids and the index: every vector in its first and second leaf, written once, a folder per leaf."""
     key = (skey(spark), sf)
     if key not in _ANN:
         bv = tables.block_vectors(spark, sf)
-        cents, assigned = AN.ivf_train(bv, N_LEAVES, rounds=KMEANS_ROUNDS)
-        _ANN[key] = (cents, AN.write_index(assigned, scratch_path(spark, "index")))  # written once, a folder per leaf
+        cents, assigned = AN.ivf_train(bv, N_LEAVES, rounds=KMEANS_ROUNDS, oversampled=True)
+        _ANN[key] = (cents, AN.write_index(AL.second_leaf(assigned, cents), scratch_path(spark, "index")))
     return _ANN[key]
 
 
+def _probed(spark, sf, leaves=N_PROBED, k=10):
+    cents, index = ann_index(spark, sf)
+    return AN.ivf_probe(_qv(spark, sf), index, cents, leaves, k, spilled=True)
+
+
 def _qv(spark, sf):
     return tables.query_vectors(spark, sf).select(F.col("sample_id").alias("qid"), "embedding")
 
 
 @register("ivf_train", _with_leaves(" SELECT block_id, leaf FROM leaf_of"))
 def q_ivf_train(spark, sf):
-    _, assigned = ann_index(spark, sf)
-    return assigned.select("block_id", "leaf")
+    _, index = ann_index(spark, sf)
+    return index.where("spill = 0").select("block_id", "leaf")
+
+
+@register("ivf_spill", _with_leaves(" SELECT block_id, leaf, spill FROM leaves_of"))
+def q_ivf_spill(spark, sf):
+    _, index = ann_index(spark, sf)
+    return index.select("block_id", "leaf", "spill")
 
 
 @register("ivf_probe", O.sql(
     "SELECT sample_id, rank::BIGINT AS rank, block_id, round(score, 6) AS score FROM hits", "hits"))
 def q_ivf_probe(spark, sf):
     # All leaves probed: must equal exact search.
-    cents, assigned = ann_index(spark, sf)
-    out = AN.ivf_probe(_qv(spark, sf), assigned, cents, N_LEAVES, 10)
+    out = _probed(spark, sf, N_LEAVES)
     return out.select(F.col("qid").alias("sample_id"), "rank", "block_id", r6(F.col("score")).alias("score"))
 
 
-@register("live_retrieve", O.sql("""
-    SELECT h.sample_id, h.rank::BIGINT AS rank, h.block_id, b.text
-    FROM hits h JOIN blocks b USING (block_id)""", "hits", "blocks"))
+@register("ivf_probe_pruned", _with_leaves(
+    f" SELECT qid AS sample_id, rank::BIGINT AS rank, block_id, round(score, 6) AS score FROM {_PROBED}", "qvec"))
+def q_ivf_probe_pruned(spark, sf):
+    out = _probed(spark, sf)
+    return out.select(F.col("qid").alias("sample_id"), "rank", "block_id", r6(F.col("score")).alias("score"))
+
+
+@register("live_retrieve", _with_leaves(f"""
+    SELECT h.qid AS sample_id, h.rank::BIGINT AS rank, h.block_id, b.text FROM {_PROBED} h JOIN blocks b USING (block_id)""", "qvec", "blocks"))
 def q_live_retrieve(spark, sf):
-    cents, assigned = ann_index(spark, sf)
-    hits = AN.ivf_probe(_qv(spark, sf), assigned, cents, N_LEAVES, 10)
+    hits = _probed(spark, sf)
     out = gather_blocks(hits.select(F.col("qid").alias("sample_id"), "rank", "block_id"),
                         tables.blocks(spark, sf, with_vectors=False), n_hits=_qv(spark, sf).count() * 10)
     return out.select("sample_id", "rank", "block_id", "text")
 
 
 def _pq(spark, sf):
+    """Codebooks of residuals and the coded index."""
     key = ("pq", skey(spark), sf)
     if key not in _ANN:
-        cents, assigned = ann_index(spark, sf)
+        cents, index = ann_index(spark, sf)
         path = scratch_path(spark, "codebooks")
-        AN.pq_train(assigned, dims_per_block=PQ_DIMS_PER_BLOCK).write.parquet(path)
+        AL.residual_books(index.where("spill = 0"), cents, PQ_DIMS_PER_BLOCK, rounds=PQ_ROUNDS).write.parquet(path)
         books = spark.read.parquet(path)
-        coded = AN.pq_encode(assigned, books).drop("embedding")
-        _ANN[key] = (books, AN.write_index(coded, scratch_path(spark, "coded")))
+        _ANN[key] = (books, AN.write_index(AL.residual_codes(index, cents, books), scratch_path(spark, "coded")))
     return _ANN[key]
 
 
-@register("pq_score")
-def q_pq_score(spark, sf):
+def _codes_sql() -> str:
+    """CTEs ``y`` (residuals to first and second leaves by sub-space), ``g`` (codebooks) and ``code_of``."""
+    width, c = PQ_DIMS_PER_BLOCK, f"c{KMEANS_ROUNDS}"
+    dist = "(list_dot_product(y.r, y.r) - 2 * list_dot_product(y.r, g.r) + list_dot_product(g.r, g.r))"
+    near = """SELECT y.block_id, y.spill, y.sub, g.code, row_number() OVER (PARTITION BY y.block_id, y.spill, y.sub ORDER BY {d}, g.code) AS n
+        FROM y JOIN {g} g USING (sub){where}"""
+    parts = [f"""z AS MATERIALIZED (SELECT x.block_id, l.leaf, l.spill, list_transform(list_zip(x.v, c.v), lambda p: p[1] - p[2]) AS r
+        FROM x JOIN leaves_of l USING (block_id) JOIN {c} c ON c.leaf = l.leaf)""",
+             f"""y AS MATERIALIZED (SELECT block_id, spill, sub, list_slice(r, {width} * sub + 1, {width} * sub + {width}) AS r
+        FROM z, (SELECT range AS sub FROM range(64 // {width})))""",
+             f"""g0 AS MATERIALIZED (SELECT sub, row_number() OVER (PARTITION BY sub ORDER BY block_id) - 1 AS code, r FROM y WHERE spill = 0 AND block_id IN (
+        SELECT block_id FROM x ORDER BY {O.u32(str(SEED), 'block_id')}, block_id LIMIT {AN.PQ_CODES}))"""]
+    for i in range(PQ_ROUNDS):
+        parts.append(f"""g{i + 1} AS MATERIALIZED (SELECT g.sub, g.code, coalesce(m.r, g.r) AS r FROM g{i} g LEFT JOIN (
+            SELECT sub, code, list(m ORDER BY d) AS r FROM (SELECT sub, code, d, round(sum(e::BIGINT) / count(*)) AS m FROM (
+              SELECT y.sub, a.code, unnest(y.r) AS e, unnest(range(1, len(y.r) + 1)) AS d
+              FROM ({near.format(d=dist, g=f'g{i}', where=' WHERE y.spill = 0')}) a JOIN y USING (block_id, spill, sub) WHERE a.n = 1)
+            GROUP BY sub, code, d) GROUP BY sub, code) m USING (sub, code))""")
+    parts.append(f"""code_of AS MATERIALIZED (SELECT block_id, spill, sub, code FROM ({near.format(d=dist, g=f'g{PQ_ROUNDS}', where='')}) WHERE n = 1)""")
+    return ", ".join(parts)
+
+
+def _with_codes(body: str, *needed: str) -> str:
+    return _with_leaves(", " + _codes_sql() + body, *needed)
+
+
+@register("pq_codes", _with_codes("""
+    SELECT block_id, leaf, spill, codes FROM leaves_of JOIN (
+      SELECT block_id, spill, string_agg(substr('0123456789ABCDEF', (hi + 1)::INT, 1) || substr('0123456789ABCDEF', (lo + 1)::INT, 1), '' ORDER BY pair) AS codes
+      FROM (SELECT block_id, spill, sub // 2 AS pair, max(code) FILTER (sub % 2 = 0) AS lo, max(code) FILTER (sub % 2 = 1) AS hi
+            FROM code_of GROUP BY block_id, spill, sub // 2) GROUP BY block_id, spill) USING (block_id, spill)"""))
+def q_pq_codes(spark, sf):
+    _, coded = _pq(spark, sf)
+    return coded.select("block_id", "leaf", "spill", F.hex("codes").alias("codes"))
+
+
+_CODED = f"""(SELECT qid, r AS rank, block_id, score FROM (SELECT qid, block_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, block_id) AS r
+    FROM (SELECT q.sample_id AS qid, v.block_id, max(list_dot_product(q.embedding::DOUBLE[], v.v)) AS score
+          FROM qvec q JOIN {_PROBES} p USING (sample_id) JOIN (
+            SELECT l.block_id, l.leaf, list_transform(list_zip(c.v, k.r), lambda e: e[1] / {AN.SCALE} + e[2] / {AN.SCALE}) AS v
+            FROM leaves_of l JOIN c{KMEANS_ROUNDS} c ON c.leaf = l.leaf JOIN (
+              SELECT block_id, spill, flatten(list(g.r ORDER BY sub)) AS r FROM code_of JOIN g{PQ_ROUNDS} g USING (sub, code) GROUP BY block_id, spill) k
+            ON k.block_id = l.block_id AND k.spill = l.spill) v ON v.leaf = p.leaf
+          GROUP BY q.sample_id, v.block_id)) WHERE r <= {IVF_REORDER})"""
+
+
+def _coded_hits(spark, sf):
     cents, _ = ann_index(spark, sf)
     books, coded = _pq(spark, sf)
-    out = AN.ivf_probe(_qv(spark, sf), coded, cents, 4, 100, codebooks=books)
-    return out.select(F.col("qid").alias("sample_id"), "rank", "block_id", r6(F.col("score")).alias("score"))
+    return AN.ivf_probe(_qv(spark, sf), coded, cents, N_PROBED, IVF_REORDER, codebooks=books, spilled=True)
+
+
+@register("pq_score", _with_codes(
+    f" SELECT qid AS sample_id, rank::BIGINT AS rank, block_id, round(score, 6) AS score FROM {_CODED}", "qvec"))
+def q_pq_score(spark, sf):
+    return _coded_hits(spark, sf).select(F.col("qid").alias("sample_id"), "rank", "block_id", r6(F.col("score")).alias("score"))
 
 
 @register("rerank_exact", O.sql(f"""
@@ -875,24 +968,28 @@ def q_rerank_exact(spark, sf):
     return out.select(F.col("qid").alias("sample_id"), "rank", "block_id", r6(F.col("score")).alias("score"))
 
 
-@register("pq_rerank")
-def q_pq_rerank(spark, sf):
-    # The approximate pipeline as one: leaves, compressed scores, reorder depth, exact top-k.
-    cents, _ = ann_index(spark, sf)
-    books, coded = _pq(spark, sf)
+_RERANKED = f"""(SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY exact DESC, block_id) AS rank, block_id, exact AS score FROM (
+    SELECT h.qid, h.block_id, list_dot_product(q.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS exact
+    FROM {_CODED} h JOIN qvec q ON q.sample_id = h.qid JOIN block_vec b USING (block_id)) QUALIFY rank <= 10)"""
+
+
+def reranked(spark, sf):
+    """The approximate pipeline as one: leaves, compressed scores, reorder depth, exact top 10."""
     qv = _qv(spark, sf)
-    approx = AN.ivf_probe(qv, coded, cents, 4, IVF_REORDER, codebooks=books)
     nq = qv.count()
-    out = AN.rerank_exact(approx, qv, tables.block_vectors(spark, sf), 10, n_candidates=nq * IVF_REORDER, query_bytes=nq * 64 * 8)
-    return out.select(F.col("qid").alias("sample_id"), "rank", "block_id", r6(F.col("score")).alias("score"))
+    return AN.rerank_exact(_coded_hits(spark, sf), qv, tables.block_vectors(spark, sf), 10, n_candidates=nq * IVF_REORDER, query_bytes=nq * 64 * 8)
 
 
-def _recall(spark, sf, mode):
-    cents, assigned = ann_index(spark, sf)
-    qv = _qv(spark, sf)
-    approx = AN.ivf_probe(qv, assigned, cents, 4, 10)
+@register("pq_rerank", _with_codes(
+    f" SELECT qid AS sample_id, rank::BIGINT AS rank, block_id, round(score, 6) AS score FROM {_RERANKED}", "qvec"))
+def q_pq_rerank(spark, sf):
+    return reranked(spark, sf).select(F.col("qid").alias("sample_id"), "rank", "block_id", r6(F.col("score")).alias("score"))
+
+
+def _recall(spark, sf, mode, found=None):
+    approx = found if found is not None else _probed(spark, sf)
     if mode == "all":
-        exact = mips_exact(qv, tables.block_vectors(spark, sf), 10, qid_col="qid")
+        exact = mips_exact(_qv(spark, sf), tables.block_vectors(spark, sf), 10, qid_col="qid")
         return AN.recall(approx, exact, mode="all")
     emb = tables.read_table(spark, sf, "embeddings")
     n = emb.count()
@@ -901,13 +998,21 @@ def _recall(spark, sf, mode):
     return AN.recall(approx, own, mode="any", self_col="own_id")
 
 
-@register("recall_all", _with_leaves(f"""
+_RECALL_ALL = """
     SELECT 'all' AS mode, count(p.block_id) / count(*) AS recall, count(p.block_id)::BIGINT AS count_goods, count(*)::BIGINT AS count_total
-    FROM hits h LEFT JOIN {_PROBED} p ON p.qid = h.sample_id AND p.block_id = h.block_id""", "qvec", "hits"))
+    FROM hits h LEFT JOIN {found} p ON p.qid = h.sample_id AND p.block_id = h.block_id"""
+
+
+@register("recall_all", _with_leaves(_RECALL_ALL.format(found=_PROBED), "qvec", "hits"))
 def q_recall_all(spark, sf):
     return _recall(spark, sf, "all")
 
 
+@register("recall_reranked", _with_codes(_RECALL_ALL.format(found=_RERANKED), "qvec", "hits"))
+def q_recall_reranked(spark, sf):
+    return _recall(spark, sf, "all", reranked(spark, sf))
+
+
 @register("recall_any", _with_leaves(f"""
     SELECT 'any' AS mode, count(p.block_id) / count(*) AS recall, count(p.block_id)::BIGINT AS count_goods, count(*)::BIGINT AS count_total
     FROM (SELECT sample_id, sample_id % (SELECT count(*) FROM embeddings) AS own FROM questions) q
