@@ -14,12 +14,13 @@ A document's set are the distinct ``k``-word shingles of its whole text (A-Z low
    coordinates of two points bounds the overlap of their sets, and the coordinate-wise maxima of boxes bound
    it for all points below them. A cell of up to ``LEAF`` points is one leaf, whose pairs are bounded one by
    one; a larger cell is an R-tree that is descended in pairs of boxes. In each cell the nodes are met with a hub
-   first, and only pairs that are in different components afterwards are looked for in the tree. Cells above
+   first; where that has joined some but not all, up to ``HUB_ROUNDS`` more hubs meet the members outside of their
+   component, and only pairs that are in different components afterwards are looked for in the tree. Cells above
    ``TILE`` points are cut into tiles, a task for each pair of tiles.
 4. Pairs that survive are verified on the whole sets. What is skipped are pairs whose ends are linked already.
 
-Not all pairs of a group of near copies are emitted: a cell of any size adds a star of pairs, and then only
-pairs between components.
+Not all pairs of a group of near copies are emitted: a cell of any size adds a star of pairs a round, each to the
+members that earlier rounds have left apart, and then only pairs between components.
 
 Defined results: null or blank text has an empty set, is linked with nothing and is its own component;
 repeated rows are separate rows; the component is the smallest non-null id of its documents (null if all are
@@ -42,6 +43,7 @@ from quarry.llm.shingles import U, mix, shingle_sets
 GROUP_BITS, DIM_BITS = 18, 8
 DIMS = 1 << DIM_BITS
 LEAF, TILE = 16, 4096
+HUB_ROUNDS = 8
 FILTER_BITS, KEPT = 26, 64 << 20
 SUMMARY = ["id", "key", "n", "node", "point", "grp", "cnt"]
 
@@ -278,25 +280,19 @@ def _chain(batches):
     yield None
 
 
-def _wanted_texts(batches, k, bitmap):
-    """Rows ``(node, text)`` of the sets whose bit is set, each once per task, texts compressed (less than half of
+def _wanted_texts(batches, bitmap):
+    """Rows ``(key, text)`` of the texts whose bit is set, each once per task, texts compressed (less than half of
     their shingles' hashes); the filter may let others through."""
     import zstandard
     bits, seen, press = bitmap.value, set(), zstandard.ZstdCompressor(level=3)
     for b in batches:
-        node, rows = [], []
-        for r, s in shingle_sets(b.column(0), k):
-            if not len(s):
-                continue
-            d = digest(s)
-            slot = d & ((1 << FILTER_BITS) - 1)
-            if d not in seen and (int(bits[slot >> 6]) >> (slot & 63)) & 1:
-                seen.add(d)
-                node.append(d)
-                rows.append(r)
-        if node:
-            texts = [press.compress(x.encode()) for x in b.column(0).take(pa.array(rows)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(texts, pa.binary())], names=["node", "z"])
+        key = b.column(0).to_numpy()
+        slot = key & ((1 << FILTER_BITS) - 1)
+        rows = [r for r in np.flatnonzero((bits[slot >> 6] >> (slot & 63).astype(U)) & U(1)).tolist()
+                if not (int(key[r]) in seen or seen.add(int(key[r])))]
+        if rows:
+            texts = [press.compress(x.encode()) for x in b.column(1).take(pa.array(rows)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(texts, pa.binary())], names=["key", "z"])
 
 
 def _verified(batches, k, num, den):
@@ -327,24 +323,46 @@ def _verified(batches, k, num, den):
         yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
 
-def verify(texts: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs ``(a, b)`` of nodes whose whole sets link. Texts of nodes outside of pairs are left out by a bitmap
-    of fixed size (2**26 bits), which lets some through but none out."""
+def verify(texts: DataFrame, keys: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs ``(a, b)`` of nodes whose whole sets link, from ``texts (key, text)`` and ``keys (node, key)``. Texts of
+    nodes outside of pairs are left out by a bitmap of fixed size (2**26 bits), which lets some through but none out."""
     spark = texts.sparkSession
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    slot = F.col("node").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(keys, "node")
+    nodes = written(nodes, "wanted")
+    slot = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     words = (nodes.groupBy(F.shiftright(slot, 6).alias("w"))
-             .agg(F.expr("bit_or(shiftleft(1L, cast(node & 63 as int)))").alias("bits")).toArrow())  # at most 2**20 rows
+             .agg(F.expr("bit_or(shiftleft(1L, cast(key & 63 as int)))").alias("bits")).toArrow())  # at most 2**20 rows
     bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     bits[words.column(0).to_numpy()] = words.column(1).to_numpy()
     bitmap = spark.sparkContext.broadcast(bits.view(U))
-    some = texts.mapInArrow(functools.partial(_wanted_texts, k=k, bitmap=bitmap), "node long, z binary")
-    some = written(some.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("z").alias("z")), "texts")  # tasks may both have a copy
+    some = texts.mapInArrow(functools.partial(_wanted_texts, bitmap=bitmap), "key long, z binary")
+    some = written(some.join(nodes, "key").groupBy("node").agg(F.first("z").alias("z")), "texts")  # tasks may both have a copy
     both = (pairs.join(some.select(F.col("node").alias("a"), F.col("z").alias("x")), "a")
             .join(some.select(F.col("node").alias("b"), F.col("z").alias("y")), "b").select("a", "b", "x", "y"))
     return written(both.mapInArrow(functools.partial(_verified, k=k, num=num, den=den), "a long, b long"), "links")
 
 
+def _merged(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """``(node, component, moved)`` of every node after ``links``, from ``joined (node, component)``; ``moved`` where the
+    links changed the component. Only the components that links join are contracted again."""
+    ends = links.join(joined.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a")
+    ends = ends.join(joined.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b").select("ca", "cb").distinct()
+    up = components(ends, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    out = joined.select("node", "component").join(up, "component", "left")
+    now = F.coalesce("_to", "component")
+    return written(out.select("node", now.alias("component"), (now != F.col("component")).alias("moved")), "joined")
+
+
+def _open_cells(cells: DataFrame, joined: DataFrame, moved: bool) -> DataFrame:
+    """``(cell, node, component, size)`` of the cells whose members are in different components, one of those with the same
+    members; with ``moved`` only cells of which a member has changed its component in the last round."""
+    members = cells.select("cell", "node").join(joined, "node")
+    found = members.groupBy("cell").agg(F.count("*").alias("size"), F.sum(F.col("node").cast("decimal(38,0)")).alias("sum"),
+                                        (F.min("component") != F.max("component")).alias("open"), F.max("moved").alias("any"))
+    found = found.where(F.col("open") & F.col("any") if moved else F.col("open")).groupBy("size", "sum").agg(F.min("cell").alias("cell"))
+    return members.select("cell", "node", "component").join(found.select("cell", "size"), "cell")
+
+
 def _grouped(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int):
     """``(facts, components)``: a row ``(id, key, n, node)`` per document (``key``: digest of the text), and
     ``(node, component)`` of every node."""
@@ -361,31 +379,43 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
     rank[np.argsort(total, kind="stable")] = np.arange(len(total), dtype=U)
     ranks = spark.sparkContext.broadcast(rank)
     facts = facts.where(F.col("grp").isNull())
-    nodes = facts.where(F.col("node").isNotNull()).groupBy("node").agg(F.first("n").alias("n"), F.first("point").alias("point"))
+    nodes = facts.where(F.col("node").isNotNull()).groupBy("node").agg(F.first("n").alias("n"), F.first("point").alias("point"),
+                                                                       F.min("key").alias("key"))
     nodes = written(nodes, "nodes")
-    texts = rows.select("text")
+    texts, keys = rows.select("key", "text"), nodes.select("node", "key")
 
-    entries = texts.mapInArrow(functools.partial(_entries, k=k, num=num, den=den, ranks=ranks), "cell long, node long, np long")
+    entries = rows.select("text").mapInArrow(functools.partial(_entries, k=k, num=num, den=den, ranks=ranks), "cell long, node long, np long")
     cells = (entries.repartition("cell").sortWithinPartitions("cell", "node")
              .mapInArrow(functools.partial(_cells, num=num, den=den), "cell long, a long, b long"))
     cells = written(cells, "cells")
 
     def at(side):
         return nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("point").alias(f"point_{side}"))
-    pairs = cells.where(F.col("cell").isNull()).select("a", "b").distinct()
-    pairs = pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", "n_a", "point_a", "n_b", "point_b")
-    pairs = written(pairs.mapInArrow(functools.partial(_bounded, num=num, den=den), "a long, b long"), "pairs")
-    links = verify(texts, pairs, k, num, den)
-    joined = components(links)
-
-    # cells that their hub has left in different components, one of those with the same members
-    members = cells.where(F.col("cell").isNotNull()).select("cell", F.col("a").alias("node"))
-    members = (members.join(joined, "node", "left").select("cell", "node", F.coalesce("component", "node").alias("component")))
-    open_cells = members.groupBy("cell").agg(F.count("*").alias("size"), F.sum(F.col("node").cast("decimal(38,0)")).alias("sum"),
-                                             (F.min("component") != F.max("component")).alias("open"))
-    open_cells = open_cells.where("open").groupBy("size", "sum").agg(F.min("cell").alias("cell"))
-    open_cells = open_cells.select("cell", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
-    inside = members.join(open_cells, "cell")
+
+    def linked(pairs):
+        """The pairs that pass the bound, and those of them whose sets link."""
+        pairs = pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", "n_a", "point_a", "n_b", "point_b")
+        pairs = written(pairs.mapInArrow(functools.partial(_bounded, num=num, den=den), "a long, b long"), "pairs")
+        return pairs, verify(texts, keys, pairs, k, num, den)
+    tried, links = linked(cells.where(F.col("cell").isNull()).select("a", "b").distinct())
+    joined = _merged(nodes.select("node", F.col("node").alias("component")), links)
+    cells = cells.where(F.col("cell").isNotNull()).select("cell", F.col("a").alias("node"))
+
+    # more hubs for cells that the last ones have joined in part
+    for turn in range(HUB_ROUNDS):
+        members = written(_open_cells(cells, joined, moved=True), "members")
+        if members.isEmpty():
+            break
+        hubs = members.groupBy("cell").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "component")).alias("hub"))
+        new = members.join(hubs, "cell").where("component <> hub.component").select(
+            F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+        pairs, links = linked(new.join(tried, ["a", "b"], "left_anti"))
+        tried = tried.union(pairs)
+        joined = _merged(joined, links)
+
+    # what is left in different components is looked for in the tree
+    inside = _open_cells(cells, joined, moved=False).withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
+    inside = written(inside, "members")
     lists = inside.groupBy("node").agg(F.collect_list("cell").alias("cells"))  # at most a node's prefix
     own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     tiles = (inside.withColumn("own", own)
@@ -394,14 +424,12 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
              .join(nodes.select("node", "n", "point"), "node").join(lists, "node")
              .select("tile", "node", "component", "n", F.col("own").alias("side"), "point", "cell", "cells"))
     more = (tiles.repartition("tile").sortWithinPartitions("tile")
-            .mapInArrow(functools.partial(_descend, num=num, den=den), "a long, b long").join(pairs, ["a", "b"], "left_anti"))
+            .mapInArrow(functools.partial(_descend, num=num, den=den), "a long, b long").join(tried, ["a", "b"], "left_anti"))
     more = written(more, "more")
     if not more.isEmpty():
-        links = links.union(verify(texts, more, k, num, den))
-        joined = components(links)
+        joined = _merged(joined, verify(texts, keys, more, k, num, den))
 
-    named = nodes.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    named, facts = written(named, "named"), written(facts.select("id", "key", "n", "node"), "facts")
+    named, facts = written(joined.select("node", "component"), "named"), written(facts.select("id", "key", "n", "node"), "facts")
     remove_tables(spark, since, [named, facts])
     return facts, named
 

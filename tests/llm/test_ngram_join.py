@@ -117,3 +117,30 @@ def test_query_against_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     got = QUERIES["op1_ngram_join"](spark, d).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows)
+
+
+def near_copies(n, seed=4):
+    """Copies of a text of 200 words with three words changed in each: pairs lie around the threshold."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10 ** 6)}" for _ in range(200)]
+    texts = []
+    for i in range(n):
+        copy = list(base)
+        for at in rng.sample(range(200), 3):
+            copy[at] = f"x{i}y{at}"
+        texts.append(" ".join(copy))
+    return texts
+
+
+@pytest.mark.parametrize("n", [150, 600])
+def test_pairs_of_a_group_of_near_copies_grow_with_its_size(spark, monkeypatch, n):
+    verified = []
+    verify = J.verify
+
+    def counted(texts, keys, pairs, *args):
+        verified.append(pairs.count())
+        return verify(texts, keys, pairs, *args)
+    monkeypatch.setattr(J, "verify", counted)
+    rows = [(i, t) for i, t in enumerate(near_copies(n))]
+    assert ran(spark, rows) == brute(rows)
+    assert sum(verified) < 12 * n, verified
