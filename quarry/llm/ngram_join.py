@@ -14,13 +14,13 @@ A document's set are the distinct ``k``-word shingles of its whole text (A-Z low
    coordinates of two points bounds the overlap of their sets, and the coordinate-wise maxima of boxes bound
    it for all points below them. A cell of up to ``LEAF`` points is one leaf, whose pairs are bounded one by
    one; a larger cell is an R-tree that is descended in pairs of boxes. In each cell the nodes are met with a hub
-   first; where that has joined some but not all, up to ``HUB_ROUNDS`` more hubs meet the members outside of their
-   component, and only pairs that are in different components afterwards are looked for in the tree. Cells above
+   first; where that has joined some but not all, up to ``HUB_ROUNDS`` times ``HUBS`` more hubs meet the members outside
+   of their component, and only pairs that are in different components afterwards are looked for in the tree. Cells above
    ``TILE`` points are cut into tiles, a task for each pair of tiles.
 4. Pairs that survive are verified on the whole sets. What is skipped are pairs whose ends are linked already.
 
-Not all pairs of a group of near copies are emitted: a cell of any size adds a star of pairs a round, each to the
-members that earlier rounds have left apart, and then only pairs between components.
+Not all pairs of a group of near copies are emitted: a cell of any size adds a star of pairs, then ``HUBS`` a round, each
+to the members that earlier rounds have left apart, and then only pairs between components.
 
 Defined results: null or blank text has an empty set, is linked with nothing and is its own component;
 repeated rows are separate rows; the component is the smallest non-null id of its documents (null if all are
@@ -43,8 +43,8 @@ from quarry.llm.shingles import U, mix, shingle_sets
 GROUP_BITS, DIM_BITS = 18, 8
 DIMS = 1 << DIM_BITS
 LEAF, TILE = 16, 4096
-HUB_ROUNDS = 8
-FILTER_BITS, KEPT = 26, 64 << 20
+HUB_ROUNDS, HUBS = 3, 3
+FILTER_BITS, KEPT = 26, 32 << 20
 SUMMARY = ["id", "key", "n", "node", "point", "grp", "cnt"]
 
 
@@ -337,6 +337,7 @@ def verify(texts: DataFrame, keys: DataFrame, pairs: DataFrame, k: int, num: int
     bitmap = spark.sparkContext.broadcast(bits.view(U))
     some = texts.mapInArrow(functools.partial(_wanted_texts, bitmap=bitmap), "key long, z binary")
     some = written(some.join(nodes, "key").groupBy("node").agg(F.first("z").alias("z")), "texts")  # tasks may both have a copy
+    bitmap.unpersist()
     both = (pairs.join(some.select(F.col("node").alias("a"), F.col("z").alias("x")), "a")
             .join(some.select(F.col("node").alias("b"), F.col("z").alias("y")), "b").select("a", "b", "x", "y"))
     return written(both.mapInArrow(functools.partial(_verified, k=k, num=num, den=den), "a long, b long"), "links")
@@ -406,7 +407,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
         members = written(_open_cells(cells, joined, moved=True), "members")
         if members.isEmpty():
             break
-        hubs = members.groupBy("cell").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "component")).alias("hub"))
+        first = [F.min(F.struct(F.xxhash64("node", F.lit(turn * HUBS + j)).alias("h"), "node", "component")) for j in range(HUBS)]
+        hubs = members.groupBy("cell").agg(F.array(*first).alias("hubs")).select("cell", F.explode("hubs").alias("hub"))
         new = members.join(hubs, "cell").where("component <> hub.component").select(
             F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
         pairs, links = linked(new.join(tried, ["a", "b"], "left_anti"))
