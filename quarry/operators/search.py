@@ -40,6 +40,7 @@ QUERY_CHUNK, BLOCK_CHUNK = 1024, 4096   # a score tile holds at most this many q
 FLOOR_SAMPLE = 65_536             # blocks whose scores give every query a lower bound for its k-th score
 PAIRS_PER_TASK = 5_000_000_000    # ~1 min of scoring per task at ~7e7 pairs/s/core
 CANDIDATE_ROWS_BUDGET = 2_000_000_000   # tasks x queries x k rows entering the merge shuffle
+FLOOR_SLACK = 1e-9
 FLOOR_ROWS = 10_000_000           # above so many, tasks emit only rows that reach a sampled lower bound
 
 
@@ -224,7 +225,13 @@ def _floor(q: DataFrame, b: DataFrame, nq: int, nb: int, k: int, dim: int) -> di
 def _broadcast_path(q: DataFrame, b: DataFrame, k: int, dim: int, floor: dict | None = None) -> DataFrame:
     spark = q.sparkSession
     qids, qmat = _to_matrix(q, "qid", dim)  # size-checked by the caller against broadcast_bytes
-    low = None if floor is None else np.array([floor.get(int(i), -np.inf) for i in qids])
+    low = None
+    if floor is not None:
+        # A product may differ in its last bits with the shape of its tile: the bound gives way by more than that
+        # (against the largest product the query can have with the blocks' largest norm); the final rank is exact.
+        low = np.array([floor.get(int(i), -np.inf) for i in qids])
+        widest = b.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).first()[0] or 0.0
+        low = low - FLOOR_SLACK * np.sqrt((qmat.astype(np.float64) ** 2).sum(1) * widest)
     bc = spark.sparkContext.broadcast((qids, qmat, low))
 
     def score_partition(batches):
