@@ -3,9 +3,10 @@
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. Base: the places where the words of
 a phrase of ``PHRASES`` stand one after another.
 
-Method: a block is a line, or, of lines above ``window`` words, each stretch of ``window`` words at half
-its step; it carries a template's label when it holds at least ``threshold`` of the template's distinct
-words. The templates' words are ordered by the number of documents that have them, rarest first, ties by
+Method: blocks are the stretches of ``window`` words, at half that step, of the whole text, line breaks or
+not, so that any notice of up to ``window / 2 + 1`` words lies whole in one; and the lines, those above
+``window`` words in stretches likewise. A block carries a template's label when it holds at least ``threshold``
+of the template's distinct words. The templates' words are ordered by the number of documents that have them, rarest first, ties by
 the word. A block that reaches ``need = ceil(threshold * |T|)`` must share one of the first ``|T| - need + 1``
 words of T (prefix), have ``need`` words (length), and where T's word i equals the block's word j, the words
 on both sides must suffice: ``min(i, j) + 1 + min(|T| - i, |B| - j) - 1 >= need`` (position). What passes is
@@ -101,16 +102,23 @@ def template_table(spark, docs: DataFrame, templates: dict, threshold: float):
 
 def blocks(docs: DataFrame, ranks: dict, prefix_words: list, window: int) -> DataFrame:
     """``(_id, _hash, n, b)``: blocks with a prefix word, their number of distinct words and the sorted ranks of
-    their template words."""
+    their template words. Of the whole text only the stretches around a prefix word are made."""
     pattern = rf"(?i)(?<!{WORD})(?:" + "|".join(sorted(prefix_words, key=lambda w: (-len(w), w))) + rf")(?!{WORD})"
     step = window // 2
-    lines = (docs.where(F.col("_text").rlike(pattern))
-             .select("_id", "_hash", F.explode(F.split("_text", "\n")).alias("line")).where(F.col("line").rlike(pattern)))
-    lines = lines.withColumn("w", F.expr(f"transform(regexp_extract_all(line, {_sql(WORD + '+')}, 0), "
-                                          f"w -> translate(w, '{ASCII_UPPER}', '{ASCII_UPPER.lower()}'))"))
-    cut = lines.select("_id", "_hash", F.expr(
-        f"explode(CASE WHEN size(w) <= {window} THEN array(w) ELSE transform(sequence(0, cast(ceil((size(w) - {window}) / {step}D) as int)), "
-        f"i -> slice(w, i * {step} + 1, {window})) END)").alias("w"))
+    words = lambda x: (f"transform(regexp_extract_all({x}, {_sql(WORD + '+')}, 0), "
+                       f"w -> translate(w, '{ASCII_UPPER}', '{ASCII_UPPER.lower()}'))")
+    last = lambda w: f"cast(greatest(ceil((size({w}) - {window}) / {step}D), 0) as int)"
+    rows = docs.where(F.col("_text").rlike(pattern)).select("_id", "_hash", "_text", F.expr(words("_text")).alias("_w"))
+    known = ", ".join(_sql(w) for w in prefix_words)
+    rows = rows.withColumn("_at", F.expr(f"filter(sequence(0, size(_w) - 1), i -> get(_w, i) IN ({known}))"))
+    # stretch k holds words k * step to k * step + window - 1: word i lies in the stretches i div step and the one before
+    rows = rows.withColumn("_k", F.expr(
+        f"filter(array_distinct(flatten(transform(_at, i -> array(cast(i div {step} as int), cast(i div {step} as int) - 1)))), "
+        f"k -> k >= 0 AND k <= {last('_w')})"))
+    rows = rows.withColumn("_lines", F.expr(f"transform(filter(split(_text, '\\n'), l -> l rlike {_sql(pattern)}), l -> {words('l')})"))
+    cut = rows.select("_id", "_hash", F.explode(F.expr(
+        f"concat(transform(_k, k -> slice(_w, k * {step} + 1, {window})), flatten(transform(_lines, l -> CASE WHEN size(l) <= {window} "
+        f"THEN array(l) ELSE transform(sequence(0, {last('l')}), i -> slice(l, i * {step} + 1, {window})) END)))")).alias("w"))
     table = F.create_map(*[F.lit(x) for w, r in ranks.items() for x in (w, r)])
     return (cut.withColumn("_ranks", table)
             .select("_id", "_hash", F.size(F.array_distinct("w")).alias("n"),
@@ -163,7 +171,8 @@ hits AS ({hits}),
 base AS (SELECT rid, count(*) AS n, min(pos) AS a, max(pos) AS z, list(DISTINCT label) AS labels FROM hits GROUP BY rid),
 lines AS (SELECT rid, regexp_extract_all(l, '{word}') AS w FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM d)),
 cut AS (SELECT rid, unnest(CASE WHEN len(w) <= {WINDOW} THEN [w] ELSE list_transform(
-  range(0, CAST(ceil((len(w) - {WINDOW}) / {step}.0) AS BIGINT) + 1), lambda i: w[i * {step} + 1:i * {step} + {WINDOW}]) END) AS w FROM lines),
+  range(0, CAST(ceil((len(w) - {WINDOW}) / {step}.0) AS BIGINT) + 1), lambda i: w[i * {step} + 1:i * {step} + {WINDOW}]) END) AS w
+  FROM (SELECT rid, w FROM lines UNION ALL SELECT rid, w FROM w)),
 tpl AS (SELECT * FROM (VALUES {table}) v(id, label, t)),
 near AS (SELECT rid, label, len(list_intersect(t, w)) / len(t) AS share FROM cut, tpl WHERE len(w) > 0 AND list_has_any(t, w)),
 found AS (SELECT rid, list(DISTINCT label) AS labels, max(share) AS share FROM near WHERE share >= {THRESHOLD} - 1e-9 GROUP BY rid)

@@ -107,6 +107,38 @@ def test_false_rejections_stay_within_the_bound(spark):
     assert share <= 0.05
 
 
+def measured(n_words=100, word_chars=500, n_symbols=0, n_dup_lines=0, n_lines=10, n_repeat_words=0):
+    return (n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words)
+
+
+MEASURED = "stratum string, quality int, _quality struct<" + ", ".join(f"{m}: long" for m in QR.MEASURES) + ">"
+
+
+def test_four_rules_together_stay_within_the_risk(spark):
+    """Good documents hit by one rule each: the set's joint rejection is what is certified, per stratum."""
+    from pyspark.sql import functions as F
+    hits = [measured(n_symbols=200), measured(n_repeat_words=45), measured(n_dup_lines=8), measured(word_chars=1300)]
+    few = [measured(n_symbols=200)] * 4 + [measured(n_repeat_words=45)]
+    rows = [("many", 1, measured())] * 7936 + [("many", 1, h) for h in hits for _ in range(16)]      # 0.2 % by each, 0.8 % together
+    rows += [("few", 1, measured())] * 7995 + [("few", 1, h) for h in few]
+    rows += [("short", 1, measured())] * 500 + [(s, 0, h) for s in ("many", "few", "short") for h in hits for _ in range(20)]
+    labelled = spark.createDataFrame(rows, MEASURED)
+    cutoffs = QR.select_cutoffs(labelled)
+    found = {r.stratum: r for r in cutoffs.collect()}
+    assert "short" not in found                                # 500 good labels can't carry 0.5 %
+    assert all(found["few"][r] is not None for r in QR.RULES)
+    rejected = labelled.join(cutoffs, "stratum").where("quality = 1").groupBy("stratum").agg(F.avg(F.greatest(
+        *[F.coalesce((QR.ratio(r) > F.col(r)).cast("int"), F.lit(0)) for r in QR.RULES]).cast("double")).alias("share"))
+    shares = {r.stratum: r.share for r in rejected.collect()}
+    assert all(x <= QR.RISK for x in shares.values()) and shares["few"] > 0
+
+
+def test_sets_of_cutoffs_are_nested():
+    for a, b in zip(QR.PATH, QR.PATH[1:]):
+        assert all(a[r] is None or b[r] <= a[r] for r in QR.RULES) and a != b
+    assert QR.PATH[-1] == {r: min(cuts) for r, (_, _, _, cuts) in QR.RULES.items()}
+
+
 # ---------------------------------------------------------------- license scan
 
 NOTICES = [t for ts in LS.TEMPLATES.values() for t in ts]
@@ -133,6 +165,23 @@ def test_license_against_sql(spark):
     assert LS.license_scan(s.limit(0)).collect() == []
 
 
+def test_wrapped_notices(spark):
+    """Hard-wrapped headers, comment signs in front, with other text around: the label comes as on one line."""
+    rng = random.Random(9)
+    rows = []
+    for i, (label, notice) in enumerate((label, t) for label, ts in LS.TEMPLATES.items() for t in ts):
+        for width in (3, 10):
+            for lead in (0, 5, 31, 40, 63, 200):
+                words = [f"z{rng.randrange(999)}" for _ in range(lead)] + notice.split() + [f"y{rng.randrange(999)}" for _ in range(rng.choice([0, 90]))]
+                text = "\n".join(" * " + " ".join(words[j:j + width]) for j in range(0, len(words), width))
+                rows.append((len(rows), text, label))
+    got = {r.doc_id: r for r in LS.license_scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert all(label in got[i].labels.split(",") and got[i].score == 1.0 for i, _, label in rows)
+    plain_rows = [(i, t) for i, t, _ in rows]
+    assert rows_of(LS.license_scan(spark.createDataFrame(plain_rows, "doc_id long, text string"))) == duck(
+        LS.oracle_sql(), documents=arrow(plain_rows, doc_id="long", text="string"))
+
+
 def test_phrase_places(spark):
     text = "The MIT license; an Apache  license, mit-License and general public license. éMIT license mit licenses"
     r = LS.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
