@@ -5,14 +5,16 @@ characters of ``#*$%&|<>``, lines with a word that equal an earlier line, and wo
 3-word window that occurs twice or more. A document fails the base rules below 50 words or
 with more than half of its words in repeated windows.
 
-Method: a rule is a ratio and a grid of cutoffs; it rejects what lies above its cutoff. The
-labelled good documents that pass the base rules are the holdout of their stratum. With n of
-them and k above a cutoff, "this cutoff rejects more than ``risk`` of the good documents" is
-refuted when the exact binomial tail P(Bin(n, risk) <= k) is at most ``error`` divided by
-strata x cutoffs (Bonferroni), which is the one-sided Clopper-Pearson bound. Among the refuted
-cutoffs of a rule and stratum the one that rejects most labelled bad documents is taken; ties go
-to fewer good ones, then to the higher cutoff. A rule with no such cutoff doesn't act there, so
-with too few labels nothing is rejected beyond the base.
+Method: a rule is a ratio and its cutoffs, widest first; it rejects what lies above its cutoff. ``PATH`` is
+a fixed order of sets of cutoffs, one rule's cutoff narrowed a step, so every set rejects all that the one
+before it rejects. The labelled good documents that pass the base rules are the holdout of their stratum. With
+n of them and k rejected by *any* rule of a set, "this set rejects more than ``risk`` of the good documents" is
+refuted when the exact binomial tail P(Bin(n, risk) <= k) is at most ``error`` over the number of strata
+(Bonferroni), the one-sided Clopper-Pearson bound. The sets are tested in their fixed order up to the first that
+isn't refuted (k never falls along the path, so the refuted ones are the first ones), which needs no correction
+within a stratum. All strata together keep their bound on the joint false rejection with probability ``1 - error``.
+Among the refuted sets the one that rejects most labelled bad documents is taken, the first of them on ties. A
+stratum without such a set rejects nothing beyond the base: below ln(strata / error) / risk good labels none has one.
 
 The measures are written once with the rows (no shuffle of texts) and labels meet the measures only. The
 cutoffs, a row per stratum, are broadcast up to ``MAX_SENT`` rows and joined by a shuffle beyond.
@@ -42,6 +44,9 @@ RULES = {
     "dup_lines": ("n_dup_lines", "n_lines", 1_000_000, (100_000, 200_000, 300_000, 400_000, 500_000, 700_000)),
     "long_words": ("word_chars", "n_words", 1_000, (6_500, 7_000, 8_000, 9_000, 10_000, 12_000)),
 }
+#: The sets tested, in this order: step s narrows rule s mod 4; a rule's cutoff, or None while it doesn't act.
+PATH = [{r: (sorted(cuts, reverse=True)[(s - i) // len(RULES)] if s >= i else None) for i, (r, (_, _, _, cuts)) in enumerate(RULES.items())}
+        for s in range(sum(len(cuts) for _, _, _, cuts in RULES.values()))]
 RISK, ERROR = 0.005, 0.05
 MAX_SENT = 100_000
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words")
@@ -102,18 +107,17 @@ def tail_at_most(risk: float, alpha):
 def select_cutoffs(labelled: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
     """``(stratum, <rule> ...)`` with each rule's cutoff (null: the rule doesn't act), from rows
     ``(stratum, quality, _quality)`` of labelled documents."""
-    grid = [(r, c) for r, (_, _, _, cuts) in RULES.items() for c in cuts]
     seen = labelled.where(~base_failed())
-    above = [F.sum(F.when((F.col("quality") == q) & (ratio(r) > F.lit(c)), 1).otherwise(0)).alias(f"{r}_{c}_{q}")
-             for r, c in grid for q in (0, 1)]
+    hit = [reduce(lambda a, b: a | b, [ratio(r) > F.lit(c) for r, c in cuts.items() if c is not None]) for cuts in PATH]
+    above = [F.sum(F.when((F.col("quality") == q) & h, 1).otherwise(0)).alias(f"s{s}_{q}") for s, h in enumerate(hit) for q in (0, 1)]
     counts = written(seen.groupBy("stratum").agg(F.sum((F.col("quality") == 1).cast("long")).alias("n"), *above), "counts")
-    tests = max(counts.count(), 1) * len(grid)  # a row per stratum
-    cells = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).cast("long").alias("cutoff"), F.col(f"{r}_{c}_1").alias("k"),
-                               F.col(f"{r}_{c}_0").alias("bad")) for r, c in grid])
+    strata = max(counts.count(), 1)  # a row per stratum
+    cells = F.array(*[F.struct(F.lit(s).alias("step"), F.col(f"s{s}_1").alias("k"), F.col(f"s{s}_0").alias("bad"),
+                               *[F.lit(cuts[r]).cast("long").alias(r) for r in RULES]) for s, cuts in enumerate(PATH)])
     cells = counts.select("stratum", "n", F.inline(cells))
-    sound = cells.where(tail_at_most(risk, f"{error / tests!r}D"))
-    best = F.max_by("cutoff", F.struct(F.col("bad"), -F.col("k"), F.col("cutoff")))
-    return sound.groupBy("stratum").pivot("rule", list(RULES)).agg(best)
+    sound = cells.where(tail_at_most(risk, f"{error / strata!r}D"))
+    best = F.max_by(F.struct(*RULES), F.struct(F.col("bad"), -F.col("step")))
+    return sound.groupBy("stratum").agg(best.alias("best")).select("stratum", "best.*")
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -134,11 +138,13 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """One row per input row: id, measures, ``base_failed``, ``failed_rules``, ``kept``."""
+    """One row per input row: id, words, code points, symbols, repeated lines and words, ``base_failed``, ``kept``; then
+    ``n_lines`` and ``failed_rules``."""
+    extra = "n_lines"
     return judged(docs, labels, id_col=id_col, carry=[id_col], **kw).select(
-        F.col(f"_row.{id_col}").alias(id_col), *[F.col(f"_quality.{m}").alias(m) for m in MEASURES],
-        F.col("_base").alias("base_failed"), F.col("_failed").alias("failed_rules"),
-        (~F.col("_base") & (F.col("_failed") == "")).alias("kept"))
+        F.col(f"_row.{id_col}").alias(id_col), *[F.col(f"_quality.{m}").alias(m) for m in MEASURES if m != extra],
+        F.col("_base").alias("base_failed"), (~F.col("_base") & (F.col("_failed") == "")).alias("kept"),
+        F.col(f"_quality.{extra}").alias(extra), F.col("_failed").alias("failed_rules"))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
@@ -149,15 +155,14 @@ def quality_filter(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
 def oracle_sql() -> str:
     """DuckDB SQL of :func:`quality_verdicts` over ``documents`` and ``labels``."""
     import math
-    grid = [(r, c) for r, (_, _, _, cuts) in RULES.items() for c in cuts]
     rat = {r: f"({n} * {s}) // greatest({d}, 1)" for r, (n, d, s, _) in RULES.items()}
+    hit = [" OR ".join(f"{rat[r]} > {c}" for r, c in cuts.items() if c is not None) for cuts in PATH]
     cells = " UNION ALL ".join(
-        f"SELECT stratum, '{r}' AS rule, {c} AS cutoff, count(*) FILTER (quality = 1) AS n, "
-        f"count(*) FILTER (quality = 1 AND {rat[r]} > {c}) AS k, count(*) FILTER (quality = 0 AND {rat[r]} > {c}) AS bad "
-        "FROM held GROUP BY stratum" for r, c in grid)
+        f"SELECT stratum, {s} AS step, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND ({h})) AS k, "
+        f"count(*) FILTER (quality = 0 AND ({h})) AS bad FROM held GROUP BY stratum" for s, h in enumerate(hit))
+    steps = ", ".join("({})".format(", ".join([str(s)] + [str(c if c is not None else "NULL") for c in cuts.values()])) for s, cuts in enumerate(PATH))
     odds, miss = math.log(RISK / (1 - RISK)), math.log1p(-RISK)
     broken = ", ".join(f"CASE WHEN {rat[r]} > c_{r} THEN '{r}' END" for r in RULES)
-    picks = ", ".join(f"max(cutoff) FILTER (rule = '{r}') AS c_{r}" for r in RULES)
     ws = " || ".join(f"chr({ord(c)})" for c in SPACE)
     return f"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
@@ -174,14 +179,13 @@ v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 held AS (SELECT v.*, quality FROM v JOIN (SELECT doc_id, min(quality) AS quality FROM labels
   WHERE quality IS NOT NULL GROUP BY doc_id) x ON v.doc_id = x.doc_id WHERE NOT base_failed),
 cells AS ({cells}),
-terms AS (SELECT stratum, rule, cutoff, n, k, bad, j, n * {miss!r} + coalesce(sum({odds!r} + ln(CAST(n - j + 1 AS DOUBLE) / j))
-  FILTER (j > 0) OVER (PARTITION BY stratum, rule, cutoff ORDER BY j), 0) AS lt
+terms AS (SELECT stratum, step, n, k, bad, j, n * {miss!r} + coalesce(sum({odds!r} + ln(CAST(n - j + 1 AS DOUBLE) / j))
+  FILTER (j > 0) OVER (PARTITION BY stratum, step ORDER BY j), 0) AS lt
   FROM (SELECT *, unnest(range(0, k + 1)) AS j FROM cells WHERE n > 0 AND k < n * {RISK!r})),
-sound AS (SELECT stratum, rule, cutoff, k, bad FROM terms GROUP BY stratum, rule, cutoff, k, bad
-  HAVING sum(exp(lt)) <= {ERROR!r} / ({len(grid)} * (SELECT count(DISTINCT stratum) FROM held))),
-best AS (SELECT stratum, rule, cutoff FROM (SELECT *, row_number() OVER (PARTITION BY stratum, rule
-  ORDER BY bad DESC, k, cutoff DESC) AS r FROM sound) WHERE r = 1),
-cuts AS (SELECT stratum, {picks} FROM best GROUP BY stratum),
+sound AS (SELECT stratum, step, k, bad FROM terms GROUP BY stratum, step, k, bad
+  HAVING sum(exp(lt)) <= {ERROR!r} / (SELECT count(DISTINCT stratum) FROM held)),
+best AS (SELECT stratum, step FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY bad DESC, step) AS r FROM sound) WHERE r = 1),
+cuts AS (SELECT stratum, x.* FROM best JOIN (VALUES {steps}) x(step, {", ".join("c_" + r for r in RULES)}) ON best.step = x.step),
 f AS (SELECT v.*, concat_ws(',', {broken}) AS failed_rules FROM v LEFT JOIN cuts ON v.stratum = cuts.stratum)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words, base_failed, failed_rules,
   NOT base_failed AND failed_rules = '' AS kept FROM f"""
