@@ -143,7 +143,7 @@ def _write(batches, folder, roll):
     system, base = _open(folder)
     system.create_dir(base, recursive=True)
     task, made = TaskContext.get().partitionId(), []
-    state = {"held": None, "waiting": [], "bytes": 0, "size": 0, "n": 0, "out": None, "path": None}
+    state = {"held": None, "waiting": [], "fresh": 0, "bytes": 0, "size": 0, "n": 0, "out": None, "path": None}
 
     def flush():
         if not state["waiting"]:
@@ -158,16 +158,15 @@ def _write(batches, folder, roll):
         for frame in compress(state["waiting"], state["held"]):
             state["out"].write(frame)
             state["size"] += len(frame)
-        state["waiting"] = []
+        state.update(waiting=[], fresh=0)
 
     def close():
         flush()
         if state["out"] is not None:
             state["out"].close()
             made.append((state["path"], state["n"], state["bytes"], state["size"]))
-        state.update(held=None, waiting=[], bytes=0, size=0, n=0, out=None, path=None)
+        state.update(held=None, waiting=[], fresh=0, bytes=0, size=0, n=0, out=None, path=None)
 
-    waiting = 0
     for b in batches:
         for r in range(b.num_rows):
             page, url, html, digest, least = (b.column(i)[r].as_py() for i in range(5))
@@ -175,10 +174,9 @@ def _write(batches, folder, roll):
             state["waiting"].append(rec)
             state["bytes"] += len(rec)
             state["n"] += 1
-            waiting += len(rec)
-            if waiting >= TRAIN_BYTES:
+            state["fresh"] += len(rec)
+            if state["fresh"] >= TRAIN_BYTES:
                 flush()
-                waiting = 0
             if state["bytes"] >= roll:
                 close()
     close()

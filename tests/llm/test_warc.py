@@ -67,3 +67,20 @@ def test_dictionary_helps():
     import zstandard
     plain = sum(len(zstandard.ZstdCompressor(level=W.LEVEL).compress(r)) for r in raws)
     assert sum(map(len, W.compress(raws, held))) + len(W.opening(held)) < plain
+
+
+def test_every_archive_trains_on_its_full_share(spark, tmp_path, monkeypatch):
+    """Several archives above ``TRAIN_BYTES`` in one task: each dictionary comes from TRAIN_BYTES of its own records."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+    trained = []
+    kept = W.dictionary
+    monkeypatch.setattr(W, "dictionary", lambda records: trained.append(sum(map(len, records))) or kept(records))
+    monkeypatch.setattr(TaskContext, "get", classmethod(lambda cls: type("T", (), {"partitionId": lambda self: 0})()))
+    html = ["".join(chr(97 + (i * j * 7919) % 26) for j in range(20_000)) for i in range(1, 41)] * 13
+    rows = [(i, f"http://a/{i}", h, "0" * 64, None) for i, h in enumerate(html)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()))],
+                                       names=["page", "url", "html", "digest", "least"])
+    out = list(W._write([batch], folder=str(tmp_path), roll=3 << 20))[0].to_pydict()
+    assert len(out["path"]) >= 3 and sum(out["records"]) == len(rows)
+    assert len(trained) == len(out["path"]) and min(trained[:-1]) >= W.TRAIN_BYTES
