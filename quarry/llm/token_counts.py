@@ -29,7 +29,9 @@ SPLIT_BYTES = 1 << 16
 
 
 def split_text(text: str, limit: int) -> list[str]:
-    """Parts of at least ``limit`` characters whose sentencepiece encodings add up (module docstring)."""
+    """Parts of about ``limit`` bytes whose sentencepiece encodings add up (module docstring)."""
+    # a text's mean bytes a character turn the limit into characters
+    limit = max(1, limit * len(text) // max(1, len(text.encode())))
     parts, at = [], 0
     while len(text) - at > limit:
         cut = text.find(" ", at + limit)
@@ -78,7 +80,7 @@ def count_texts(texts: list[str], path: str, batch_bytes: int = BATCH_BYTES,
             if part:
                 parts.append(part)
                 owners.append(i)
-                held += len(part)
+                held += len(part.encode())
                 if held >= batch_bytes:
                     flush()
     if parts:
