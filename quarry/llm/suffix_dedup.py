@@ -36,6 +36,8 @@ from quarry.llm.common import remove_tables, tables_so_far, written
 from quarry.llm.shingles import _BYTE, U, buffers, mix, powers, slices
 
 LENGTH, GRAM, HOT = 200, 100, 4096
+#: Rows of a table of hot cells that are sent to every task; beyond, the tables are shuffled together.
+MAX_SENT = 100_000
 PIECE, COMBINED = 900_000, 1 << 20
 LAST = (1 << 63) - 1
 
@@ -393,8 +395,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                                                            "route long, kind int, cell long, frag long, ord long, txt long, span long")
     cells = written(entries.repartition("route").sortWithinPartitions("route", "cell", "frag", "ord", "txt", "span")
                     .mapInArrow(_cells, "kind int, cell long, ord long, txt long, span long"), "cells")
-    hot = cells.where("kind = 0").groupBy("cell").count().where(F.col("count") > HOT).select("cell", F.lit(3).alias("_hot"))
-    marks = (cells.join(hot, "cell", "left").withColumn("kind", F.when(F.col("kind") == 0, F.coalesce("_hot", "kind")).otherwise(F.col("kind")))
+    hot = written(cells.where("kind = 0").groupBy("cell").count().where(F.col("count") > HOT).select("cell", F.lit(3).alias("_hot")), "hot")
+    # at most a row per HOT entries: sent while few, so that a hot cell's rows stay where they lie; AQE splits them beyond
+    marks = (cells.join(F.broadcast(hot) if hot.count() <= MAX_SENT else hot, "cell", "left").withColumn("kind", F.when(F.col("kind") == 0, F.coalesce("_hot", "kind")).otherwise(F.col("kind")))
              .groupBy("txt").agg(F.collect_list(F.struct("kind", "cell", "ord", "span")).alias("m")))
     copies = rows.groupBy("txt").agg(F.count("*").alias("copies"), F.min("ord").alias("first")).where("copies > 1")
     marks = marks.join(copies, "txt", "full").withColumnRenamed("txt", "_t")
