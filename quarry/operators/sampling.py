@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.keyed import gumbel_key, hash32
 from quarry.operators.ranks import global_rank
+from quarry.operators.search import topk_rank
 from quarry.params import MAX_BROADCAST_BYTES, NUM_RETRIEVALS, SEED, TEMPERATURE
 
 CHOSEN_ROW_BYTES = 64   # of a broadcast table of chosen ids
@@ -35,6 +36,20 @@ def gumbel_sample(retrievals: Column, sample_id: Column, k: int = NUM_RETRIEVALS
         F.lit(k))))
 
 
+def gumbel_sample_rows(candidates: DataFrame, k: int = NUM_RETRIEVALS, temperature: float = TEMPERATURE, seed: int = SEED,
+                       epoch=0, id_col: str = "sample_id", block_id_col: str = "block_id", score_col: str = "score") -> DataFrame:
+    """The draws of :func:`gumbel_sample` from candidate rows, for any number of candidates per sample: the rows' columns
+    with ``draw`` (1 to ``k``).
+
+    Each task keeps the ``k`` largest keys of every sample it meets (the window's group limit runs before the
+    shuffle), so a sample with a third of all rows sends k rows a task. Samples with fewer candidates give all of them;
+    candidates with a null score have no chance and go last; no rows give no rows."""
+    ep = epoch if isinstance(epoch, Column) else F.lit(epoch)
+    key = gumbel_key(F.col(score_col), temperature, F.lit(seed), ep, F.col(id_col), F.col(block_id_col))
+    out = topk_rank(candidates.withColumn("_key", key), id_col, [F.desc_nulls_last("_key"), F.asc(block_id_col)], k, "draw")
+    return out.withColumn("draw", F.col("draw").cast("long")).drop("_key")
+
+
 def hash_sample(df: DataFrame, id_col: str, n: int, seed: int = SEED) -> DataFrame:
     """``n`` rows chosen without replacement by keyed hash order (query_sample, len_sample).
 

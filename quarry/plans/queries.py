@@ -21,7 +21,8 @@ from quarry.operators import metrics as M
 from quarry.operators import stats as S
 from quarry.operators.encoder import encoder_hook, hashing_embedder
 from quarry.operators.retrieval import cached_lookup, gather_blocks, select_by_index
-from quarry.operators.sampling import gumbel_sample, hash_sample, paired_subset
+from quarry.operators.pruned import mips_pruned
+from quarry.operators.sampling import gumbel_sample, gumbel_sample_rows, hash_sample, paired_subset
 from quarry.operators.search import mips_exact, topk_rank
 from quarry.operators.vocab import Vocab, read_vocab_file, write_vocab_file
 from quarry.params import (BATCHES_BETWEEN_EVALS, CONTEXT_SIZE, EMA_CONSTANT, IVF_REORDER, MASK_ID, NUMBER_EVAL_BATCHES,
@@ -251,6 +252,14 @@ def q_gumbel_sample(spark, sf):
                          F.col("r.block_id").alias("block_id")))
 
 
+@register("gumbel_sample_rows", O.sql(
+    "SELECT sample_id, pos::BIGINT AS pos, block_id FROM sampled", "sampled"))
+def q_gumbel_sample_rows(spark, sf):
+    # The same draws from the hits as rows: no list is built, any number of candidates.
+    out = gumbel_sample_rows(P.retrieval_hits(spark, sf).select("sample_id", "block_id", "score"))
+    return out.select("sample_id", F.col("draw").alias("pos"), "block_id")
+
+
 @register("select_by_index", O.sql("""
     SELECT sample_id, string_agg(s.block_id::VARCHAR, ' ' ORDER BY s.pos) AS block_ids
     FROM sampled s GROUP BY sample_id""", "sampled"))
@@ -863,6 +872,15 @@ def q_ivf_probe(spark, sf):
     return out.select(F.col("qid").alias("sample_id"), "rank", "block_id", r6(F.col("score")).alias("score"))
 
 
+@register("mips_pruned", O.sql(
+    "SELECT sample_id, rank::BIGINT AS rank, block_id, round(score, 6) AS score FROM hits", "hits"))
+def q_mips_pruned(spark, sf):
+    # Exact: leaves whose bound lies below a query's floor are never scored; the twin scores every pair.
+    cents, index = ann_index(spark, sf)
+    out = mips_pruned(_qv(spark, sf), index.where("spill = 0"), cents)
+    return out.select(F.col("qid").alias("sample_id"), "rank", "block_id", r6(F.col("score")).alias("score"))
+
+
 @register("ivf_probe_pruned", _with_leaves(
     f" SELECT qid AS sample_id, rank::BIGINT AS rank, block_id, round(score, 6) AS score FROM {_PROBED}", "qvec"))
 def q_ivf_probe_pruned(spark, sf):
