@@ -29,6 +29,13 @@ def job_cache(spark, a):
     from quarry.sources.cache_io import sink_cache
     vocab = P.given_vocab(spark, a.vocab, a.tokenizer) if a.vocab else P.corpus_vocab(spark, a.data, a.tokenizer)
     cache = P.retrieval_cache(spark, a.data, vocab, k=a.k, context_size=a.context_size)
+    if a.version:   # splits that an earlier run of this version has written stay as they are
+        from quarry.sources.versions import publish, write_version
+        splits = sorted(r["split"] for r in cache.select("split").distinct().collect())   # a few names
+        write_version(cache, a.out, a.version, splits, a.shards)
+        publish(spark, a.out, a.version, splits)
+        vocab.df.write.mode("overwrite").parquet(f"{a.out}/data/{a.version}/_vocab")
+        return
     sink_cache(cache, a.out, a.shards)
     # next to the shards ("_" prefix: skipped by partition discovery), after the overwrite
     vocab.df.write.mode("overwrite").parquet(a.out + "/_vocab")
@@ -120,6 +127,7 @@ def main(argv=None):
     c.add_argument("--shards", type=int, default=NUM_SHARDS)
     c.add_argument("--context-size", type=int, default=CONTEXT_SIZE)
     c.add_argument("--vocab", default=None, help="vocabulary file, a token per line; without it one is built from the tables")
+    c.add_argument("--version", default=None, help="write a version of the cache and publish it; a stopped run goes on with its missing splits")
     c.add_argument("--tokenizer", default="whitespace", choices=["whitespace", "delimiter"])
     s = sub.add_parser("samples")
     s.add_argument("--cache", required=True)

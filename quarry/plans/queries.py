@@ -33,10 +33,13 @@ from quarry.plans import pipeline as P
 from quarry.session import scratch_path
 from quarry.sources import cache_io as CI
 from quarry.sources import tables
+from quarry.sources import versions as CV
+from quarry.sources.bucketed import bucket_cache, bucketed_lookup
 from quarry.streaming import metrics_stream as MS
 
 SP = special_ids()
 EOS = SP["eos"]
+LOOKUP_BUCKETS = 32
 _VOCABS: dict = {}
 
 QUERIES: dict = {}
@@ -236,6 +239,18 @@ def q_cached_lookup(spark, sf):
                       F.size("retrievals").cast("long").alias("n_retrievals"))
 
 
+@register("bucketed_lookup", ORACLE["cached_lookup"])
+def q_bucketed_lookup(spark, sf):
+    # The same lookups against the cache as a bucketed, sorted table: the cache is not shuffled.
+    path = scratch_path(spark, "buckets")
+    name = "quarry_" + path.rsplit("-", 1)[-1]
+    bucket_cache(cache_for(spark, sf).select("split", "sample_id", "retrievals"), name, LOOKUP_BUCKETS, path=path)
+    req = tables.questions(spark, sf).select("split", "sample_id").unionByName(
+        tables.benchmark_questions(spark, sf).select("split", "sample_id"))
+    out = bucketed_lookup(spark, req, name, LOOKUP_BUCKETS)
+    return out.select("split", "sample_id", "found", F.size("retrievals").cast("long").alias("n_retrievals"))
+
+
 # ---------------------------------------------------------------------------
 # Sampling and assembly
 # ---------------------------------------------------------------------------
@@ -1130,20 +1145,37 @@ def q_sink_cache(spark, sf):
         F.count(F.lit(1)).alias("n_rows"), F.sum(F.size("retrievals")).cast("long").alias("n_retrievals"))
 
 
-@register("src_cache", O.sql("""
+_CACHED = O.sql("""
     SELECT t.sample_id, array_to_string(t.question_ids, ' ') AS question_ids,
            array_to_string(t.answer_ids, ' ') AS answer_ids,
            (SELECT string_agg(h.block_id::VARCHAR, ' ' ORDER BY h.rank) FROM hits h WHERE h.sample_id = t.sample_id)
              AS block_ids
-    FROM qa_tok t WHERE t.split = 'train'""", "qa_tok", "hits"))
-def q_src_cache(spark, sf):
-    back = CI.src_cache(spark, _written_cache(spark, sf), "train")
+    FROM qa_tok t WHERE t.split = 'train'""", "qa_tok", "hits")
+
+
+def _cached_rows(back):
     return back.select("sample_id", ids_text(F.col("question_ids")).alias("question_ids"),
                        ids_text(F.col("answer_ids")).alias("answer_ids"),
                        F.array_join(F.transform("retrievals", lambda r: r["block_id"].cast("string")), " ")
                        .alias("block_ids"))
 
 
+@register("src_cache", _CACHED)
+def q_src_cache(spark, sf):
+    return _cached_rows(CI.src_cache(spark, _written_cache(spark, sf), "train"))
+
+
+@register("cache_version", _CACHED)
+def q_cache_version(spark, sf):
+    # Written in two goes as by a job that was stopped between splits, published, verified and read back.
+    root, splits = scratch_path(spark, "versions"), ["train", "eval", "test"]
+    cache = cache_for(spark, sf)
+    CV.write_version(cache, root, "first", ["train"], SHARDS)
+    CV.write_version(cache, root, "first", splits, SHARDS)
+    CV.publish(spark, root, "first", splits)
+    return _cached_rows(CV.read_version(spark, root, ["train"], verify=True))
+
+
 @register("shard_paths", O.sql(f"""
     SELECT split, shard::BIGINT AS shard, 1::BIGINT AS n_files, count(*)::BIGINT AS n_rows
     FROM ({_SHARD_SQL}) GROUP BY split, shard""", "questions", "hits"))
