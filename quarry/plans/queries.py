@@ -36,10 +36,14 @@ from quarry.sources import tables
 from quarry.sources import versions as CV
 from quarry.sources.bucketed import bucket_cache, bucketed_lookup
 from quarry.streaming import metrics_stream as MS
+from quarry.streaming.arrivals import arriving, by_key, by_time
+from quarry.streaming.keyed_state import KeyedAverage
+from quarry.streaming.live_stream import LiveRetrieval
 
 SP = special_ids()
 EOS = SP["eos"]
 LOOKUP_BUCKETS = 32
+ARRIVALS = 10
 _VOCABS: dict = {}
 
 QUERIES: dict = {}
@@ -1247,6 +1251,25 @@ def q_ema_stream(spark, sf):
     return out.select("split", "event_id", r6(F.col("ema")).alias("ema"))
 
 
+@register("ema_keyed_stream", ORACLE["ema"])
+def q_ema_keyed_stream(spark, sf):
+    # The log arrives in ten files; rows wait in the engine's keyed state, a group per key and hour.
+    log = tables.read_table(spark, sf, "events")
+    path = arriving(log, by_time(log, M.epoch_micros(F.col("ts")), ARRIVALS), ARRIVALS)
+    out = KeyedAverage(spark, path, log.schema).run()
+    return out.select("split", "event_id", r6(F.col("ema")).alias("ema"))
+
+
+@register("live_retrieve_stream", ORACLE["live_retrieve"])
+def q_live_retrieve_stream(spark, sf):
+    # Questions arrive in five files; each micro-batch reads the leaves it needs of the stored index.
+    cents, index = ann_index(spark, sf)
+    asked = tables.query_vectors(spark, sf).select("sample_id", "embedding")
+    live = LiveRetrieval(spark, index, cents, tables.blocks(spark, sf, with_vectors=False), nprobe=N_PROBED)
+    out = live.run(arriving(asked, by_key(F.col("sample_id"), 5), 5), asked.schema)
+    return out.select("sample_id", "rank", "block_id", "text")
+
+
 @register("cadence_stream", CADENCE_SQL)
 def q_cadence_stream(spark, sf):
     return MS.cadence_stream(spark, _events(sf), MS.events_schema(spark, sf),

@@ -178,9 +178,3 @@ class KeyedAverage:
             raise ValueError(f"{self.late} rows came later than {self.delay}")
         return self.spark.read.schema("split string, event_id long, ema double").parquet(f"{self.base}/out").drop("batch")
 
-
-def dealt(spark: SparkSession, df: DataFrame, order_col: str, files: int) -> str:
-    """``df`` written as ``files`` files, consecutive ranges of ``order_col``: a log as it arrives. One pass."""
-    path = scratch_path(spark, "arriving")
-    df.repartitionByRange(files, order_col).write.parquet(path)
-    return path
