@@ -30,10 +30,11 @@ from quarry.params import (BATCHES_BETWEEN_EVALS, CONTEXT_SIZE, EMA_CONSTANT, IV
                            QA_LENGTH_FRACTIONS, RAGGED_PAD_ID, SAVE_PERIOD_MIN, SEED, SPLIT_CARDINALITIES,
                            TEMPERATURE, special_ids)
 from quarry.plans import pipeline as P
-from quarry.session import scratch_path
+from quarry.session import scratch_path, ship_package
 from quarry.sources import cache_io as CI
 from quarry.sources import tables
 from quarry.sources import versions as CV
+from quarry.sources.padded import PaddedCache, sink_padded
 from quarry.sources.bucketed import bucket_cache, bucketed_lookup
 from quarry.streaming import metrics_stream as MS
 from quarry.streaming.arrivals import arriving, by_key, by_time
@@ -1169,6 +1170,21 @@ def q_src_cache(spark, sf):
     return _cached_rows(CI.src_cache(spark, _written_cache(spark, sf), "train"))
 
 
+@register("src_padded_cache", _CACHED)
+def q_src_padded_cache(spark, sf):
+    # Dense, padded records read by name: a partition per shard, one split listed, arrays ragged again.
+    ship_package(spark)
+    cache = cache_for(spark, sf).select("split", "sample_id", "question_ids", "answer_ids",
+                                        F.transform("retrievals", lambda r: r["block_id"]).alias("block_ids"),
+                                        F.transform("retrievals", lambda r: r["token_ids"]).alias("passages"))
+    path = sink_padded(cache, scratch_path(spark, "padded"), SHARDS)
+    spark.dataSource.register(PaddedCache)
+    back = (spark.read.format("padded_cache").option("split", "train")
+            .option("columns", "sample_id,question_ids,answer_ids,block_ids").load(path))
+    return back.select("sample_id", ids_text(F.col("question_ids")).alias("question_ids"), ids_text(F.col("answer_ids")).alias("answer_ids"),
+                       F.array_join(F.transform("block_ids", lambda b: b.cast("string")), " ").alias("block_ids"))
+
+
 @register("cache_version", _CACHED)
 def q_cache_version(spark, sf):
     # Written in two goes as by a job that was stopped between splits, published, verified and read back.
