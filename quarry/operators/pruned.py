@@ -24,7 +24,7 @@ from quarry.operators.ann import ivf_probe
 from quarry.operators.search import FLOOR_SLACK, topk_rank, vectors_to_matrix
 from quarry.session import scratch_path
 
-PROBES = "qid long, block_id long, v array<double>"
+PROBES = "qid long, block_id long"
 
 
 def group_bounds(assigned: DataFrame, centroids: DataFrame, vec_col: str = "embedding") -> DataFrame:
@@ -90,8 +90,7 @@ def _probes(rows: DataFrame, known, k: int, floors: bool) -> DataFrame:
                 low = b.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
                 chosen = ~chosen & (most >= np.where(np.isnan(low), -np.inf, low)[:, None])
             r, g = np.nonzero(chosen)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r)), pa.array(known[0][g]), b.column(1).take(pa.array(r))],
-                                             names=["qid", "block_id", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r)), pa.array(known[0][g])], names=["qid", "block_id"])
 
     return rows.mapInArrow(choose, PROBES)
 
