@@ -18,8 +18,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges = written(edges, "edges")
-    state = None
-    while True:
+
+    def shape():
+        return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    state = shape()
+    while state[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -28,9 +31,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         edges = (small.select("u", F.col("m").alias("v"))
                  .union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
         edges = written(edges, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
+        now = shape()
+        if now == state:
             break
-        state = tuple(now)
+        state = now
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

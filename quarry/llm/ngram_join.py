@@ -137,6 +137,40 @@ def _runs(batches):
         yield rest
 
 
+def parted(cell, node, npos, num, den):
+    """Cells cut, from rows sorted by cell, where the sets that stand next to each other in size, or in the place of the
+    shingle, can't link: sets on either side of a cut can't link either. Parts of one set go."""
+    group = np.cumsum(np.concatenate([[False], cell[1:] != cell[:-1]]))
+    some = np.bincount(group)[group] > 1
+    cell, node, npos, group = cell[some], node[some], npos[some], group[some]
+    for what in ("n", "p", "n"):
+        if not len(cell):
+            return cell, node, npos
+        n, p = npos >> 32, npos & 0xFFFFFFFF
+        order = np.lexsort((n if what == "n" else p, group))
+        cell, node, npos, group, n, p = (x[order] for x in (cell, node, npos, group, n, p))
+        new = group[1:] != group[:-1]
+        if what == "n":
+            cut = den * n[:-1] < num * n[1:]
+        else:
+            # a pair overlaps in at most the size of the set with the later place less the distance of the places
+            begin = np.flatnonzero(np.concatenate([[True], new]))
+            many = np.diff(np.append(begin, len(group)))
+            low, high = (np.repeat(f.reduceat(n, begin), many)[1:] for f in (np.minimum, np.maximum))
+            cut = (num + den) * (p[1:] - p[:-1]) > den * high - num * low
+        group = np.cumsum(np.concatenate([[False], new | cut]))
+        some = np.bincount(group)[group] > 1
+        cell, node, npos, group = cell[some], node[some], npos[some], group[some]
+    if not len(cell):
+        return cell, node, npos
+    # the parts are named by the cell and their smallest set
+    order = np.lexsort((node, group))
+    cell, node, npos, group = (x[order] for x in (cell, node, npos, group))
+    first = np.concatenate([[True], group[1:] != group[:-1]])
+    least = node[np.maximum.accumulate(np.where(first, np.arange(len(group)), 0))]
+    return mix(cell.view(U) ^ mix(least.view(U))).view(np.int64), node, npos
+
+
 def _cells(batches, num, den):
     """From rows sorted by (cell, node): pairs of each cell's hub with its members ``(null, a, b)``, and the members of
     cells of three or more ``(cell, node, null)``. The hub is the node with the smallest hash, so that cells of
@@ -144,7 +178,7 @@ def _cells(batches, num, den):
     for cell, node, npos in _runs(batches):
         fresh = np.ones(len(cell), bool)
         fresh[1:] = (cell[1:] != cell[:-1]) | (node[1:] != node[:-1])  # copies met by several tasks
-        cell, node, npos = cell[fresh], node[fresh], npos[fresh]
+        cell, node, npos = parted(cell[fresh], node[fresh], npos[fresh], num, den)
         begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
         size = np.diff(np.append(begin, len(cell)))
         shared = np.repeat(size > 1, size)
@@ -413,6 +447,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
             F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
         pairs, links = linked(new.join(tried, ["a", "b"], "left_anti"))
         tried = tried.union(pairs)
+        if links.isEmpty():  # nothing has moved
+            break
         joined = _merged(joined, links)
 
     # what is left in different components is looked for in the tree

@@ -144,3 +144,35 @@ def test_pairs_of_a_group_of_near_copies_grow_with_its_size(spark, monkeypatch,
     rows = [(i, t) for i, t in enumerate(near_copies(n))]
     assert ran(spark, rows) == brute(rows)
     assert sum(verified) < 12 * n, verified
+
+
+def test_parts_of_a_cell_keep_every_pair_that_can_link():
+    from quarry.llm.ngram_join import parted, possible
+    rng = np.random.default_rng(3)
+    cell = np.sort(rng.integers(0, 60, 900))
+    n = np.exp(rng.uniform(2, 7, 900)).astype(np.int64)
+    p = (rng.random(900) * (n // 4 + 1)).astype(np.int64)
+    node = rng.permutation(900)
+    order = np.lexsort((node, cell))
+    cell, n, p, node = cell[order], n[order], p[order], node[order]
+    part, kept, _ = parted(cell, node, (n << 32) | p, 75, 100)
+    of = dict(zip(kept.tolist(), part.tolist()))
+    i, j = np.triu_indices(900, 1)
+    can = (cell[i] == cell[j]) & possible(n[i], p[i], n[j], p[j], 75, 100)
+    assert can.sum() > 100
+    assert all(of.get(a, -1) == of.get(b, -2) for a, b in zip(node[i[can]].tolist(), node[j[can]].tolist()))
+    assert len(kept) < 0.9 * 900                                    # sets that can't link leave the cell
+    assert len(np.unique(part)) > len(np.unique(cell))
+
+
+def test_components_of_stars_take_one_round(spark, monkeypatch):
+    from quarry.llm import components as K
+    made = []
+    monkeypatch.setattr(K, "written", lambda df, name, w=K.written: made.append(name) or w(df, name))
+    links = spark.createDataFrame([(1, 2), (1, 3), (7, 8)], "a long, b long")
+    out = {tuple(r) for r in K.components(links).collect()}
+    assert out == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)}
+    assert len(made) == 2                                           # the edges and one round that leaves them
+    made.clear()
+    assert K.components(links.limit(0)).collect() == []
+    assert len(made) == 1
