@@ -4,10 +4,12 @@ Words are runs of letters and digits, A-Z lower-cased. Passages are stretches of
 step over whole documents.
 
 1. Document frequencies of hashed words (``2**BITS`` features) are counted over all documents.
-2. A randomised SVD of the TF-IDF matrix of all benchmark items and a bounded sample of passages (``SAMPLE``, by
-   hash of the text, with ``WEIGHT`` times an item's weight) gives ``RANK`` latent directions: random sketch of the rows, orthonormal basis from its Gram
-   matrix, projection of the rows on the basis summed per feature, SVD of the small factor. Rows and sums are
-   Spark's; the driver gets the small Gram matrix and the factor of fixed size.
+2. A randomised SVD of the TF-IDF matrix of all benchmark items and all passages (the documents' whole texts cut into
+   consecutive passages; columns are the words that an item has) gives ``RANK`` latent directions: with ``C`` the product
+   of the matrix with itself and ``S`` a random sketch, ``C S`` is summed in the pass that counts the document
+   frequencies (the sketch is divided by the weights, so that they aren't needed there), and ``C S (S' C S)^-1 S' C`` has the
+   directions. Together the passages weigh as ``MASS`` items, or as ``WEIGHT`` items a document where that is less. Sums
+   are Spark's; the driver gets a row of fixed size for each of the items' features, at most ``2**BITS``.
 3. Every passage of every document is folded in. Its score with an item is the inner product of the passage's
    latent vector and the item's latent direction over the length of the passage's idf weights, so that words
    outside the latent space count against it. An item longer than ``PART`` words is searched by its parts. What a true
@@ -46,7 +48,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import written
 from quarry.llm.shingles import MARKS, U, buffers, mix, slices, word_hashes
 
-WINDOW, BITS, RANK, EXTRA, SAMPLE, WEIGHT, BLOCK = 32, 17, 128, 8, 2048, 0.1, 4096
+WINDOW, BITS, RANK, EXTRA, MASS, WEIGHT, BLOCK = 32, 17, 128, 8, 205, 0.1, 4096
 COSINE, SHARE, LOOSE, ANSWER, SHORT = 0.3, 0.8, 0.55, 8, 8
 PART, FLOOR = 48, 0.4
 STEP = WINDOW // 2
@@ -68,15 +70,95 @@ def feature(h: np.ndarray) -> np.ndarray:
     return (h >> U(64 - BITS)).astype(np.int64)
 
 
-def _frequencies(batches):
-    """Per task: documents with each feature, and documents (feature -1)."""
-    total, docs = np.zeros(1 << BITS, np.int64), 0
+def row_sums(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``table[at].sum(1)`` for places ``at`` of two dimensions, without the rows side by side."""
+    out = np.empty((len(at), table.shape[1]), table.dtype)
+    more = np.empty((min(len(at), 512), table.shape[1]), table.dtype)
+    for c in range(0, len(at), 512):
+        cols, total = np.ascontiguousarray(at[c:c + 512].T), out[c:c + 512]
+        np.take(table, cols[0], axis=0, out=total, mode="clip")
+        for x in cols[1:]:
+            total += np.take(table, x, axis=0, out=more[:len(total)], mode="clip")
+    return out
+
+
+def summed_by(rows: np.ndarray, at: np.ndarray, key: np.ndarray):
+    """``(distinct keys, sums)`` of ``rows[at]`` by key, from at least one; the last of ``rows`` are zeros."""
+    order = np.argsort(key, kind="stable")
+    key, at = key[order], at[order]
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    many = np.diff(np.append(begin, len(key)))
+    parts = -(-many // 8)  # eight rows at a time
+    first = np.cumsum(parts) - parts
+    place = np.arange(len(key)) - np.repeat(begin, many)
+    table = np.full((int(parts.sum()), 8), len(rows) - 1)
+    table[np.repeat(first, many) + place // 8, place % 8] = at
+    return key[begin], np.add.reduceat(row_sums(rows, table), first, axis=0)
+
+
+def _features(batches):
     for b in batches:
-        for _, h in documents_words(b.column(0)):
-            total[np.unique(feature(h))] += 1
-            docs += 1
+        found = [feature(h) for _, h in documents_words(b.column(0))]
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64))], names=["f"])
+
+
+def sketch(known: np.ndarray) -> np.ndarray:
+    """The random row of each feature, and zeros at the end."""
+    out = np.zeros((len(known) + 1, RANK + EXTRA), np.float32)
+    for c in range(0, len(known), 4096):
+        out[c:c + 4096][:len(known) - c] = normals(known[c:c + 4096], RANK + EXTRA)
+    return out
+
+
+def places(known: np.ndarray) -> np.ndarray:
+    """The place of every feature in ``known``, or its length."""
+    out = np.full(1 << BITS, len(known), np.int32)
+    out[known] = np.arange(len(known))
+    return out
+
+
+def _counted(f, n, words, rows=None):
+    """A batch of ``(f, n, words, row)``."""
+    none = pa.nulls(len(f), pa.int64())
+    lists = pa.nulls(len(f), pa.list_(pa.float64())) if rows is None else pa.ListArray.from_arrays(
+        pa.array(np.arange(0, rows.size + 1, rows.shape[1]), pa.int32()), pa.array(rows.ravel()))
+    return pa.RecordBatch.from_arrays([pa.array(f), none if n is None else pa.array(n), none if words is None else pa.array(words), lists],
+                                      names=["f", "n", "words", "row"])
+
+
+def _frequencies(batches, sent):
+    """Per task: documents with each feature and its words, documents (feature -1), and for each of the items' features
+    the sum over all passages of its words there times the passage's sketch."""
+    known = sent.value
+    place, random = places(known), sketch(known)
+    total, words, docs, sums = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64), 0, np.zeros((len(known), RANK + EXTRA))
+    for b in batches:
+        data, off = buffers(b.column(0))
+        for i, j in slices(off):
+            h, t, _ = word_hashes(data, off[i:j + 1], MARKS)
+            f, bounds = feature(h), np.searchsorted(t, np.arange(j - i + 1))
+            for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                total[np.unique(f[a:z])] += 1
+            words += np.bincount(f, minlength=len(words))
+            docs += j - i
+            n = np.diff(bounds)
+            blocks = -(-n // WINDOW)
+            if not len(known) or not len(h):
+                continue
+            # each text from a passage of its own; gaps and words of no item have the row of zeros
+            x = np.full(int(blocks.sum()) * WINDOW, len(known))
+            x[np.repeat((np.cumsum(blocks) - blocks) * WINDOW, n) + np.arange(len(h)) - np.repeat(bounds[:-1], n)] = place[f]
+            for c in range(0, len(x), WINDOW << 13):
+                part = x[c:c + (WINDOW << 13)]
+                at = np.flatnonzero(part < len(known))
+                if len(at):
+                    y = np.concatenate([row_sums(random, part.reshape(-1, WINDOW)), random[-1:]])
+                    k, s = summed_by(y, at // WINDOW, part[at])
+                    sums[k] += s
     f = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(f, -1)), pa.array(np.append(total[f], docs))], names=["f", "n"])
+    yield _counted(np.append(f, -1), np.append(total[f], docs), np.append(words[f], 0))
+    for c in range(0, len(known), 4096):
+        yield _counted(known[c:c + 4096], None, None, sums[c:c + 4096])
 
 
 def tfidf(h: np.ndarray, idf: np.ndarray):
@@ -92,48 +174,22 @@ def normals(rows: np.ndarray, cols: int) -> np.ndarray:
     return np.sqrt(-2 * np.log(u[:, :cols])) * np.cos(2 * np.pi * u[:, cols:])
 
 
-def _sketch(batches, idf):
-    """Rows ``(features, weights, y)`` of the passages to fit on; ``y`` is the random sketch of the weighted unit row."""
+def _item_sums(batches, idf, known):
+    """Per task and feature: the sum over the items of its weight in the unit row times the item's sketch."""
+    place, random = places(known), sketch(known)
+    sums = np.zeros((len(known), RANK + EXTRA))
     for b in batches:
-        fs, ws, ys, scale = [], [], [], b.column(1).to_numpy()
-        for r, h in documents_words(b.column(0)):
+        for _, h in documents_words(b.column(0)):
             if len(h):
-                f, w = tfidf(h, idf.value)
-                w = w * (scale[r] / max(np.linalg.norm(w), 1e-12))
-                fs.append(f.tolist())
-                ws.append(w.tolist())
-                ys.append((w @ normals(f, RANK + EXTRA)).tolist())
-        yield pa.RecordBatch.from_arrays([pa.array(fs, pa.list_(pa.int64())), pa.array(ws, pa.list_(pa.float64())), pa.array(ys, pa.list_(pa.float64()))],
-                                         names=["f", "w", "y"])
-
-
-def _gram(batches):
-    g = np.zeros((RANK + EXTRA, RANK + EXTRA))
-    for b in batches:
-        if b.num_rows:
-            y = np.array(b.column(0).to_pylist())
-            g += y.T @ y
-    yield pa.RecordBatch.from_arrays([pa.array(range(len(g))), pa.array(g.tolist(), pa.list_(pa.float64()))], names=["i", "row"])
-
-
-def _project(batches, basis):
-    """Per batch and feature: the sum of weight times the row's place in the basis."""
-    for b in batches:
-        if b.num_rows:
-            q = np.array(b.column(2).to_pylist()) @ basis
-            f = [np.array(x) for x in b.column(0).to_pylist()]
-            w = [np.array(x) for x in b.column(1).to_pylist()]
-            at, inv = np.unique(np.concatenate(f), return_inverse=True)
-            total = np.zeros((len(at), q.shape[1]))
-            np.add.at(total, inv, np.concatenate(w)[:, None] * np.repeat(q, [len(x) for x in f], axis=0))
-            width = total.shape[1]
-            rows = pa.ListArray.from_arrays(pa.array(np.arange(0, total.size + 1, width), pa.int32()), pa.array(total.astype(np.float32).ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(at), rows], names=["f", "row"])
+                f, w = tfidf(h, idf)
+                w = w / max(np.linalg.norm(w), 1e-12)
+                sums[place[f]] += w[:, None] * ((w / idf[f]) @ random[place[f]])
+    f = np.flatnonzero(sums.any(1))
+    yield pa.RecordBatch.from_arrays([pa.array(known[f]), _counted(known[f], None, None, sums[f]).column(3)], names=["f", "row"])
 
 
 def _summed(df: DataFrame, key: str, width: int):
-    """Sums the lists of a key (one per batch of rows) element by element; the result has a fixed size and goes to
-    the driver."""
+    """Sums the lists of a key (one per task) element by element; the result has a fixed size and goes to the driver."""
     kind = df.schema["row"].dataType
     total = F.aggregate(F.collect_list("row"), F.array_repeat(F.lit(0.0), width).cast(kind), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
     cells = df.groupBy(key).agg(total.alias("row")).toArrow()
@@ -142,38 +198,41 @@ def _summed(df: DataFrame, key: str, width: int):
 
 
 def fit(texts: DataFrame, items: DataFrame):
-    """``(idf, features, v)``: weights of all features, and the latent directions (rows x rank) of those that were fitted."""
+    """``(idf, features, v)``: weights of all features, and the latent directions (rows x rank) of those that items have."""
     spark = texts.sparkSession
-    counts = texts.mapInArrow(_frequencies, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()  # 2**BITS + 1 rows at most
-    f, n = counts.column(0).to_numpy(), counts.column(1).to_numpy()
+    known = np.sort(items.select("text").mapInArrow(_features, "f long").distinct().toArrow().column(0).to_numpy())  # 2**BITS at most
+    sent = spark.sparkContext.broadcast(known)
+    sums = written(texts.mapInArrow(functools.partial(_frequencies, sent=sent), "f long, n long, words long, row array<double>"), "frequencies")
+    counts = sums.where("row IS NULL").groupBy("f").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).toArrow()  # 2**BITS + 1 rows at most
+    f, n, words = (c.to_numpy() for c in counts.columns)
     docs = max(int(n[f < 0].sum()), 1)
     df = np.zeros(1 << BITS)
     df[f[f >= 0]] = n[f >= 0]
     idf = np.log((docs + 1) / (df + 1)) + 0.05
-    sent = spark.sparkContext.broadcast(idf)
-    # a keyed sample of documents, a passage of each, by a hash threshold that leaves about SAMPLE of them
-    bound = int(min(1.0, 2 * SAMPLE / docs) * (1 << 31))
-    some = texts.where(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 31)) < bound)
-    first = F.regexp_extract("text", r"(?s)^((?:[^ \n]*[ \n]+){0,31}[^ \n]*)", 1)
-    some = some.select(first.alias("text")).orderBy(F.xxhash64("text", F.lit(18))).limit(SAMPLE)
-    some = items.select("text", F.lit(1.0).alias("scale")).union(some.select("text", F.lit(WEIGHT ** 0.5)))
-    rows = written(some.mapInArrow(functools.partial(_sketch, idf=sent), "f array<long>, w array<double>, y array<double>"),
-                   "sketch")
+    if not len(known):
+        return idf, known, np.zeros((0, RANK), np.float32)
     width = RANK + EXTRA
-    order, gram = _summed(rows.select("y").mapInArrow(_gram, "i long, row array<double>"), "i", width)
-    gram = gram[np.argsort(order)] if len(gram) else np.zeros((width, width))
-    values, vectors = np.linalg.eigh(gram)
+    # the passages' whole weight, a word's being its idf squared
+    mass = float((words[f >= 0] * idf[f[f >= 0]] ** 2).sum())
+    c = np.zeros((len(known), width))
+    place = places(known)
+    for frame, scale in ((sums.where("row IS NOT NULL").select("f", "row"), idf[known] * (min(MASS, WEIGHT * docs) / max(mass, 1e-12))),
+                         (items.select("text").mapInArrow(functools.partial(_item_sums, idf=idf, known=known), "f long, row array<double>"),
+                          np.ones(len(known)))):
+        at, rows = _summed(frame, "f", width)
+        c[place[at]] += rows * scale[place[at]][:, None]
+    gram = (sketch(known)[:-1] / idf[known][:, None]).T @ c
+    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     sound = values > max(values[-1], 0) * 1e-10
     if not sound.any():
         return idf, np.zeros(0, np.int64), np.zeros((0, RANK), np.float32)
-    basis = vectors[:, sound] / np.sqrt(values[sound])
-    at, part = _summed(rows.mapInArrow(functools.partial(_project, basis=basis), "f long, row array<float>"), "f", basis.shape[1])
-    values, vectors = np.linalg.eigh((part.T @ part).astype(np.float64))
+    part = c @ (vectors[:, sound] / np.sqrt(values[sound]))
+    values, vectors = np.linalg.eigh(part.T @ part)
     top = np.argsort(values)[::-1][:RANK]
     top = top[values[top] > values.max() * 1e-10]
-    v = np.zeros((len(at), RANK), np.float32)
-    v[:, :len(top)] = part @ (vectors[:, top] / np.sqrt(values[top])).astype(part.dtype)
-    return idf, at, v
+    v = np.zeros((len(known), RANK), np.float32)
+    v[:, :len(top)] = part @ (vectors[:, top] / np.sqrt(values[top]))
+    return idf, known, v
 
 
 def lcs(a: np.ndarray, b: np.ndarray) -> int:
@@ -320,10 +379,7 @@ def candidates(h: np.ndarray, bounds: np.ndarray, model):
     f = np.full(total * STEP, 1 << BITS, np.int64)
     f[place] = feature(h)
     w = idf[f]
-    latent = np.empty((total, v.shape[1]), np.float32)
-    for at in range(0, total, 2048):
-        x = place_of[f[at * STEP:(at + 2048) * STEP]]
-        latent[at:at + 2048] = v[x].reshape(-1, STEP, v.shape[1]).sum(1)  # rows of v hold idf times direction
+    latent = row_sums(v, place_of[f].reshape(-1, STEP))  # rows of v hold idf times direction
     owner = np.repeat(np.arange(len(n)), blocks)
     pair = np.zeros(total, bool)
     pair[:-1] = owner[1:] == owner[:-1]

@@ -138,3 +138,28 @@ def test_recall_of_short_long_and_reworded_items(spark):
     for size, changed, tail in (((5, 14), 0, 0), ((100, 600), 0, 0), ((30, 60), 0.4, 8)):
         case = planted_corpus(7, lambda rng: [rng.randint(*size) for _ in range(300)], changed, tail, plants=80)  # noqa: B023
         assert recall(spark, *case) >= 0.99
+
+
+def test_directions_are_fitted_on_every_passage(spark):
+    import quarry.llm.decontaminate as D
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 400, 150)) for _ in range(40)] + ["", " ".join(["w1"] * 40)]
+    items = [" ".join(f"w{x}" for x in rng.integers(0, 300, 30)) for _ in range(20)]
+    idf, known, v = D.fit(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5),
+                          spark.createDataFrame([(t,) for t in items], "text string"))
+
+    import pyarrow as pa
+    hashes = lambda rows: [D.feature(h) for _, h in D.documents_words(pa.array(rows))]      # noqa: E731
+    assert known.tolist() == sorted(set(np.concatenate(hashes(items)).tolist()))
+    count = lambda f: np.bincount(f, minlength=1 << D.BITS) * idf                           # noqa: E731
+    passages = [count(f[a:a + D.WINDOW]) for f in hashes(texts) for a in range(0, len(f), D.WINDOW)]
+    mass = sum((idf[f] ** 2).sum() for f in hashes(texts))
+    rows = np.array([x / np.linalg.norm(x) for x in map(count, hashes(items))]
+                    + [x * np.sqrt(D.WEIGHT * len(texts) / mass) for x in passages])[:, known]
+    c = rows.T @ rows
+    s = D.sketch(known)[:-1] / idf[known][:, None]
+    low = c @ s @ np.linalg.pinv(s.T @ c @ s, rcond=1e-10, hermitian=True) @ s.T @ c
+    values, vectors = np.linalg.eigh(low)
+    want = vectors[:, np.argsort(values)[::-1][:D.RANK]]
+    assert np.allclose(v @ v.T, want @ want.T, atol=1e-2)
+    assert len(known) > D.RANK
