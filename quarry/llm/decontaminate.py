@@ -138,7 +138,7 @@ def _frequencies(batches, sent):
             h, t, _ = word_hashes(data, off[i:j + 1], MARKS)
             f, bounds = feature(h), np.searchsorted(t, np.arange(j - i + 1))
             for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                total[np.unique(f[a:z])] += 1
+                total[f[a:z]] += 1  # once for a repeated feature
             words += np.bincount(f, minlength=len(words))
             docs += j - i
             n = np.diff(bounds)
@@ -259,32 +259,40 @@ def contains(words: np.ndarray, part: np.ndarray) -> bool:
     return False
 
 
-def verdict(words: np.ndarray, item: np.ndarray, answer: np.ndarray, begin: int, end: int):
+def verdict(words: np.ndarray, item: np.ndarray, answer: np.ndarray, begin: int, end: int, counted=None):
     """``(longest subsequence, answer found, leak)`` for an item against the words around ``[begin, end)``; stretches
-    that can't be a leak are not aligned."""
+    that can't be a leak are not aligned, and without any other the answer isn't looked for. ``counted``: the item's
+    distinct words, sorted, and their counts."""
     n = len(item)
     lo, hi = max(0, begin - n), min(len(words), end + n)
     region = words[lo:hi]
     if n < SHORT:
         whole = contains(region, item)
         return n if whole else 0, whole, whole
-    said = contains(region, answer)
-    least = LOOSE * n if said else SHARE * n
     size, step, best = n + n // 4, max(1, n // 8), 0
-    # a common subsequence can't be longer than the words the stretch shares with the item, counted
-    distinct, counts = np.unique(item, return_counts=True)
+    distinct, counts = counted or np.unique(item, return_counts=True)
     at = np.minimum(np.searchsorted(distinct, region), len(distinct) - 1)
     known = np.flatnonzero(distinct[at] == region)
-    if len(known) < least:
-        return 0, said, False
-    upto = np.zeros((len(region) + 1, len(distinct)), np.int32)
-    upto[known + 1, at[known]] = 1
-    np.cumsum(upto, axis=0, out=upto)
-    begins = np.arange(0, max(1, len(region) - size + step), step)
-    shared = np.minimum(upto[np.minimum(begins + size, len(region))] - upto[begins], counts).sum(1)
+    if len(known) < LOOSE * n:
+        return 0, False, False
+    # a common subsequence can't be longer than the words the stretch shares with the item, counted: a word counts in the
+    # stretches that hold it, but for those that hold as many of it before as the item has
+    word = at[known]
+    order = np.argsort(word, kind="stable")
+    word, place = word[order], known[order]
+    back = np.arange(len(word)) - counts[word]
+    before = np.where((back >= 0) & (word[back] == word), place[back], -1)
+    number = -(-max(1, len(region) - size + step) // step)
+    first = np.minimum(np.maximum(before, place - size) // step + 1, number)
+    last = np.minimum(place // step + 1, number)
+    shared = np.cumsum(np.bincount(first, minlength=number + 1) - np.bincount(np.maximum(first, last), minlength=number + 1))
+    if shared.max() < LOOSE * n:
+        return 0, False, False
+    said = contains(region, answer)
+    least = LOOSE * n if said else SHARE * n
     for k in np.flatnonzero(shared >= least).tolist():
         if shared[k] > best:
-            best = max(best, lcs(item, region[begins[k]:begins[k] + size]))
+            best = max(best, lcs(item, region[k * step:k * step + size]))
             if best == n:
                 break
     return best, said, best >= SHARE * n or (said and best >= LOOSE * n)
@@ -389,11 +397,13 @@ def candidates(h: np.ndarray, bounds: np.ndarray, model):
     rows = latent[at] + np.where((nxt != at)[:, None], latent[nxt], 0)
     squares = (w * w).reshape(total, STEP).sum(1)
     length = np.sqrt(squares[at] + np.where(nxt != at, squares[nxt], 0))
-    out = []
+    out, least = [], float(model["cuts"].min()) * (1 - 1e-6)
     for c in range(0, len(at), 4096):
-        s = rows[c:c + 4096] @ items.T / np.maximum(length[c:c + 4096], 1e-9)[:, None]
+        s, long = rows[c:c + 4096] @ items.T, np.maximum(length[c:c + 4096], 1e-9)
+        near = np.flatnonzero(s.max(1) >= long * least)  # only rows that can reach a cut are divided
+        s = s[near] / long[near, None]
         i, k = np.nonzero(s >= model["cuts"])
-        out.append((at[c + i], model["of"][k], s[i, k]))
+        out.append((at[c + near[i]], model["of"][k], s[i, k]))
     i, k, s = (np.concatenate(x) for x in zip(*out))
     first = (i - (np.cumsum(blocks) - blocks)[owner[i]]) * STEP
     return owner[i], first, k, s
@@ -419,11 +429,11 @@ def scan(column, model):
             words = h[bounds[text[a]]:bounds[text[a] + 1]]
             k = int(item[a])
             begin, stop, near = int(first[a]), int(end[a:z].max()), float(score[a:z].max())
-            best, said, leak = verdict(words, model["items"][k], model["answers"][k], begin, stop)
+            best, said, leak = verdict(words, model["items"][k], model["answers"][k], begin, stop, model["counted"][k])
             n = len(model["items"][k])
             if leak and best < SHARE * n:
                 # many candidates can make a long stretch; the answer must stand around a passage of it
-                leak = any(verdict(words, model["items"][k], model["answers"][k], at, at + WINDOW)[2]
+                leak = any(verdict(words, model["items"][k], model["answers"][k], at, at + WINDOW, model["counted"][k])[2]
                            for at in range(max(0, begin - n - WINDOW) // STEP * STEP, min(stop + n, max(1, len(words) - STEP)), STEP))
             if leak and near < 0:
                 near = nearness(words, begin, stop, k, model)
@@ -496,6 +506,7 @@ def models(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
                     words.append(h)
                     answers.append(said[r] if len(said[r]) else h[-min(ANSWER, max(1, len(h) // 3)):])
         model = {"idf": np.append(idf, 0.0), "v": weighted, "place": place, "ids": ids, "items": words, "answers": answers,
+                 "counted": [np.unique(h, return_counts=True) for h in words],
                  "vectors": np.array(vectors, np.float32).reshape(-1, RANK), "cuts": np.array(cuts, np.float32),
                  "of": np.array(of, np.int64), "index": word_index(words, idf) if word_search else None}
         yield spark.sparkContext.broadcast(model)
