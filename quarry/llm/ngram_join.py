@@ -371,7 +371,7 @@ def verify(texts: DataFrame, keys: DataFrame, pairs: DataFrame, k: int, num: int
     bitmap = spark.sparkContext.broadcast(bits.view(U))
     some = texts.mapInArrow(functools.partial(_wanted_texts, bitmap=bitmap), "key long, z binary")
     some = written(some.join(nodes, "key").groupBy("node").agg(F.first("z").alias("z")), "texts")  # tasks may both have a copy
-    bitmap.unpersist()
+    bitmap.destroy()
     both = (pairs.join(some.select(F.col("node").alias("a"), F.col("z").alias("x")), "a")
             .join(some.select(F.col("node").alias("b"), F.col("z").alias("y")), "b").select("a", "b", "x", "y"))
     return written(both.mapInArrow(functools.partial(_verified, k=k, num=num, den=den), "a long, b long"), "links")
@@ -381,7 +381,7 @@ def _merged(joined: DataFrame, links: DataFrame) -> DataFrame:
     """``(node, component, moved)`` of every node after ``links``, from ``joined (node, component)``; ``moved`` where the
     links changed the component. Only the components that links join are contracted again."""
     ends = links.join(joined.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a")
-    ends = ends.join(joined.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b").select("ca", "cb").distinct()
+    ends = ends.join(joined.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b").select("ca", "cb")
     up = components(ends, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("_to"))
     out = joined.select("node", "component").join(up, "component", "left")
     now = F.coalesce("_to", "component")
@@ -423,6 +423,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
     cells = (entries.repartition("cell").sortWithinPartitions("cell", "node")
              .mapInArrow(functools.partial(_cells, num=num, den=den), "cell long, a long, b long"))
     cells = written(cells, "cells")
+    ranks.destroy()
 
     def at(side):
         return nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("point").alias(f"point_{side}"))

@@ -176,3 +176,66 @@ def test_components_of_stars_take_one_round(spark, monkeypatch):
     made.clear()
     assert K.components(links.limit(0)).collect() == []
     assert len(made) == 1
+
+
+def tasks_of(spark, run):
+    """What ``run`` returns, and the tasks of its jobs."""
+    sc, group = spark.sparkContext, "tasks_of"
+    sc.setJobGroup(group, group)
+    try:
+        out = run()
+        track = sc.statusTracker()
+        stages = {s for j in track.getJobIdsForGroup(group) for s in track.getJobInfo(j).stageIds}
+        return out, sum(track.getStageInfo(s).numCompletedTasks for s in stages if track.getStageInfo(s))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_components_take_few_tasks(spark):
+    """The driver keeps a record of every task: on 20 shuffle partitions without coalescing a round takes few."""
+    from quarry.llm import components as K
+    rng = random.Random(5)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(380)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, i) for i in range(2001, 2100)]
+    root = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    want = {(x, find(x)) for p in pairs if p[0] != p[1] for x in p}
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(4)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    made = []
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "20")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(K, "written", lambda df, name, w=K.written: made.append(name) or w(df, name))
+            out, tasks = tasks_of(spark, lambda: K.components(links))
+        assert {tuple(r) for r in out.collect()} == want and out.count() == len(want)
+        rounds = made.count("large") or made.count("edges") - 1
+        assert rounds > 2
+        assert tasks / rounds < 150
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_broadcasts_leave_the_driver(spark, monkeypatch):
+    from pyspark import SparkContext
+    sent, gone = [], []
+    make = SparkContext.broadcast
+
+    def broadcast(self, value):
+        b = make(self, value)
+        sent.append(b)
+        monkeypatch.setattr(b, "destroy", lambda *a, d=b.destroy: gone.append(b) or d(*a))
+        return b
+    monkeypatch.setattr(SparkContext, "broadcast", broadcast)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(words[:40 - i % 3])) for i in range(6)] + [(9, "other words that nobody else has at all")]
+    assert ran(spark, rows) == brute(rows)
+    assert len(sent) >= 2 and {id(b) for b in sent} == {id(b) for b in gone}
