@@ -21,6 +21,13 @@ from quarry.params import MAX_BROADCAST_BYTES, NUM_SHARDS
 MAX_BROADCAST_SHARD_MAP_ROWS = MAX_BROADCAST_BYTES // 32   # (split, id, shard) + overhead
 
 
+def shard_map(light: DataFrame, num_shards: int, order_col: str = "sample_id") -> tuple:
+    """``(split, id, shard)`` of the rows of ``(split, id)``, and their number."""
+    pos = ordered_scan(light, "split", [order_col], "row_number", out="_pos")
+    place = pos.select("split", order_col, F.pmod(F.col("_pos"), F.lit(num_shards)).cast("int").alias("shard"))
+    return place, place.count()
+
+
 def sink_cache(cache: DataFrame, path: str, num_shards: int = NUM_SHARDS, order_col: str = "sample_id",
                mode: str = "overwrite") -> str:
     """Write the cache dealt round-robin into ``num_shards`` shards per split.
@@ -29,13 +36,10 @@ def sink_cache(cache: DataFrame, path: str, num_shards: int = NUM_SHARDS, order_
     rows (token arrays) meet the shard map through a broadcast join when the map
     is within its row bound, so they are shuffled exactly once -- by the
     ``repartition(split, shard)`` that gives every shard a single writer."""
-    light = cache.select("split", order_col)
-    pos = ordered_scan(light, "split", [order_col], "row_number", out="_pos")
-    shard_map = pos.select("split", order_col,
-                           F.pmod(F.col("_pos"), F.lit(num_shards)).cast("int").alias("shard"))
-    if shard_map.count() <= MAX_BROADCAST_SHARD_MAP_ROWS:
-        shard_map = F.broadcast(shard_map)
-    out = cache.join(shard_map, ["split", order_col])
+    place, n = shard_map(cache.select("split", order_col), num_shards, order_col)
+    if n <= MAX_BROADCAST_SHARD_MAP_ROWS:
+        place = F.broadcast(place)
+    out = cache.join(place, ["split", order_col])
     (out.repartition("split", "shard").write.mode(mode)
         .partitionBy("split", "shard").parquet(path))
     return path

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from quarry.params import NUM_SHARDS
 from quarry.sources.cache_io import sink_cache
+from quarry.sources.parts import CacheParts, sink_parts
 
 MANIFEST = "file string, n_rows long, checksum string"
 
@@ -70,16 +71,18 @@ def written_splits(spark: SparkSession, root: str, version: str) -> list:
     return [s for s in names if _exists(spark, f"{_manifest_path(root, version, s)}/_SUCCESS")]
 
 
-def write_version(cache: DataFrame, root: str, version: str, splits: list, num_shards: int = NUM_SHARDS,
+def write_version(cache: DataFrame | CacheParts, root: str, version: str, splits: list, num_shards: int = NUM_SHARDS,
                   order_col: str = "sample_id") -> list:
-    """Writes the splits that the version hasn't got, and returns their names. Nothing is published."""
-    spark = cache.sparkSession
+    """Writes the splits that the version hasn't got, and returns their names. Nothing is published. Of a retrieval cache in its
+    parts a split gathers its own passages only; a table is read anew for each."""
+    whole = not isinstance(cache, CacheParts)
+    spark = (cache if whole else cache.fields).sparkSession
     done = set(written_splits(spark, root, version))
     todo = [s for s in splits if s not in done]
     for split in todo:      # a few named splits; each is a Spark job over its rows
-        rows = cache.where(F.col("split") == split)
+        rows, sink = (cache.where(F.col("split") == split), sink_cache) if whole else (cache.of(split), sink_parts)
         # the split's folder is whole again after a writer that was stopped in it
-        sink_cache(rows, f"{_data_path(root, version, split)}/rows", num_shards, order_col)
+        sink(rows, f"{_data_path(root, version, split)}/rows", num_shards, order_col)
         data = f"{_data_path(root, version, split)}/rows/split={split}"
         found = _summed(_read_files(spark, [data], data)) if _exists(spark, data) else spark.createDataFrame([], MANIFEST)
         found.write.mode("overwrite").json(_manifest_path(root, version, split))
