@@ -31,6 +31,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from quarry.params import NUM_SHARDS, RAGGED_PAD_ID
 from quarry.sources.cache_io import sink_cache
+from quarry.sources.parts import CacheParts, sink_parts
 
 BATCH_ROWS = 1024
 
@@ -45,17 +46,24 @@ def _padded(col, width):
     return F.concat(col.cast("array<bigint>"), fill)
 
 
-def dense(cache: DataFrame) -> DataFrame:
-    """``cache`` with whole-number arrays, and lists of them, padded to the greatest width of their split."""
+def dense(cache: DataFrame, widths: list | None = None) -> DataFrame:
+    """``cache`` with whole-number arrays, and lists of them, padded to the greatest width of their split. ``widths``: where they
+    are known, a row per split with a width by column, in a list's case a pair (rows, entries of a row)."""
     flat = [f.name for f in cache.schema if _is_list(f.dataType) and isinstance(f.dataType.elementType, T.IntegralType)]
     deep = [f.name for f in cache.schema if _is_list(f.dataType) and _is_list(f.dataType.elementType)
             and isinstance(f.dataType.elementType.elementType, T.IntegralType)]
     if not flat and not deep:
         return cache
-    widths = cache.groupBy(F.col("split").alias("_s")).agg(
-        *[F.coalesce(F.max(F.size(c)), F.lit(0)).alias(f"_w_{c}") for c in flat + deep],
-        *[F.coalesce(F.max(F.array_max(F.transform(c, lambda r: F.size(r)))), F.lit(0)).alias(f"_v_{c}") for c in deep])
-    wide = cache.join(F.broadcast(widths), F.col("split").eqNullSafe(F.col("_s")))    # a row a split
+    if widths is not None:
+        def known(name, at):
+            asked = [(w["split"], w[name][at] if name in deep else w[name]) for w in widths]
+            return F.coalesce(*[F.when(F.col("split").eqNullSafe(F.lit(s)), F.lit(n)) for s, n in asked], F.lit(0))
+        wide = cache.select("*", *[known(c, 0).alias(f"_w_{c}") for c in flat + deep], *[known(c, 1).alias(f"_v_{c}") for c in deep])
+    else:
+        found = cache.groupBy(F.col("split").alias("_s")).agg(
+            *[F.coalesce(F.max(F.size(c)), F.lit(0)).alias(f"_w_{c}") for c in flat + deep],
+            *[F.coalesce(F.max(F.array_max(F.transform(c, lambda r: F.size(r)))), F.lit(0)).alias(f"_v_{c}") for c in deep])
+        wide = cache.join(F.broadcast(found), F.col("split").eqNullSafe(F.col("_s")))    # a row a split
 
     def both(name):
         inner = F.col(f"_v_{name}")
@@ -71,6 +79,19 @@ def sink_padded(cache: DataFrame, path: str, num_shards: int = NUM_SHARDS, order
     return sink_cache(dense(cache), path, num_shards, order_col)
 
 
+def sink_padded_parts(parts: CacheParts, path: str, num_shards: int = NUM_SHARDS) -> str:
+    """A retrieval cache as dense records: ``block_ids`` and ``passages`` (tokens) in the place of ``retrievals``. Widths come from
+    the parts, rows are dealt ragged, and pads are added in the stream of the task that writes them."""
+    widths = [w.asDict() | {"block_ids": w["retrievals"], "passages": (w["retrievals"], w["token_ids"])} for w in parts.widths()]
+
+    def shape(rows):
+        own = [c for c in rows.columns if c not in ("retrievals", "shard")]
+        return dense(rows.select(*own, F.transform("retrievals", lambda r: r["block_id"]).alias("block_ids"),
+                                 F.transform("retrievals", lambda r: r["token_ids"]).alias("passages"), "shard"), widths)
+
+    return sink_parts(parts, path, num_shards, shape=shape, compression="zstd")
+
+
 def ragged(arr: pa.ListArray, pad: int = RAGGED_PAD_ID) -> pa.ListArray:
     """A padded array column without its pads."""
     starts = arr.offsets.to_numpy()

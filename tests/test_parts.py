@@ -3,11 +3,14 @@
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF_SMALL
 from quarry.operators.vocab import Vocab, build_vocab
+from quarry.plans import queries as Q
 from quarry.session import scratch_path, ship_package
 from quarry.sources import parts as CP
 from quarry.sources import versions as V
 from quarry.sources.cache_io import sink_cache
+from quarry.sources.padded import PaddedCache, dense, shards, sink_padded_parts
 
 COLUMNS = ["split", "sample_id", "question_ids", "answer_ids", "retrievals"]
 
@@ -15,6 +18,7 @@ COLUMNS = ["split", "sample_id", "question_ids", "answer_ids", "retrievals"]
 @pytest.fixture(scope="module")
 def parts(spark):
     ship_package(spark)
+    spark.dataSource.register(PaddedCache)
     ids = [*range(40), 7, 7, 200]                     # a repeated id, and a question without hits
     fields = [(None if i == 11 else ("eval", "test", "train")[i % 3], None if i == 12 else i, list(range(i % 5)),
                None if i % 3 == 1 else [i] * (i % 4)) for i in ids]
@@ -58,6 +62,18 @@ def test_versions_from_parts(spark, parts, tmp_path):
     assert rows(V.read_version(spark, root, verify=True)) == rows(want)
 
 
+def test_padded_from_parts(spark, parts):
+    path = sink_padded_parts(parts, scratch_path(spark, "padded"), 3)
+    whole = spark.read.parquet(sink_cache(parts.whole(), scratch_path(spark, "whole"), 3))
+    ragged = whole.select("split", "sample_id", "question_ids", "answer_ids", F.transform("retrievals", lambda r: r["block_id"]).alias("block_ids"),
+                          F.transform("retrievals", lambda r: r["token_ids"]).alias("passages"))
+    key = lambda df: sorted(repr(list(r)) for r in df.select("split", "sample_id", "question_ids", "answer_ids", "block_ids", "passages").collect())
+    assert key(spark.read.parquet(path)) == key(dense(ragged))               # the same pads
+    back = spark.read.format("padded_cache").load(path)
+    assert back.where("split = 'train'").count() == whole.where("split = 'train'").count()
+    assert {s.split for s in shards(path)} == {"eval", "test", "train"}
+
+
 def test_a_large_vocabulary_is_searched_by_hashing(spark):
     docs = spark.createDataFrame([(1, "b a b zz"), (2, None), (3, ""), (4, "a c")], "id long, text string")
     seen = Vocab(build_vocab(docs.where("id <> 4")), max_bytes=0)
@@ -68,3 +84,13 @@ def test_a_large_vocabulary_is_searched_by_hashing(spark):
     got = {r.id: r for r in df.collect()}
     assert got[1].x == [ids["b"], ids["a"], ids["b"]] and got[1].y == [ids["zz"], ids["a"], 0]
     assert got[2].x is None and got[3].x == [] and got[4].x == [ids["a"], 0]
+
+
+def test_both_queries_write_from_parts(spark, monkeypatch):
+    seen = []
+    real = CP.dealt
+    monkeypatch.setattr(CP, "dealt", lambda p, *a: seen.append(1) or real(p, *a))
+    monkeypatch.setattr(Q.P, "retrieval_cache", None)
+    sf = SF_SMALL
+    assert sorted(map(repr, Q.QUERIES["cache_version"](spark, sf).collect())) == sorted(map(repr, Q.QUERIES["src_padded_cache"](spark, sf).collect()))
+    assert len(seen) == 4
