@@ -44,6 +44,7 @@ def test_the_same_rows_as_the_whole_cache(spark, parts, broadcast, monkeypatch):
     assert rows(got) == rows(want) and got.count() > 43
     per_shard = lambda df: sorted(tuple(r) for r in df.groupBy("split", "shard").count().collect())
     assert per_shard(got) == per_shard(want)
+    assert max(r["n"] for r in got.groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()) <= 4   # what a reader holds
 
 
 def test_a_passage_is_moved_once(spark, parts):
